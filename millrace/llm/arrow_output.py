@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe_tables
-from ._common import TwoGenerations, new_path, written
+from ._common import TwoGenerations, new_path, shipped, written
 
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, ROWS = 2048, 64
@@ -178,6 +178,7 @@ def write_stream_files(docs: DataFrame, path: str, end_id: int, to: str, length:
         writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([f"{to}/{name}"]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.at], pa.int64())], names=["file", "uri", "n_docs", "n_tokens"])
 
+    shipped(docs.sparkSession)
     dealt = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("text"))
@@ -202,6 +203,7 @@ def read_stream_files(manifest: DataFrame) -> DataFrame:
                     crc = [zlib.crc32(f.ids(s, k).astype("<u4").tobytes()) for s, k in zip(start, n)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc_id, [s + first for s in start], n, crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    shipped(manifest.sparkSession)
     files = manifest.select("uri", "first_token")
     return files.repartition("uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

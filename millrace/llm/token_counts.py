@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe_tables
-from ._common import TwoGenerations
+from ._common import TwoGenerations, shipped
 
 #: Words of up to so many bytes are cached, and so many of them at most in a worker.
 CACHED_BYTES, CACHED = 256, 500_000
@@ -98,6 +98,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array([c.count(t.as_py()) for t in b.column("text")], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
+    shipped(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

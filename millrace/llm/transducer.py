@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe_tables
-from ._common import TwoGenerations
+from ._common import TwoGenerations, shipped
 
 #: Pre-tokens of up to WHOLE characters are merged in one window and cached, CACHED of them and of words at most a worker;
 #: texts over BLOCK characters are read BLOCK pre-tokens at a time.
@@ -193,6 +193,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", out: str =
             column = pa.array([encode(t.as_py(), path) for t in b.column(text)], pa.list_(pa.field("element", pa.int32(), False)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), column], names=[*names, out])
 
+    shipped(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -208,6 +209,7 @@ def decode_documents(tokens: DataFrame, path: str, ids: str = "token_ids", out:
             column = pa.array([None if (x := v.as_py()) is None else decode(x, path) for v in b.column(ids)], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), column], names=[*names, out])
 
+    shipped(tokens.sparkSession)
     return tokens.mapInArrow(run, schema)
 
 
@@ -220,4 +222,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    shipped(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
