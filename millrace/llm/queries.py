@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, token_counts, transducer
+from . import arrow_output, sharding, simhash, token_counts, transducer
 from ._common import documents
 from .bpe_tables import default_path
 
@@ -17,9 +17,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
 
+def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.round_trip(spark, documents(spark, sf_dir), default_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_token_counts, op9_arrow_ids)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_token_counts, op6_interleaved_shards, op7_simhash, op9_arrow_ids)}
 ORACLES: dict[str, str] = {}
