@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, sharding, simhash, token_counts, transducer
-from ._common import documents
+from . import arrow_output, decontaminate, quality, sharding, simhash, token_counts, transducer
+from ._common import benchmark, documents
 from .bpe_tables import default_path
 
 
@@ -13,10 +13,18 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.digests(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
 
 
+def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_hash")
+
+
 def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -29,5 +37,5 @@ def op9_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.round_trip(spark, documents(spark, sf_dir), default_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_token_counts, op6_interleaved_shards, op7_simhash, op9_arrow_ids)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_votes, op4_token_counts, op5_benchmark_leaks, op6_interleaved_shards, op7_simhash, op9_arrow_ids)}
 ORACLES: dict[str, str] = {}
