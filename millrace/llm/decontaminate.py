@@ -41,7 +41,8 @@ def words(text: Column) -> Column:
     number = F.regexp_replace(glued, r"(?<![\p{L}\p{N}\x01.,])[0-9](?:[0-9.,]*+(?<=[0-9]))?+(?![\p{L}\p{N}])", f"{MARK}n$0")
     unit = F.regexp_replace(number, rf"(?i)(\x01n[0-9.,]++[\x20\x09-\x0D]++)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{MARK}u$2")
     marked = F.when(clean.rlike("[0-9]"), unit).otherwise(named)
-    return F.array_remove(F.split(F.lower(marked), r"[^\p{L}\p{N}\x01%]*+[\x20\x09-\x0D]++[^\p{L}\p{N}\x01%]*+|\A[^\p{L}\p{N}\x01%]++|[^\p{L}\p{N}\x01%]++\z"), "")
+    edge = r"[^\p{L}\p{N}\x01%\x20\x09-\x0D]"
+    return F.array_remove(F.split(F.lower(marked), rf"{edge}*+[\x20\x09-\x0D]++{edge}*+|\A{edge}++|{edge}++\z"), "")
 
 
 def template(word: Column) -> Column:
