@@ -60,7 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table written in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, decontaminate, quality, sharding, simhash, token_counts, transducer
+from . import arrow_output, decontaminate, line_templates, quality, sharding, simhash, token_counts, transducer
 from ._common import benchmark, documents
 from .bpe_tables import default_path
 
@@ -13,6 +13,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.digests(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"), count="n_dropped")
+
+
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -37,5 +41,5 @@ def op9_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.round_trip(spark, documents(spark, sf_dir), default_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_votes, op4_token_counts, op5_benchmark_leaks, op6_interleaved_shards, op7_simhash, op9_arrow_ids)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_templates, op3_quality_votes, op4_token_counts, op5_benchmark_leaks, op6_interleaved_shards, op7_simhash, op9_arrow_ids)}
 ORACLES: dict[str, str] = {}
