@@ -6,7 +6,7 @@ mask bytes (1: an id, 0: padding, only in a file's last rows); since rows and ba
 any sequence without a copy. Beside each file lies ``.index``, a stream of (doc_id, start, n_tokens) within the file. Task
 output goes to a name of its own and is renamed when complete, so a repeated attempt after a lost executor is harmless.
 
-Order: ascending doc_id, null ones first, equal ones by text. Null text counts as empty: only the end id is written. Repeated
+Order: ascending doc_id, null ones first, equal ones by a hash of their text. Null text counts as empty: only the end id is written. Repeated
 rows are all written; further columns are ignored; an empty table gives no rows.
 """
 
@@ -30,7 +30,7 @@ from ._common import TwoGenerations, new_path, shipped, written
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, ROWS = 2048, 64
 #: Encoded words kept by a worker, and their longest.
-CACHED, CACHED_BYTES = 400_000, 128
+CACHED, CACHED_BYTES = 250_000, 128
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -181,8 +181,10 @@ def write_stream_files(docs: DataFrame, path: str, end_id: int, to: str, length:
     shipped(docs.sparkSession)
     dealt = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        .repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("text"))
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("text"))
+        .withColumn("tie", F.xxhash64("text"))  # range bounds are sampled on the driver, so no text is in the key
+        .repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("tie"))
+        .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("tie"))
+        .drop("tie")
     )
     manifest = written(dealt.mapInArrow(run, "file long, uri string, n_docs long, n_tokens long"), "manifest")
     # one row a file, so the running total over them is small
