@@ -40,11 +40,11 @@ BASE = {
 #: Kind and pattern of each generator, in order of precedence.
 GENERATORS = {
     "spelled": ("email", rf"(?i)(?<!{_LOCAL}){_LOCAL}++(?:\x20?[\[(]at[\])]\x20?|\x20at\x20){_LABEL}++(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.){_LABEL}++)++"),
-    "token": ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+"),
+    "token": ("secret", r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])|(?=[A-Z0-9]{16}))[A-Za-z0-9_+/-]{16,}+"),
     "number": ("phone", r"(?<![0-9])[(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,18}+(?![0-9])"),
 }
 #: What a text must hold for a pattern to be tried at all; each follows from the pattern.
-_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "spelled": r"(?i)[\[( ]at[\]) ]", "token": "[0-9]", "number": "[0-9]"}
+_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "spelled": r"(?i)[\[( ]at[\]) ]", "token": "[0-9]|[A-Z]{16}", "number": "[0-9]"}
 CONTEXT_BEFORE, CONTEXT_AFTER = 24, 4
 _KEY = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20\"'=:]{1,4}$"
 

@@ -57,15 +57,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (a long of the same 64 bits) of every whole text."""
+    """doc_id, text_hash and fingerprint (a long of the same 64 bits) of every whole text."""
     shipped(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             values = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values)], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(values)], names=["doc_id", "text_hash", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return own.mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
 
 
 def _signed(x: int) -> int:
@@ -242,11 +243,23 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, node: int = NODE) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, node: int = NODE, text_hash: bool = False) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row, on demand with its text_hash."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
     # one row for each distinct fingerprint; those of rows without doc_id only cannot name a group
     fps = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     found = components(links(fps.where("rep IS NOT NULL"), radius, node))
     groups = fps.join(found, fps.rep == found.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(groups, prints.fingerprint == groups.fp).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(groups, prints.fingerprint == groups.fp).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *(["text_hash"] if text_hash else []))
+
+
+def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id. Where rows share that doc_id, the one
+    with the smallest text hash stays, and of wholly equal texts one row; of a group without any doc_id one row stays as well."""
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    groups = near_duplicates(docs, text_hash=True, **how)
+    stays = groups.where("doc_id <=> component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("alone")).agg(F.min("text_hash").alias("_s"))
+    stays = written(stays.select(F.col("doc_id").alias("_d"), "_s").distinct(), "stays")
+    kept = keyed.join(stays, keyed["doc_id"].cast("long").eqNullSafe(stays["_d"]) & keyed["_h"].eqNullSafe(stays["_s"]), "left_semi")
+    # rows of equal doc_id and text are left to meet here; there is one for each group otherwise
+    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
