@@ -126,7 +126,8 @@ def drop_recurring_lines(docs: DataFrame, count: str | None = None) -> DataFrame
     found = written(recurring(lines).select("line"), "recurring")
     drops = lines.select("doc_id", "text_hash", "at", "line").join(found, "line", "left_semi").groupBy(F.col("doc_id").alias("l_doc_id"), F.col("text_hash").alias("l_hash")).agg(F.array_distinct(F.collect_list("at")).alias("l_drops"))
     drops = written(drops, "drops")
-    joined = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(drops["l_doc_id"]) & (F.xxhash64(docs["text"]) == drops["l_hash"]), "left")
+    # merged at every size: whether this side could be broadcast depends on how much of the corpus is boilerplate
+    joined = docs.join(drops.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(drops["l_doc_id"]) & (F.xxhash64(docs["text"]) == drops["l_hash"]), "left")
     own = joined.select(*(docs[c] for c in docs.columns), F.coalesce("l_drops", F.array().cast("array<bigint>")).alias("l_drops"))
     schema = T.StructType([*docs.schema.fields, T.StructField("l_drops", T.ArrayType(T.LongType()))])
 

@@ -260,6 +260,6 @@ def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
     groups = near_duplicates(docs, text_hash=True, **how)
     stays = groups.where("doc_id <=> component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("alone")).agg(F.min("text_hash").alias("_s"))
     stays = written(stays.select(F.col("doc_id").alias("_d"), "_s").distinct(), "stays")
-    kept = keyed.join(stays, keyed["doc_id"].cast("long").eqNullSafe(stays["_d"]) & keyed["_h"].eqNullSafe(stays["_s"]), "left_semi")
+    kept = keyed.join(stays.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(stays["_d"]) & keyed["_h"].eqNullSafe(stays["_s"]), "left_semi")
     # rows of equal doc_id and text are left to meet here; there is one for each group otherwise
     return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
