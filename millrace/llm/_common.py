@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped as shipped
+
 #: Columns of the documents table; the pipeline stages hand on exactly these.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,22 +25,6 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def shipped(spark: SparkSession) -> None:
-    """Gives the executors' Python workers this package, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        package = Path(__file__).parents[1]
-        target = Path(tempfile.mkdtemp(prefix="spark-millrace-")) / "millrace.zip"
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(target))
-        _shipped.add(sc.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir). Only where it is unset, as in tests, a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)

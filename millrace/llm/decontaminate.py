@@ -35,7 +35,7 @@ MARK = "\x01"
 
 def words(text: Column) -> Column:
     """Words of a text, lowered, with punctuation at their edges dropped; placeholders are marked and keep their value."""
-    clean = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
+    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
     named = F.regexp_replace(clean, r"\p{Lu}(?<=[^\x20\x09-\x0D.!?:][\x20\x09-\x0D]{1}.)\p{Ll}++(?!\p{L})", f"{MARK}p$0")
     glued = F.regexp_replace(named, rf"(?i)([0-9])({UNITS})(?![\p{{L}}\p{{N}}])", "$1 $2")
     number = F.regexp_replace(glued, r"(?<![\p{L}\p{N}\x01.,])[0-9](?:[0-9.,]*+(?<=[0-9]))?+(?![\p{L}\p{N}])", f"{MARK}n$0")
@@ -69,7 +69,9 @@ def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = written(item_windows(items), "item-windows")
     small = bench.count() <= BROADCAST_ROWS
     side = bench.select("item_id", "n_windows", "at", "h")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(windows(words(F.col("text")))).alias("pos", "h"))
+    # the words are used more than once in the windows, so they are a column of their own, computed once
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    own = own.select("doc_id", "text_hash", F.posexplode(windows(F.col("w"))).alias("pos", "h"))
     hits = own.join(F.broadcast(side) if small else side, "h")
     return (
         hits.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
