@@ -2,5 +2,28 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from .plans.views import Tables
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of the logical tables as a query (spark, sf_dir) -> DataFrame."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+for _part in ("ingest", "search", "library", "conversations"):
+    importlib.import_module(f"millrace.plans.{_part}")

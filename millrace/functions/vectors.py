@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from .gates import squared_norm
 
 #: Texts that an encoder is given at once.
@@ -44,6 +45,8 @@ def embed(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]],
     """``df`` with vectors of a text column from an encoder that is built once in each task and fed BATCH texts at a time."""
     import pandas as pd
 
+    shipped(df.sparkSession)
+
     @F.pandas_udf("array<float>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder()

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 SIZE, OVERLAP = 1200, 160
 #: Characters after which a chunk may end.
 ENDS = "\n\r。！？!?.;；"
@@ -42,13 +44,14 @@ def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "page", "start", "end", "text"])
 
+    shipped(pages.sparkSession)
     own = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text")
     return own.mapInArrow(run, "doc_id long, page int, start long, end long, text string")
 
 
 def with_ordinals(chunks: DataFrame) -> DataFrame:
     """Ordinals run through a document over all its pages."""
-    return chunks.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "start")) - 1)
+    return chunks.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "start")).cast("long") - 1)
 
 
 def pages_of(docs: DataFrame, text: Column, separator: str = "\n") -> DataFrame:

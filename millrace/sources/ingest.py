@@ -94,4 +94,4 @@ def import_report(outcomes: DataFrame) -> DataFrame:
 
 def in_order(rows: DataFrame, *keys: Column) -> DataFrame:
     """Rows with their position in an order that has to be stated in full."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("kb_id").orderBy(*keys)))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("kb_id").orderBy(*keys)).cast("long"))
