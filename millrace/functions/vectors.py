@@ -47,8 +47,7 @@ def embed(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]],
 
     shipped(df.sparkSession)
 
-    @F.pandas_udf("array<float>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batches):
         encode = encoder()
         for texts in batches:
             rows: list[list[float]] = []
@@ -56,7 +55,9 @@ def embed(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]],
                 rows += encode(texts.iloc[i : i + BATCH].tolist())
             yield pd.Series(rows)
 
-    return df.withColumn(out, encoded(text)).withColumn("encoder_signature", F.lit(signature))
+    # annotations are given as objects: as text, pandas_udf could not resolve the local import
+    encoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn(out, F.pandas_udf(encoded, "array<float>")(text)).withColumn("encoder_signature", F.lit(signature))
 
 
 def hashing_encoder(dims: int = 64) -> Callable[[], Callable[[list[str]], list[list[float]]]]:

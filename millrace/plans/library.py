@@ -1 +1,196 @@
-"""Registered queries."""
+"""Registered queries: library upkeep, integrity, media timelines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions import gates
+from ..operators import library, timeline
+from .views import Tables, with_tables
+
+# ---- filters and order
+
+
+@query("filter_documents", with_tables("SELECT doc_id, title FROM docs WHERE is_favorite AND list_contains(tags, 'en') AND (contains(title, 'src1') OR contains(file_name, 'src1') OR len(list_filter(tags, lambda x: contains(x, 'src1'))) > 0)", "docs"))
+def filter_documents(t: Tables):
+    return library.filtered(t.docs(), text="SRC1", tag="en", favorites=True).select("doc_id", "title")
+
+
+@query("recent_items", with_tables("SELECT kb_id, doc_id, row_number() OVER (PARTITION BY kb_id ORDER BY updated_at DESC, doc_id) AS position FROM docs QUALIFY position <= 20", "docs"))
+def recent_items(t: Tables):
+    return library.recent(t.docs(), "kb_id", F.desc("updated_at"), "doc_id").where("position <= 20").select("kb_id", "doc_id", F.col("position").cast("long").alias("position"))
+
+
+@query("chunk_counts", with_tables("SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id", "chunks"))
+def chunk_counts(t: Tables):
+    return t.chunks().groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("document_chunks", with_tables("SELECT doc_id, chunk_id, ordinal FROM chunks WHERE doc_id % 5 = 0 ORDER BY doc_id, ordinal", "chunks"))
+def document_chunks(t: Tables):
+    return t.chunks().where("doc_id % 5 = 0").select("doc_id", "chunk_id", "ordinal").orderBy("doc_id", "ordinal")
+
+
+@query("distinct_signatures", with_tables("SELECT kb_id, count(DISTINCT encoder_signature) AS n, count(DISTINCT encoder_signature) = 1 AS uniform FROM chunks GROUP BY kb_id", "chunks"))
+def distinct_signatures(t: Tables):
+    n = F.count_distinct("encoder_signature")
+    return t.chunks().groupBy("kb_id").agg(n.alias("n"), (n == 1).alias("uniform"))
+
+
+@query("kb_counts", with_tables("SELECT d.kb_id, count(*) AS documents, coalesce(any_value(c.n), 0) AS chunks, coalesce(any_value(q.n), 0) AS queries FROM docs d LEFT JOIN (SELECT kb_id, count(*) AS n FROM chunks GROUP BY kb_id) c ON c.kb_id = d.kb_id LEFT JOIN (SELECT kb_id, count(*) AS n FROM queries GROUP BY kb_id) q ON q.kb_id = d.kb_id GROUP BY d.kb_id", "docs", "chunks", "queries"))
+def kb_counts(t: Tables):
+    count = lambda df, name: df.groupBy("kb_id").agg(F.count("*").alias(name))
+    out = count(t.docs(), "documents").join(count(t.chunks(), "chunks"), "kb_id", "left").join(count(t.queries(), "queries"), "kb_id", "left")
+    return out.na.fill(0, ["chunks", "queries"])
+
+
+@query("checks_summary", with_tables("SELECT kb_id, count(*) FILTER (status = 'ready' AND byte_count > 500) AS passed, count(*) AS total FROM docs GROUP BY kb_id", "docs"))
+def checks_summary(t: Tables):
+    ok = (F.col("status") == "ready") & (F.col("byte_count") > 500)
+    return t.docs().groupBy("kb_id").agg(F.sum(ok.cast("long")).alias("passed"), F.count("*").alias("total"))
+
+
+# ---- duplicates and writes
+
+
+@query("dedupe_content", with_tables("SELECT doc_id, kb_id, first_value(doc_id) OVER w AS survivor, first_value(status) OVER w AS survivor_status, doc_id = first_value(doc_id) OVER w AS kept FROM docs WINDOW w AS (PARTITION BY kb_id, content_hash ORDER BY created_at, doc_id)", "docs"))
+def dedupe_content(t: Tables):
+    return library.deduplicated(t.docs())
+
+
+def _incoming(t: Tables):
+    """An upsert: every fifth document again with a new status, every tenth with another size, and some new ones."""
+    d = t.docs().where("doc_id % 5 = 0")
+    changed = d.select("doc_id", "kb_id", F.when(F.col("doc_id") % 10 == 0, F.col("byte_count") + 1).otherwise(F.col("byte_count")).alias("byte_count"), F.lit("ready").alias("status"))
+    return changed.unionByName(d.select((-1 - F.col("doc_id")).alias("doc_id"), "kb_id", "byte_count", F.lit("indexing").alias("status")))
+
+
+@query("upsert_documents", with_tables("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'kept' WHEN doc_id % 10 = 0 THEN 'refused' ELSE 'updated' END AS action, byte_count, CASE WHEN doc_id % 5 = 0 AND doc_id % 10 <> 0 THEN 'ready' ELSE status END AS status FROM docs UNION ALL SELECT -1 - doc_id, 'inserted', byte_count, 'indexing' FROM docs WHERE doc_id % 5 = 0", "docs"))
+def upsert_documents(t: Tables):
+    return library.upserted(t.docs(), _incoming(t), ["kb_id", "byte_count"], ["status"]).select("doc_id", "action", "byte_count", "status")
+
+
+@query("replace_chunks", with_tables("SELECT chunk_id, doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'sig-c' ELSE encoder_signature END AS encoder_signature FROM chunks", "chunks"))
+def replace_chunks(t: Tables):
+    """New sets for every third document; those of every fourth start at the wrong ordinal and are refused."""
+    old = t.chunks().select("chunk_id", "doc_id", "ordinal", "text", "encoder_signature")
+    new = old.where("doc_id % 3 = 0").withColumn("ordinal", F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).withColumn("encoder_signature", F.lit("sig-c"))
+    return library.replaced_chunks(old, new, library.valid_sets(new)).select("chunk_id", "doc_id", "encoder_signature")
+
+
+@query("upsert_notes", with_tables("SELECT doc_id AS note_id, CASE WHEN doc_id % 7 <> 0 THEN 'kept' WHEN doc_id % 14 = 0 THEN 'refused' ELSE 'updated' END AS action, CASE WHEN doc_id % 7 = 0 AND doc_id % 14 <> 0 THEN 'new ' || title ELSE title END AS title FROM docs", "docs"))
+def upsert_notes(t: Tables):
+    old = t.docs().select(F.col("doc_id").alias("note_id"), "kb_id", "title")
+    new = old.where("note_id % 7 = 0").select("note_id", F.when(F.col("note_id") % 14 == 0, "elsewhere").otherwise(F.col("kb_id")).alias("kb_id"), F.concat(F.lit("new "), "title").alias("title"))
+    return library.upserted(old, new, ["kb_id"], ["title"], "note_id").select("note_id", "action", "title")
+
+
+@query("cascade_delete", with_tables("SELECT 'chunks' AS kind, count(*) AS n FROM chunks WHERE kb_id NOT IN ('src1', 'src2') UNION ALL SELECT 'documents', count(*) FROM docs WHERE kb_id NOT IN ('src1', 'src2') UNION ALL SELECT 'sources', count(*) FROM message_sources s JOIN chunks c ON c.chunk_id = s.chunk_id WHERE c.kb_id NOT IN ('src1', 'src2')", "chunks", "docs", "message_sources"))
+def cascade_delete(t: Tables):
+    gone = t.docs().select("kb_id").distinct().where("kb_id IN ('src1', 'src2')")
+    docs, chunks = library.without(t.docs(), gone, "kb_id"), t.chunks()
+    lost = chunks.join(docs.select("doc_id"), "doc_id", "left_anti")
+    left = {"documents": docs, "chunks": library.without(chunks, lost, "chunk_id"), "sources": library.without(t.message_sources(), lost, "chunk_id")}
+    out = None
+    for kind, rows in left.items():
+        n = rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+# ---- citations and integrity
+
+_VALID = "v AS (SELECT s.conv_id, s.seq, s.position, s.chunk_id, coalesce(c.text = s.text AND c.page = s.page, false) AS unchanged, coalesce(c.text = s.text AND c.page = s.page AND d.status = 'ready', false) AS valid FROM message_sources s LEFT JOIN changed_chunks c ON c.chunk_id = s.chunk_id LEFT JOIN docs d ON d.doc_id = c.doc_id)"
+
+
+@query("revoke_citations", with_tables("SELECT conv_id, seq, CASE WHEN bool_and(unchanged) THEN count(*) ELSE 0 END AS n_sources, NOT bool_and(unchanged) AS revoked FROM v GROUP BY ALL", "message_sources", "changed_chunks", "docs", extra=_VALID))
+def revoke_citations(t: Tables):
+    return library.revoked(t.message_sources(), t.changed_chunks(), t.docs())
+
+
+@query("validate_citations", with_tables("SELECT conv_id, seq, bool_and(valid) AS valid FROM v GROUP BY ALL", "message_sources", "changed_chunks", "docs", extra=_VALID))
+def validate_citations(t: Tables):
+    return library.source_validity(t.message_sources(), t.changed_chunks(), t.docs()).groupBy("conv_id", "seq").agg(F.bool_and("valid").alias("valid"))
+
+
+@query("recover_interrupted", with_tables("SELECT d.doc_id, CASE WHEN status = 'indexing' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'indexing' THEN 'import was interrupted' END AS error_message, coalesce(c.n, 0) AS chunk_count FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM changed_chunks GROUP BY doc_id) c ON c.doc_id = d.doc_id", "docs", "changed_chunks"))
+def recover_interrupted(t: Tables):
+    return library.recovered(t.docs(), t.changed_chunks())
+
+
+@query("retry_targets", with_tables("SELECT doc_id, status = 'failed' AS retry FROM docs WHERE status <> 'indexing'", "docs"))
+def retry_targets(t: Tables):
+    return t.docs().where("status <> 'indexing'").select("doc_id", (F.col("status") == "failed").alias("retry"))
+
+
+@query("changed_original", with_tables("SELECT doc_id, doc_id % 17 = 0 AS refused FROM docs", "docs"))
+def changed_original(t: Tables):
+    """Originals read again; every seventeenth has changed since."""
+    now = t.read("documents").select("doc_id", F.sha2(F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("now"))
+    return t.docs().select("doc_id", "content_hash").join(now, "doc_id").select("doc_id", (F.col("content_hash") != F.col("now")).alias("refused"))
+
+
+@query("orphan_check", with_tables("SELECT 'source -> chunk' AS relation, s.chunk_id AS key FROM message_sources s WHERE s.chunk_id NOT IN (SELECT chunk_id FROM changed_chunks) UNION ALL SELECT 'label -> document', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE doc_id % 19 <> 0)", "message_sources", "changed_chunks", "docs"))
+def orphan_check(t: Tables):
+    return library.orphans({"source -> chunk": (t.message_sources(), "chunk_id", t.changed_chunks(), "chunk_id"), "label -> document": (t.read("labels"), "doc_id", t.docs().where("doc_id % 19 <> 0"), "doc_id")})
+
+
+_BROKEN = "broken AS (SELECT chunk_id, doc_id, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 0 END AS ordinal, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS page, CASE WHEN doc_id % 15 = 0 THEN '  ' ELSE text END AS text FROM chunks)"
+
+
+@query("audit_chunks", with_tables("SELECT doc_id, 'ordinals' AS problem FROM broken WHERE ordinal <> 0 UNION ALL SELECT doc_id, 'page' FROM broken WHERE page <= 0 UNION ALL SELECT doc_id, 'blank text' FROM broken WHERE trim(text) = ''", "chunks", extra=_BROKEN))
+def audit_chunks(t: Tables):
+    """Chunk sets with wrong ordinals, pages or blank texts chosen by document id."""
+    d = F.col("doc_id")
+    broken = t.chunks().withColumn("ordinal", F.when(d % 6 == 0, 2).otherwise(0)).withColumn("page", F.when(d % 10 == 0, 0).otherwise(1)).withColumn("text", F.when(d % 15 == 0, "  ").otherwise(F.col("text")))
+    return library.chunk_audit(broken, gates.vector_ok(F.col("embedding"), 64))
+
+
+# ---- media timelines
+
+_SEGS = """segs AS (SELECT asset_id, kind, k AS ordinal, round(CASE WHEN k = 0 THEN 0 WHEN short AND k = n - 1 THEN duration - 0.02 ELSE 10.0 * k END, 6)::DOUBLE AS start_s,
+ round(CASE WHEN k = n - 1 THEN duration WHEN short AND k = n - 2 THEN duration - 0.02 ELSE 10.0 * (k + 1) END, 6)::DOUBLE AS end_s
+ FROM (SELECT asset_id, kind, duration, n, n > 1 AND round(duration - 10 * (n - 1), 9) > 0 AND round(duration - 10 * (n - 1), 9) < 0.02 AS short, unnest(range(0, n)) AS k
+ FROM (SELECT *, greatest(ceil(duration / 10.0), 1)::BIGINT AS n FROM assets WHERE duration > 0 AND (kind <> 'audio' OR duration >= 0.02))))"""
+
+
+@query("plan_segments", with_tables("SELECT asset_id, kind, ordinal, start_s, end_s FROM segs", "assets", extra=_SEGS))
+def plan_segments(t: Tables):
+    return timeline.segments(t.assets())
+
+
+@query("frame_times", with_tables("SELECT asset_id, ordinal, i, round(start_s + (end_s - start_s) * (i + 0.5) / c, 6) AS at_s FROM (SELECT *, unnest(range(0, c)) AS i FROM (SELECT *, greatest(1, least(8, ceil(round(end_s - start_s, 9))))::BIGINT AS c FROM segs WHERE kind = 'video'))", "assets", extra=_SEGS))
+def frame_times(t: Tables):
+    s = timeline.segments(t.assets()).where("kind = 'video'")
+    return s.select("asset_id", "ordinal", F.posexplode(timeline.frame_times(F.col("start_s"), F.col("end_s"))).alias("i", "at_s")).withColumn("i", F.col("i").cast("long"))
+
+
+@query("segment_overlap", with_tables("SELECT s.asset_id, s.ordinal, EXISTS (SELECT 1 FROM tracks t WHERE t.asset_id = s.asset_id AND t.start_s < s.end_s AND t.end_s > s.start_s AND t.end_s > t.start_s) AS has_audio FROM segs s", "assets", "tracks", extra=_SEGS))
+def segment_overlap(t: Tables):
+    return timeline.with_audio(timeline.segments(t.assets()), t.tracks()).select("asset_id", "ordinal", "has_audio")
+
+
+@query("image_frames", with_tables("SELECT clip_id, count(*) AS n_frames, min(frame) = 0 AND max(frame) = count(*) - 1 AND count(DISTINCT frame) = count(*) AS contiguous FROM frames WHERE NOT (clip_id % 9 = 0 AND frame = 1) GROUP BY clip_id", "frames"))
+def image_frames(t: Tables):
+    """Frames of each clip; every ninth clip lacks its second one."""
+    return timeline.frame_gaps(t.frames().where("NOT (clip_id % 9 = 0 AND frame = 1)"))
+
+
+@query("coverage_audit", with_tables("SELECT s.asset_id, NOT bool_or(s.asset_id % 8 = 0 AND n > 1) AS covered FROM (SELECT *, count(*) OVER (PARTITION BY asset_id) AS n FROM segs) s GROUP BY s.asset_id", "assets", extra=_SEGS))
+def coverage_audit(t: Tables):
+    """Planned segments; every eighth asset of more than one lacks its first."""
+    s = timeline.segments(t.assets())
+    n = s.groupBy("asset_id").agg(F.count("*").alias("n"))
+    return timeline.coverage_audit(s.join(n, "asset_id").where("NOT (asset_id % 8 = 0 AND n > 1 AND ordinal = 0)"), t.assets())
+
+
+@query("ocr_merge", "SELECT conv_id, coalesce(string_agg(t, chr(10) ORDER BY first), '') AS text, count(t) > 0 AS readable FROM (SELECT conv_id, CASE WHEN trim(role) <> '' THEN trim(role) END AS t, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def ocr_merge(t: Tables):
+    """Recognised texts that repeat: the role of each turn."""
+    return timeline.merged_ocr(t.read("conversations"), "conv_id", "turn", "role")
+
+
+@query("pixel_budget", with_tables("SELECT clip_id, frame, CAST(sum(width * height) OVER w AS BIGINT) AS pixels, sum(width * height) OVER w <= 200000 AND greatest(width, height) <= 480 AND width * height <= 100000 AS fits FROM frames WINDOW w AS (PARTITION BY clip_id ORDER BY frame ROWS UNBOUNDED PRECEDING)", "frames"))
+def pixel_budget(t: Tables):
+    return timeline.pixel_budget(t.frames(), 200_000, 480, 100_000)

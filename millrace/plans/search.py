@@ -229,8 +229,8 @@ def tag_semantic(t: Tables):
 
 _SELECT = f"""anchors AS (SELECT doc_id, label, {_ANCHOR} AS anchored FROM evidence CROSS JOIN catalog),
  ranked AS (SELECT s.doc_id, s.label, s.semantic, a.anchored, round(s.semantic + CASE WHEN anchored THEN 0.07 ELSE 0 END, 6) AS rank FROM semantic s JOIN anchors a ON a.doc_id = s.doc_id AND a.label = s.label),
- w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY semantic, label) AS at, count(*) OVER (PARTITION BY doc_id) AS n, round(max(semantic) OVER (PARTITION BY doc_id) - min(semantic) OVER (PARTITION BY doc_id), 6) AS spread, max(rank) OVER (PARTITION BY doc_id) AS best FROM ranked),
- m AS (SELECT *, max(CASE WHEN at = n // 2 + 1 THEN semantic END) OVER (PARTITION BY doc_id) AS median FROM w),
+ w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY semantic, label) AS pos, count(*) OVER (PARTITION BY doc_id) AS n, round(max(semantic) OVER (PARTITION BY doc_id) - min(semantic) OVER (PARTITION BY doc_id), 6) AS spread, max(rank) OVER (PARTITION BY doc_id) AS best FROM ranked),
+ m AS (SELECT *, max(CASE WHEN pos = n // 2 + 1 THEN semantic END) OVER (PARTITION BY doc_id) AS median FROM w),
  passed AS (SELECT * FROM m WHERE spread >= 0.015 AND semantic >= CASE WHEN anchored THEN 0.30 ELSE 0.48 END AND semantic >= round(median + CASE WHEN anchored THEN 0.05 ELSE 0.08 END, 6) AND rank >= round(best - 0.10, 6))"""
 
 
