@@ -5,9 +5,10 @@ name a leaf. In a leaf that lines of enough documents reach, a token position is
 values; a line's template keeps its other tokens, provided they are at least the share ``FIXED`` of all (else the line with its
 number fields is its own template). Templates that recur across documents are dropped from all of them.
 
-Documents are counted by a sketch (the least hash of the text's three-word shingles), which exact copies and nearly all near copies of a
-document share: a template recurs if at least ``DOCUMENTS`` sketches have it, and at least the share ``APART`` of the distinct
-texts that have it differ in sketch. So the lines of copied documents are left to document dedup, which keeps one of them.
+Documents are counted by sketches of the rest of their text (the least hash of its three-word shingles, in four orders), which
+exact copies and nearly all near copies of a document share: a template recurs if at least ``DOCUMENTS`` different sketches of
+one order have it, and they are at least the share ``APART`` of the distinct texts that have it. So the lines of copied
+documents are left to document dedup, which keeps one of them.
 
 Lines are reduced to hashes in one pass; counts, leaves and fields are partial aggregates and equi-joins on those, so a line or
 leaf that very many documents share costs one row for each task. Line text is only read again for leaves that count.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,9 @@ from ._common import shipped, written
 LEAD, VALUES, FIXED = 3, 3, 0.6
 DOCUMENTS, APART = 5, 0.5
 FIELD = "<*>"
+#: Names of a line's sketches and the bits turned over in each order of hashes.
+SKETCHES, TURNS = ("s0", "s1", "s2", "s3"), (0, 0xFFFFFFFFFFFFFFFF, 0x5555555555555555, 0xAAAAAAAAAAAAAAAA)
+_DIGIT = re.compile("[0-9]")
 _DIGITS = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -43,9 +48,10 @@ def parse(text: str) -> list[tuple[int, int, int, str]]:
     """(position, leaf, line, masked line) of each line with a word: leaf and line as signed 64-bit hashes."""
     import xxhash
 
+    digits = _DIGIT.search(text) is not None
     out = []
     for at, line in enumerate(text.split("\n")):
-        words = tokens(_DIGITS.sub(FIELD, line))
+        words = tokens(_DIGITS.sub(FIELD, line)) if digits and _DIGIT.search(line) else tokens(line)
         if words:
             masked = " ".join(words)
             leaf = xxhash.xxh64_intdigest(f"{len(words)} {' '.join(words[:LEAD])}")
@@ -57,18 +63,39 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketch(text: str) -> int:
-    """The least hash of the text's three-word shingles. A shared passage decides it no more often than its share of the text."""
+def sketches(text: str) -> dict[int, tuple[int, ...]]:
+    """For each line with a word the sketches of the rest of the text: the least hash of its three-word shingles in four orders.
+
+    The line's own shingles are left out, so that a long passage does not stand for the documents that share it; four orders
+    keep another shared line from doing so by chance in all of them. A text of one line stands for itself.
+    """
     import xxhash
 
-    w = text.encode().split()
-    return _signed(min(map(xxhash.xxh3_64_intdigest, map(b" ".join, zip(w, w[1:], w[2:]) if len(w) > 2 else [w])))) if w else 0
+    words, of = [], []
+    for at, line in enumerate(text.encode().split(b"\n")):
+        own = line.split()
+        words += own
+        of += [at] * len(own)
+    if not words:
+        return {}
+    grams = list(map(b" ".join, zip(words, words[1:], words[2:]))) or [b" ".join(words)]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
+    line_of = np.array(of[: len(grams)])
+    lines = sorted(set(of))
+    found = []
+    for turn in TURNS:
+        turned = h ^ np.uint64(turn)
+        first = int(turned.argmin())
+        rest = turned[line_of != line_of[first]]
+        least, other = int(turned[first]), int(rest.min()) if len(rest) else int(turned[first])
+        found.append([_signed(other if at == line_of[first] else least) for at in lines])
+    return dict(zip(lines, zip(*found)))
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, sketch, at, leaf, line, masked: a row for each line with a word, written in the shared folder."""
+    """doc_id, text_hash, s0 to s3, at, leaf, line, masked: a row for each line with a word, written in the shared folder."""
     shipped(docs.sparkSession)
-    names = ["doc_id", "text_hash", "sketch", "at", "leaf", "line", "masked"]
+    names = ["doc_id", "text_hash", *SKETCHES, "at", "leaf", "line", "masked"]
     schema = pa.schema([(n, pa.string() if n == "masked" else pa.int64()) for n in names])
 
     def batch(rows):
@@ -80,8 +107,8 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
             rows, size = [], 0
             for d, h, t in zip(ids, hashes, texts):
                 text = t.as_py()
-                own = sketch(text)
-                rows += [(d, h, own, *line) for line in parse(text)]
+                own = sketches(text)
+                rows += [(d, h, *own[line[0]], *line) for line in parse(text)]
                 size += len(text)
                 if rows and size > 1 << 23:
                     yield batch(rows)
@@ -90,12 +117,12 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
                 yield batch(rows)
 
     own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return written(own.mapInArrow(run, "doc_id long, text_hash long, sketch long, at long, leaf long, line long, masked string"), "lines")
+    return written(own.mapInArrow(run, ", ".join(f"{n} {'string' if n == 'masked' else 'long'}" for n in names)), "lines")
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """(line, template, template_text) of every line whose leaf lines of ``DOCUMENTS`` sketches reach."""
-    leaves = written(lines.select("leaf", "sketch").distinct().groupBy("leaf").count().where(F.col("count") >= DOCUMENTS).select("leaf"), "leaves")
+    """(line, template, template_text) of every line whose leaf lines of ``DOCUMENTS`` texts reach."""
+    leaves = written(lines.select("leaf", "text_hash").distinct().groupBy("leaf").count().where(F.col("count") >= DOCUMENTS).select("leaf"), "leaves")
     distinct = lines.select("leaf", "line", "masked").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     distinct = written(distinct.withColumn("tokens", F.split("masked", " ")).drop("masked"), "leaf-lines")
     values = distinct.select("leaf", F.posexplode("tokens").alias("at", "token")).distinct().groupBy("leaf", "at").count()
@@ -111,10 +138,10 @@ def recurring(lines: DataFrame) -> DataFrame:
     """(line, template, template_text, sketches, texts) of the lines to drop."""
     of = written(templates(lines), "templates")
     counts = (
-        lines.select("line", "sketch", "text_hash")
+        lines.select("line", *SKETCHES, "text_hash")
         .join(of.select("line", "template"), "line")
         .groupBy("template")
-        .agg(F.count_distinct("sketch").alias("sketches"), F.count_distinct("text_hash").alias("texts"))
+        .agg(F.greatest(*map(F.count_distinct, SKETCHES)).alias("sketches"), F.count_distinct("text_hash").alias("texts"))
         .where((F.col("sketches") >= DOCUMENTS) & (F.col("sketches") >= APART * F.col("texts")))
     )
     return of.join(counts, "template").select("line", "template", "template_text", "sketches", "texts")
