@@ -29,7 +29,7 @@ def decode_entities(text: Column) -> Column:
         digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+);$", 1)
         code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
         fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
-        return F.when(fine, F.replace(t, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE"))).otherwise(t)
+        return F.when(fine, F.replace(t, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(t)  # big-endian without a mark
 
     out = F.when(F.size(references) > 0, F.aggregate(references, text, decoded)).otherwise(text)
     for name, value in ENTITIES.items():

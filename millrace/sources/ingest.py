@@ -65,18 +65,28 @@ def decode_text(content: Column) -> Column:
     lane = lambda at: F.size(F.filter(F.regexp_extract_all(h, F.lit("(..)(..)"), at), lambda b: b == "00"))
     even, odd = lane(1), lane(2)
     least = F.greatest(F.lit(1), F.floor(pairs / 20))
-    utf16 = lambda c, label: F.when(F.octet_length(c) % 2 == 0, F.decode(c, label))
-    utf32 = lambda c, label: F.when(F.octet_length(c) % 4 == 0, F.decode(c, label))
+    # decode() fails the task on malformed input, so the units are checked first, possessively and thus without recursion
+    units = {
+        "UTF-16LE": "^(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])*+$",
+        "UTF-16BE": "^(?:(?:[0-9A-CEF].|D[0-7])..|D[89AB]..D[C-F]..)*+$",
+        "UTF-32LE": "^(?:....(?:0[1-9A-F]|10)00|..(?:[0-9A-CEF].|D[0-7])0000)*+$",
+        "UTF-32BE": "^(?:00(?:0[1-9A-F]|10)....|0000(?:[0-9A-CEF].|D[0-7])..)*+$",
+    }
+
+    def strict(c: Column, label: str) -> Column:
+        marked = F.concat(F.unhex(F.lit("FFFE0000")), c) if label == "UTF-32LE" else c
+        return F.when(F.hex(c).rlike(units[label]), F.decode(marked, "UTF-32" if label.startswith("UTF-32") else label))
+
     return (
-        F.when(h.startswith("FFFE0000"), utf32(body(4), "UTF-32LE"))
-        .when(h.startswith("0000FEFF"), utf32(body(4), "UTF-32BE"))
-        .when(h.startswith("FFFE"), utf16(body(2), "UTF-16LE"))
-        .when(h.startswith("FEFF"), utf16(body(2), "UTF-16BE"))
+        F.when(h.startswith("FFFE0000"), strict(body(4), "UTF-32LE"))
+        .when(h.startswith("0000FEFF"), strict(body(4), "UTF-32BE"))
+        .when(h.startswith("FFFE"), strict(body(2), "UTF-16LE"))
+        .when(h.startswith("FEFF"), strict(body(2), "UTF-16BE"))
         .when(h.startswith("EFBBBF"), F.try_validate_utf8(body(3).cast("string")))
-        .when((size % 4 == 0) & (size > 0) & h.rlike("^(?:(?:......)00)+$") & h.rlike("^(?:....0000)+$"), F.decode(content, "UTF-32LE"))
-        .when((size % 4 == 0) & (size > 0) & h.rlike("^(?:0000....)+$"), F.decode(content, "UTF-32BE"))
-        .when((size % 2 == 0) & (odd > 4 * even) & (odd >= least), F.decode(content, "UTF-16LE"))
-        .when((size % 2 == 0) & (even > 4 * odd) & (even >= least), F.decode(content, "UTF-16BE"))
+        .when((size % 4 == 0) & (size > 0) & h.rlike("^(?:....0000)++$"), strict(content, "UTF-32LE"))
+        .when((size % 4 == 0) & (size > 0) & h.rlike("^(?:0000....)++$"), strict(content, "UTF-32BE"))
+        .when((size % 2 == 0) & (odd > 4 * even) & (odd >= least), strict(content, "UTF-16LE"))
+        .when((size % 2 == 0) & (even > 4 * odd) & (even >= least), strict(content, "UTF-16BE"))
         .otherwise(F.try_validate_utf8(content.cast("string")))
     )
 
