@@ -4,8 +4,8 @@ Base spans are found by strict patterns and validators. High-recall generators p
 addresses, number groups, and long mixed tokens. Each candidate has yes/no features of its format and its context. Boosted
 two-level trees learn to tell candidates that a strict rule confirms (a validated base format, a key word such as "password =",
 a known key prefix, a spelled-out address under a known top-level domain) from the rest; for each generator the score from which held-out candidates are
-right with ``PRECISION`` becomes its threshold. Selected candidates that overlap no base span, nor a selected one of an earlier
-generator, are added.
+right with ``PRECISION`` becomes its threshold. Selected candidates are added if they overlap no selected one of an earlier
+generator and no base span (a long token may: digits inside a key can look like a card).
 
 The trees are fitted to counts of (generator, feature pattern, label, held out) over the candidates of all documents: at most
 ``3 * 2**12 * 4`` rows, whatever the number of documents, and no sample. They are applied as SQL conditions.
@@ -93,7 +93,7 @@ def valid(kind: str, match: Column) -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """A row for each match of any pattern (and one of nulls for a text without): row, doc_id, found_by, start, match, before, after."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _MARK, "\x02")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("t"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), text.alias("t"))
 
     def matches(name: str, pattern: str) -> Column:
         pieces = F.split(F.regexp_replace("t", pattern, f"{_MARK}$0{_MARK}"), _MARK)
@@ -116,7 +116,7 @@ def spans(docs: DataFrame) -> DataFrame:
     named = BASE | {k: p for k, (_, p) in GENERATORS.items()}
     empty = F.array().cast("array<struct<found_by:string,i:int,match:string,gap:bigint,before:string,after:string>>")
     every = F.concat(*(F.coalesce(matches(k, p), empty) for k, p in named.items()))
-    rows = own.select("row", "doc_id", F.explode_outer(every).alias("m")).select("row", "doc_id", "m.*")
+    rows = own.select("row", "doc_id", "text_hash", F.explode_outer(every).alias("m")).select("row", "doc_id", "text_hash", "m.*")
     so_far = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("row", "found_by").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("end", so_far).withColumn("start", F.col("end") - F.length("match"))
     checked = F.lit(False)
@@ -205,7 +205,7 @@ def score_column(trees) -> Column:
 
 
 def selected(docs: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, kind, start, end, base): the base spans and those added; one of nulls for a text with none."""
+    """Rows (row, doc_id, text_hash, kind, start, end, base, chosen): all candidates, chosen where base or added; nulls for none."""
     rows = written(featured(spans(docs)), "candidates")
     counts = rows.where("pattern IS NOT NULL").groupBy("found_by", "pattern", "label", "held").count().collect()  # bounded by the features
     chosen = F.col("base")
@@ -220,12 +220,12 @@ def selected(docs: DataFrame) -> DataFrame:
     rank, kind = F.lit(0), F.col("found_by")
     for j, (g, (k, _)) in enumerate(GENERATORS.items(), 1):
         rank, kind = F.when(F.col("found_by") == g, j).otherwise(rank), F.when(F.col("found_by") == g, k).otherwise(kind)
-    kept = kept.select("row", "doc_id", kind.alias("kind"), "start", "end", "base", "chosen", F.when(F.col("chosen"), rank).alias("rank"))
+    kept = kept.select("row", "doc_id", "text_hash", kind.alias("kind"), "start", "end", "base", "chosen", F.when(F.col("chosen"), rank).alias("rank"))
     by_start = Window.partitionBy("row").orderBy("start", "rank", "end")
     before, after = by_start.rowsBetween(Window.unboundedPreceding, -1), by_start.rowsBetween(1, Window.unboundedFollowing)
     overlaps = F.lit(False)
-    for r in range(1, len(GENERATORS) + 1):
-        above = F.col("rank") < r
+    for r, g in enumerate(GENERATORS, 1):
+        above = (F.col("rank") < r) & ((F.col("rank") > 0) if g == "token" else F.lit(True))
         hit = (F.coalesce(F.max(F.when(above, F.col("end"))).over(before), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(F.when(above, F.col("start"))).over(after), F.lit(1 << 62)) < F.col("end"))
         overlaps = F.when(F.col("rank") == r, hit).otherwise(overlaps)
     return kept.withColumn("chosen", F.col("chosen") & ~overlaps).drop("rank")
@@ -239,3 +239,19 @@ def find(docs: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, item))), lambda x: x["s"]), ",")
     count = lambda k: F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}")
     return rows.groupBy("row", "doc_id").agg(*(count(k) for k in KINDS[:4]), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("chosen")).alias("spans")).drop("row")
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; of overlapping spans the first and longest counts."""
+    rows = selected(docs).where("chosen").groupBy("doc_id", "text_hash", "start").agg(F.max(F.struct("end", "kind")).alias("s")).select("doc_id", "text_hash", "start", "s.end", "s.kind")
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
+    # a span inside earlier ones goes, one that reaches beyond them starts where they end
+    rows = rows.where(F.col("end") > F.col("covered")).withColumn("start", F.greatest("start", "covered"))
+    of = rows.groupBy(F.col("doc_id").alias("r_doc_id"), F.col("text_hash").alias("r_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("r_spans"))
+    joined = docs.join(of, docs["doc_id"].cast("long").eqNullSafe(of["r_doc_id"]) & (F.xxhash64(docs["text"]) == of["r_hash"]), "left")
+    last = lambda i: F.when(i > 0, F.get("r_spans", i - 1)["end"]).otherwise(F.lit(0))
+    pieces = F.transform("r_spans", lambda s, i: F.concat(F.substring(docs["text"], (last(i) + 1).cast("int"), (s["start"] - last(i)).cast("int")), F.lit("["), s["kind"], F.lit("]")))
+    rest = F.substring(docs["text"], (F.element_at("r_spans", -1)["end"] + 1).cast("int"), F.length(docs["text"]))
+    text = F.when(F.col("r_spans").isNull(), docs["text"]).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))

@@ -66,3 +66,11 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((str(r.doc_id), r.spans) for r in P.find(df).collect()) == [("1", ""), ("1", ""), ("1", ""), ("None", "email:0:6")]
     assert P.find(df.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    rows = [(1, "mail é a@b.co or +1 (555) 010-9999, 1.2.3.4", "k"), (2, "nothing here", "k"), (None, "x@y.org", None), (3, None, "k"), (4, "a@1.2.3.4 z", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    out = {(r.doc_id, r.text, r.kind) for r in P.redact(df).collect()}
+    assert P.redact(df).columns == df.columns
+    assert out == {(1, "mail é [email] or [phone], [ip]", "k"), (2, "nothing here", "k"), (None, "[email]", None), (3, None, "k"), (4, "[email] z", "k")}
