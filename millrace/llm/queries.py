@@ -50,4 +50,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_templates, op3_quality_votes, op4_token_counts, op5_benchmark_leaks, op6_interleaved_shards, op7_simhash, op8_personal_data, op9_arrow_ids, op10_license_scan)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_license_scan": licenses.oracle()}
