@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,28 +30,34 @@ from ._common import TwoGenerations, new_path, shipped, written
 
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, ROWS = 2048, 64
-#: Encoded words kept by a worker, and their longest.
-CACHED, CACHED_BYTES = 250_000, 128
+#: Encoded words and pre-tokens kept by a worker in each of two generations, and their longest.
+CACHED, CACHED_BYTES = 200_000, 128
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class LibraryEncoder:
     """Ids of a text as the tokenizers library gives them. Where pre-tokens hold no white space, texts are cut at ASCII
-    spaces and the library is asked once for each word, within a bounded cache; other texts go to it whole."""
+    spaces, words into pre-tokens, and the library's model is asked once for each, within bounded caches; other texts go to
+    the library whole."""
 
     def __init__(self, path: str):
         self.table, self.tokenizer = bpe_tables.load(path), bpe_tables.library_tokenizer(path)
-        self.kind = np.dtype("<u2") if len(self.table.token_bytes) <= 1 << 16 else np.dtype("<u4")
-        self.words = TwoGenerations(self._word, CACHED)
+        self.kind, self.code = (np.dtype("<u2"), "H") if len(self.table.token_bytes) <= 1 << 16 else (np.dtype("<u4"), "I")
+        self.words, self.pieces = TwoGenerations(self._word, CACHED), TwoGenerations(self._piece, CACHED)
         self.model, self.alphabet = self.tokenizer.model, bpe_tables.byte_alphabet()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        # printable ASCII stands for itself in the byte alphabet
+        plain = piece.isascii() and piece.isprintable()
+        return array(self.code, [t.id for t in self.model.tokenize(piece if plain else "".join(map(self.alphabet.__getitem__, piece.encode())))]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters: one pre-token, which folding only lowers
-            return np.array([t.id for t in self.model.tokenize(word.decode().lower())], self.kind).tobytes()
-        return self._whole(word.decode())
+            return self.pieces[word.decode().lower()]
+        return b"".join(map(self.pieces.__getitem__, self.table.pieces(self.table.fold(word.decode()))))
 
     def encode(self, text: str) -> bytes:
         if not self.table.drops_space or "<|" in text:
