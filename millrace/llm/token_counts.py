@@ -22,7 +22,7 @@ from . import bpe_tables
 from ._common import TwoGenerations, shipped
 
 #: Words of up to so many bytes are cached, and so many of them at most in a worker.
-CACHED_BYTES, CACHED = 256, 500_000
+CACHED_BYTES, CACHED = 256, 250_000
 _ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 

@@ -32,7 +32,7 @@ from ._common import TwoGenerations, shipped
 
 #: Pre-tokens of up to WHOLE characters are merged in one window and cached, CACHED of them and of words at most a worker;
 #: texts over BLOCK characters are read BLOCK pre-tokens at a time.
-WHOLE, CACHED, BLOCK = 256, 400_000, 65_536
+WHOLE, CACHED, BLOCK = 256, 250_000, 65_536
 #: In place of a rank: no rule for this pair.
 _NONE = 1 << 62
 
