@@ -34,7 +34,7 @@ def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Fingerprints: 64 bits; a bit is set if it is set in over half of the XXH64 hashes (seed 42) of a text's word shingles.
 
-Index: the distinct fingerprints go under *upper nodes*, each a mask and the bits shared under it. A mask keeps two of four
+Index (figures for radius 2): the distinct fingerprints go under *upper nodes*, each a mask and the bits shared under it. A mask keeps two of four
 16-bit blocks, so two fingerprints that differ in at most two bits meet under at least one of the six masks. A node that would
 hold more than ``NODE`` fingerprints is replaced by its children, whose masks keep two of four 8-bit blocks of what was free,
 and then two of four 4-bit blocks; with 8 free bits a node has 256 distinct fingerprints at most. So no group of look-alikes
@@ -17,13 +17,14 @@ shared checkpoint folder.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and are linked like any other; repeated
 rows and equal texts share a fingerprint and a group; a group's id is its smallest doc_id (null only if all of them are);
-further columns are ignored; an empty table gives no rows. Radius: 2 at most.
+further columns are ignored; an empty table gives no rows. Radius: 5 at most.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,17 @@ _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text; words are runs of anything but ASCII white space, A-Z are lowered."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
+    """The SimHash of a text; words are runs of anything but ASCII white space, A-Z are lowered. ``distinct``: of each shingle once."""
     import xxhash
 
     words = (text or "").encode().translate(_LOWER).split()
     n, digest = len(words), xxhash.xxh64_intdigest
     if not n:
         return 0
+    if distinct:
+        grams = {b" ".join(words)} if n < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+        words, n, shingle = list(grams), len(grams), 1
     set_in, total, step = np.zeros(64, np.int64), max(1, n - shingle + 1), 1 << 16
     for at in range(0, total, step):
         part = words[at : min(at + step, total) + shingle - 1]
@@ -56,13 +60,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_in > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """doc_id, text_hash and fingerprint (a long of the same 64 bits) of every whole text."""
     shipped(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            values = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
+            values = np.array([fingerprint(t.as_py(), shingle, distinct) for t in b.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(values)], names=["doc_id", "text_hash", "fingerprint"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -73,41 +77,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def masks(level: int) -> list[int]:
-    """Masks of the upper nodes of a level: 6, 36 or 216 of them, each with 32, 48 or 56 bits."""
+#: By radius: into how many blocks the free bits are cut, and how many of them a mask keeps. All but ``radius`` blocks of a
+#: linked pair agree, so some mask keeps only blocks that agree.
+BLOCKS = {0: (4, 2), 1: (4, 2), 2: (4, 2), 3: (6, 3), 4: (7, 3), 5: (8, 3)}
+
+
+def masks(level: int, radius: int = RADIUS) -> list[int]:
+    """Masks of the upper nodes of a level (for radius 2: 6, 36 or 216 with 32, 48 or 56 bits); children follow one another."""
     found = [0]
-    for width in (16, 8, 4)[:level]:
+    blocks, keep = BLOCKS[radius]
+    for _ in range(level):
         out = []
         for mask in found:
             free = [i for i in range(64) if not mask >> i & 1]
-            blocks = [free[i : i + width] for i in range(0, len(free), width)]
-            out += [mask | sum(1 << i for b in pair for i in b) for pair in combinations(blocks, 2)]
+            cuts = [round(len(free) * k / blocks) for k in range(blocks + 1)]
+            parts = [free[i:j] for i, j in zip(cuts, cuts[1:])]
+            out += [mask | sum(1 << i for part in kept for i in part) for kept in combinations(parts, keep)]
         found = out
     return found
 
 
-def upper_nodes(level: int):
-    """Array of (mask number, masked bits) of a fingerprint at a level; children of a mask follow one another."""
-    return F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks(level))))
-
-
-def placed(fps: DataFrame, node: int = NODE) -> DataFrame:
+def placed(fps: DataFrame, node: int = NODE, radius: int = RADIUS) -> DataFrame:
     """(mask, bits, fp, rep): every fingerprint under each of its upper nodes, full ones replaced by their children."""
-    out, rest = [], fps.select("fp", "rep", F.lit(None).cast("array<int>").alias("of"))
-    for level in (1, 2, 3):
-        keyed = rest.withColumn("node", F.explode(upper_nodes(level) if level == 1 else F.filter(upper_nodes(level), lambda x: F.array_contains("of", F.floor(x["mask"] / 6).cast("int")))))
-        keyed = keyed.select((F.col("node.mask") + 1000 * level).alias("mask"), F.col("node.bits").alias("bits"), "fp", "rep")
-        if level == 3:
-            out.append(keyed)
-            break
+    out, step = [], 1_000_000
+    children = comb(*BLOCKS[radius])
+    first = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks(1, radius))))
+    keyed = fps.select("fp", "rep", F.explode(first).alias("node")).select((F.col("node.mask") + step).alias("mask"), "node.bits", "fp", "rep")
+    for level in (1, 2):
         full = written(keyed.groupBy("mask", "bits").count().where(F.col("count") > node).select("mask", "bits"), f"full-{level}")
         if full.isEmpty():
-            out.append(keyed)
-            break
+            return reduce(DataFrame.unionByName, [*out, keyed])
         out.append(keyed.join(full, ["mask", "bits"], "left_anti"))
-        inside = keyed.join(full, ["mask", "bits"], "left_semi")
-        rest = inside.groupBy("fp").agg(F.min("rep").alias("rep"), F.collect_set(F.col("mask") - 1000 * level).alias("of"))
-    return reduce(DataFrame.unionByName, out)
+        # the masks of a level are a fixed list
+        table = fps.sparkSession.createDataFrame([(step * level + i // children, step * (level + 1) + i, _signed(m)) for i, m in enumerate(masks(level + 1, radius))], "parent int, mask int, kept long")
+        inside = keyed.join(full, ["mask", "bits"], "left_semi").select(F.col("mask").alias("parent"), "fp", "rep")
+        keyed = inside.join(F.broadcast(table), "parent").select("mask", F.col("fp").bitwiseAND(F.col("kept")).alias("bits"), "fp", "rep")
+    return reduce(DataFrame.unionByName, [*out, keyed])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -149,33 +154,56 @@ class GrayTree:
         return q[near], at[near]
 
 
-def local_groups(values: np.ndarray, reps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each distinct fingerprint, the smallest rep of those linked with it, directly or through others, in this node."""
-    tree = GrayTree(values)
-    label = reps[tree.order].copy()
-    pairs = []
+def near_pairs(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, differing bits) of the linked pairs among the fingerprints of a node, each pair once."""
+    tree, found = GrayTree(values), []
     for i in range(0, len(values), 512):
         q, at = tree.within(tree.values[i : i + 512], radius)
         q = q + i
         keep = q < at
-        pairs.append((q[keep], at[keep]))
-    a, b = (np.concatenate(x) for x in zip(*pairs))
+        q, at = q[keep], at[keep]
+        found.append((tree.order[q], tree.order[at], np.bitwise_count(tree.values[q] ^ tree.values[at]).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def local_groups(reps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each fingerprint of a node the smallest rep of those linked with it, directly or through others."""
+    label = reps.copy()
     while len(a):
         low = np.minimum(label[a], label[b])
-        changed = (label[a] != low) | (label[b] != low)
-        if not changed.any():
+        if (label[a] == low).all() and (label[b] == low).all():
             break
         np.minimum.at(label, a, low)
         np.minimum.at(label, b, low)
-    out = np.empty_like(label)
-    out[tree.order] = label
+    return label
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs, of the closest pairs first."""
+    root, left, out = list(range(n)), n - len(np.unique(local_groups(np.arange(n), a, b))), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k in np.argsort(bits, kind="stable").tolist():
+        if not left:
+            break
+        x, y = find(int(a[k])), find(int(b[k]))
+        if x != y:
+            root[x] = y
+            left -= 1
+            out.append((int(a[k]), int(b[k])))
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE) -> DataFrame:
-    """(a, b), a > b: from a fingerprint's rep to the smallest rep of its group under an upper node. fps: fp, rep, one row each."""
-    if not 0 <= radius <= 2:
-        raise ValueError("the upper nodes hold for a radius of 2 at most")
+def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE, closest: bool = False) -> DataFrame:
+    """(a, b), a > b: from a fingerprint's rep to the smallest rep of its group under an upper node; ``closest``: the edges of a
+    spanning forest of closest pairs instead, so that each can be checked. fps: fp, rep, one row each."""
+    if radius not in BLOCKS:
+        raise ValueError(f"radius must be one of {sorted(BLOCKS)}")
     shipped(fps.sparkSession)
 
     def run(batches):
@@ -192,10 +220,16 @@ def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE) -> DataFrame:
                         a.append(max(rep[s], rep[s + 1]))
                         b.append(min(rep[s], rep[s + 1]))
                     continue
-                low = local_groups(fp[s:e], rep[s:e], radius)
-                differs = low != rep[s:e]
-                a += rep[s:e][differs].tolist()
-                b += low[differs].tolist()
+                own = rep[s:e]
+                x, y, bits = near_pairs(fp[s:e], radius)
+                if closest:
+                    pairs = forest(e - s, x, y, bits)
+                    a += [max(own[i], own[j]) for i, j in pairs]
+                    b += [min(own[i], own[j]) for i, j in pairs]
+                else:
+                    low = local_groups(own, x, y)
+                    a += own[low != own].tolist()
+                    b += low[low != own].tolist()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -214,7 +248,7 @@ def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE) -> DataFrame:
         if held and len(held[0]):
             yield close(*held)
 
-    dealt = placed(fps, node).repartition("mask", "bits").sortWithinPartitions("mask", "bits")
+    dealt = placed(fps, node, radius).repartition("mask", "bits").sortWithinPartitions("mask", "bits")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -243,21 +277,63 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, node: int = NODE, text_hash: bool = False) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row, on demand with its text_hash."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, node: int = NODE) -> DataFrame:
+    """doc_id, text_hash, fingerprint (16 hexadecimal digits) and component_id of every row."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
     # one row for each distinct fingerprint; those of rows without doc_id only cannot name a group
     fps = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     found = components(links(fps.where("rep IS NOT NULL"), radius, node))
     groups = fps.join(found, fps.rep == found.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(groups, prints.fingerprint == groups.fp).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *(["text_hash"] if text_hash else []))
+    return prints.join(groups, prints.fingerprint == groups.fp).select("doc_id", "text_hash", _hexadecimal("fingerprint"), "component_id")
+
+
+def _hexadecimal(fingerprint: str):
+    return F.lower(F.lpad(F.hex(fingerprint), 16, "0")).alias("fingerprint")
+
+
+def jaccard(a: str | None, b: str | None, shingle: int) -> float:
+    """Share of common shingles of two texts' words (A-Z lowered); shorter texts are one shingle, empty ones are alike."""
 
+    def grams(text):
+        w = (text or "").encode().translate(_LOWER).split()
+        return set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)}
 
-def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id. Where rows share that doc_id, the one
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts are similar enough. texts: id, text, one row each."""
+    shipped(edges.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            near = [jaccard(x.as_py(), y.as_py(), shingle) >= similarity for x, y in zip(batch.column("ta"), batch.column("tb"))]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = edges.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5, node: int = NODE) -> DataFrame:
+    """doc_id, text_hash, fingerprint, component_id, where links are checked: fingerprints are of distinct single words, which
+    differ in fewer bits than those of shingles do; the index links them within a wide radius by spanning forests of closest
+    pairs; and a link holds if the texts' shingles have the Jaccard similarity. Equal texts are always linked."""
+    prints = written(fingerprints(docs, 1, distinct=True), "fingerprints")
+    kinds = written(prints.groupBy(F.col("fingerprint").alias("fp"), "text_hash").agg(F.min("doc_id").alias("rep")), "distinct-texts")
+    edges = written(links(kinds.where("rep IS NOT NULL").select("fp", "rep"), radius, node, closest=True), "candidates")
+    ends = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends, "id", "left_semi")
+    texts = written(own.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "ends-texts")
+    found = components(confirmed(edges, texts, shingle, similarity))
+    groups = kinds.join(found, kinds.rep == found.id, "left").select("fp", "text_hash", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(groups, (prints.fingerprint == groups.fp) & prints.text_hash.eqNullSafe(groups.text_hash)).select("doc_id", prints.text_hash, _hexadecimal("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, given its ``near_duplicates`` or ``similar_documents``: of each group the one with the smallest doc_id. Where rows share that doc_id, the one
     with the smallest text hash stays, and of wholly equal texts one row; of a group without any doc_id one row stays as well."""
     keyed = docs.withColumn("_h", F.xxhash64("text"))
-    groups = near_duplicates(docs, text_hash=True, **how)
     stays = groups.where("doc_id <=> component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("alone")).agg(F.min("text_hash").alias("_s"))
     stays = written(stays.select(F.col("doc_id").alias("_d"), "_s").distinct(), "stays")
     kept = keyed.join(stays.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(stays["_d"]) & keyed["_h"].eqNullSafe(stays["_s"]), "left_semi")

@@ -54,14 +54,14 @@ def test_stages(spark, tmp_path):
 
 
 def test_one_of_each_group(spark):
-    rows = [(3, "a b c d", "x"), (2, "a b c d", "x"), (2, "a b c d", "y"), (2, "other words are here", "x"), (None, "lone one here", "x"), (None, "lone one here", "z"), (None, "a b c d", "x"), (7, None, "x"), (8, "", "x")]
+    rows = [(3, "a b c d", "x"), (2, "a b c d", "x"), (2, "a b c d", "y"), (2, "other words are here", "x"), (None, "lone one here", "x"), (None, "lone one here", "z"), (None, "a b c d", "x"), (7, None, "x"), (8, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, h string")
-    out = simhash.one_of_each_group(df)
+    out = simhash.one_of_each_group(df, simhash.similar_documents(df))
     assert out.columns == df.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert [x for x in got if x[0] == 7] == [(7, None)] and not [x for x in got if x[0] in (3, 8)]
     assert len([x for x in got if x[0] is None]) == 1 and 1 <= len([x for x in got if x[0] == 2]) <= 2
-    assert simhash.one_of_each_group(df.limit(0)).count() == 0
+    assert simhash.one_of_each_group(df.limit(0), simhash.similar_documents(df.limit(0))).count() == 0
 
 
 def test_quality_stage_takes_nulls(spark):

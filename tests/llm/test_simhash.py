@@ -69,12 +69,51 @@ def test_tree_finds_all():
 
 
 def test_masks_catch_every_pair():
-    for level in (1, 2, 3):
-        ms = S.masks(level)
-        assert len(ms) == 6**level and all(m.bit_count() == {1: 32, 2: 48, 3: 56}[level] for m in ms)
-        for i in range(64):
-            for j in range(64):
-                assert any(not m & (1 << i | 1 << j) for m in ms)
+    rnd = random.Random(6)
+    for radius, (blocks, keep) in S.BLOCKS.items():
+        for level in (1, 2, 3) if radius <= 2 else (1, 2):
+            ms = S.masks(level, radius)
+            assert len(ms) == S.comb(blocks, keep) ** level
+            for _ in range(300):
+                differing = sum(1 << i for i in rnd.sample(range(64), radius))
+                assert any(not m & differing for m in ms)
+
+
+def brute_similar(texts, k=5, least=0.8):
+    ids = sorted(texts)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if S.jaccard(texts[a], texts[b], k) >= least:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_similar_documents(spark):
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)]
+    texts = {}
+    for group in range(12):
+        base = [rnd.choice(vocabulary) for _ in range(220)]
+        for copy in range(5):
+            own = list(base)
+            for _ in range(copy % 3):
+                own[rnd.randrange(220)] = rnd.choice(vocabulary)
+            texts[len(texts)] = " ".join(own)
+        texts[len(texts)] = " ".join(w if k % 7 else rnd.choice(vocabulary) for k, w in enumerate(base))  # similarity under 0.8
+    want = brute_similar(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for node in (4096, 4):
+        got = {r.doc_id: r.component_id for r in S.similar_documents(df, node=node).collect()}
+        assert sum(got[i] == want[i] for i in texts) >= 0.95 * len(texts)
+        assert all(want[got[i]] == want[i] for i in texts)  # nothing is linked that brute force does not link
 
 
 def test_components_with_full_nodes(spark):
