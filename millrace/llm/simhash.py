@@ -6,7 +6,8 @@ Index (figures for radius 2): the distinct fingerprints go under *upper nodes*,
 16-bit blocks, so two fingerprints that differ in at most two bits meet under at least one of the six masks. A node that would
 hold more than ``NODE`` fingerprints is replaced by its children, whose masks keep two of four 8-bit blocks of what was free,
 and then two of four 4-bit blocks; with 8 free bits a node has 256 distinct fingerprints at most. So no group of look-alikes
-ends up in one task, and rows grow in proportion to fingerprints (6, 36 or 216 for each). Below a node, fingerprints lie in
+ends up in one task, and rows grow in proportion to fingerprints (6, 36 or 216 for each). Wider radii take more masks of fewer
+bits (120 of 19 for radius 7) and one level of children; a node that is still full is searched by its tree in blocks. Below a node, fingerprints lie in
 Gray order, in which neighbours share long bit patterns; blocks of them form a tree whose inner nodes hold the mask and value
 of the bits that all below have in common. A search goes down the tree with the differences to these patterns added up
 and leaves out a whole group as soon as they exceed the radius. Each node's task passes on one link from a fingerprint to
@@ -17,7 +18,7 @@ shared checkpoint folder.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and are linked like any other; repeated
 rows and equal texts share a fingerprint and a group; a group's id is its smallest doc_id (null only if all of them are);
-further columns are ignored; an empty table gives no rows. Radius: 5 at most.
+further columns are ignored; an empty table gives no rows. Radius: 7 at most.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from ._common import shipped, written
 
 SHINGLE, RADIUS = 3, 2
-#: Fingerprints under an upper node before its children take over, and leaves under one inner node of the tree.
-NODE, FAN = 4096, 16
+#: Fingerprints under an upper node before its children take over, parts of an inner node of the tree, and fingerprints that are
+#: compared without a tree.
+NODE, FAN, LEAF = 4096, 16, 32
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -79,7 +81,7 @@ def _signed(x: int) -> int:
 
 #: By radius: into how many blocks the free bits are cut, and how many of them a mask keeps. All but ``radius`` blocks of a
 #: linked pair agree, so some mask keeps only blocks that agree.
-BLOCKS = {0: (4, 2), 1: (4, 2), 2: (4, 2), 3: (6, 3), 4: (7, 3), 5: (8, 3)}
+BLOCKS = {0: (4, 2), 1: (4, 2), 2: (4, 2), 3: (6, 3), 4: (7, 3), 5: (8, 3), 6: (9, 3), 7: (10, 3)}
 
 
 def masks(level: int, radius: int = RADIUS) -> list[int]:
@@ -103,7 +105,7 @@ def placed(fps: DataFrame, node: int = NODE, radius: int = RADIUS) -> DataFrame:
     children = comb(*BLOCKS[radius])
     first = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks(1, radius))))
     keyed = fps.select("fp", "rep", F.explode(first).alias("node")).select((F.col("node.mask") + step).alias("mask"), "node.bits", "fp", "rep")
-    for level in (1, 2):
+    for level in (1, 2) if radius <= 2 else (1,):
         full = written(keyed.groupBy("mask", "bits").count().where(F.col("count") > node).select("mask", "bits"), f"full-{level}")
         if full.isEmpty():
             return reduce(DataFrame.unionByName, [*out, keyed])
@@ -156,6 +158,11 @@ class GrayTree:
 
 def near_pairs(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, differing bits) of the linked pairs among the fingerprints of a node, each pair once."""
+    if len(values) <= LEAF:
+        a, b = np.triu_indices(len(values), 1)
+        bits = np.bitwise_count(values[a] ^ values[b]).astype(np.int64)
+        near = bits <= radius
+        return a[near], b[near], bits[near]
     tree, found = GrayTree(values), []
     for i in range(0, len(values), 512):
         q, at = tree.within(tree.values[i : i + 512], radius)
@@ -315,7 +322,7 @@ def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5, node: int = NODE) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, node: int = NODE) -> DataFrame:
     """doc_id, text_hash, fingerprint, component_id, where links are checked: fingerprints are of distinct single words, which
     differ in fewer bits than those of shingles do; the index links them within a wide radius by spanning forests of closest
     pairs; and a link holds if the texts' shingles have the Jaccard similarity. Equal texts are always linked."""
