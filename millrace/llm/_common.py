@@ -59,16 +59,21 @@ def bind(value, body):
 
 
 class TwoGenerations(dict):
-    """A bounded cache: when the young generation is full it becomes the old one, and hits in the old one move up."""
+    """A bounded cache: when the young generation is full it becomes the old one, and hits in the old one move up.
 
-    def __init__(self, make, limit: int):
+    Keys over ``longest`` are made anew each time, so that entries stay small.
+    """
+
+    def __init__(self, make, limit: int, longest: int = 256):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > self.longest:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

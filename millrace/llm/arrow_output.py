@@ -2,7 +2,7 @@
 
 Documents are dealt by ranges of doc_id, sorted, encoded with the tokenizers library, and written by the tasks into the shared
 folder. A file holds record batches of equally many rows, each row a fixed-size list of ``length`` ids and one of equally many
-mask bytes (1: an id, 0: padding, only in a file's last rows); since rows and batches are of equal length, a memory map gives
+mask bits (set: an id, else padding, only in a file's last rows); since rows and batches are of equal length, a memory map gives
 any sequence without a copy. Beside each file lies ``.index``, a stream of (doc_id, start, n_tokens) within the file. Task
 output goes to a name of its own and is renamed when complete, so a repeated attempt after a lost executor is harmless.
 
@@ -31,7 +31,8 @@ from ._common import TwoGenerations, new_path, shipped, written
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, ROWS = 2048, 64
 #: Encoded words and pre-tokens kept by a worker in each of two generations, and their longest.
-CACHED, CACHED_BYTES = 200_000, 128
+CACHED, CACHED_BYTES = 300_000, 128
+_STOPS = (b".", b",", b";", b":", b"!", b"?")
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -43,7 +44,7 @@ class LibraryEncoder:
     def __init__(self, path: str):
         self.table, self.tokenizer = bpe_tables.load(path), bpe_tables.library_tokenizer(path)
         self.kind, self.code = (np.dtype("<u2"), "H") if len(self.table.token_bytes) <= 1 << 16 else (np.dtype("<u4"), "I")
-        self.words, self.pieces = TwoGenerations(self._word, CACHED), TwoGenerations(self._piece, CACHED)
+        self.words, self.pieces = TwoGenerations(self._word, CACHED, CACHED_BYTES), TwoGenerations(self._piece, CACHED, CACHED_BYTES)
         self.model, self.alphabet = self.tokenizer.model, bpe_tables.byte_alphabet()
 
     def _whole(self, text: str) -> bytes:
@@ -57,15 +58,17 @@ class LibraryEncoder:
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters: one pre-token, which folding only lowers
             return self.pieces[word.decode().lower()]
-        return b"".join(map(self.pieces.__getitem__, self.table.pieces(self.table.fold(word.decode()))))
+        if word[-1:] in _STOPS and word[:-1].isalpha():
+            return self.pieces[word[:-1].decode().lower()] + self.pieces[word[-1:].decode()]
+        text = word.decode()
+        if text.isalpha() and bpe_tables.is_latin1(text):
+            return self.pieces[text.lower()]
+        return b"".join(map(self.pieces.__getitem__, self.table.pieces(self.table.fold(text))))
 
     def encode(self, text: str) -> bytes:
         if not self.table.drops_space or "<|" in text:
             return self._whole(text)
-        words = text.encode().split()
-        if max(map(len, words), default=0) > CACHED_BYTES:
-            return b"".join(self.words[w] if len(w) <= CACHED_BYTES else self._whole(w.decode()) for w in words)
-        return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 @lru_cache(4)
@@ -79,7 +82,7 @@ class StreamWriter:
     def __init__(self, fs, path: str, kind: np.dtype, length: int = LENGTH, rows: int = ROWS):
         self.fs, self.path, self.kind, self.length, self.rows = fs, path, kind, length, rows
         ids = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out, self.index_out = fs.open_output_stream(f"{path}.tmp"), fs.open_output_stream(f"{path}.index.tmp")
         self.stream, self.index = ipc.new_stream(self.out, self.schema), ipc.new_stream(self.index_out, INDEX)
         self.held, self.n_held, self.at, self.docs, self.n_docs = [], 0, 0, [], 0
@@ -96,8 +99,7 @@ class StreamWriter:
             self._flush_index()
 
     def _batch(self, flat: np.ndarray, filled: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:filled] = 1
+        mask = np.arange(len(flat)) < filled
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.stream.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -141,14 +143,13 @@ class StreamFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def flat(self, batch: int, column: str = "ids") -> np.ndarray:
-        return self.batches[batch].column(column).flatten().to_numpy(zero_copy_only=True)
+    def flat(self, batch: int) -> np.ndarray:
+        return self.batches[batch].column("ids").flatten().to_numpy(zero_copy_only=True)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the i-th sequence, as views."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of the i-th sequence, as views of the file."""
         k, row = divmod(i, self.rows)
-        span = slice(row * self.length, (row + 1) * self.length)
-        return self.flat(k)[span], self.flat(k, "mask")[span]
+        return self.flat(k)[row * self.length : (row + 1) * self.length], self.batches[k].column("mask").flatten().slice(row * self.length, self.length)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from a position on: a view within a batch, a copy across batches."""

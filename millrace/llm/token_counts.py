@@ -10,7 +10,6 @@ default has it; repeated rows each give a row; further columns are ignored; an e
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -23,7 +22,6 @@ from ._common import TwoGenerations, shipped
 
 #: Words of up to so many bytes are cached, and so many of them at most in a worker.
 CACHED_BYTES, CACHED = 256, 250_000
-_ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 def merges(data: bytes, table: bpe_tables.MergeTable) -> int:
@@ -57,8 +55,8 @@ def merges(data: bytes, table: bpe_tables.MergeTable) -> int:
 class Counter:
     def __init__(self, table: bpe_tables.MergeTable):
         self.table = table
-        self.piece = TwoGenerations(self._piece, CACHED)
-        self.word = TwoGenerations(lambda w: self._text(w.decode()), CACHED)
+        self.piece = TwoGenerations(self._piece, CACHED, CACHED_BYTES)
+        self.word = TwoGenerations(lambda w: self._text(w.decode()), CACHED, CACHED_BYTES)
 
     def _piece(self, piece: str) -> int:
         data = piece.encode()
@@ -66,7 +64,7 @@ class Counter:
 
     def _text(self, text: str) -> int:
         pieces = self.table.pieces(self.table.fold(text))
-        return sum(self.piece[p] if len(p) <= CACHED_BYTES else self._piece(p) for p in pieces)
+        return sum(map(self.piece.__getitem__, pieces))
 
     def count(self, text: str) -> int:
         total = 0
@@ -75,11 +73,7 @@ class Counter:
                 total += 1
             elif self.table.drops_space:
                 # no pre-token holds white space, so words between ASCII spaces are independent
-                words = part.encode().split()
-                try:
-                    total += sum(map(self.word.__getitem__, words)) if max(map(len, words), default=0) <= CACHED_BYTES else sum(self.word[w] if len(w) <= CACHED_BYTES else self._text(w.decode()) for w in words)
-                except KeyError as e:  # pragma: no cover - a table without one of the byte symbols
-                    raise ValueError(f"{self.table.path} lacks a symbol for {e}") from e
+                total += sum(map(self.word.__getitem__, part.encode().split()))
             else:
                 total += self._text(part)
         return total
