@@ -35,61 +35,62 @@ DOCUMENTS, APART = 5, 0.5
 FIELD = "<*>"
 #: Names of a line's sketches and the bits turned over in each order of hashes.
 SKETCHES, TURNS = ("s0", "s1", "s2", "s3"), (0, 0xFFFFFFFFFFFFFFFF, 0x5555555555555555, 0xAAAAAAAAAAAAAAAA)
-_DIGIT = re.compile("[0-9]")
-_DIGITS = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_DIGIT, _FIELD = re.compile(b"[0-9]"), FIELD.encode()
 
 
-def tokens(line: str) -> list[str]:
-    return [t for t in _SPACE.split(line) if t]
-
-
-def parse(text: str) -> list[tuple[int, int, int, str]]:
-    """(position, leaf, line, masked line) of each line with a word: leaf and line as signed 64-bit hashes."""
+def parse(text: str) -> list[tuple]:
+    """(s0, s1, s2, s3, position, leaf, line, masked line) of each line with a word; hashes are signed 64-bit numbers."""
     import xxhash
 
-    digits = _DIGIT.search(text) is not None
-    out = []
-    for at, line in enumerate(text.split("\n")):
-        words = tokens(_DIGITS.sub(FIELD, line)) if digits and _DIGIT.search(line) else tokens(line)
-        if words:
-            masked = " ".join(words)
-            leaf = xxhash.xxh64_intdigest(f"{len(words)} {' '.join(words[:LEAD])}")
-            out.append((at, _signed(leaf), _signed(xxhash.xxh64_intdigest(masked)), masked))
-    return out
+    digest = xxhash.xxh64_intdigest
+    data = text.encode()
+    digits = _DIGIT.search(data) is not None
+    words: list[bytes] = []
+    lines, sizes = [], []
+    for at, line in enumerate(data.split(b"\n")):
+        if own := line.split():
+            if digits and _DIGIT.search(line):
+                own = [_FIELD if _DIGIT.search(w) else w for w in own]
+            masked = b" ".join(own)
+            lines.append((at, _signed(digest(b"%d %b" % (len(own), b" ".join(own[:LEAD])))), _signed(digest(masked)), masked.decode()))
+            sizes.append(len(own))
+            words += own
+    return [(*s, *line) for s, line in zip(sketches(words, sizes), lines)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketches(text: str) -> dict[int, tuple[int, ...]]:
-    """For each line with a word the sketches of the rest of the text: the least hash of its three-word shingles in four orders.
+def sketches(words: list[bytes], sizes: list[int]) -> list[tuple[int, ...]]:
+    """For each line, given as its number of words, the sketches of the rest of the text: the least hash of its three-word
+    shingles in four orders.
 
     The line's own shingles are left out, so that a long passage does not stand for the documents that share it; four orders
     keep another shared line from doing so by chance in all of them. A text of one line stands for itself.
     """
     import xxhash
 
-    words, of = [], []
-    for at, line in enumerate(text.encode().split(b"\n")):
-        own = line.split()
-        words += own
-        of += [at] * len(own)
     if not words:
-        return {}
-    grams = list(map(b" ".join, zip(words, words[1:], words[2:]))) or [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
-    line_of = np.array(of[: len(grams)])
-    lines = sorted(set(of))
+        return []
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    if len(h) > 2:  # hashes of shingles from those of their words
+        h = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + (h[1:-1] ^ (h[1:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[2:]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+    line_of = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
     found = []
     for turn in TURNS:
         turned = h ^ np.uint64(turn)
         first = int(turned.argmin())
-        rest = turned[line_of != line_of[first]]
-        least, other = int(turned[first]), int(rest.min()) if len(rest) else int(turned[first])
-        found.append([_signed(other if at == line_of[first] else least) for at in lines])
-    return dict(zip(lines, zip(*found)))
+        own = line_of[first]
+        at, end = np.searchsorted(line_of, (own, own + 1))
+        least = int(turned[first])
+        other = min([int(x.min()) for x in (turned[:at], turned[end:]) if len(x)], default=least)
+        values = [_signed(least)] * len(sizes)
+        values[own] = _signed(other)
+        found.append(values)
+    return list(zip(*found))
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
@@ -107,8 +108,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
             rows, size = [], 0
             for d, h, t in zip(ids, hashes, texts):
                 text = t.as_py()
-                own = sketches(text)
-                rows += [(d, h, *own[line[0]], *line) for line in parse(text)]
+                rows += [(d, h, *line) for line in parse(text)]
                 size += len(text)
                 if rows and size > 1 << 23:
                     yield batch(rows)
