@@ -344,5 +344,10 @@ def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     stays = groups.where("doc_id <=> component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("alone")).agg(F.min("text_hash").alias("_s"))
     stays = written(stays.select(F.col("doc_id").alias("_d"), "_s").distinct(), "stays")
     kept = keyed.join(stays.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(stays["_d"]) & keyed["_h"].eqNullSafe(stays["_s"]), "left_semi")
-    # rows of equal doc_id and text are left to meet here; there is one for each group otherwise
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    # only rows of equal doc_id and text, if there are any, have to meet once more
+    again = written(groups.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_s")), "again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    same = keyed["doc_id"].cast("long").eqNullSafe(again["_d"]) & keyed["_h"].eqNullSafe(again["_s"])
+    one = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_h"])
+    return kept.join(again, same, "left_anti").unionByName(one).select(*docs.columns)
