@@ -1,11 +1,8 @@
 import zlib
 
-
 from millrace.llm import sharding as S
 
 
-
-
 def check(spark, rows, shards):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard string, slot long")
     out = S.interleave(df, shards).collect()
