@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.gates import squared_norm
@@ -74,6 +72,3 @@ def space_violations(chunks: DataFrame, dims: int, signature: str) -> DataFrame:
 def live_hits(results: DataFrame, docs: DataFrame) -> DataFrame:
     return results.join(docs.select("doc_id"), "doc_id", "left_semi")
 
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
