@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ SHINGLE, RADIUS = 3, 2
 #: Fingerprints under an upper node before its children take over, parts of an inner node of the tree, and fingerprints that are
 #: compared without a tree.
 NODE, FAN, LEAF = 4096, 16, 32
+#: Texts that have a shingle before it goes to the end of the order of keys.
+COMMON = 64
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -185,30 +187,8 @@ def local_groups(reps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the linked pairs, of the closest pairs first."""
-    root, left, out = list(range(n)), n - len(np.unique(local_groups(np.arange(n), a, b))), []
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for k in np.argsort(bits, kind="stable").tolist():
-        if not left:
-            break
-        x, y = find(int(a[k])), find(int(b[k]))
-        if x != y:
-            root[x] = y
-            left -= 1
-            out.append((int(a[k]), int(b[k])))
-    return out
-
-
-def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE, closest: bool = False) -> DataFrame:
-    """(a, b), a > b: from a fingerprint's rep to the smallest rep of its group under an upper node; ``closest``: the edges of a
-    spanning forest of closest pairs instead, so that each can be checked. fps: fp, rep, one row each."""
+def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE) -> DataFrame:
+    """(a, b), a > b: from a fingerprint's rep to the smallest rep of its group under an upper node. fps: fp, rep, one row each."""
     if radius not in BLOCKS:
         raise ValueError(f"radius must be one of {sorted(BLOCKS)}")
     shipped(fps.sparkSession)
@@ -228,15 +208,10 @@ def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE, closest: bool
                         b.append(min(rep[s], rep[s + 1]))
                     continue
                 own = rep[s:e]
-                x, y, bits = near_pairs(fp[s:e], radius)
-                if closest:
-                    pairs = forest(e - s, x, y, bits)
-                    a += [max(own[i], own[j]) for i, j in pairs]
-                    b += [min(own[i], own[j]) for i, j in pairs]
-                else:
-                    low = local_groups(own, x, y)
-                    a += own[low != own].tolist()
-                    b += low[low != own].tolist()
+                x, y, _ = near_pairs(fp[s:e], radius)
+                low = local_groups(own, x, y)
+                a += own[low != own].tolist()
+                b += low[low != own].tolist()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -322,19 +297,124 @@ def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, node: int = NODE) -> DataFrame:
-    """doc_id, text_hash, fingerprint, component_id, where links are checked: fingerprints are of distinct single words, which
-    differ in fewer bits than those of shingles do; the index links them within a wide radius by spanning forests of closest
-    pairs; and a link holds if the texts' shingles have the Jaccard similarity. Equal texts are always linked."""
-    prints = written(fingerprints(docs, 1, distinct=True), "fingerprints")
-    kinds = written(prints.groupBy(F.col("fingerprint").alias("fp"), "text_hash").agg(F.min("doc_id").alias("rep")), "distinct-texts")
-    edges = written(links(kinds.where("rep IS NOT NULL").select("fp", "rep"), radius, node, closest=True), "candidates")
-    ends = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends, "id", "left_semi")
-    texts = written(own.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "ends-texts")
-    found = components(confirmed(edges, texts, shingle, similarity))
-    groups = kinds.join(found, kinds.rep == found.id, "left").select("fp", "text_hash", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(groups, (prints.fingerprint == groups.fp) & prints.text_hash.eqNullSafe(groups.text_hash)).select("doc_id", prints.text_hash, _hexadecimal("fingerprint"), "component_id")
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles, the ones that ``jaccard`` compares."""
+    import xxhash
+
+    words = (text or "").encode().translate(_LOWER).split()
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 7)], np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n, out = len(words) - shingle + 1, np.zeros(len(words) - shingle + 1, np.uint64)
+    for i in range(shingle):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : i + n]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def prefix(n: int, similarity: float) -> int:
+    """How many of n shingles, the first in an order common to all texts, hold one of every text that is similar enough."""
+    return n - ceil(similarity * n - 1e-9) + 1
+
+
+def keys_of(docs: DataFrame, shingle: int, similarity: float, common: bytes | None = None) -> DataFrame:
+    """text_hash, n (shingles), p (length of the prefix) and keys of every text, with doc_id and fingerprint: shingles in the order of their hashes, half
+    as many again as the prefix. Given ``common`` (a bit for each value of a hash's first 24 bits), these come last and keys are the prefix."""
+    shipped(docs.sparkSession)
+
+    def run(batches):
+        late = None if common is None else np.unpackbits(np.frombuffer(common, np.uint8), bitorder="little")
+        for b in batches:
+            prints, ns, ps, keys = [], [], [], []
+            for t in b.column("text"):
+                text = t.as_py()
+                h = shingle_hashes(text, shingle)
+                p = prefix(len(h), similarity)
+                if late is not None:
+                    h = h[np.argsort(late[h >> np.uint64(40)], kind="stable")]
+                prints.append(fingerprint(text, 1, distinct=True) if late is None else 0)
+                ns.append(len(h))
+                ps.append(p)
+                keys.append(h[: p if late is not None else p + p // 2].view(np.int64))
+            columns = [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(ps, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fingerprint", "n", "p", "keys"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return own.mapInArrow(run, "doc_id long, text_hash long, fingerprint long, n int, p int, keys array<long>")
+
+
+def shared_keys(docs: DataFrame, kinds: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(key, id, n) of the prefix keys that several texts have. Keys of more than ``COMMON`` texts go to the end of the order, so
+    that a passage in many texts is no key of those that are otherwise different; any order common to all texts finds all pairs."""
+    every = kinds.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > COMMON)
+    buckets = every.select(F.shiftrightunsigned("key", 40).cast("int").alias("k")).distinct().collect()  # at most 2^24
+    own = kinds.select("text_hash", "n", F.slice("keys", F.lit(1), F.col("p")).alias("keys"))
+    if buckets:
+        late = np.zeros(1 << 24, np.uint8)
+        late[[r["k"] for r in buckets]] = 1
+        of = kinds.sparkSession.createDataFrame([(r["k"],) for r in buckets], "k int")
+        again = kinds.select("text_hash", F.explode("keys").alias("key")).select("text_hash", F.shiftrightunsigned("key", 40).cast("int").alias("k")).join(F.broadcast(of), "k", "left_semi").select("text_hash").distinct()
+        again = written(again, "again-texts")
+        texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(again, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+        moved = keys_of(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), shingle, similarity, np.packbits(late, bitorder="little").tobytes())
+        own = own.join(again, "text_hash", "left_anti").select("text_hash", "n", "keys").unionByName(moved.select("text_hash", "n", "keys"))
+    keys = written(own.select(F.explode("keys").alias("key"), F.col("text_hash").alias("id"), "n"), "keys")
+    several = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    return written(keys.join(several, "key", "left_semi"), "shared-keys")
+
+
+def all_pairs(labelled: DataFrame, node: int) -> DataFrame:
+    """(a, b, na, nb), a > b: texts of different components that share a key. The texts of a key are cut into blocks of about
+    ``node``, and each two blocks meet by themselves, so a key that many texts have is dealt over many tasks."""
+    sizes = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    own = labelled.join(sizes.select("key", F.ceil(F.col("m") / node).cast("int").alias("blocks")), "key").withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
+    x = own.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    y = own.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    return x.join(y, ["key", "i", "j"]).where("cx <> cy AND (i < j OR x < y)")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, node: int = NODE) -> DataFrame:
+    """doc_id, text_hash, fingerprint (of distinct single words), component_id, where texts are linked if their shingles have the
+    Jaccard similarity; equal texts always are.
+
+    All such pairs are found: two texts of that similarity share one of their prefix keys. Star steps come first: of the texts of a
+    key that are in different components, each is compared with the first one, as long as that confirms links; then all pairs
+    of different components that share a key and whose sizes allow the similarity are compared. Pairs inside a component need
+    no comparison."""
+    prints = written(keys_of(docs, shingle, similarity), "fingerprints")
+    kinds = written(prints.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("keys").alias("keys")), "distinct-texts")
+    live = shared_keys(docs, kinds, shingle, similarity)
+    ends = written(live.select("id").distinct(), "ends")
+    texts = docs.select(F.xxhash64("text").alias("id"), "text").join(ends, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    texts = written(texts, "ends-texts")
+    fits = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    tried, linked, found, last = none, none, None, False
+    while True:
+        labelled = live.withColumn("c", F.col("id"))
+        if found is not None:
+            labelled = live.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        if last:
+            pairs = all_pairs(labelled, node)
+        else:
+            low = labelled.groupBy("key").agg(F.min(F.struct("c", "id", "n")).alias("low"), F.max("c").alias("high")).where("low.c < high").select("key", F.col("low.c").alias("cy"), F.col("low.id").alias("y"), F.col("low.n").alias("ny"))
+            pairs = labelled.join(low, "key").where("c <> cy").select(F.col("id").alias("x"), F.col("n").alias("nx"), "y", "ny")
+        pairs = pairs.where(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+        good = written(confirmed(pairs, texts, shingle, similarity), "confirmed")
+        more = not good.isEmpty()
+        if more:
+            linked = linked.unionByName(good)
+            found = written(components(linked), "components")
+        if last:
+            break
+        tried, last = tried.unionByName(pairs), not more
+    component = F.col("text_hash") if found is None else F.coalesce("component", "text_hash")
+    groups = kinds.select("text_hash", "rep") if found is None else kinds.select("text_hash", "rep").join(found, F.col("text_hash") == F.col("id"), "left")
+    groups = groups.select("text_hash", "rep", component.alias("c"))
+    least = groups.groupBy("c").agg(F.min("rep").alias("component_id"))
+    groups = groups.join(least, "c").select("text_hash", "component_id")
+    return prints.select("doc_id", "text_hash", "fingerprint").join(groups, "text_hash").select("doc_id", "text_hash", _hexadecimal("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -140,3 +140,25 @@ def test_awkward_rows(spark):
     fp = lambda t: f"{brute_fingerprint(t):016x}"
     assert out == {(5, "0" * 16, 4), (4, "0" * 16, 4), (None, fp("alone here now"), None), (None, fp("a b c"), 9), (9, fp("a b c"), 9), (7, fp("w " * 60_000), 7)}
     assert S.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_similar_documents_between_rejected_texts(spark):
+    """Texts of the same distinct words in other orders: fingerprints are equal, so closeness says nothing of the shingles."""
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(120)]
+    texts = {}
+    for _ in range(40):
+        order = rnd.sample(words, len(words))
+        for _ in range(3):
+            own = list(order)
+            k = rnd.randrange(119)
+            own[k], own[k + 1] = own[k + 1], own[k]
+            texts[len(texts)] = " ".join(own)
+    ids = list(texts)
+    rnd.shuffle(ids)
+    texts = {i: texts[j] for i, j in enumerate(ids)}
+    want = brute_similar(texts)
+    assert len(set(want.values())) < len(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for node in (4096, 4):
+        assert {r.doc_id: r.component_id for r in S.similar_documents(df, node=node).collect()} == want
