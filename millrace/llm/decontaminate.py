@@ -2,12 +2,14 @@
 
 A text becomes a template: numbers, units after a number, and names (capitalised words inside a sentence) turn into typed
 placeholders; other words are lowered and lose punctuation at their edges. Windows of ``WINDOW`` template words of the
-documents meet those of the benchmark in a hash join. Matches of one document and item lie on diagonals (position in the document less position in
-the item); a diagonal that covers at least ``COVERAGE`` of the item's windows is a candidate. For items with placeholders the
-slot values are then aligned: the same value of the item must stand for the same value in the document throughout, so
-re-parameterised questions count and chance template matches do not.
-
-Windows with fewer than ``LITERALS`` literal words are no evidence and are left out on the benchmark side. Items with no
+documents meet those of the benchmark in a hash join; items of under ``SHORT_ITEM`` words have windows of ``SHORT`` words as well, since
+one changed word breaks most of their long ones. Matches of one document and item lie on diagonals (position in the document
+less position in the item). A diagonal, or a band of ``BAND`` neighbouring ones (words put in or left out move the rest of a match to another diagonal),
+that covers at least ``COVERAGE`` of the item's windows is a candidate. For items with placeholders the
+slot values are then aligned, each on the diagonals of the matches that hold it: the same value of the item must stand for the same value in the document throughout, so
+re-parameterised questions count and chance template matches do not. Names that follow one another are one placeholder.
+
+Windows with fewer than ``LITERALS`` literal words (short ones: half as many) are no evidence and are left out on the benchmark side. Items with no
 usable window, such as those of under ``WINDOW`` words, match nothing. The benchmark side is broadcast only if its windows
 are counted and at most ``BROADCAST_ROWS``; beyond that it is a shuffled join.
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from ._common import written
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+SHORT, SHORT_ITEM, BAND = 4, 24, 8
 BROADCAST_ROWS = 1_000_000
 
 # Common unit names and signs.
@@ -37,6 +40,7 @@ def words(text: Column) -> Column:
     """Words of a text, lowered, with punctuation at their edges dropped; placeholders are marked and keep their value."""
     clean = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
     named = F.regexp_replace(clean, r"\p{Lu}(?<=[^\x20\x09-\x0D.!?:][\x20\x09-\x0D]{1}.)\p{Ll}++(?!\p{L})", f"{MARK}p$0")
+    named = F.regexp_replace(named, rf"\x20{MARK}p(?<={MARK}p\p{{Lu}}\p{{Ll}}{{1,40}}\x20{MARK}p)", "_")
     glued = F.regexp_replace(named, rf"(?i)([0-9])({UNITS})(?![\p{{L}}\p{{N}}])", "$1 $2")
     number = F.regexp_replace(glued, r"(?<![\p{L}\p{N}\x01.,])[0-9](?:[0-9.,]*+(?<=[0-9]))?+(?![\p{L}\p{N}])", f"{MARK}n$0")
     unit = F.regexp_replace(number, rf"(?i)(\x01n[0-9.,]++[\x20\x09-\x0D]++)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{MARK}u$2")
@@ -49,38 +53,67 @@ def template(word: Column) -> Column:
     return F.when(word.startswith(MARK), F.substring(word, 1, 2)).otherwise(word)
 
 
-def windows(tokens: Column) -> Column:
+def windows(tokens: Column, size: int = WINDOW) -> Column:
     """Hash of each window of template words, in order (none: empty)."""
     hashes = F.transform(tokens, lambda t: F.xxhash64(template(t)))
-    of = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)))))
-    return F.when(F.size(tokens) < WINDOW, F.array().cast("array<bigint>")).otherwise(of[0])
+    of = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size)))))
+    return F.when(F.size(tokens) < size, F.array().cast("array<bigint>")).otherwise(of[0])
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, item_words, n_windows (usable ones), at, h: usable windows of each distinct item."""
+    """item_id, item_words, size, n_windows (usable ones of that size), at, h: usable windows of each distinct item."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item_words")).distinct()
-    literal = lambda i: F.size(F.filter(F.slice("item_words", i + 1, WINDOW), lambda t: ~t.startswith(MARK))) >= LITERALS
-    rows = rows.withColumn("ws", F.filter(F.transform(windows(F.col("item_words")), lambda h, i: F.struct(h.alias("h"), i.alias("at"))), lambda w: literal(w["at"])))
-    return rows.select("item_id", "item_words", F.size("ws").alias("n_windows"), F.explode("ws").alias("w")).select("item_id", "item_words", "n_windows", "w.at", "w.h")
+    out = None
+    for size in (WINDOW, SHORT):
+        literal = lambda i: F.size(F.filter(F.slice("item_words", i + 1, size), lambda t: ~t.startswith(MARK))) >= LITERALS * size // WINDOW  # noqa: E731, B023
+        own = rows if size == WINDOW else rows.where((F.size("item_words") >= WINDOW) & (F.size("item_words") < SHORT_ITEM))
+        own = own.withColumn("ws", F.filter(F.transform(windows(F.col("item_words"), size), lambda h, i: F.struct(h.alias("h"), i.alias("at"))), lambda w: literal(w["at"])))
+        own = own.select("item_id", "item_words", F.lit(size).alias("size"), F.size("ws").alias("n_windows"), F.explode("ws").alias("w")).select("item_id", "item_words", "size", "n_windows", "w.at", "w.h")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Candidates (doc_id, text_hash, item_id, shift, from_word, to_word, n_windows, coverage)."""
+    """Candidates (doc_id, text_hash, item_id, size, shift, first_word, hits, n_windows, coverage); hits are (at, shift) of the matches."""
     bench = written(item_windows(items), "item-windows")
     small = bench.count() <= BROADCAST_ROWS
-    side = bench.select("item_id", "n_windows", "at", "h")
+    side = bench.select("item_id", "size", "n_windows", "at", "h")
     # the words are used more than once in the windows, so they are a column of their own, computed once
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    own = own.select("doc_id", "text_hash", F.posexplode(windows(F.col("w"))).alias("pos", "h"))
-    hits = own.join(F.broadcast(side) if small else side, "h")
+    hits = None
+    for size in (WINDOW, SHORT):
+        of = side.where(F.col("size") == size)
+        if size == SHORT and of.isEmpty():
+            break
+        at = own.select("doc_id", "text_hash", F.posexplode(windows(F.col("w"), size)).alias("pos", "h")).join(F.broadcast(of) if small else of, "h")
+        hits = at if hits is None else hits.unionByName(at)
+    hits = hits.withColumn("shift", F.col("pos") - F.col("at"))
+    # the diagonal itself, and the two bands it is in, which overlap by half
+    bands = F.array(*(F.struct(F.lit(k).alias("k"), at.cast("long").alias("band")) for k, at in enumerate((F.col("shift"), F.floor(F.col("shift") / BAND), F.floor((F.col("shift") + BAND // 2) / BAND)))))
+    of = hits.select("doc_id", "text_hash", "item_id", "size", "n_windows", "at", "shift", F.explode(bands).alias("b"))
     return (
-        hits.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
-        .agg(F.count_distinct("at").alias("matched"), F.min("at").alias("from_word"), (F.max("at") + WINDOW).alias("to_word"), F.max("n_windows").alias("n_windows"))
+        of.groupBy("doc_id", "text_hash", "item_id", "size", "b")
+        .agg(F.count_distinct("at").alias("matched"), F.min("shift").alias("shift"), F.min(F.struct("at", "shift")).alias("first"), F.max("n_windows").alias("n_windows"), F.sort_array(F.collect_set(F.struct("at", "shift"))).alias("hits"))
         .withColumn("coverage", F.col("matched") / F.col("n_windows"))
         .where(F.col("coverage") >= COVERAGE)
+        .withColumn("first_word", F.col("first.at") + F.col("first.shift"))
+        .drop("b", "first", "matched")
     )
 
 
+def _stands_for(slot: Column) -> Column:
+    """(item, doc) values of a slot: on the diagonals of the matches that hold it; where none does, on those of the matches next to it, and
+    if these differ only where a placeholder of its type stands."""
+    shifts = lambda hits: F.array_distinct(F.transform(hits, lambda h: h["shift"]))
+    pair = lambda shift: F.struct(slot["value"].alias("item"), F.get(F.col("d_words"), slot["at"] + shift).alias("doc"))
+    before, after = F.filter("hits", lambda h: h["at"] <= slot["at"]), F.filter("hits", lambda h: h["at"] > slot["at"])
+    holding = F.filter(before, lambda h: slot["at"] < h["at"] + F.col("size"))
+    near = shifts(F.concat(F.slice(before, -1, 1), F.slice(after, 1, 1)))
+    typed = F.filter(near, lambda x: template(F.get(F.col("d_words"), slot["at"] + x)) == template(slot["value"]))
+    of = F.when(F.size(holding) > 0, shifts(holding)).when(F.size(near) == 1, near).otherwise(typed)
+    return F.transform(of, pair)
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, kind (verbatim or re-parameterised), coverage, first_word of each pair found."""
     found = written(diagonals(docs, items), "candidates")
@@ -90,7 +123,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         .groupBy("item_id")
         .agg(F.array_distinct(F.collect_list(F.struct("at", "value"))).alias("slots"))
     )
-    found = found.join(slots, "item_id", "left").withColumn("slots", F.filter("slots", lambda s: (s["at"] >= F.col("from_word")) & (s["at"] < F.col("to_word"))))
+    found = found.join(slots, "item_id", "left").withColumn("slots", F.filter("slots", lambda s: (s["at"] >= F.element_at("hits", 1)["at"]) & (s["at"] < F.element_at("hits", -1)["at"] + F.col("size"))))
     found = written(found, "slots")
     open_ones = found.where(F.size(F.coalesce("slots", F.array())) > 0)
     closed = found.where(F.size(F.coalesce("slots", F.array())) == 0).withColumn("kind", F.lit("verbatim"))
@@ -98,12 +131,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("long").alias("d_doc_id"), F.xxhash64("text").alias("d_hash"), "text").dropDuplicates(["d_doc_id", "d_hash"])
         keys = open_ones.select("doc_id", "text_hash").distinct()
         texts = texts.join(keys, F.col("d_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("d_hash") == F.col("text_hash")), "left_semi").withColumn("d_words", words(F.col("text"))).drop("text")
-        pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(s["value"].alias("item"), F.get(F.col("d_words"), s["at"] + F.col("shift")).alias("doc"))))
+        pairs = F.array_distinct(F.flatten(F.transform("slots", _stands_for)))
         aligned = open_ones.join(texts, F.col("d_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("d_hash") == F.col("text_hash"))).withColumn("pairs", pairs)
         consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
         same = F.forall("pairs", lambda p: p["item"] == p["doc"])
         closed = closed.unionByName(aligned.where(consistent).withColumn("kind", F.when(same, "verbatim").otherwise("re-parameterised")).select(closed.columns))
-    best = F.max_by(F.struct("kind", "coverage", (F.col("shift") + F.col("from_word")).alias("first_word")), F.struct("coverage", F.col("kind") == "verbatim", -F.col("shift"))).alias("b")
+    best = F.max_by(F.struct("kind", "coverage", "first_word"), F.struct("coverage", F.col("kind") == "verbatim", -F.col("shift"))).alias("b")
     return closed.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "b.kind", "b.coverage", "b.first_word")
 
 

@@ -44,3 +44,15 @@ def test_clean_documents_keep_their_columns(spark):
     items = spark.createDataFrame([(0, PLAIN)], "item_id long, text string")
     out = D.clean_documents(docs, items)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted([(2, "clean", "y", 4), (None, None, None, None), (1, "another text", "z", 5)], key=str)
+
+
+def test_words_put_in_and_longer_names(spark):
+    long = "Early each morning the keeper of the old harbour lamp walks along the narrow wall with his friend Tom and writes down how many boats came home during the night before the cold wind from the north turned the water grey again"
+    w = long.split()
+    at = len(w) // 2
+    put_in = " ".join(w[:at] + ["really"] + w[at:])
+    short = PLAIN.split()[:15]
+    changed = " ".join(short[:7] + ["softly"] + short[8:])
+    docs = [(1, put_in), (2, " ".join(w[:at] + w[at + 1 :])), (3, long.replace("Tom", "Mary Ann")), (4, changed), (5, PLAIN.upper())]
+    got = found(spark, docs, [(0, long), (1, " ".join(short))])
+    assert got == {(1, 0): "verbatim", (2, 0): "verbatim", (3, 0): "re-parameterised", (4, 1): "verbatim", (5, 1): "verbatim"}
