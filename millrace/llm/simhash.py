@@ -7,7 +7,8 @@ Index (figures for radius 2): the distinct fingerprints go under *upper nodes*,
 hold more than ``NODE`` fingerprints is replaced by its children, whose masks keep two of four 8-bit blocks of what was free,
 and then two of four 4-bit blocks; with 8 free bits a node has 256 distinct fingerprints at most. So no group of look-alikes
 ends up in one task, and rows grow in proportion to fingerprints (6, 36 or 216 for each). Wider radii take more masks of fewer
-bits (120 of 19 for radius 7) and one level of children; a node that is still full is searched by its tree in blocks. Below a node, fingerprints lie in
+bits (120 of 19 for radius 7) and one level of children, whose size has no bound; no query uses them. ``similar_documents`` has keys instead (see
+there), and the texts of one key meet in blocks. Below a node, fingerprints lie in
 Gray order, in which neighbours share long bit patterns; blocks of them form a tree whose inner nodes hold the mask and value
 of the bits that all below have in common. A search goes down the tree with the differences to these patterns added up
 and leaves out a whole group as soon as they exceed the radius. Each node's task passes on one link from a fingerprint to

@@ -162,3 +162,16 @@ def test_similar_documents_between_rejected_texts(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for node in (4096, 4):
         assert {r.doc_id: r.component_id for r in S.similar_documents(df, node=node).collect()} == want
+
+
+def test_texts_of_one_key_meet_in_blocks(spark):
+    """All texts have one key and are in components of their own, but for the first three."""
+    n, node = 300, 16
+    rows = [(7, i, 100, 0 if i < 3 else i) for i in range(n)]
+    pairs = S.all_pairs(spark.createDataFrame(rows, "key long, id long, n int, c long"), node).select("x", "y", "i", "j").collect()
+    found = [tuple(sorted((r.x, r.y))) for r in pairs]
+    assert len(found) == len(set(found)) and set(found) == {(i, j) for i in range(n) for j in range(i + 1, n)} - {(0, 1), (0, 2), (1, 2)}
+    blocks = {}
+    for r in pairs:
+        blocks[r.i, r.j] = blocks.get((r.i, r.j), 0) + 1
+    assert max(blocks.values()) <= 9 * node * node
