@@ -7,8 +7,7 @@ Index (figures for radius 2): the distinct fingerprints go under *upper nodes*,
 hold more than ``NODE`` fingerprints is replaced by its children, whose masks keep two of four 8-bit blocks of what was free,
 and then two of four 4-bit blocks; with 8 free bits a node has 256 distinct fingerprints at most. So no group of look-alikes
 ends up in one task, and rows grow in proportion to fingerprints (6, 36 or 216 for each). Wider radii take more masks of fewer
-bits (120 of 19 for radius 7) and one level of children, whose size has no bound; no query uses them. ``similar_documents`` has keys instead (see
-there), and the texts of one key meet in blocks. Below a node, fingerprints lie in
+bits (120 of 19 for radius 7) and no children: a full node's rows meet in blocks there (``dealt_in_blocks``). Below a node, fingerprints lie in
 Gray order, in which neighbours share long bit patterns; blocks of them form a tree whose inner nodes hold the mask and value
 of the bits that all below have in common. A search goes down the tree with the differences to these patterns added up
 and leaves out a whole group as soon as they exceed the radius. Each node's task passes on one link from a fingerprint to
@@ -24,9 +23,10 @@ further columns are ignored; an empty table gives no rows. Radius: 7 at most.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 from itertools import combinations
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +39,20 @@ SHINGLE, RADIUS = 3, 2
 #: Fingerprints under an upper node before its children take over, parts of an inner node of the tree, and fingerprints that are
 #: compared without a tree.
 NODE, FAN, LEAF = 4096, 16, 32
-#: Texts that have a shingle before it goes to the end of the order of keys.
-COMMON = 64
+#: Of ``similar_documents``: fingerprints of a text, radius of its first pass, bytes of a sketch, and standard deviations of its estimate.
+VIEWS, FIRST, BINS, SURE = 2, 3, 128, 4
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
-    """The SimHash of a text; words are runs of anything but ASCII white space, A-Z are lowered. ``distinct``: of each shingle once."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text; words are runs of anything but ASCII white space, A-Z are lowered."""
     import xxhash
 
     words = (text or "").encode().translate(_LOWER).split()
     n, digest = len(words), xxhash.xxh64_intdigest
     if not n:
         return 0
-    if distinct:
-        grams = {b" ".join(words)} if n < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-        words, n, shingle = list(grams), len(grams), 1
     set_in, total, step = np.zeros(64, np.int64), max(1, n - shingle + 1), 1 << 16
     for at in range(0, total, step):
         part = words[at : min(at + step, total) + shingle - 1]
@@ -65,13 +62,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False
     return int(np.packbits(2 * set_in > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash and fingerprint (a long of the same 64 bits) of every whole text."""
     shipped(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            values = np.array([fingerprint(t.as_py(), shingle, distinct) for t in b.column("text")], np.uint64).view(np.int64)
+            values = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(values)], names=["doc_id", "text_hash", "fingerprint"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -298,11 +295,10 @@ def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles, the ones that ``jaccard`` compares."""
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text's words, the ones that ``jaccard`` compares."""
     import xxhash
 
-    words = (text or "").encode().translate(_LOWER).split()
     if len(words) < shingle:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 7)], np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -313,109 +309,225 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def prefix(n: int, similarity: float) -> int:
-    """How many of n shingles, the first in an order common to all texts, hold one of every text that is similar enough."""
-    return n - ceil(similarity * n - 1e-9) + 1
+def word_fingerprints(words: list[bytes]) -> list[int]:
+    """``VIEWS`` fingerprints of a text's distinct words, each of bits of its own."""
+    import xxhash
+
+    if not words:
+        return [0] * VIEWS
+    own, out = set(words), []
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))
+    for _ in range(VIEWS):
+        set_in = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * set_in > len(h), bitorder="little").view("<u8")[0]))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return out
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte for each of ``BINS`` equal parts of the range of hashes: of the least hash in it, 0 if there is none."""
+    out = np.zeros(BINS, np.uint8)
+    part, first = np.unique((hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), return_index=True)
+    out[part] = hashes[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
 
 
-def keys_of(docs: DataFrame, shingle: int, similarity: float, common: bytes | None = None) -> DataFrame:
-    """text_hash, n (shingles), p (length of the prefix) and keys of every text, with doc_id and fingerprint: shingles in the order of their hashes, half
-    as many again as the prefix. Given ``common`` (a bit for each value of a hash's first 24 bits), these come last and keys are the prefix."""
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the texts of two tables of sketches may be similar: the estimate, parts that agree among those that either text fills,
+    is at most ``SURE`` of its standard deviations too low."""
+    filled = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    return same / filled >= similarity - SURE * np.sqrt(similarity * (1 - similarity) / filled)
+
+
+def described(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, n (distinct shingles), v0, v1 (fingerprints of distinct words) and sketch of every whole text."""
     shipped(docs.sparkSession)
+    names = ["doc_id", "text_hash", "n", *(f"v{i}" for i in range(VIEWS)), "sketch"]
 
     def run(batches):
-        late = None if common is None else np.unpackbits(np.frombuffer(common, np.uint8), bitorder="little")
         for b in batches:
-            prints, ns, ps, keys = [], [], [], []
+            ns, views, sketches = [], [], []
             for t in b.column("text"):
-                text = t.as_py()
-                h = shingle_hashes(text, shingle)
-                p = prefix(len(h), similarity)
-                if late is not None:
-                    h = h[np.argsort(late[h >> np.uint64(40)], kind="stable")]
-                prints.append(fingerprint(text, 1, distinct=True) if late is None else 0)
+                words = (t.as_py() or "").encode().translate(_LOWER).split()
+                h = shingle_hashes(words, shingle)
                 ns.append(len(h))
-                ps.append(p)
-                keys.append(h[: p if late is not None else p + p // 2].view(np.int64))
-            columns = [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(ps, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fingerprint", "n", "p", "keys"])
+                views.append(word_fingerprints(words))
+                sketches.append(sketch(h))
+            of = np.array(views, np.uint64).reshape(-1, VIEWS).view(np.int64)
+            columns = [b.column("doc_id"), b.column("text_hash"), pa.array(ns, pa.int32()), *(pa.array(of[:, i]) for i in range(VIEWS)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return own.mapInArrow(run, "doc_id long, text_hash long, fingerprint long, n int, p int, keys array<long>")
-
-
-def shared_keys(docs: DataFrame, kinds: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(key, id, n) of the prefix keys that several texts have. Keys of more than ``COMMON`` texts go to the end of the order, so
-    that a passage in many texts is no key of those that are otherwise different; any order common to all texts finds all pairs."""
-    every = kinds.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > COMMON)
-    buckets = every.select(F.shiftrightunsigned("key", 40).cast("int").alias("k")).distinct().collect()  # at most 2^24
-    own = kinds.select("text_hash", "n", F.slice("keys", F.lit(1), F.col("p")).alias("keys"))
-    if buckets:
-        late = np.zeros(1 << 24, np.uint8)
-        late[[r["k"] for r in buckets]] = 1
-        of = kinds.sparkSession.createDataFrame([(r["k"],) for r in buckets], "k int")
-        again = kinds.select("text_hash", F.explode("keys").alias("key")).select("text_hash", F.shiftrightunsigned("key", 40).cast("int").alias("k")).join(F.broadcast(of), "k", "left_semi").select("text_hash").distinct()
-        again = written(again, "again-texts")
-        texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(again, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-        moved = keys_of(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), shingle, similarity, np.packbits(late, bitorder="little").tobytes())
-        own = own.join(again, "text_hash", "left_anti").select("text_hash", "n", "keys").unionByName(moved.select("text_hash", "n", "keys"))
-    keys = written(own.select(F.explode("keys").alias("key"), F.col("text_hash").alias("id"), "n"), "keys")
-    several = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    return written(keys.join(several, "key", "left_semi"), "shared-keys")
-
-
-def all_pairs(labelled: DataFrame, node: int) -> DataFrame:
-    """(a, b, na, nb), a > b: texts of different components that share a key. The texts of a key are cut into blocks of about
-    ``node``, and each two blocks meet by themselves, so a key that many texts have is dealt over many tasks."""
-    sizes = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    own = labelled.join(sizes.select("key", F.ceil(F.col("m") / node).cast("int").alias("blocks")), "key").withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
-    x = own.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    y = own.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    return x.join(y, ["key", "i", "j"]).where("cx <> cy AND (i < j OR x < y)")
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, node: int = NODE) -> DataFrame:
-    """doc_id, text_hash, fingerprint (of distinct single words), component_id, where texts are linked if their shingles have the
-    Jaccard similarity; equal texts always are.
-
-    All such pairs are found: two texts of that similarity share one of their prefix keys. Star steps come first: of the texts of a
-    key that are in different components, each is compared with the first one, as long as that confirms links; then all pairs
-    of different components that share a key and whose sizes allow the similarity are compared. Pairs inside a component need
-    no comparison."""
-    prints = written(keys_of(docs, shingle, similarity), "fingerprints")
-    kinds = written(prints.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("keys").alias("keys")), "distinct-texts")
-    live = shared_keys(docs, kinds, shingle, similarity)
-    ends = written(live.select("id").distinct(), "ends")
-    texts = docs.select(F.xxhash64("text").alias("id"), "text").join(ends, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    texts = written(texts, "ends-texts")
-    fits = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    tried, linked, found, last = none, none, None, False
-    while True:
-        labelled = live.withColumn("c", F.col("id"))
-        if found is not None:
-            labelled = live.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        if last:
-            pairs = all_pairs(labelled, node)
+    return own.mapInArrow(run, f"doc_id long, text_hash long, n int, {', '.join(f'v{i} long' for i in range(VIEWS))}, sketch binary")
+
+
+def dealt_in_blocks(rows: DataFrame, radius: int, node: int) -> DataFrame:
+    """(mask, i, j, side, fp, id, n, c): every row under each of its upper nodes, together and in their order. The rows of a node of over
+    ``node`` are cut into blocks of about as many, and each two blocks i <= j meet by themselves, so that no task holds more than
+    two of them; ``side`` tells the blocks. The bits under the mask are not stored, they follow from fp."""
+    every = masks(1, radius)
+    bits = lambda: F.col("fp").bitwiseAND(F.element_at(F.array(*(F.lit(_signed(m)) for m in every)), F.col("mask") + 1))
+    keyed = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("mask"), "fp", "id", "n", "c")
+    full = keyed.groupBy("mask", bits().alias("bits")).count().where(F.col("count") > node).select("mask", "bits", F.ceil(F.col("count") / node).cast("int").alias("blocks"))
+    full = written(full, "full-nodes")
+    one = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp", "id", "n", "c"]
+    if full.isEmpty():
+        out = keyed.select("mask", *one)
+    else:
+        keyed = keyed.withColumn("bits", bits())
+        inside = keyed.join(full, ["mask", "bits"]).withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
+        others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"), (k < F.col("own")).cast("int").alias("side")))
+        inside = inside.select("mask", F.explode(others).alias("p"), "fp", "id", "n", "c").select("mask", "p.i", "p.j", "p.side", "fp", "id", "n", "c")
+        out = keyed.join(full, ["mask", "bits"], "left_anti").select("mask", *one).unionByName(inside)
+    keys = [F.col("mask"), bits(), F.col("i"), F.col("j")]
+    return out.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def candidates(rows: DataFrame, radius: int, node: int, nearest: bool, similarity: float) -> DataFrame:
+    """(a, b), a > b: ids of different components (c, null: the id alone) whose fingerprints are near and whose n allow the similarity.
+
+    All of them, each from the first node that both are in; or, if ``nearest``, of each id in each node the one with the fewest
+    differing bits (and then the smallest id). rows: fp, id, n, c. Pairs leave in pieces as they are found, so a task holds two blocks."""
+    shipped(rows.sparkSession)
+    blocks, keep = BLOCKS[radius]
+    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
+    parts = [np.uint64(sum(1 << i for i in range(s, e))) for s, e in zip(cuts, cuts[1:])]
+    last_kept = np.array([kept[-1] for kept in combinations(range(blocks), keep)])
+    kept_bits = np.array(masks(1, radius), np.uint64)
+
+    def chosen(x, y, mask, fp, ids, n, c):
+        """Of the near pairs at rows x and y those to pass on; each row's nearest is sought among the pairs given."""
+        fits = (c[x] != c[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+        x, y = x[fits], y[fits]
+        differ = fp[x] ^ fp[y]
+        if nearest:
+            order = np.lexsort((ids[y], np.bitwise_count(differ), x))
+            x, y = x[order], y[order]
+            take = np.ones(len(x), bool)
+            take[1:] = x[1:] != x[:-1]
         else:
-            low = labelled.groupBy("key").agg(F.min(F.struct("c", "id", "n")).alias("low"), F.max("c").alias("high")).where("low.c < high").select("key", F.col("low.c").alias("cy"), F.col("low.id").alias("y"), F.col("low.n").alias("ny"))
-            pairs = labelled.join(low, "key").where("c <> cy").select(F.col("id").alias("x"), F.col("n").alias("nx"), "y", "ny")
-        pairs = pairs.where(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        good = written(confirmed(pairs, texts, shingle, similarity), "confirmed")
-        more = not good.isEmpty()
-        if more:
-            linked = linked.unionByName(good)
+            # the first node in which the two meet keeps the first blocks that agree
+            last = last_kept[mask[x]]
+            take = sum(((differ & parts[k]) == 0) & (k <= last) for k in range(blocks)) == keep
+        return np.maximum(ids[x], ids[y])[take], np.minimum(ids[x], ids[y])[take]
+
+    def small(start, mask, i, j, side, fp, ids, n, c):
+        """All groups without blocks and of at most ``LEAF`` rows at once; ``start``: the first row of each row's group."""
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, LEAF):
+            at = np.flatnonzero(start[step:] == start[:-step])
+            if not len(at):
+                break
+            at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
+            x, y = [*x, at], [*y, at + step]
+        x, y = np.concatenate(x), np.concatenate(y)
+        return chosen(np.r_[x, y], np.r_[y, x], mask, fp, ids, n, c) if nearest else chosen(x, y, mask, fp, ids, n, c)
+
+    def large(mask, i, j, side, fp, ids, n, c):
+        """One group, in pieces."""
+        q, t = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if i[0] != j[0] else (np.arange(len(fp)),) * 2
+        if len(q) and len(t):
+            tree = GrayTree(fp[t])
+            for at in range(0, len(q), 512):
+                x, y = tree.within(fp[q[at : at + 512]], radius)
+                x, y = q[at : at + 512][x], t[tree.order[y]]
+                if i[0] == j[0] and not nearest:
+                    x, y = x[x < y], y[x < y]
+                yield chosen(x, y, mask, fp, ids, n, c)
+
+    def groups(columns, starts, ends):
+        """Pairs of whole groups, given their rows and bounds."""
+        sizes = ends - starts
+        few = (sizes <= LEAF) & (columns[1][starts] == columns[2][starts])
+        rows_of = np.repeat(few & (sizes > 1), sizes)
+        yield small(np.repeat(starts, sizes)[rows_of], *(z[: len(rows_of)][rows_of] for z in columns))
+        for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
+            yield from large(*(z[s:e] for z in columns))
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        out, size = [], 0
+
+        def batch():
+            a, b = (np.concatenate(z) for z in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for piece in itertools.chain(batches, [None]):
+            columns = held
+            if piece is not None:
+                columns = [piece.column(k).to_numpy() for k in ("mask", "i", "j", "side", "fp", "id", "n")]
+                columns[4] = columns[4].view(np.uint64)
+                columns.append(piece.column("c").fill_null(piece.column("id")).to_numpy() if piece.column("c").null_count < len(piece) else columns[5])
+                if held:
+                    columns = [np.concatenate(z) for z in zip(held, columns)]
+            if not columns or not len(columns[0]):
+                continue
+            keys = [*columns[:3], columns[4] & kept_bits[columns[0]]]
+            changes = np.flatnonzero(np.logical_or.reduce([z[1:] != z[:-1] for z in keys])) + 1
+            starts, ends = np.r_[0, changes], np.r_[changes, len(columns[0])]
+            if piece is not None:  # the last group may go on in the next batch
+                held = [z[starts[-1] :] for z in columns]
+                starts, ends = starts[:-1], ends[:-1]
+            for found in groups(columns, starts, ends) if len(starts) else ():
+                out.append(found)
+                size += len(found[0])
+                if size >= 1 << 16:
+                    yield batch()
+                    out, size = [], 0
+        if out:
+            yield batch()
+
+    return dealt_in_blocks(rows, radius, node).mapInArrow(run, "a long, b long")
+
+
+def sketched_alike(pairs: DataFrame, kinds: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule the similarity out."""
+    shipped(pairs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in ("sa", "sb"))
+                yield b.select(["a", "b"]).filter(pa.array(alike(x, y, similarity)))
+
+    of = lambda k: kinds.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, node: int = NODE) -> DataFrame:
+    """doc_id, text_hash, fingerprint (of distinct words, the first view), component_id; texts are linked if their fingerprints of one of ``VIEWS``
+    views differ in at most ``radius`` bits and the Jaccard similarity of their shingles is at least ``similarity``. Equal texts always are.
+
+    Each view has an index of its own. In a first pass each text is compared with its nearest in each node of a narrow radius, which
+    joins groups of look-alikes; then all pairs within the radius that are still in different components are compared, so no
+    link is lost to the first pass. A comparison is by sketches first, and exact where these do not rule the similarity out."""
+    prints = written(described(docs, shingle), "fingerprints")
+    views = [f"v{i}" for i in range(VIEWS)]
+    kinds = prints.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.first(v).alias(v) for v in views))
+    # numbers once written stay; being small, they shuffle cheaper than hashes
+    kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    linked, found, tried = None, None, None
+    for nearest, within in ((True, min(FIRST, radius)), (False, radius)):
+        own = kinds.withColumn("component", F.lit(None).cast("long")) if found is None else kinds.join(found, "id", "left")
+        pairs = reduce(DataFrame.unionByName, (candidates(own.select(F.col(v).alias("fp"), "id", "n", F.col("component").alias("c")), within, node, nearest, similarity) for v in views)).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        tried = written(pairs, "candidates")
+        close = written(sketched_alike(tried, kinds, similarity), "sketched")
+        ends = written(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+        of = kinds.join(ends, "id", "left_semi").select("id", "text_hash")
+        of = written(texts.join(of, "text_hash").groupBy("id").agg(F.first("text").alias("text")), "ends-texts")
+        good = written(confirmed(close, of, shingle, similarity), "confirmed")
+        if not good.isEmpty():
+            linked = good if linked is None else linked.unionByName(good)
             found = written(components(linked), "components")
-        if last:
-            break
-        tried, last = tried.unionByName(pairs), not more
-    component = F.col("text_hash") if found is None else F.coalesce("component", "text_hash")
-    groups = kinds.select("text_hash", "rep") if found is None else kinds.select("text_hash", "rep").join(found, F.col("text_hash") == F.col("id"), "left")
-    groups = groups.select("text_hash", "rep", component.alias("c"))
-    least = groups.groupBy("c").agg(F.min("rep").alias("component_id"))
-    groups = groups.join(least, "c").select("text_hash", "component_id")
-    return prints.select("doc_id", "text_hash", "fingerprint").join(groups, "text_hash").select("doc_id", "text_hash", _hexadecimal("fingerprint"), "component_id")
+    groups = kinds.select("text_hash", "rep", F.col("id").alias("c")) if found is None else kinds.join(found, "id", "left").select("text_hash", "rep", F.coalesce("component", "id").alias("c"))
+    lowest = groups.groupBy("c").agg(F.min("rep").alias("component_id"))
+    groups = groups.join(lowest, "c").select("text_hash", "component_id")
+    return prints.select("doc_id", "text_hash", F.col("v0").alias("fingerprint")).join(groups, "text_hash").select("doc_id", "text_hash", _hexadecimal("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -164,14 +164,59 @@ def test_similar_documents_between_rejected_texts(spark):
         assert {r.doc_id: r.component_id for r in S.similar_documents(df, node=node).collect()} == want
 
 
-def test_texts_of_one_key_meet_in_blocks(spark):
-    """All texts have one key and are in components of their own, but for the first three."""
+def test_full_nodes_meet_in_blocks(spark):
+    """All rows have one of three fingerprints and are in components of their own, but for the first three."""
     n, node = 300, 16
-    rows = [(7, i, 100, 0 if i < 3 else i) for i in range(n)]
-    pairs = S.all_pairs(spark.createDataFrame(rows, "key long, id long, n int, c long"), node).select("x", "y", "i", "j").collect()
-    found = [tuple(sorted((r.x, r.y))) for r in pairs]
-    assert len(found) == len(set(found)) and set(found) == {(i, j) for i in range(n) for j in range(i + 1, n)} - {(0, 1), (0, 2), (1, 2)}
-    blocks = {}
-    for r in pairs:
-        blocks[r.i, r.j] = blocks.get((r.i, r.j), 0) + 1
-    assert max(blocks.values()) <= 9 * node * node
+    rows = [(i % 3, i, 100 if i < 290 else 200, 0 if i < 3 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "fp long, id long, n int, c long")
+    blocks = S.dealt_in_blocks(df, 7, node).groupBy("mask", "i", "j").count().agg(S.F.max("count")).first()[0]
+    assert blocks <= 3 * 3 * node  # (mask, i, j) of three nodes at most
+    for radius in (0, 1, 7):
+        found = [(r.b, r.a) for r in S.candidates(df, radius, node, False, 0.8).collect()]
+        near = lambda i, j: (i % 3 ^ j % 3).bit_count() <= radius and (i < 290) == (j < 290) and not (i < 3 and j < 3)  # noqa: E731, B023
+        assert len(found) == len(set(found)) and set(found) == {(i, j) for i in range(n) for j in range(i + 1, n) if near(i, j)}
+
+
+def test_candidates_match_brute_force(spark):
+    rnd = random.Random(9)
+    fps = clustered(rnd, 600, [rnd.getrandbits(64) for _ in range(5)], 12)
+    df = spark.createDataFrame([(S._signed(x), r, 100, None) for r, x in fps.items()], "fp long, id long, n int, c long")
+    for node in (4096, 8):
+        found = [(r.b, r.a) for r in S.candidates(df, 7, node, False, 0.8).collect()]
+        want = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 7}
+        assert len(found) == len(set(found)) and set(found) == want
+        near = {(r.b, r.a) for r in S.candidates(df, 7, node, True, 0.8).collect()}
+        assert near <= want and (node == 8 or {i for e in near for i in e} == {i for e in want for i in e})
+
+
+def test_many_texts_of_one_fingerprint(spark):
+    """20,000 texts of the same words: no task holds more than two blocks, and pairs that sketches rule out are not compared."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(rnd.sample(words, 60)) for i in range(20_000)}
+    for i in range(100):
+        texts[20_000 + i] = texts[i] + " w1"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = spark.createDataFrame([(7, i, 56, i // 100) for i in range(20_000)], "fp long, id long, n int, c long")
+    assert S.dealt_in_blocks(rows, 3, 1024).groupBy("mask", "i", "j").count().agg(S.F.max("count")).first()[0] <= 3 * 1024
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df.where("doc_id < 300 OR doc_id >= 20000"), node=64).collect()}
+    assert all(got[20_000 + i] == i for i in range(100)) and len(set(got.values())) == 300
+
+
+def test_recall_on_given_documents(spark):
+    """Pairs of similarity 0.8 or more among the given documents, found by shingles in common."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts, first = {}, {}
+    for r in docs.orderBy("doc_id").collect():
+        if first.setdefault(r.text, r.doc_id) == r.doc_id:
+            texts[r.doc_id] = r.text
+    sets = {i: {*zip(*((t or "").lower().split()[k:] for k in range(5)))} for i, t in texts.items()}
+    shared = {}
+    for i, s in sets.items():
+        for g in s:
+            shared.setdefault(g, []).append(i)
+    pairs = {(a, b) for l in shared.values() if 1 < len(l) < 200 for a in l for b in l if a < b}  # noqa: E741
+    similar = {(a, b) for a, b in pairs if S.jaccard(texts[a], texts[b], 5) >= 0.8}
+    got = {r.doc_id: r.component_id for r in S.similar_documents(docs).collect()}
+    assert similar and sum(got[a] == got[b] for a, b in similar) >= 0.9 * len(similar)
+    assert all(got[i] == got[first[t]] for i, t in ((r.doc_id, r.text) for r in docs.collect()))
