@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, bind, written
+from ._common import WORD, bind, positional, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 RULES = ("repeats", "symbols", "exclaims", "capitals", "function_words", "word_length", "variety", "sentences")
@@ -159,5 +159,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its own columns only."""
-    return rated(docs, docs.columns).where("q_kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with its own columns only, whatever their names. Null and empty texts fail the base test, so an
+    all-null table gives no rows; repeated rows share a verdict."""
+    own, c = positional(docs)
+    rows = rated(own.withColumn("text", F.col(c["text"])), [*c.values()])
+    return rows.where("q_kept").select(*(F.col(at).alias(name) for name, at in c.items()))
