@@ -20,10 +20,13 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 UNASSIGNED = "͸"
 
 
-def default_path(name: str) -> str:
+def resolved(path: str) -> str:
+    """The file itself. A bare name is one of the public vocabularies, looked up on the machine that asks, driver or executor."""
+    if "/" in path:
+        return path
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return public_tokenizers.path(path)
 
 
 @lru_cache(1)
@@ -148,12 +151,12 @@ def library_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_file(resolved(path))
 
 
 @lru_cache(4)
 def load(path: str) -> MergeTable:
-    with open(path, encoding="utf-8") as f:
+    with open(resolved(path), encoding="utf-8") as f:
         spec = json.load(f)
     model, pre, norm = spec["model"], spec["pre_tokenizer"], spec["normalizer"]
     if model["type"] != "BPE" or model.get("byte_fallback") or model.get("ignore_merges"):

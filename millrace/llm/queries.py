@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import arrow_output, decontaminate, licenses, line_templates, pii, quality, sharding, simhash, token_counts, transducer
 from ._common import benchmark, documents
-from .bpe_tables import default_path
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transducer.digests(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
+    return transducer.digests(documents(spark, sf_dir), "byte_bpe_50k.json")
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +21,7 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
+    return token_counts.count_tokens(documents(spark, sf_dir), "word_bpe_49k.json")
 
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arrow_output.round_trip(spark, documents(spark, sf_dir), default_path("word_bpe_49k.json"), end_id=1)
+    return arrow_output.round_trip(spark, documents(spark, sf_dir), "word_bpe_49k.json", end_id=1)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Operator 1: BPE encoding and decoding as streaming transducers.
 
-Encoding reads a text pre-token by pre-token. A pre-token longer than the window goes through the merge rules in windows:
-the merge list's *sufficient lookahead* (``bpe_tables.sufficient_lookahead``) says how many bytes beyond a position settle
-the token boundaries before it, so tokens that end at least that far before the window's end are stable, are emitted, and
-only the rest stays. Ids leave in blocks. What a task holds is one window, one block of ids and a bounded cache of
-short pre-tokens, whatever the text's length.
+Every pre-token goes through ``Transducer``: bytes in, tokens out once they are stable. The merge list's *sufficient lookahead*
+(``bpe_tables.sufficient_lookahead``, computed from the merges) says how many bytes beyond a position settle the token
+boundaries before it; tokens that end at least that far before the end of what has arrived leave, the rest is held, and the end of
+the pre-token releases it. So a transducer holds a window of a few lookaheads, whatever a pre-token's length. Texts are read in
+stretches cut at spaces where a pre-token ends, ids leave in blocks, and caches of what the transducer gave for short pre-tokens and words
+stand before it, bounded in number and length.
 
 Decoding feeds ids into ``ByteToText``, an incremental UTF-8 state machine that keeps at most three bytes; malformed bytes
 become U+FFFD as in the tokenizers library.
 
-Defined results: null text counts as empty (no ids; both digests those of the empty string); repeated rows each give a row;
-further columns are ignored; an empty table gives an empty result.
+Defined results: null text counts as empty (no ids; both digests those of the empty string; ``encode_documents`` gives an empty list);
+null ids decode to null; repeated rows each give a row; further columns are ignored by ``digests`` and kept by the others,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +32,8 @@ from pyspark.sql import functions as F
 from . import bpe_tables
 from ._common import TwoGenerations, shipped
 
-#: Pre-tokens of up to WHOLE characters are merged in one window and cached, CACHED of them and of words at most a worker;
-#: texts over BLOCK characters are read BLOCK pre-tokens at a time.
-WHOLE, CACHED, BLOCK = 256, 250_000, 65_536
+#: Characters of a stretch of text that is read at once, and entries of each cache of a worker.
+STRETCH, CACHED = 65_536, 250_000
 #: In place of a rank: no rule for this pair.
 _NONE = 1 << 62
 
@@ -41,14 +42,41 @@ class _Irregular(Exception):
     """A run of white space at a cut between words: the text has to be cut by the pattern itself."""
 
 
+class Transducer:
+    """One pre-token after another: ``feed`` takes its bytes in parts of any size and gives the tokens that are stable by then,
+    ``finish`` the others. What is held is bounded by the lookahead and the size of a part."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.ahead, self.held = encoder, encoder.table.lookahead, b""
+
+    def feed(self, part: bytes) -> list[int]:
+        self.held += part
+        if len(self.held) <= 2 * self.ahead:
+            return []
+        lengths, at, done = self.encoder.table.token_bytes, 0, []
+        for token in self.encoder.merge_bytes(self.held, ends=False):
+            end = at + len(lengths[token])
+            if end + self.ahead > len(self.held):
+                break
+            at = end
+            done.append(token)
+        self.held = self.held[at:]
+        return done
+
+    def finish(self) -> list[int]:
+        rest, self.held = self.held, b""
+        return self.encoder.merge_bytes(rest)
+
+
 class Encoder:
     """Text to blocks of token ids (little-endian unsigned 32-bit)."""
 
     def __init__(self, table: bpe_tables.MergeTable):
         self.table = table
-        self.piece = TwoGenerations(self._encode_piece, CACHED)
+        self.piece = TwoGenerations(lambda piece: b"".join(map(_pack, self.stream_piece([piece.encode()]))), CACHED)
         self.word = TwoGenerations(self._encode_word, CACHED)
         self.high = [i << 32 for i in table.first]
+        self.transducer = Transducer(self)
 
     def merge(self, symbols: list[int], ranks: list[int]) -> list[int]:
         """All merges of one bounded window: the lowest rank first, and of that rank from left to right."""
@@ -71,67 +99,58 @@ class Encoder:
         pairs = map(or_, map(self.high.__getitem__, data), symbols[1:])
         return self.merge(symbols, list(map(self.table.merges.get, pairs, repeat(_NONE))))
 
-    def _encode_piece(self, piece: str) -> bytes:
-        if len(piece) <= WHOLE:
-            return _pack(self.merge_bytes(self.table.fold(piece).encode()))
-        return b"".join(map(_pack, self._long(piece, 0, len(piece))))
-
     def _encode_word(self, word: str) -> bytes:
         """What stands between two single spaces, the first of which belongs to it."""
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Irregular
         return b"".join(map(self.piece.__getitem__, self.table.pieces(f" {word}")))
 
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.table.pieces(text)))
-
     def stream_piece(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
-        """Stable tokens of one pre-token that arrives in parts of any size."""
-        ahead, lengths, held = self.table.lookahead, self.table.token_bytes, b""
+        """Tokens of one pre-token that arrives in parts of any size."""
+        window = 2 * self.table.lookahead
         for part in parts:
-            held += part
-            if len(held) < 4 * ahead:
-                continue
-            at, done = 0, []
-            for token in self.merge_bytes(held, ends=False):
-                at += len(lengths[token])
-                if at + ahead > len(held):
-                    at -= len(lengths[token])
-                    break
-                done.append(token)
-            held = held[at:]
-            yield done
-        if held:
-            yield self.merge_bytes(held)
-
-    def _long(self, text: str, start: int, end: int) -> Iterator[list[int]]:
-        step = 8 * self.table.lookahead
-        return self.stream_piece(text[i : min(end, i + step)].encode() for i in range(start, end, step))
+            for at in range(0, len(part), window):
+                yield self.transducer.feed(part[at : at + window])
+        yield self.transducer.finish()
+
+    def _running(self, text: str) -> Iterator[bytes]:
+        """Ids of a text pre-token by pre-token; those too long for the cache leave window by window."""
+        spans, longest = self.table.spans(text), self.piece.longest
+        while some := list(islice(spans, STRETCH)):
+            for a, b in some:
+                if b - a <= longest:
+                    yield self.piece[text[a:b]]
+                else:
+                    yield from map(_pack, self.stream_piece(text[i : min(b, i + STRETCH)].encode() for i in range(a, b, STRETCH)))
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        """The text cut before single spaces between words, where no pre-token goes on."""
+        at = 0
+        while len(text) - at > STRETCH:
+            cut = text.rfind(" ", at + 1, at + STRETCH)
+            while cut > at and (text[cut - 1].isspace() or text[cut + 1].isspace()):
+                cut = text.rfind(" ", at + 1, cut)
+            if cut <= at:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
 
     def blocks(self, text: str) -> Iterator[bytes]:
-        """The ids of a whole text, in blocks. No pre-token goes on from other characters into a space, so texts of
-        ordinary length are cut there and whole words looked up; a longer text is read pre-token by pre-token."""
+        """The ids of a whole text, in blocks."""
         t = self.table
         for special, part in t.segments(text):
             if special:
                 yield _pack([t.special[part]])
-            elif len(part) <= BLOCK:
-                first, *words = part.split(" ")
+                continue
+            for stretch in self._stretches(t.fold(part)):
+                first, *words = stretch.split(" ")
                 try:
-                    if not first or first[-1].isspace():
+                    if first[-1:].isspace() or len(stretch) > STRETCH:
                         raise _Irregular
-                    ids = self._pieces(first) + b"".join(map(self.word.__getitem__, words))
+                    yield b"".join(map(self.piece.__getitem__, t.pieces(first))) + b"".join(map(self.word.__getitem__, words))
                 except _Irregular:
-                    ids = self._pieces(part)
-                yield ids
-            else:
-                spans = t.spans(part)
-                while some := list(islice(spans, BLOCK)):
-                    for a, b in some:
-                        if b - a <= WHOLE:
-                            yield self.piece[part[a:b]]
-                        else:
-                            yield from map(_pack, self._long(part, a, b))
+                    yield from self._running(stretch)
 
 
 def _pack(ids: list[int]) -> bytes:

@@ -2,11 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from millrace.llm import arrow_output, bpe_tables, token_counts, transducer
 
-BYTE, WORD = bpe_tables.default_path("byte_bpe_50k.json"), bpe_tables.default_path("word_bpe_49k.json")
+BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 ALPHABETS = ["ab", "aе", "ABCdeilnorst", "-=_", "!?.", " \n\t", "the anding", "日本語あ", "٣٤0123", ".. \n", "'sSt re'll d", "ͅ՘\U00011de0 a1", "ΣΑσς İß", "é éa", "\x1c\x1d a\x85b\xa0", "x", "<|endoftext|>"]
 
 
@@ -40,6 +41,45 @@ def test_long_pre_tokens_stream():
     assert transducer.encode(s, BYTE) == bpe_tables.library_tokenizer(BYTE).encode(s, add_special_tokens=False).ids
 
 
+def test_long_pre_tokens_are_folded():
+    s = "X" * 5_000 + " " + "É" * 3_000 + "\tAb " * 200
+    assert transducer.encode(s, WORD) == bpe_tables.library_tokenizer(WORD).encode(s, add_special_tokens=False).ids
+
+
+def test_every_pre_token_of_given_texts_goes_through_the_transducer():
+    """Without caches: the machine is fed each pre-token, gives each token once, and these are the library's."""
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
+    enc, t, seen = transducer.Encoder(bpe_tables.load(BYTE)), bpe_tables.library_tokenizer(BYTE), [0, 0, 0]
+    enc.piece, enc.word = transducer.TwoGenerations(enc.piece.make, 1, -1), transducer.TwoGenerations(enc.word.make, 1, -1)
+    feed, finish = enc.transducer.feed, enc.transducer.finish
+
+    def counting(f, at):
+        def g(*a):
+            out = f(*a)
+            seen[at] += len(out)
+            seen[2] += at
+            return out
+
+        return g
+
+    enc.transducer.feed, enc.transducer.finish = counting(feed, 0), counting(finish, 1)
+    n_tokens = n_pieces = 0
+    for s in [*filter(None, rows), "ab" * 2_000 + " x"]:
+        ids = np.frombuffer(b"".join(enc.blocks(s)), "<u4").tolist()
+        assert ids == t.encode(s, add_special_tokens=False).ids
+        n_tokens, n_pieces = n_tokens + len(ids), n_pieces + len(enc.table.pieces(s))
+    assert seen[0] > 1_000 and seen[0] + seen[1] == n_tokens and seen[2] == n_pieces
+
+
+def test_stretches_cut_nothing_apart():
+    rnd = random.Random(2)
+    enc, t = transducer.encoder(BYTE), bpe_tables.library_tokenizer(BYTE)
+    for _ in range(5):
+        s = "".join(rnd.choice(["ab", " ", "  ", "\n", ".", "é", "12"]) for _ in range(120_000))
+        assert "".join(enc._stretches(s)) == s and max(map(len, enc._stretches(s))) <= transducer.STRETCH
+        assert transducer.encode(s, BYTE) == t.encode(s, add_special_tokens=False).ids
+
+
 def test_streaming_equals_one_window():
     """Stable tokens of parts of any size are those of the whole, for random merge lists of few symbols."""
     rnd = random.Random(9)
