@@ -160,10 +160,23 @@ class StreamFile:
             start, n = start + len(out[-1]), n - len(out[-1])
         return out[0] if len(out) == 1 else np.concatenate(out)
 
-    def documents(self):
-        with self.fs.open_input_stream(f"{self.path}.index") as f:
-            for batch in ipc.open_stream(f):
-                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def in_order(uri: str):
+    """(doc_id, start, n_tokens, ids) of each document of a file, read from front to back: a batch or two at a time."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as source, fs.open_input_stream(f"{path}.index") as index:
+        flats = (b.column("ids").flatten().to_numpy() for b in ipc.open_stream(source))
+        flat, at = np.empty(0, np.uint16), 0
+        for batch in ipc.open_stream(index):
+            for doc_id, start, n in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = []
+                while n > sum(map(len, parts)):
+                    if at == len(flat):
+                        flat, at = next(flats), 0
+                    parts.append(flat[at : at + n - sum(map(len, parts))])
+                    at += len(parts[-1])
+                yield doc_id, start, n, np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
 def write_stream_files(docs: DataFrame, path: str, end_id: int, to: str, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
@@ -201,21 +214,19 @@ def write_stream_files(docs: DataFrame, path: str, end_id: int, to: str, length:
 
 
 def read_stream_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files, each of which is read by a task of its own."""
 
     def run(batches):
         for b in batches:
             for uri, first in zip(b.column("uri").to_pylist(), b.column("first_token").to_pylist()):
-                f, docs = StreamFile(uri), None
-                docs = f.documents()
-                while some := list(itertools.islice(docs, 10_000)):
-                    doc_id, start, n = zip(*some)
-                    crc = [zlib.crc32(f.ids(s, k).astype("<u4").tobytes()) for s, k in zip(start, n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc_id, [s + first for s in start], n, crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                docs = in_order(uri)
+                while some := list(itertools.islice(((d, s + first, n, zlib.crc32(ids.astype("<u4").tobytes())) for d, s, n, ids in docs), 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shipped(manifest.sparkSession)
-    files = manifest.select("uri", "first_token")
-    return files.repartition("uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # files are numbered, so ranges of their numbers deal out one to a task
+    files = manifest.select("file", "uri", "first_token").repartitionByRange(max(manifest.count(), 1), "file")
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
