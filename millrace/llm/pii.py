@@ -1,14 +1,16 @@
 """Operator 8: personal data by candidates and gradient boosting, in DataFrame operations only.
 
 Base spans are found by strict patterns and validators. High-recall generators propose further, overlapping spans: spelled-out
-addresses, number groups, and long mixed tokens. Each candidate has yes/no features of its format and its context. Boosted
-two-level trees learn to tell candidates that a strict rule confirms (a validated base format, a key word such as "password =",
-a known key prefix, a spelled-out address under a known top-level domain) from the rest; for each generator the score from which held-out candidates are
-right with ``PRECISION`` becomes its threshold. Selected candidates are added if they overlap no selected one of an earlier
-generator and no base span (a long token may: digits inside a key can look like a card).
+addresses, number groups, and long mixed tokens. A candidate has two views. Evidence labels it, or leaves it open: what stands before it (a key
+word such as "password =", a contact word, the plus of an international number), a known prefix or top-level domain, or that it is
+something else (a card, an internet address, a date, part of a longer word, words joined by hyphens). Its format gives yes/no features, none of which is that
+evidence. Boosted two-level trees learn from the labelled candidates which formats are personal, and are applied to all, so a
+national phone number or a key without any key word before it is found if its format is that of confirmed ones. Scores are calibrated to probabilities by
+isotonic regression over held-out candidates; those of ``PROBABLE`` or more are selected. They are added if they overlap no
+selected one of an earlier generator and no base span (a long token may: digits inside a key can look like a card).
 
-The trees are fitted to counts of (generator, feature pattern, label, held out) over the candidates of all documents: at most
-``3 * 2**12 * 4`` rows, whatever the number of documents, and no sample. They are applied as SQL conditions.
+The trees are fitted to counts of (generator, feature pattern, label, held out) over the labelled candidates of all documents: at most
+``3 * 2**14 * 4`` rows, whatever the number of documents, and no sample. They are applied as SQL conditions.
 
 Positions are code points from 0, ends exclusive. Matches are marked in the text and cut out by ``split``; starts are running
 sums of the lengths before them.
@@ -24,10 +26,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import positional, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-PRECISION, ROUNDS, RATE = 0.95, 24, 0.3
+PROBABLE, ROUNDS, RATE = 0.9, 24, 0.3
 
 _MARK, _LOCAL, _LABEL = "\x01", "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Pattern of each base kind. Possessive quantifiers and the guards in front only spare attempts that cannot succeed.
@@ -46,23 +48,29 @@ GENERATORS = {
 #: What a text must hold for a pattern to be tried at all; each follows from the pattern.
 _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "spelled": r"(?i)[\[( ]at[\]) ]", "token": "[0-9]|[A-Z]{16}", "number": "[0-9]"}
 CONTEXT_BEFORE, CONTEXT_AFTER = 24, 4
-_KEY = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20\"'=:]{1,4}$"
 
-#: Yes/no features of a candidate: columns match, before, after.
+#: Yes/no features of a candidate's format, as patterns.
 FEATURES = {
-    "mostly_digits": "2 * length(regexp_replace(match, '[^0-9]', '')) > length(match)",
-    "separators": r"match RLIKE '[\\x20().-]'",
-    "long": "length(match) >= 20",
-    "very_long": "length(match) >= 32",
-    "hexadecimal": "match RLIKE '^[0-9a-f]+$'",
-    "capitals_digits": "match RLIKE '^[0-9A-Z]+$'",
-    "mixed_case": "match RLIKE '[a-z]' AND match RLIKE '[A-Z]'",
-    "after_key_word": None,
-    "after_contact_word": r"before RLIKE '(?i)(tel|phone|call|fax|mobile|mail|contact)[\\x20.:=]{0,3}$'",
-    "opens_as_number": r"match RLIKE '^[(+]' OR before RLIKE '[+]$'",
-    "quoted": r"before RLIKE '[\"=\\x27]$'",
-    "stands_alone": r"(before = '' OR before RLIKE '[\\x20\\t\\n\\r]$') AND (after = '' OR after RLIKE '^[\\x20\\t\\n\\r.,;:!?)]')",
+    "digits_only": r"^[0-9\x20().-]+$",
+    "separators": r"[\x20().-]",
+    "long": "^.{20}",
+    "very_long": "^.{32}",
+    "hexadecimal": "^[0-9a-f]+$",
+    "capitals_digits": "^[0-9A-Z]+$",
+    "mixed_case": "^(?=.*[a-z]).*[A-Z]",
+    "letter_run": "(?i)[a-z]{5}",
+    "area_code": "[(][0-9]{2,5}[)]",
+    "ends_in_four": r"[0-9]{3}[\x20.-][0-9]{4}$",
+    "short_groups": "^[0-9]{1,3}(?:[.-][0-9]{1,3}){2,}$",
+    "bracketed_at": r"(?i)[\[(]at[\])]",
+    "bracketed_dot": r"(?i)[\[(]dot[\])]",
+    "spoken_dot": r"(?i)\x20dot\x20",
 }
+# Words before personal data, prefixes of keys, and top-level domains.
+KEY_WORD = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20\"'=:]{1,4}$"
+CONTACT_WORD = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|reach|write|ring)(?:[\x20.:=]|\x20me|\x20us|\x20to|\x20at|\x20on){0,3}[\x20.:=]{0,3}$"
+KEY_PREFIX = "^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)"
+DOMAIN = "(?i)(?:com|org|net|edu|gov|io|de|fr|es|uk)$"
 
 
 def _digits(x: Column) -> Column:
@@ -125,17 +133,32 @@ def spans(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base", F.coalesce(checked, F.lit(False))).drop("i", "gap")
 
 
+def labels() -> dict[str, tuple[Column, Column]]:
+    """For each generator, what confirms a candidate and what rules it out; where neither holds it has no label."""
+    match, before, after = F.col("match"), F.col("before"), F.col("after")
+    n = F.length(_digits(match))
+    plus = before.rlike(r"\+$") | before.rlike(r"\+[0-9]{1,3}[\x20(]*$")
+    contact = before.rlike(CONTACT_WORD)
+    address = match.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+    card = F.when(match.rlike(r"^[0-9]([\x20-]?[0-9])+$"), n.between(13, 19))
+    date = match.rlike(r"^(?:[0-9]{4}[.-][0-9]{1,2}[.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-][0-9]{4})$")
+    joined = before.rlike("[A-Za-z0-9_=/]$") | after.rlike("^[A-Za-z0-9_]")
+    return {
+        "spelled": (match.rlike(DOMAIN) & (match.rlike(r"(?i)[\[(](?:at|dot)[\])]|\x20dot\x20") | contact), ~match.rlike(DOMAIN) & ~match.rlike(r"(?i)[\[(](?:at|dot)[\])]|\x20dot\x20")),
+        "token": (before.rlike(KEY_WORD) | match.rlike(KEY_PREFIX), match.rlike("^[0-9+/_-]+$") | match.rlike("(?i)[a-z]{3,}[-_/][a-z]{2,}[-_/][a-z]{2,}") | before.rlike(r"(?i)(?:://|www\.)[^\x20]*$")),
+        "number": ((plus | contact) & n.between(7, 15) & ~address, address | F.coalesce(card, F.lit(False)) | date | joined | ~n.between(7, 15)),
+    }
+
+
 def featured(rows: DataFrame) -> DataFrame:
-    """Feature pattern (bits), weak label and held-out mark of the generators' candidates."""
-    of = {k: F.expr(sql) if sql else F.col("before").rlike(_KEY) for k, sql in FEATURES.items()}
-    pattern = sum((F.coalesce(c, F.lit(False)).cast("int") * (1 << j) for j, c in enumerate(of.values())), F.lit(0))
-    label = (
-        F.when(F.col("found_by") == "token", F.col("before").rlike(_KEY) | F.col("match").rlike("^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)"))
-        .when(F.col("found_by") == "number", (F.col("before").rlike(r"\+$") | F.col("before").rlike(r"\+[0-9]{1,3}[\x20(]*$")) & F.length(_digits(F.col("match"))).between(7, 15))
-        .when(F.col("found_by") == "spelled", F.col("match").rlike(r"(?i)[\[(]at[\])]|\sdot\s|[\[(]dot") & F.col("match").rlike("(?i)(?:com|org|net|edu|gov|io|de|fr|es|uk)$"))
-    )
+    """Feature pattern (bits), label (null: none) and held-out mark of the generators' candidates."""
+    pattern = sum((F.col("match").rlike(x).cast("int") * (1 << j) for j, x in enumerate(FEATURES.values())), F.lit(0))
+    label = F.lit(None).cast("boolean")
+    for g, (yes, no) in labels().items():
+        yes, no = F.coalesce(yes, F.lit(False)), F.coalesce(no, F.lit(False))
+        label = F.when(F.col("found_by") == g, F.when(yes & ~no, True).when(no & ~yes, False)).otherwise(label)
     candidate = F.col("found_by").isin(*GENERATORS)
-    return rows.withColumn("pattern", F.when(candidate, pattern)).withColumn("label", F.when(candidate, F.coalesce(label, F.lit(False)))).withColumn("held", F.when(candidate, F.xxhash64("match") % 4 == 0))
+    return rows.withColumn("pattern", F.when(candidate, pattern)).withColumn("label", label).withColumn("held", F.when(candidate, F.xxhash64("match") % 4 == 0))
 
 
 def boost(counts: dict[tuple[int, bool], int]) -> list[tuple[int, int, int, tuple[float, float, float, float]]]:
@@ -182,18 +205,25 @@ def raw_score(trees, pattern: int) -> float:
     return round(sum(v[(2 + (pattern >> b & 1)) if pattern >> root & 1 else (pattern >> a & 1)] for root, a, b, v in trees), 6)
 
 
-def threshold(trees, held: dict[tuple[int, bool], int]) -> float:
-    """Lowest score from which held-out candidates are right with PRECISION (one wrong one is added to each count); inf: none."""
+def calibrated(trees, held: dict[tuple[int, bool], int]) -> list[tuple[float, float]]:
+    """(score, probability) of held-out candidates by isotonic regression, scores ascending: neighbouring scores whose shares of right ones
+    do not ascend are pooled. One wrong candidate is added to each pool, so that few of them do not make a certainty."""
     by: dict[float, list[int]] = {}
     for (p, label), n in held.items():
         by.setdefault(raw_score(trees, p), [0, 0])[label] += n
-    right = wrong = 0
-    out = math.inf
-    for s in sorted(by, reverse=True):
-        wrong, right = wrong + by[s][0], right + by[s][1]
-        if right and right >= PRECISION * (right + wrong + 1):
-            out = s
-    return out
+    pools: list[list] = []  # least score, wrong, right
+    for s in sorted(by):
+        pools.append([s, *by[s]])
+        while len(pools) > 1 and pools[-2][2] * (pools[-1][1] + pools[-1][2]) >= pools[-1][2] * (pools[-2][1] + pools[-2][2]):
+            _, wrong, right = pools.pop()
+            pools[-1][1] += wrong
+            pools[-1][2] += right
+    return [(s, right / (wrong + right + 1)) for s, wrong, right in pools]
+
+
+def threshold(trees, held: dict[tuple[int, bool], int]) -> float:
+    """Lowest score whose calibrated probability is ``PROBABLE``; inf: none."""
+    return min((s for s, p in calibrated(trees, held) if p >= PROBABLE), default=math.inf)
 
 
 def score_column(trees) -> Column:
@@ -207,7 +237,7 @@ def score_column(trees) -> Column:
 def selected(docs: DataFrame) -> DataFrame:
     """Rows (row, doc_id, text_hash, kind, start, end, base, chosen): all candidates, chosen where base or added; nulls for none."""
     rows = written(featured(spans(docs)), "candidates")
-    counts = rows.where("pattern IS NOT NULL").groupBy("found_by", "pattern", "label", "held").count().collect()  # bounded by the features
+    counts = rows.where("label IS NOT NULL").groupBy("found_by", "pattern", "label", "held").count().collect()  # bounded by the features
     chosen = F.col("base")
     for g in GENERATORS:
         fit = {(r["pattern"], r["label"]): r["count"] for r in counts if r["found_by"] == g and not r["held"]}
@@ -242,16 +272,19 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets; of overlapping spans the first and longest counts."""
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; of overlapping spans the first and longest counts. All rows
+    and columns stay, whatever their names; null texts stay null."""
     rows = selected(docs).where("chosen").groupBy("doc_id", "text_hash", "start").agg(F.max(F.struct("end", "kind")).alias("s")).select("doc_id", "text_hash", "start", "s.end", "s.kind")
     before = Window.partitionBy("doc_id", "text_hash").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
     # a span inside earlier ones goes, one that reaches beyond them starts where they end
     rows = rows.where(F.col("end") > F.col("covered")).withColumn("start", F.greatest("start", "covered"))
     of = rows.groupBy(F.col("doc_id").alias("r_doc_id"), F.col("text_hash").alias("r_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("r_spans"))
-    joined = docs.join(of, docs["doc_id"].cast("long").eqNullSafe(of["r_doc_id"]) & (F.xxhash64(docs["text"]) == of["r_hash"]), "left")
+    own, c = positional(docs)
+    text = F.col(c["text"])
+    joined = own.join(of, own[c["doc_id"]].cast("long").eqNullSafe(of["r_doc_id"]) & (F.xxhash64(text) == of["r_hash"]), "left")
     last = lambda i: F.when(i > 0, F.get("r_spans", i - 1)["end"]).otherwise(F.lit(0))
-    pieces = F.transform("r_spans", lambda s, i: F.concat(F.substring(docs["text"], (last(i) + 1).cast("int"), (s["start"] - last(i)).cast("int")), F.lit("["), s["kind"], F.lit("]")))
-    rest = F.substring(docs["text"], (F.element_at("r_spans", -1)["end"] + 1).cast("int"), F.length(docs["text"]))
-    text = F.when(F.col("r_spans").isNull(), docs["text"]).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
+    pieces = F.transform("r_spans", lambda s, i: F.concat(F.substring(text, (last(i) + 1).cast("int"), (s["start"] - last(i)).cast("int")), F.lit("["), s["kind"], F.lit("]")))
+    rest = F.substring(text, (F.element_at("r_spans", -1)["end"] + 1).cast("int"), F.length(text))
+    new = F.when(F.col("r_spans").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return joined.select(*((new if name == "text" else F.col(at)).alias(name) for name, at in c.items()))

@@ -74,3 +74,58 @@ def test_redaction(spark):
     out = {(r.doc_id, r.text, r.kind) for r in P.redact(df).collect()}
     assert P.redact(df).columns == df.columns
     assert out == {(1, "mail é [email] or [phone], [ip]", "k"), (2, "nothing here", "k"), (None, "[email]", None), (3, None, "k"), (4, "[email] z", "k")}
+
+
+def planted(seed, n=400):
+    """(text, personal spans): international numbers, keys after key words and spelled-out addresses; the same formats without any such
+    evidence; and cards, versions, dates, measures and joined words, which are not personal."""
+    rnd = random.Random(seed)
+    d = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    hexa = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    out = []
+    for i in range(n):
+        kind, evident = i % 5, i % 3 > 0
+        before, after = "some old words stand ", " and others follow"
+        if kind == 0:
+            number = f"({d(3)}) 555-{d(4)}"
+            before, x, personal = before + ("call " if evident and i % 2 else ""), number, "phone"
+            if evident and not i % 2:
+                before, x = before + "+", f"{rnd.randrange(1, 10)} {number}"
+        elif kind == 1:
+            before, x, personal = before + ('token = "' if evident else ""), hexa() + "abc1", "secret"
+        elif kind == 2:
+            x, personal = f"{rnd.choice(['ann', 'bob', 'cy'])}{d(2)} [at] mill{d(1)} [dot] {'com' if evident else 'museum'}", "email"
+        elif kind == 3:
+            x, personal = rnd.choice([f"9{d(15)}", f"2021-0{rnd.randrange(1, 9)}-1{rnd.randrange(9)}", f"10.{d(2)}.300.{d(2)}"]), None
+        else:
+            x, personal = rnd.choice([f"north-by-the-old-{d(2)}-river-mill-road", f"see at home.{rnd.choice(['Then', 'Now', 'There'])}"]), None
+        out.append((f"{before}{x}{after}", (personal, len(before), len(before) + len(x)) if personal else None, evident))
+    return out
+
+
+def test_added_spans_go_beyond_the_evidence(spark):
+    rows = planted(3)
+    out = run(spark, [t for t, *_ in rows])
+    right = wrong = missed = beyond = 0
+    for i, (text, want, evident) in enumerate(rows):
+        got = {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in out[i].spans.split(",") if x)}
+        hit = want and any(k == want[0] and a < want[2] and b > want[1] for k, a, b in got)
+        right, missed = right + bool(hit), missed + bool(want and not hit)
+        wrong += len(got) - bool(hit)
+        beyond += bool(hit and not evident)
+    assert beyond >= 40 and right >= 0.95 * (right + missed) and right >= 0.95 * (right + wrong)
+
+
+def test_calibration_ascends():
+    trees = [(0, 0, 0, (-1.0, 0.0, 0.0, 1.0)), (1, 1, 1, (-0.5, 0.0, 0.0, 0.5))]
+    held = {(3, True): 90, (3, False): 1, (1, True): 5, (1, False): 5, (2, True): 8, (2, False): 2, (0, False): 50}
+    found = P.calibrated(trees, held)
+    assert [s for s, _ in found] == sorted(s for s, _ in found) and [p for _, p in found] == sorted(p for _, p in found)
+    assert P.threshold(trees, held) == 1.5 and P.threshold(trees, {(0, False): 9}) == float("inf")
+
+
+def test_redaction_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", "x", 7), (2, None, "y", 8), (None, "", "z", 9)], "doc_id long, text string, r_spans string, start int")
+    out = P.redact(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} == {(1, "mail [email] now", "x", 7), (2, None, "y", 8), (None, "", "z", 9)}
+    assert P.redact(df.limit(0)).count() == 0 and P.find(df.limit(0)).count() == 0
