@@ -1,3 +1,5 @@
+import duckdb
+
 from millrace.llm import licenses as L
 
 
@@ -35,3 +37,34 @@ def test_awkward_rows(spark):
     out = sorted((str(r.doc_id), r.license) for r in L.scan(df).collect())
     assert out == [("1", "MIT"), ("1", "MIT"), ("2", "MIT"), ("None", "MIT")]
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_headers_titles_identifiers_and_whole_texts(spark):
+    mit = "Copyright (c) 2020 Foo\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+    bare = mit.split("\n\n")[1]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    rows = {
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "Copyright (c) 2020 Foo Inc. All rights reserved.": "Proprietary",
+        gpl: "GPL-3.0", gpl.replace("\n", " "): "GPL-3.0", gpl.replace("version 3", "version 2"): "GPL-2.0", "Mozilla Public License Version 2.0": "MPL-2.0", mit: "MIT", bare: "MIT", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991": "GPL-2.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "LGPL-3.0", "Apache License\n Version 2.0, January 2004": "Apache-2.0", ("one two three four five six " * 20) + "Licensed under the Apache License, Version 2.0. " + ("seven eight nine ten " * 30): "Apache-2.0",
+        FILLER + gpl + "\n" + FILLER: "GPL-3.0", "a license to print money is not what one gets from copyright": None,
+    }
+    got = run(spark, [(i, f"d{i}/x.c", t) for i, t in enumerate([*rows, *[FILLER] * 1000])])
+    assert {t: got[i][0] for i, t in enumerate(rows)} == rows
+
+
+def test_ties(spark):
+    """Two licences stated equally often in a directory: the first name counts; equal cosines: the first template."""
+    rows = [(1, "a/LICENSE", "Released under the MIT License.\n" + FILLER), (2, "a/COPYING", "Licensed under CC BY-NC 4.0.\n" + FILLER), (3, "a/x.c", FILLER), (4, "b/y.c", "Licensed under CC BY 4.0.\nLicensed under CC BY-SA 4.0.")]
+    got = run(spark, rows)
+    assert got[3][1] == "CC-BY-NC-4.0" and got[4][0] == "CC-BY-4.0"
+
+
+def test_sql_agrees(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    key = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    want = sorted(map(key, con.execute(L.oracle()).fetchall()))
+    got = sorted(key(r) for r in L.scan(L.with_paths(spark.read.parquet(f"{folder}/documents.parquet"))).collect())
+    assert [r[0] for r in got] == [r[0] for r in want] and got == want
