@@ -1,21 +1,24 @@
 """Operator 2: line dedup by a log-template tree.
 
 Every line is parsed to a fixed depth: tokens with digits become fields, then the number of tokens and the first ``LEAD`` tokens
-name a leaf. In a leaf that lines of enough documents reach, a token position is a field if it takes more than ``VALUES``
-values; a line's template keeps its other tokens, provided they are at least the share ``FIXED`` of all (else the line with its
-number fields is its own template). Templates that recur across documents are dropped from all of them.
+name a leaf. In a leaf that lines of enough documents reach, the support of a token at a position is the number of different lines
+that have it there. The share ``FIXED`` of a line's tokens with most support are constants, and so are others with at least the
+share ``RARE`` of the support of the last of them; the rest vary and become fields, whatever unrelated lines share the leaf.
+Templates that recur across documents are dropped from all of them.
 
-Documents are counted by sketches of the rest of their text (the least hash of its three-word shingles, in four orders), which
-exact copies and nearly all near copies of a document share: a template recurs if at least ``DOCUMENTS`` different sketches of
-one order have it, and they are at least the share ``APART`` of the distinct texts that have it. So the lines of copied
-documents are left to document dedup, which keeps one of them.
+Documents count as independent by sketches of the rest of their text (the least hash of its three-word shingles, in four orders), which
+exact copies share and near copies nearly always share in some order. A template recurs in as many documents as there are texts that
+share no sketch of any order with another text that has the template, plus one for each group that does (the least number of shared sketches of an
+order). These must be at least ``DOCUMENTS`` (``LONG_DOCUMENTS`` for templates of ``LONG`` tokens or more), and at least the share ``APART`` of
+the texts that have it, since of very many near copies some share no sketch by chance. So the lines of copied documents are
+left to document dedup, which keeps one of them, while a line of many documents goes even if some of these are copied.
 
-Lines are reduced to hashes in one pass; counts, leaves and fields are partial aggregates and equi-joins on those, so a line or
-leaf that very many documents share costs one row for each task. Line text is only read again for leaves that count.
+Lines are reduced to hashes in one pass; counts, leaves and supports are partial aggregates and equi-joins on those. A line or
+leaf that very many documents share is dealt over ``SALT`` keys where rows of documents meet it. Line text is only read again for leaves that count.
 
 Defined results: one row for each row of documents, with ``text`` less the dropped lines (their line ends too); null text stays
 null; lines without a word are never dropped and a text without drops stays as it is; rows of equal doc_id and text are treated
-alike; other columns stay, whatever their names, but ``n_chars``, where there is one, follows a changed text.
+alike; other columns stay, whatever their names, but ``n_chars``, where there is one, follows a changed text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import shipped, written
+from ._common import positional, shipped, written
 
-LEAD, VALUES, FIXED = 3, 3, 0.6
-DOCUMENTS, APART = 5, 0.5
+LEAD, FIXED, RARE = 3, 0.6, 0.5
+DOCUMENTS, LONG_DOCUMENTS, LONG, APART = 5, 3, 8, 0.01
+#: Keys over which a line or leaf is dealt.
+SALT = 16
 FIELD = "<*>"
 #: Names of a line's sketches and the bits turned over in each order of hashes.
 SKETCHES, TURNS = ("s0", "s1", "s2", "s3"), (0, 0xFFFFFFFFFFFFFFFF, 0x5555555555555555, 0xAAAAAAAAAAAAAAAA)
@@ -120,53 +124,68 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     return written(own.mapInArrow(run, ", ".join(f"{n} {'string' if n == 'masked' else 'long'}" for n in names)), "lines")
 
 
+def having(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ``some`` (distinct keys, with columns to add); each key is dealt over ``SALT``, as any one may have
+    a large part of the rows."""
+    dealt = some.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    return rows.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64(text_hash, line), {SALT}) AS INT)")).join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def templates(lines: DataFrame) -> DataFrame:
-    """(line, template, template_text) of every line whose leaf lines of ``DOCUMENTS`` texts reach."""
-    leaves = written(lines.select("leaf", "text_hash").distinct().groupBy("leaf").count().where(F.col("count") >= DOCUMENTS).select("leaf"), "leaves")
-    distinct = lines.select("leaf", "line", "masked").join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
-    distinct = written(distinct.withColumn("tokens", F.split("masked", " ")).drop("masked"), "leaf-lines")
-    values = distinct.select("leaf", F.posexplode("tokens").alias("at", "token")).distinct().groupBy("leaf", "at").count()
-    fields = values.where(F.col("count") > VALUES).groupBy("leaf").agg(F.sort_array(F.collect_list("at")).alias("fields"))  # as many as a line has tokens
-    with_fields = distinct.join(fields, "leaf", "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<int>")))
-    general = F.transform("tokens", lambda t, i: F.when(F.array_contains("fields", i), FIELD).otherwise(t))
-    enough = F.size("tokens") - F.size("fields") >= FIXED * F.size("tokens")
-    text = F.array_join(F.when(enough, general).otherwise(F.col("tokens")), " ")
-    return with_fields.select("line", F.xxhash64("leaf", text).alias("template"), text.alias("template_text"))
+    """(line, template, template_text) of every line whose leaf lines of ``LONG_DOCUMENTS`` texts reach."""
+    leaves = written(lines.select("leaf", "text_hash").distinct().groupBy("leaf").count().where(F.col("count") >= LONG_DOCUMENTS).select("leaf"), "leaves")
+    own = having(lines.select("leaf", "line", "masked", "text_hash"), leaves, "leaf").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
+    own = written(own.withColumn("tokens", F.split("masked", " ")).drop("masked"), "leaf-lines")
+    at = own.select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
+    support = at.groupBy("leaf", "at", "token").agg(F.count("*").alias("support"))
+    # a token of one line only need not meet its line again
+    shared = at.join(support.where("support > 1"), ["leaf", "at", "token"]).groupBy("leaf", "line").agg(F.map_from_entries(F.collect_list(F.struct("at", "support"))).alias("shared"))  # as many as a line has tokens
+    rows = own.join(shared, ["leaf", "line"], "left").withColumn("supports", F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at("shared", i), F.lit(1).cast("long"))))
+    least = RARE * F.element_at(F.sort_array("supports", asc=False), F.ceil(FIXED * F.size("tokens")).cast("int"))
+    general = F.zip_with("tokens", "supports", lambda t, n: F.when(n < F.col("least"), FIELD).otherwise(t))
+    text = F.array_join(general, " ")
+    return rows.withColumn("least", least).select("line", F.xxhash64("leaf", text).alias("template"), text.alias("template_text"))
 
 
 def recurring(lines: DataFrame) -> DataFrame:
-    """(line, template, template_text, sketches, texts) of the lines to drop."""
+    """(line, template, template_text, documents, texts) of the lines to drop."""
     of = written(templates(lines), "templates")
-    counts = (
-        lines.select("line", *SKETCHES, "text_hash")
-        .join(of.select("line", "template"), "line")
-        .groupBy("template")
-        .agg(F.greatest(*map(F.count_distinct, SKETCHES)).alias("sketches"), F.count_distinct("text_hash").alias("texts"))
-        .where((F.col("sketches") >= DOCUMENTS) & (F.col("sketches") >= APART * F.col("texts")))
-    )
-    return of.join(counts, "template").select("line", "template", "template_text", "sketches", "texts")
+    floor = F.when(F.size(F.split("template_text", " ")) >= LONG, LONG_DOCUMENTS).otherwise(DOCUMENTS)
+    rows = having(lines.select("line", *SKETCHES, "text_hash"), of.select("line", "template"), "line").groupBy("template", "text_hash").agg(*(F.min(s).alias(s) for s in SKETCHES))
+    rows = written(rows, "template-texts")
+    texts = written(rows.groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= LONG_DOCUMENTS), "several")
+    rows = rows.join(texts.select("template"), "template")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(s).alias("s")) for k, s in enumerate(SKETCHES)))).alias("e")
+    by_sketch = rows.select("template", "text_hash", each).groupBy("template", "e.k", "e.s").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash"))
+    by_sketch = written(by_sketch, "template-sketches")
+    alone = by_sketch.where("n = 1").groupBy("template", "text_hash").count().where(F.col("count") == len(SKETCHES)).groupBy("template").agg(F.count("*").alias("alone"))
+    groups = by_sketch.where("n > 1").groupBy("template", "k").count().groupBy("template").agg(F.when(F.count("*") == len(SKETCHES), F.min("count")).otherwise(0).alias("groups"))
+    found = texts.join(alone, "template", "left").join(groups, "template", "left").withColumn("documents", F.coalesce("alone", F.lit(0)) + F.coalesce("groups", F.lit(0)))
+    found = of.join(found, "template").where((F.col("documents") >= floor) & (F.col("documents") >= APART * F.col("texts")))
+    return found.select("line", "template", "template_text", "documents", "texts")
 
 
 def drop_recurring_lines(docs: DataFrame, count: str | None = None) -> DataFrame:
     """``docs`` without recurring lines; ``count`` names a column for the number of lines dropped."""
     lines = parsed_lines(docs)
-    found = written(recurring(lines).select("line"), "recurring")
-    drops = lines.select("doc_id", "text_hash", "at", "line").join(found, "line", "left_semi").groupBy(F.col("doc_id").alias("l_doc_id"), F.col("text_hash").alias("l_hash")).agg(F.array_distinct(F.collect_list("at")).alias("l_drops"))
+    found = written(recurring(lines).select("line").distinct(), "recurring")
+    drops = having(lines.select("doc_id", "text_hash", "at", "line"), found, "line").groupBy(F.col("doc_id").alias("l_doc_id"), F.col("text_hash").alias("l_hash")).agg(F.array_distinct(F.collect_list("at")).alias("l_drops"))
     drops = written(drops, "drops")
+    own, c = positional(docs)
+    text = c["text"]
     # merged at every size: whether this side could be broadcast depends on how much of the corpus is boilerplate
-    joined = docs.join(drops.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(drops["l_doc_id"]) & (F.xxhash64(docs["text"]) == drops["l_hash"]), "left")
-    own = joined.select(*(docs[c] for c in docs.columns), F.coalesce("l_drops", F.array().cast("array<bigint>")).alias("l_drops"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("l_drops", T.ArrayType(T.LongType()))])
+    joined = own.join(drops.hint("merge"), own[c["doc_id"]].cast("long").eqNullSafe(drops["l_doc_id"]) & (F.xxhash64(text) == drops["l_hash"]), "left")
+    own = joined.select(*c.values(), F.coalesce("l_drops", F.array().cast("array<bigint>")).alias("l_drops"))
 
     def run(batches):
         for b in batches:
             texts = []
-            for t, drop in zip(b.column("text"), b.column("l_drops")):
-                text, gone = t.as_py(), set(drop.as_py())
-                texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
-            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-
-    out = own.mapInArrow(run, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("l_drops") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn(count, F.size("l_drops").cast("long")).drop("l_drops") if count else out.drop("l_drops")
+            for t, drop in zip(b.column(text), b.column("l_drops")):
+                whole, gone = t.as_py(), set(drop.as_py())
+                texts.append("\n".join(x for i, x in enumerate(whole.split("\n")) if i not in gone) if gone else whole)
+            yield b.set_column(b.schema.get_field_index(text), text, pa.array(texts, pa.string()))
+
+    out = own.mapInArrow(run, own.schema)
+    if "n_chars" in c:
+        out = out.withColumn(c["n_chars"], F.when(F.size("l_drops") > 0, F.length(text)).otherwise(F.col(c["n_chars"])).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(at).alias(name) for name, at in c.items()), *([F.size("l_drops").cast("long").alias(count)] if count else []))
