@@ -9,9 +9,11 @@ that covers at least ``COVERAGE`` of the item's windows is a candidate. For item
 slot values are then aligned, each on the diagonals of the matches that hold it: the same value of the item must stand for the same value in the document throughout, so
 re-parameterised questions count and chance template matches do not. Names that follow one another are one placeholder.
 
-Windows with fewer than ``LITERALS`` literal words (short ones: half as many) are no evidence and are left out on the benchmark side. Items with no
-usable window, such as those of under ``WINDOW`` words, match nothing. The benchmark side is broadcast only if its windows
-are counted and at most ``BROADCAST_ROWS``; beyond that it is a shuffled join.
+Windows with fewer than ``LITERALS`` literal words (short ones: half as many) are no evidence and are left out on the benchmark side. An
+item that has only such windows, of numbers and names mostly, is compared by windows of its words with their values, so it is found
+as it stands. Items of ``SHORT`` to ``WINDOW`` - 1 words have short windows only, all of which must be found; those of fewer words match nothing, since
+three words say nothing of where they come from. The benchmark side is broadcast only if its windows are counted and at
+most ``BROADCAST_ROWS``; beyond that it is a shuffled join, in which a window that very many documents hold is dealt over ``SALT`` keys.
 
 Defined results: one row for each contaminated (doc_id, item_id), with its best diagonal. Null and empty texts match nothing;
 rows with the same doc_id count as one document if their texts are equal, else each is compared; null doc_ids are compared too;
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import written
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
-SHORT, SHORT_ITEM, BAND = 4, 24, 8
+SHORT, SHORT_ITEM, BAND, SALT = 4, 24, 8, 16
 BROADCAST_ROWS = 1_000_000
 
 # Common unit names and signs.
@@ -53,22 +55,26 @@ def template(word: Column) -> Column:
     return F.when(word.startswith(MARK), F.substring(word, 1, 2)).otherwise(word)
 
 
-def windows(tokens: Column, size: int = WINDOW) -> Column:
-    """Hash of each window of template words, in order (none: empty)."""
-    hashes = F.transform(tokens, lambda t: F.xxhash64(template(t)))
+def windows(tokens: Column, size: int = WINDOW, values: bool = False) -> Column:
+    """Hash of each window of template words (or of words with their values), in order (none: empty)."""
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t if values else template(t)))
     of = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size)))))
     return F.when(F.size(tokens) < size, F.array().cast("array<bigint>")).otherwise(of[0])
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, item_words, size, n_windows (usable ones of that size), at, h: usable windows of each distinct item."""
+    """item_id, size, values, n_windows (usable ones of that size), needed (how many must be found), at, h: usable windows of each distinct item."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item_words")).distinct()
     out = None
     for size in (WINDOW, SHORT):
         literal = lambda i: F.size(F.filter(F.slice("item_words", i + 1, size), lambda t: ~t.startswith(MARK))) >= LITERALS * size // WINDOW  # noqa: E731, B023
-        own = rows if size == WINDOW else rows.where((F.size("item_words") >= WINDOW) & (F.size("item_words") < SHORT_ITEM))
-        own = own.withColumn("ws", F.filter(F.transform(windows(F.col("item_words"), size), lambda h, i: F.struct(h.alias("h"), i.alias("at"))), lambda w: literal(w["at"])))
-        own = own.select("item_id", "item_words", F.lit(size).alias("size"), F.size("ws").alias("n_windows"), F.explode("ws").alias("w")).select("item_id", "item_words", "size", "n_windows", "w.at", "w.h")
+        indexed = lambda w: F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+        n = F.size("item_words")
+        own = rows if size == WINDOW else rows.where((n >= SHORT) & (n < SHORT_ITEM))
+        own = own.withColumn("ws", F.filter(indexed(windows(F.col("item_words"), size)), lambda w: literal(w["at"]))).withColumn("values", F.size("ws") == 0)
+        own = own.withColumn("ws", F.when(F.col("values"), indexed(windows(F.col("item_words"), size, True))).otherwise(F.col("ws")))
+        needed = F.when(n < WINDOW, F.size("ws")).otherwise(COVERAGE * F.size("ws"))
+        own = own.select("item_id", F.lit(size).alias("size"), "values", F.size("ws").alias("n_windows"), needed.cast("double").alias("needed"), F.explode("ws").alias("w")).select("item_id", "size", "values", "n_windows", "needed", "w.at", "w.h")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -77,27 +83,30 @@ def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Candidates (doc_id, text_hash, item_id, size, shift, first_word, hits, n_windows, coverage); hits are (at, shift) of the matches."""
     bench = written(item_windows(items), "item-windows")
     small = bench.count() <= BROADCAST_ROWS
-    side = bench.select("item_id", "size", "n_windows", "at", "h")
+    kinds = {(WINDOW, False)} | {tuple(r) for r in bench.select("size", "values").distinct().collect()}  # at most four
     # the words are used more than once in the windows, so they are a column of their own, computed once
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     hits = None
-    for size in (WINDOW, SHORT):
-        of = side.where(F.col("size") == size)
-        if size == SHORT and of.isEmpty():
-            break
-        at = own.select("doc_id", "text_hash", F.posexplode(windows(F.col("w"), size)).alias("pos", "h")).join(F.broadcast(of) if small else of, "h")
+    for size, values in sorted(kinds):
+        of = bench.where((F.col("size") == size) & (F.col("values") == values)).drop("values")
+        at = own.select("doc_id", "text_hash", F.posexplode(windows(F.col("w"), size, values)).alias("pos", "h"))
+        if small:
+            at = at.join(F.broadcast(of), "h")
+        else:
+            dealt = of.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+            at = at.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(text_hash, pos), {SALT}) AS INT)")).join(dealt, ["h", "salt"]).drop("salt")
         hits = at if hits is None else hits.unionByName(at)
     hits = hits.withColumn("shift", F.col("pos") - F.col("at"))
     # the diagonal itself, and the two bands it is in, which overlap by half
     bands = F.array(*(F.struct(F.lit(k).alias("k"), at.cast("long").alias("band")) for k, at in enumerate((F.col("shift"), F.floor(F.col("shift") / BAND), F.floor((F.col("shift") + BAND // 2) / BAND)))))
-    of = hits.select("doc_id", "text_hash", "item_id", "size", "n_windows", "at", "shift", F.explode(bands).alias("b"))
+    of = hits.select("doc_id", "text_hash", "item_id", "size", "n_windows", "needed", "at", "shift", F.explode(bands).alias("b"))
     return (
         of.groupBy("doc_id", "text_hash", "item_id", "size", "b")
-        .agg(F.count_distinct("at").alias("matched"), F.min("shift").alias("shift"), F.min(F.struct("at", "shift")).alias("first"), F.max("n_windows").alias("n_windows"), F.sort_array(F.collect_set(F.struct("at", "shift"))).alias("hits"))
+        .agg(F.count_distinct("at").alias("matched"), F.min("shift").alias("shift"), F.min(F.struct("at", "shift")).alias("first"), F.max("n_windows").alias("n_windows"), F.max("needed").alias("needed"), F.sort_array(F.collect_set(F.struct("at", "shift"))).alias("hits"))
         .withColumn("coverage", F.col("matched") / F.col("n_windows"))
-        .where(F.col("coverage") >= COVERAGE)
+        .where(F.col("matched") >= F.col("needed"))
         .withColumn("first_word", F.col("first.at") + F.col("first.shift"))
-        .drop("b", "first", "matched")
+        .drop("b", "first", "matched", "needed")
     )
 
 

@@ -56,3 +56,59 @@ def test_words_put_in_and_longer_names(spark):
     docs = [(1, put_in), (2, " ".join(w[:at] + w[at + 1 :])), (3, long.replace("Tom", "Mary Ann")), (4, changed), (5, PLAIN.upper())]
     got = found(spark, docs, [(0, long), (1, " ".join(short))])
     assert got == {(1, 0): "verbatim", (2, 0): "verbatim", (3, 0): "re-parameterised", (4, 1): "verbatim", (5, 1): "verbatim"}
+
+
+def test_short_items_and_items_of_numbers(spark):
+    items = [(0, "Name seven moons of Saturn"), (1, "two three four"), (2, "12 + 30 = 42 and 7 x 6 = 42 or 84 / 2"), (3, "What is it called here then")]
+    docs = [(1, "quiz: Name seven moons of Saturn, please"), (2, "name seven suns of Saturn"), (3, "so 12 + 30 = 42 and 7 x 6 = 42 or 84 / 2 it is"), (4, "so 13 + 30 = 43 and 8 x 6 = 48 or 84 / 3 it is"), (5, "one two three four five"), (6, "what is it called"), (7, "they asked: what is it called here then?")]
+    assert found(spark, docs, items) == {(1, 0): "verbatim", (3, 2): "verbatim", (7, 3): "verbatim"}
+
+
+def brute(docs, items):
+    """(doc, item) pairs by loops over all windows, given lists of words."""
+    template = lambda w: tuple(t[:2] if t.startswith(D.MARK) else t for t in w)
+    out = set()
+    for j, item in items.items():
+        for size in (D.WINDOW, D.SHORT):
+            if size == D.SHORT and not D.SHORT <= len(item) < D.SHORT_ITEM:
+                continue
+            cut = lambda w: [w[i : i + size] for i in range(len(w) - size + 1)]  # noqa: E731, B023
+            usable = [(i, template(w)) for i, w in enumerate(cut(item)) if sum(not t.startswith(D.MARK) for t in w) >= D.LITERALS * size // D.WINDOW]
+            values = not usable
+            usable = usable or [(i, tuple(w)) for i, w in enumerate(cut(item))]
+            needed = len(usable) if len(item) < D.WINDOW else D.COVERAGE * len(usable)
+            for d, doc in docs.items():
+                own = [tuple(w) if values else template(w) for w in cut(doc)]
+                hits = [(i, p - i) for i, w in usable for p, x in enumerate(own) if w == x]
+                groups = {}
+                for i, shift in hits:
+                    for band in ((0, shift), (1, shift // D.BAND), (2, (shift + D.BAND // 2) // D.BAND)):
+                        groups.setdefault(band, set()).add((i, shift))
+                for of in groups.values():
+                    if len({i for i, _ in of}) >= needed and consistent(item, doc, sorted(of), size):
+                        out.add((d, j))
+    return out
+
+
+def consistent(item, doc, hits, size):
+    stands = {}
+    get = lambda k: doc[k] if 0 <= k < len(doc) else None
+    for at, value in enumerate(item):
+        if not value.startswith(D.MARK) or not hits[0][0] <= at < hits[-1][0] + size:
+            continue
+        holding = {s for i, s in hits if i <= at < i + size}
+        if not holding:
+            near = {s for _, s in [h for h in hits if h[0] <= at][-1:] + [h for h in hits if h[0] > at][:1]}
+            holding = near if len(near) == 1 else {s for s in near if (get(at + s) or "")[:2] == value[:2]}
+        for s in holding:
+            stands.setdefault(value, set()).add(get(at + s))
+    return all(len(v) == 1 for v in stands.values())
+
+
+def test_given_documents_match_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("length(text) < 30000")
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    words = lambda df, key: {r[0]: r[1] for r in df.select(key, D.words(df.text)).collect()}
+    want = brute(words(docs, "doc_id"), words(items, "item_id"))
+    assert want and {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} == want
