@@ -7,7 +7,7 @@ Index (figures for radius 2): the distinct fingerprints go under *upper nodes*,
 hold more than ``NODE`` fingerprints is replaced by its children, whose masks keep two of four 8-bit blocks of what was free,
 and then two of four 4-bit blocks; with 8 free bits a node has 256 distinct fingerprints at most. So no group of look-alikes
 ends up in one task, and rows grow in proportion to fingerprints (6, 36 or 216 for each). Wider radii take more masks of fewer
-bits (120 of 19 for radius 7) and no children: a full node's rows meet in blocks there (``dealt_in_blocks``). Below a node, fingerprints lie in
+bits (120 of 19 for radius 7) and no children: a full node's rows meet in blocks there (``in_blocks``). Below a node, fingerprints lie in
 Gray order, in which neighbours share long bit patterns; blocks of them form a tree whose inner nodes hold the mask and value
 of the bits that all below have in common. A search goes down the tree with the differences to these patterns added up
 and leaves out a whole group as soon as they exceed the radius. Each node's task passes on one link from a fingerprint to
@@ -33,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shipped, written
+from ._common import positional, shipped, written
 
 SHINGLE, RADIUS = 3, 2
 #: Fingerprints under an upper node before its children take over, parts of an inner node of the tree, and fingerprints that are
 #: compared without a tree.
 NODE, FAN, LEAF = 4096, 16, 32
-#: Of ``similar_documents``: fingerprints of a text, radius of its first pass, bytes of a sketch, and standard deviations of its estimate.
-VIEWS, FIRST, BINS, SURE = 2, 3, 128, 4
+#: Of ``similar_documents``: fingerprints of a text, bytes of a sketch, standard deviations by which an estimate
+#: must be off to rule something out, and the part of all shingles (one in ``PART``) of the first count.
+VIEWS, BINS, SURE, PART = 2, 128, 4, 8
+#: Shingles of a block of texts that are compared by a task.
+BLOCK = 1 << 18
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -282,19 +285,6 @@ def jaccard(a: str | None, b: str | None, shingle: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar enough. texts: id, text, one row each."""
-    shipped(edges.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            near = [jaccard(x.as_py(), y.as_py(), shingle) >= similarity for x, y in zip(batch.column("ta"), batch.column("tb"))]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    both = edges.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text's words, the ones that ``jaccard`` compares."""
     import xxhash
@@ -342,79 +332,106 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_hash, n (distinct shingles), v0, v1 (fingerprints of distinct words) and sketch of every whole text."""
+    """doc_id, text_hash, n (distinct shingles), v0, v1 (fingerprints of distinct words), sketch and some (the shingles' hashes in one of ``PART``
+    parts of their range) of every whole text."""
     shipped(docs.sparkSession)
-    names = ["doc_id", "text_hash", "n", *(f"v{i}" for i in range(VIEWS)), "sketch"]
+    names = ["doc_id", "text_hash", "n", *(f"v{i}" for i in range(VIEWS)), "sketch", "some"]
 
     def run(batches):
         for b in batches:
-            ns, views, sketches = [], [], []
+            ns, views, sketches, some = [], [], [], []
             for t in b.column("text"):
                 words = (t.as_py() or "").encode().translate(_LOWER).split()
                 h = shingle_hashes(words, shingle)
                 ns.append(len(h))
                 views.append(word_fingerprints(words))
                 sketches.append(sketch(h))
+                some.append(h[: np.searchsorted(h, np.uint64((1 << 64) // PART))].view(np.int64))
             of = np.array(views, np.uint64).reshape(-1, VIEWS).view(np.int64)
-            columns = [b.column("doc_id"), b.column("text_hash"), pa.array(ns, pa.int32()), *(pa.array(of[:, i]) for i in range(VIEWS)), pa.array(sketches, pa.binary())]
+            columns = [b.column("doc_id"), b.column("text_hash"), pa.array(ns, pa.int32()), *(pa.array(of[:, i]) for i in range(VIEWS)), pa.array(sketches, pa.binary()), pa.array(some, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return own.mapInArrow(run, f"doc_id long, text_hash long, n int, {', '.join(f'v{i} long' for i in range(VIEWS))}, sketch binary")
+    return own.mapInArrow(run, f"doc_id long, text_hash long, n int, {', '.join(f'v{i} long' for i in range(VIEWS))}, sketch binary, some array<long>")
 
 
-def dealt_in_blocks(rows: DataFrame, radius: int, node: int) -> DataFrame:
-    """(mask, i, j, side, fp, id, n, c): every row under each of its upper nodes, together and in their order. The rows of a node of over
-    ``node`` are cut into blocks of about as many, and each two blocks i <= j meet by themselves, so that no task holds more than
-    two of them; ``side`` tells the blocks. The bits under the mask are not stored, they follow from fp."""
-    every = masks(1, radius)
-    bits = lambda: F.col("fp").bitwiseAND(F.element_at(F.array(*(F.lit(_signed(m)) for m in every)), F.col("mask") + 1))
-    keyed = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("mask"), "fp", "id", "n", "c")
-    full = keyed.groupBy("mask", bits().alias("bits")).count().where(F.col("count") > node).select("mask", "bits", F.ceil(F.col("count") / node).cast("int").alias("blocks"))
-    full = written(full, "full-nodes")
-    one = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp", "id", "n", "c"]
-    if full.isEmpty():
-        out = keyed.select("mask", *one)
-    else:
-        keyed = keyed.withColumn("bits", bits())
-        inside = keyed.join(full, ["mask", "bits"]).withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
-        others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"), (k < F.col("own")).cast("int").alias("side")))
-        inside = inside.select("mask", F.explode(others).alias("p"), "fp", "id", "n", "c").select("mask", "p.i", "p.j", "p.side", "fp", "id", "n", "c")
-        out = keyed.join(full, ["mask", "bits"], "left_anti").select("mask", *one).unionByName(inside)
-    keys = [F.col("mask"), bits(), F.col("i"), F.col("j")]
-    return out.repartition(*keys).sortWithinPartitions(*keys)
-
-
-def candidates(rows: DataFrame, radius: int, node: int, nearest: bool, similarity: float) -> DataFrame:
-    """(a, b), a > b: ids of different components (c, null: the id alone) whose fingerprints are near and whose n allow the similarity.
-
-    All of them, each from the first node that both are in; or, if ``nearest``, of each id in each node the one with the fewest
-    differing bits (and then the smallest id). rows: fp, id, n, c. Pairs leave in pieces as they are found, so a task holds two blocks."""
+def in_blocks(rows: DataFrame, keys: list[str], blocks: DataFrame) -> DataFrame:
+    """The rows with columns i, j, side: of groups (``keys``) with a number of ``blocks`` (others have one), each two blocks i <= j meet by
+    themselves, so that no task holds more than two of them; ``side`` tells the blocks."""
+    own = rows.join(blocks, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"), (k < F.col("own")).cast("int").alias("side")))
+    return own.withColumn("p", F.explode(others)).select(*rows.columns, "p.i", "p.j", "p.side")
+
+
+def whole_groups(batches, columns: list[str], keys: int):
+    """(columns, starts, ends) of whole groups from sorted batches: arrays of rows, and the bounds of each run of equal values of the
+    first ``keys`` of them. What is held back is one group."""
+    held: list[np.ndarray] = []
+    for piece in itertools.chain(batches, [None]):
+        own = held
+        if piece is not None:
+            own = [piece.column(k).to_numpy(zero_copy_only=False) for k in columns]
+            if held:
+                own = [np.concatenate(z) for z in zip(held, own)]
+        if not own or not len(own[0]):
+            continue
+        changes = np.flatnonzero(np.logical_or.reduce([z[1:] != z[:-1] for z in own[:keys]])) + 1
+        starts, ends = np.r_[0, changes], np.r_[changes, len(own[0])]
+        if piece is not None:  # the last group may go on in the next batch
+            held = [z[starts[-1] :] for z in own]
+            starts, ends = starts[:-1], ends[:-1]
+        if len(starts):
+            yield own, starts, ends
+
+
+def edge_batches(found):
+    """Record batches of the edges (a, b) that come in pieces."""
+    out, size = [], 0
+    for a, b in found:
+        out.append((a, b))
+        size += len(a)
+        if size >= 1 << 16:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b"])
+            out, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b"])
+
+
+def star(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each of the rows that the pairs (x, y) join to the smallest id among those joined with it."""
+    rows, at = np.unique(np.r_[x, y], return_inverse=True)
+    own = ids[rows]
+    low = local_groups(own, at[: len(x)], at[len(x) :])
+    return own[low != own], low[low != own]
+
+
+def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> DataFrame:
+    """(a, b), a > b: edges that join the same ids as all pairs do whose fingerprints are near, whose n shingles, ``shared`` of which other texts
+    have too, allow the similarity, and whose sketches do not rule it out. rows: fp, id, n, shared, sketch.
+
+    Each pair is looked at in the first node that both are in. A node passes on one edge for each id (a large one, for each 512 of its ids), not its pairs."""
     shipped(rows.sparkSession)
     blocks, keep = BLOCKS[radius]
     cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
     parts = [np.uint64(sum(1 << i for i in range(s, e))) for s, e in zip(cuts, cuts[1:])]
     last_kept = np.array([kept[-1] for kept in combinations(range(blocks), keep)])
-    kept_bits = np.array(masks(1, radius), np.uint64)
-
-    def chosen(x, y, mask, fp, ids, n, c):
-        """Of the near pairs at rows x and y those to pass on; each row's nearest is sought among the pairs given."""
-        fits = (c[x] != c[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
-        x, y = x[fits], y[fits]
-        differ = fp[x] ^ fp[y]
-        if nearest:
-            order = np.lexsort((ids[y], np.bitwise_count(differ), x))
-            x, y = x[order], y[order]
-            take = np.ones(len(x), bool)
-            take[1:] = x[1:] != x[:-1]
-        else:
-            # the first node in which the two meet keeps the first blocks that agree
-            last = last_kept[mask[x]]
-            take = sum(((differ & parts[k]) == 0) & (k <= last) for k in range(blocks)) == keep
-        return np.maximum(ids[x], ids[y])[take], np.minimum(ids[x], ids[y])[take]
-
-    def small(start, mask, i, j, side, fp, ids, n, c):
-        """All groups without blocks and of at most ``LEAF`` rows at once; ``start``: the first row of each row's group."""
+    every = masks(1, radius)
+
+    def chosen(x, y, mask, fp, ids, n, shared, sketches):
+        """The pairs of rows among x and y that count."""
+        differ, last = fp[x] ^ fp[y], last_kept[mask[x]]
+        common = np.minimum(shared[x], shared[y])
+        # the first node in which the two meet keeps the first blocks that agree
+        take = sum(((differ & parts[k]) == 0) & (k <= last) for k in range(blocks)) == keep
+        take &= common >= similarity * (n[x] + n[y] - common) - 1e-9
+        x, y = x[take], y[take]
+        for at in range(0, len(x), 1 << 16):
+            p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+            near = alike(sketches[p], sketches[q], similarity)
+            yield p[near], q[near]
+
+    def small(start, mask, fp, ids, *of):
+        """All groups of at most ``LEAF`` rows at once; ``start``: the first row of each row's group."""
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for step in range(1, LEAF):
             at = np.flatnonzero(start[step:] == start[:-step])
@@ -422,109 +439,146 @@ def candidates(rows: DataFrame, radius: int, node: int, nearest: bool, similarit
                 break
             at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
             x, y = [*x, at], [*y, at + step]
-        x, y = np.concatenate(x), np.concatenate(y)
-        return chosen(np.r_[x, y], np.r_[y, x], mask, fp, ids, n, c) if nearest else chosen(x, y, mask, fp, ids, n, c)
+        for p, q in chosen(np.concatenate(x), np.concatenate(y), mask, fp, ids, *of):
+            yield star(ids, p, q)
 
-    def large(mask, i, j, side, fp, ids, n, c):
+    def large(cross, side, mask, fp, ids, *of):
         """One group, in pieces."""
-        q, t = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if i[0] != j[0] else (np.arange(len(fp)),) * 2
+        q, t = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(fp)),) * 2
         if len(q) and len(t):
             tree = GrayTree(fp[t])
             for at in range(0, len(q), 512):
                 x, y = tree.within(fp[q[at : at + 512]], radius)
                 x, y = q[at : at + 512][x], t[tree.order[y]]
-                if i[0] == j[0] and not nearest:
+                if not cross:
                     x, y = x[x < y], y[x < y]
-                yield chosen(x, y, mask, fp, ids, n, c)
-
-    def groups(columns, starts, ends):
-        """Pairs of whole groups, given their rows and bounds."""
-        sizes = ends - starts
-        few = (sizes <= LEAF) & (columns[1][starts] == columns[2][starts])
-        rows_of = np.repeat(few & (sizes > 1), sizes)
-        yield small(np.repeat(starts, sizes)[rows_of], *(z[: len(rows_of)][rows_of] for z in columns))
-        for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
-            yield from large(*(z[s:e] for z in columns))
+                for a, b in chosen(x, y, mask, fp, ids, *of):
+                    yield star(ids, a, b)
+
+    def pairs(batches):
+        for (mask, bits, i, j, side, fp, ids, n, shared, sketches), starts, ends in whole_groups(batches, ["mask", "bits", "i", "j", "side", "fp", "id", "n", "shared", "sketch"], 4):
+            sizes = ends - starts
+            few = (sizes <= LEAF) & (i[starts] == j[starts])
+            rows_of = np.flatnonzero(np.repeat(few & (sizes > 1), sizes))
+            table = lambda at: np.frombuffer(b"".join(sketches[at]), np.uint8).reshape(-1, BINS)  # noqa: E731, B023
+            columns = [mask, fp.view(np.uint64), ids, n, shared]
+            if len(rows_of):
+                yield from small(np.repeat(starts, sizes)[rows_of], *(z[rows_of] for z in columns), table(rows_of))
+            for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
+                yield from large(i[s] != j[s], side[s:e], *(z[s:e] for z in columns), table(np.arange(s, e)))
 
     def run(batches):
-        held: list[np.ndarray] = []
-        out, size = [], 0
-
-        def batch():
-            a, b = (np.concatenate(z) for z in zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for piece in itertools.chain(batches, [None]):
-            columns = held
-            if piece is not None:
-                columns = [piece.column(k).to_numpy() for k in ("mask", "i", "j", "side", "fp", "id", "n")]
-                columns[4] = columns[4].view(np.uint64)
-                columns.append(piece.column("c").fill_null(piece.column("id")).to_numpy() if piece.column("c").null_count < len(piece) else columns[5])
-                if held:
-                    columns = [np.concatenate(z) for z in zip(held, columns)]
-            if not columns or not len(columns[0]):
+        yield from edge_batches(pairs(batches))
+
+    under = F.array(*(F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(every)))
+    keyed = rows.withColumn("k", F.explode(under)).select("k.mask", "k.bits", *rows.columns)
+    full = keyed.groupBy("mask", "bits").count().where(F.col("count") > node).select("mask", "bits", F.ceil(F.col("count") / node).cast("int").alias("blocks"))
+    full = written(full, "full-nodes")
+    dealt = keyed.select("*", *(F.lit(0).alias(c) for c in ("i", "j", "side"))) if full.isEmpty() else in_blocks(keyed, ["mask", "bits"], full)
+    keys = ["mask", "bits", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def similar_links(rows: DataFrame, shingle: int, similarity: float, radius: int, block: int = BLOCK) -> DataFrame:
+    """(a, b), a > b: edges that join the same ids as all similar pairs within a cluster do. rows: cluster, id, n, v0, v1, text. Clusters are cut into
+    blocks of about ``block`` shingles. Shingles in common are counted on bit maps of those that two texts of a task have."""
+    shipped(rows.sparkSession)
+
+    def compared(views, hashes, ids, q, t, cross):
+        sizes = np.array([len(h) for h in hashes])
+        every, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        twice = np.bincount(at) > 1
+        column = np.cumsum(twice) - 1
+        width = -(-int(twice.sum()) // 64) or 1
+        bits = np.zeros((len(ids), width * 64 // 8), np.uint8)
+        end = 0
+        for k, h in enumerate(hashes):
+            own = at[end : end + len(h)]
+            end += len(h)
+            own = column[own[twice[own]]]
+            np.bitwise_or.at(bits[k], own >> 3, (1 << (own & 7)).astype(np.uint8))
+        words = bits.view(np.uint64)
+        for row in q:
+            y = t if cross else t[t > row]
+            fits = np.minimum(sizes[y], sizes[row]) >= similarity * np.maximum(sizes[y], sizes[row]) - 1e-9
+            y = y[fits & np.logical_or.reduce([np.bitwise_count(v[y] ^ v[row]) <= radius for v in views])]
+            if not len(y):
                 continue
-            keys = [*columns[:3], columns[4] & kept_bits[columns[0]]]
-            changes = np.flatnonzero(np.logical_or.reduce([z[1:] != z[:-1] for z in keys])) + 1
-            starts, ends = np.r_[0, changes], np.r_[changes, len(columns[0])]
-            if piece is not None:  # the last group may go on in the next batch
-                held = [z[starts[-1] :] for z in columns]
-                starts, ends = starts[:-1], ends[:-1]
-            for found in groups(columns, starts, ends) if len(starts) else ():
-                out.append(found)
-                size += len(found[0])
-                if size >= 1 << 16:
-                    yield batch()
-                    out, size = [], 0
-        if out:
-            yield batch()
-
-    return dealt_in_blocks(rows, radius, node).mapInArrow(run, "a long, b long")
-
-
-def sketched_alike(pairs: DataFrame, kinds: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sketches do not rule the similarity out."""
-    shipped(pairs.sparkSession)
+            common = np.bitwise_count(words[y] & words[row]).sum(axis=1, dtype=np.int64)
+            y = y[common >= similarity * (sizes[y] + sizes[row] - common) - 1e-9]
+            if len(y):
+                yield ids[y], np.full(len(y), ids[row])
+
+    def links(batches):
+        names = ["cluster", "i", "j", "side", "id", *(f"v{k}" for k in range(VIEWS)), "text"]
+        for (_, i, j, side, ids, *views, texts), starts, ends in whole_groups(batches, names, 3):
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e - s < 2:
+                    continue
+                hashes = [shingle_hashes((t or "").encode().translate(_LOWER).split(), shingle) for t in texts[s:e]]
+                cross = i[s] != j[s]
+                q, t = (np.flatnonzero(side[s:e] == k) for k in (0, 1)) if cross else (np.arange(e - s),) * 2
+                found = list(compared([v[s:e].view(np.uint64) for v in views], hashes, ids[s:e], q, t, cross))
+                if found:
+                    a, b = (np.concatenate(z) for z in zip(*found))
+                    of = np.unique(np.r_[a, b])
+                    yield star(of, np.searchsorted(of, a), np.searchsorted(of, b))
+
+    def run(batches):
+        yield from edge_batches(links(batches))
+
+    many = rows.groupBy("cluster").agg(F.sum("n").alias("all")).where(F.col("all") > block).select("cluster", F.ceil(F.col("all") / block).cast("int").alias("blocks"))
+    dealt = in_blocks(rows, ["cluster"], many)
+    keys = ["cluster", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def alone(rows: DataFrame) -> DataFrame:
+    """id, alone: how many of the hashes (id, h), each once an id, no other id has."""
+    return rows.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def shingles_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, h) for each distinct shingle of each text (id, text)."""
+    shipped(texts.sparkSession)
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in ("sa", "sb"))
-                yield b.select(["a", "b"]).filter(pa.array(alike(x, y, similarity)))
+            for i, t in zip(b.column("id").to_pylist(), b.column("text")):
+                h = shingle_hashes((t.as_py() or "").encode().translate(_LOWER).split(), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], names=["id", "h"])
 
-    of = lambda k: kinds.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return texts.select("id", "text").mapInArrow(run, "id long, h long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, node: int = NODE) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, node: int = NODE, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, fingerprint (of distinct words, the first view), component_id; texts are linked if their fingerprints of one of ``VIEWS``
     views differ in at most ``radius`` bits and the Jaccard similarity of their shingles is at least ``similarity``. Equal texts always are.
 
-    Each view has an index of its own. In a first pass each text is compared with its nearest in each node of a narrow radius, which
-    joins groups of look-alikes; then all pairs within the radius that are still in different components are compared, so no
-    link is lost to the first pass. A comparison is by sketches first, and exact where these do not rule the similarity out."""
+    Texts with more than the share 1 - ``similarity`` of shingles that no other text has cannot be similar to any and are not indexed; this is counted
+    for a part of all shingles first (texts over the share by ``SURE`` standard deviations go), then exactly among the texts left. So a group of
+    many copies, each with changes of its own, does not meet. Each view has an index of its own. Texts that it joins, by near fingerprints
+    and sketches that do not rule the similarity out, form clusters, in each of which all pairs within the radius are compared exactly, in
+    blocks. Neither step passes on pairs, only the edges that join the same texts."""
     prints = written(described(docs, shingle), "fingerprints")
     views = [f"v{i}" for i in range(VIEWS)]
-    kinds = prints.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.first(v).alias(v) for v in views))
+    kinds = prints.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "some", *views)))
     # numbers once written stay; being small, they shuffle cheaper than hashes
     kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
-    linked, found, tried = None, None, None
-    for nearest, within in ((True, min(FIRST, radius)), (False, radius)):
-        own = kinds.withColumn("component", F.lit(None).cast("long")) if found is None else kinds.join(found, "id", "left")
-        pairs = reduce(DataFrame.unionByName, (candidates(own.select(F.col(v).alias("fp"), "id", "n", F.col("component").alias("c")), within, node, nearest, similarity) for v in views)).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = written(pairs, "candidates")
-        close = written(sketched_alike(tried, kinds, similarity), "sketched")
-        ends = written(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-        of = kinds.join(ends, "id", "left_semi").select("id", "text_hash")
-        of = written(texts.join(of, "text_hash").groupBy("id").agg(F.first("text").alias("text")), "ends-texts")
-        good = written(confirmed(close, of, shingle, similarity), "confirmed")
-        if not good.isEmpty():
-            linked = good if linked is None else linked.unionByName(good)
-            found = written(components(linked), "components")
-    groups = kinds.select("text_hash", "rep", F.col("id").alias("c")) if found is None else kinds.join(found, "id", "left").select("text_hash", "rep", F.coalesce("component", "id").alias("c"))
+    some, most = F.size("some"), 1 - similarity
+    left = kinds.join(alone(kinds.select("id", F.explode("some").alias("h"))), "id", "left").where(F.coalesce("alone", F.lit(0)) <= most * some + SURE * F.sqrt(most * similarity * some))
+    left = written(left.select("id", "rep", F.col("text_hash").alias("h")), "left")
+    # only the first document with a text meets it, however many have it
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(left, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("h"))).groupBy("id").agg(F.first("text").alias("text"))
+    texts = written(texts, "left-texts")
+    own = kinds.join(left.select("id"), "id").join(alone(shingles_of(texts, shingle)), "id", "left").withColumn("shared", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int"))
+    own = written(own.where(F.col("shared") >= similarity * F.col("n") - 1e-9).select("id", "n", "shared", "sketch", *views), "indexed")
+    edges = reduce(DataFrame.unionByName, (alike_links(own.select(F.col(v).alias("fp"), "id", "n", "shared", "sketch"), radius, node, similarity) for v in views))
+    clusters = components(edges)
+    members = own.select("id", "n", *views).join(clusters.withColumnRenamed("component", "cluster"), "id").join(texts, "id")
+    found = components(similar_links(members.select("cluster", "id", "n", *views, "text"), shingle, similarity, radius, block))
+    groups = kinds.join(found, "id", "left").select("text_hash", "rep", F.coalesce("component", "id").alias("c"))
     lowest = groups.groupBy("c").agg(F.min("rep").alias("component_id"))
     groups = groups.join(lowest, "c").select("text_hash", "component_id")
     return prints.select("doc_id", "text_hash", F.col("v0").alias("fingerprint")).join(groups, "text_hash").select("doc_id", "text_hash", _hexadecimal("fingerprint"), "component_id")
@@ -532,15 +586,16 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, given its ``near_duplicates`` or ``similar_documents``: of each group the one with the smallest doc_id. Where rows share that doc_id, the one
-    with the smallest text hash stays, and of wholly equal texts one row; of a group without any doc_id one row stays as well."""
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    with the smallest text hash stays, and of wholly equal texts one row; of a group without any doc_id one row stays as well. All columns stay, whatever their names."""
+    own, c = positional(docs)
+    id_, hash_ = F.col(c["doc_id"]).cast("long"), F.xxhash64(c["text"])
     stays = groups.where("doc_id <=> component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("alone")).agg(F.min("text_hash").alias("_s"))
     stays = written(stays.select(F.col("doc_id").alias("_d"), "_s").distinct(), "stays")
-    kept = keyed.join(stays.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(stays["_d"]) & keyed["_h"].eqNullSafe(stays["_s"]), "left_semi")
+    kept = own.join(stays.hint("merge"), id_.eqNullSafe(stays["_d"]) & hash_.eqNullSafe(stays["_s"]), "left_semi")
     # only rows of equal doc_id and text, if there are any, have to meet once more
     again = written(groups.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_s")), "again")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    same = keyed["doc_id"].cast("long").eqNullSafe(again["_d"]) & keyed["_h"].eqNullSafe(again["_s"])
-    one = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_h"])
-    return kept.join(again, same, "left_anti").unionByName(one).select(*docs.columns)
+    if not again.isEmpty():
+        same = id_.eqNullSafe(again["_d"]) & hash_.eqNullSafe(again["_s"])
+        one = kept.join(again, same, "left_semi").dropDuplicates([c["doc_id"], c["text"]])
+        kept = kept.join(again, same, "left_anti").unionByName(one)
+    return kept.select(*(F.col(at).alias(name) for name, at in c.items()))

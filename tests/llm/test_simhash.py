@@ -110,8 +110,8 @@ def test_similar_documents(spark):
         texts[len(texts)] = " ".join(w if k % 7 else rnd.choice(vocabulary) for k, w in enumerate(base))  # similarity under 0.8
     want = brute_similar(texts)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for node in (4096, 4):
-        got = {r.doc_id: r.component_id for r in S.similar_documents(df, node=node).collect()}
+    for node, block in ((4096, S.BLOCK), (4, 1000)):
+        got = {r.doc_id: r.component_id for r in S.similar_documents(df, node=node, block=block).collect()}
         assert sum(got[i] == want[i] for i in texts) >= 0.95 * len(texts)
         assert all(want[got[i]] == want[i] for i in texts)  # nothing is linked that brute force does not link
 
@@ -160,47 +160,71 @@ def test_similar_documents_between_rejected_texts(spark):
     want = brute_similar(texts)
     assert len(set(want.values())) < len(texts)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for node in (4096, 4):
-        assert {r.doc_id: r.component_id for r in S.similar_documents(df, node=node).collect()} == want
+    for node, block in ((4096, S.BLOCK), (4, 1000)):
+        assert {r.doc_id: r.component_id for r in S.similar_documents(df, node=node, block=block).collect()} == want
 
 
-def test_full_nodes_meet_in_blocks(spark):
-    """All rows have one of three fingerprints and are in components of their own, but for the first three."""
-    n, node = 300, 16
-    rows = [(i % 3, i, 100 if i < 290 else 200, 0 if i < 3 else None) for i in range(n)]
-    df = spark.createDataFrame(rows, "fp long, id long, n int, c long")
-    blocks = S.dealt_in_blocks(df, 7, node).groupBy("mask", "i", "j").count().agg(S.F.max("count")).first()[0]
-    assert blocks <= 3 * 3 * node  # (mask, i, j) of three nodes at most
-    for radius in (0, 1, 7):
-        found = [(r.b, r.a) for r in S.candidates(df, radius, node, False, 0.8).collect()]
-        near = lambda i, j: (i % 3 ^ j % 3).bit_count() <= radius and (i < 290) == (j < 290) and not (i < 3 and j < 3)  # noqa: E731, B023
-        assert len(found) == len(set(found)) and set(found) == {(i, j) for i in range(n) for j in range(i + 1, n) if near(i, j)}
+def groups_of(edges, ids):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in ids}
 
 
-def test_candidates_match_brute_force(spark):
+def test_links_of_full_nodes(spark):
+    """Rows under one node are dealt in blocks, pass on few edges, and are joined as all their pairs are."""
     rnd = random.Random(9)
     fps = clustered(rnd, 600, [rnd.getrandbits(64) for _ in range(5)], 12)
-    df = spark.createDataFrame([(S._signed(x), r, 100, None) for r, x in fps.items()], "fp long, id long, n int, c long")
+    fps |= {10_000 + i: 7 for i in range(100)}
+    sketch = {i: bytes(rnd.choice((1, 2)) if rnd.random() < 0.05 * (i % 4) else 1 for _ in range(S.BINS)) for i in fps}
+    n = {i: 100 + 30 * (i % 2) for i in fps}
+    table = {i: S.np.frombuffer(x, S.np.uint8)[None] for i, x in sketch.items()}
+    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 7 and min(n[a], n[b]) >= 0.8 * max(n[a], n[b]) and S.alike(table[a], table[b], 0.8)[0]]
+    df = spark.createDataFrame([(S._signed(x), i, n[i], n[i], bytearray(sketch[i])) for i, x in fps.items()], "fp long, id long, n int, shared int, sketch binary")
     for node in (4096, 8):
-        found = [(r.b, r.a) for r in S.candidates(df, 7, node, False, 0.8).collect()]
-        want = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 7}
-        assert len(found) == len(set(found)) and set(found) == want
-        near = {(r.b, r.a) for r in S.candidates(df, 7, node, True, 0.8).collect()}
-        assert near <= want and (node == 8 or {i for e in near for i in e} == {i for e in want for i in e})
+        edges = [(r.a, r.b) for r in S.alike_links(df, 7, node, 0.8).collect()]
+        assert all(a > b for a, b in edges) and groups_of(edges, fps) == groups_of(near, fps)
+        assert node == 8 or len(edges) < 120 * len(fps)
+    rows = spark.createDataFrame([(k, 5, i) for k in (1, 2) for i in range(500)], "mask int, bits long, id long")
+    dealt = S.in_blocks(rows, ["mask", "bits"], spark.createDataFrame([(1, 5, 4)], "mask int, bits long, blocks int"))
+    sizes = {(r.mask, r.i, r.j): r["count"] for r in dealt.groupBy("mask", "i", "j").count().collect()}
+    assert sizes[2, 0, 0] == 500 and len(sizes) == 11 and max(v for k, v in sizes.items() if k[0] == 1) < 350
 
 
 def test_many_texts_of_one_fingerprint(spark):
-    """20,000 texts of the same words: no task holds more than two blocks, and pairs that sketches rule out are not compared."""
+    """20,000 texts of the same words in other orders, and 100 that differ by a word at the end."""
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(60)]
     texts = {i: " ".join(rnd.sample(words, 60)) for i in range(20_000)}
     for i in range(100):
         texts[20_000 + i] = texts[i] + " w1"
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    rows = spark.createDataFrame([(7, i, 56, i // 100) for i in range(20_000)], "fp long, id long, n int, c long")
-    assert S.dealt_in_blocks(rows, 3, 1024).groupBy("mask", "i", "j").count().agg(S.F.max("count")).first()[0] <= 3 * 1024
-    got = {r.doc_id: r.component_id for r in S.similar_documents(df.where("doc_id < 300 OR doc_id >= 20000"), node=64).collect()}
-    assert all(got[20_000 + i] == i for i in range(100)) and len(set(got.values())) == 300
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df).collect()}
+    assert all(got[20_000 + i] == i for i in range(100)) and len(set(got.values())) == 20_000
+
+
+def test_copies_with_changes_of_their_own_do_not_meet(spark):
+    """A group of near copies under the similarity: none reaches the index, but for pairs that are similar."""
+    rnd = random.Random(31)
+    words = [f"w{i}" for i in range(5000)]
+    base = rnd.sample(words, 150)
+    texts = {i: " ".join(w if rnd.random() > 0.06 else rnd.choice(words) for w in base) for i in range(400)}
+    texts |= {400 + i: f"{texts[i]} end" for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_similar(texts)
+    assert {r.doc_id: r.component_id for r in S.similar_documents(df).collect()} == want
+    hs = {i: set(S.shingle_hashes(t.encode().split(), 5).tolist()) for i, t in texts.items()}
+    got = {r.id: r.alone for r in S.alone(spark.createDataFrame([(i, S._signed(h)) for i, own in hs.items() for h in own], "id long, h long")).collect()}
+    seen = S.np.unique(S.np.array([h for own in hs.values() for h in own], S.np.uint64), return_counts=True)
+    once = {h for h, n in zip(seen[0].tolist(), seen[1].tolist()) if n == 1}
+    assert {i: len(own & once) for i, own in hs.items() if own & once} == got and sum(n > 0.2 * 146 for i, n in got.items() if 20 <= i < 400) > 200
 
 
 def test_recall_on_given_documents(spark):
