@@ -14,7 +14,20 @@ ENTITIES = {
 # Tags that end a line of text, and those whose content is never text.
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul"
 HIDDEN = ("head", "script", "style", "template")
-_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+# Possessive throughout: Java's matcher recurses once for each step of a group that might have to be tried again.
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_END = "(?![A-Za-z0-9:-])"
+_TAG = rf"</?[A-Za-z0-9:-]++{_INSIDE}>"
+_COMMENT = r"<!(?=--)(?s:.*?)-->"
+_DECLARATION = r"""<(?:\?|!(?!--))(?:[^>"'\[\]]++|"[^"]*+"|'[^']*+'|\[(?:[^\["'\]]++|"[^"]*+"|'[^']*+'|\[[^\]]*+\])*+\]|\])*+>"""
+_RAW = rf"<(script|style){_END}{_INSIDE}(?<!/)>(?s:.*?)(?:</\1(?=[\s/>]){_INSIDE}>|\z)"
+_HIDDEN = rf"(?i)<(head|template){_END}{_INSIDE}(?<!/)>(?:[^<]++|<(?!/?(?:head|template)[\s/>]))*+</\1{_END}{_INSIDE}>"
+_HIDDEN_TO_END = rf"(?is)<(?:head|template){_END}{_INSIDE}(?<!/)>.*\z"
+_PRE = rf"(?is)<pre{_END}{_INSIDE}>(.*?)(?:</pre{_END}{_INSIDE}>|\z)"
+#: Depth to which hidden elements may lie in one another; what lies deeper hides the rest of the page.
+_DEPTH = 3
+# Stand-ins while a page is read: ends of a preformatted part; its space, line end and tab; the end of a line and of a cell.
+_CUT, _SPACE, _LINE, _TAB, _BLOCK, _CELL = "\x01", "\x02", "\x03", "\x04", "\x06", "\x07"
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -39,26 +52,41 @@ def decode_entities(text: Column) -> Column:
     return out
 
 
-def html_problem(html: Column) -> Column:
-    """Why a page goes to quarantine, null if it does not: unterminated markup, or preformatted text."""
-    rest = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in HIDDEN:
-        rest = F.regexp_replace(rest, rf"(?is)<{tag}(?:\s{_INSIDE})?>.*?</{tag}\s*>", "")
-    rest = F.regexp_replace(rest, rf"</?[A-Za-z!]{_INSIDE}>", "")
-    return F.when(html.rlike(r"(?i)<pre[\s>]"), "preformatted").when(rest.rlike("</?[A-Za-z!]"), "unterminated")
+def _html_piece(piece: Column, preformatted: Column) -> Column:
+    t = F.regexp_replace(piece, rf"(?i)</?(?:{BLOCKS}){_END}{_INSIDE}>", _BLOCK)
+    t = F.regexp_replace(F.regexp_replace(t, rf"(?i)</t[dh]{_END}{_INSIDE}>", _CELL), _TAG, "")
+    t = F.when(F.contains(piece, F.lit("&")), decode_entities(t)).otherwise(t)
+    return F.when(preformatted, F.translate(normalize_newlines(t), " \n\t", _SPACE + _LINE + _TAB)).otherwise(F.regexp_replace(t, r"[\s\x{85}\p{Z}]+", " "))
+
+
+def _visible(markup: Column) -> Column:
+    for _ in range(_DEPTH):
+        markup = F.regexp_replace(markup, _HIDDEN, "")
+    markup = F.regexp_replace(markup, _HIDDEN_TO_END, "")
+    pieces = F.split(F.regexp_replace(markup, _PRE, f"{_BLOCK}{_CUT}$1{_CUT}{_BLOCK}"), _CUT)
+    out = F.array_join(F.transform(pieces, lambda p, i: _html_piece(p, i % 2 == 1)), "")
+    out = F.regexp_replace(F.regexp_replace(out, f" *([{_BLOCK}{_CELL}]) *", "$1"), " +", " ")
+    out = F.regexp_replace(F.regexp_replace(out, f"([{_LINE}{_BLOCK}]){_BLOCK}+", "$1"), f"([{_TAB}{_CELL}]){_CELL}+", "$1")
+    return F.regexp_replace(F.translate(out, _SPACE + _LINE + _TAB + _BLOCK + _CELL, " \n\t\n\t"), r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")
+
+
+def html_parsed(html: Column) -> Column:
+    """(text, problem) of a page: hidden content, comments, declarations and tags drop out, blocks end lines, cells end in tabs, white space
+    collapses but in preformatted parts. Markup that does not end is a problem, and the text then null. A null page has neither.
+
+    A ``<`` before anything but a name, ``!`` or ``?`` is text, and so is all of a script or style up to its own end tag."""
+    clean = F.translate(html, _CUT + _SPACE + _LINE + _TAB + _BLOCK + _CELL, " " * 6)
+    markup = F.regexp_replace(clean, f"(?i)(?:{_RAW}|{_COMMENT}|{_DECLARATION})|({_TAG})", "$2")
+
+    def read(m: Column) -> Column:
+        broken = F.regexp_replace(m, _TAG, _CUT).rlike("<(?:[!?]|/?[A-Za-z0-9:-])")
+        return F.struct(F.when(~broken, _visible(m)).alias("text"), F.when(broken, "unterminated").alias("problem"))
+
+    return F.transform(F.array(markup), read)[0]
 
 
 def html_to_text(html: Column) -> Column:
-    """Text of a page: hidden content, comments and tags drop out, blocks end lines, cells end in tabs, spaces collapse."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in HIDDEN:
-        out = F.regexp_replace(out, rf"(?is)<{tag}(?:\s{_INSIDE})?>.*?</{tag}\s*>", "")
-    out = F.regexp_replace(out, r"\s+", " ")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCKS})(?:[\s/]{_INSIDE})?>", "\n")
-    out = F.regexp_replace(out, r"(?i)</t[dh]\s*>", "\t")
-    out = F.regexp_replace(out, rf"</?[A-Za-z!]{_INSIDE}>", "")
-    out = F.regexp_replace(F.regexp_replace(decode_entities(out), " *([\n\t]) *", "$1"), " +", " ")
-    return F.regexp_replace(F.regexp_replace(out, "\n+", "\n"), r"^\s+|\s+$", "")
+    return html_parsed(html)["text"]
 
 
 #: Most terms of a query that count.
