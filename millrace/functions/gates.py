@@ -45,7 +45,8 @@ def unit_norm_ok(v: Column, tolerance: float = 1e-4) -> Column:
 
 def loopback_url_ok(url: Column) -> Column:
     """http(s) on this machine only, with nothing but an empty path: no user, query or fragment."""
-    return F.coalesce(url.rlike(r"^(?i:https?)://(?i:localhost|127\.0\.0\.1|\[::1\])(?::[0-9]{1,5})?/?$"), F.lit(False))
+    port = F.regexp_extract(url, ":([0-9]{1,5})/?$", 1)
+    return F.coalesce(url.rlike(r"^(?i:https?)://(?i:localhost|127\.0\.0\.1|\[::1\])(?::[0-9]{1,5})?/?$") & ((port == "") | (F.lpad(port, 5, "0") <= "65535")), F.lit(False))
 
 
 def increasing(times: Column) -> Column:

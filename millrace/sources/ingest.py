@@ -23,37 +23,68 @@ def content_hash(rows: DataFrame, content: str, key: str) -> DataFrame:
 
 
 # Leading bytes (hexadecimal) by which binary formats are told.
-SIGNATURES = {"7B5C727466": "rtf", "504B0304": "zip", "504B0506": "zip", "504B0708": "zip", "D0CF11E0A1B11AE1": "ole", "89504E47": "binary", "FFD8FF": "binary", "47494638": "binary", "49492A00": "binary", "4D4D002A": "binary", "52494646": "binary", "4F676753": "binary", "664C6143": "binary", "494433": "binary", "1A45DFA3": "binary", "7F454C46": "binary", "CAFEBABE": "binary", "CFFAEDFE": "binary", "4D5A": "binary", "1F8B": "binary", "425A68": "binary", "377ABCAF271C": "binary", "526172211A07": "binary"}
+SIGNATURES = {
+    "504B0304": "zip", "504B0506": "zip", "504B0708": "zip", "D0CF11E0A1B11AE1": "ole", "89504E47": "binary", "FFD8FF": "binary", "474946383761": "binary", "474946383961": "binary", "52494646": "binary", "664C6143": "binary", "4F676753": "binary",
+    "53514C69746520666F726D61742033": "binary", "1F8B": "binary", "377ABCAF271C": "binary", "526172211A07": "binary", "7F454C46": "binary", "CFFAEDFE": "binary", "CEFAEDFE": "binary", "FEEDFACF": "binary", "FEEDFACE": "binary", "CAFEBABE": "binary", "62706C6973743030": "binary",
+}
 
 
 def sniff_format(content: Column, name: Column) -> Column:
     """Format by leading bytes; by the name's extension only for text that starts with a tag. ``content``: bytes."""
     head = F.hex(F.substring(content, 1, 16))
     text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
-    trimmed = F.regexp_replace(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), r"^[\x00\x09-\x0D\x20]+", "")
+    latin = lambda n: F.decode(F.substring(content, 1, n), "ISO-8859-1")
+    trimmed = F.regexp_replace(latin(1024), r"^[\x00\x09-\x0D\x20]+", "")
     out = F.when(trimmed.startswith("%PDF-"), "pdf")
     for signature, kind in SIGNATURES.items():
         out = out.when(head.startswith(signature), kind)
+    out = out.when(latin(32).rlike(r"^[\x09-\x0D\x20]*\{\\rtf"), "rtf")
     html = text.startswith("<!doctype html") | text.startswith("<html") | (F.lower(name).rlike(r"\.x?html?$") & text.startswith("<"))
     return out.when(html, "html").otherwise("text")
 
 
-# Leading bytes of media containers.
-_MEDIA = {"FFD8FF": "jpeg", "89504E470D0A1A0A": "png", "47494638": "gif", "49492A00": "tiff", "4D4D002A": "tiff", "00000100": "ico", "664C6143": "flac", "4F676753": "ogg", "494433": "mp3", "1A45DFA3": "mkv"}
+# Leading bytes (hexadecimal) of media containers.
+_MEDIA = {
+    "FFD8FF": "jpeg", "89504E470D0A1A0A": "png", "474946383761": "gif", "474946383961": "gif", "49492A00": "tiff", "4D4D002A": "tiff", "49492B00": "tiff", "4D4D002B": "tiff", "00000100": "ico", "00000200": "ico", "69636E73": "icns", "38425053": "psd",
+    "762F3101": "exr", "0000000C6A5020200D0A870A": "jp2", "FF4FFF51": "jp2", "63616666": "caf", "664C6143": "flac", "2E736E64": "au", "4F676753": "ogg", "2321414D52": "amr", "494433": "mp3",
+}
+_LATER = {"1A45DFA3": "mkv", "464C56": "flv", "000001BA": "mpg", "000001B3": "mpg"}
+# Brands of still images in the base media format.
+_HEIC = "heic|heix|hevc|hevx|heim|heis|mif1|msf1"
+#: Bytes that are looked at, and boxes of padding that may come before the first that tells the format.
+_HEAD, _BOXES = 4096, 8
 
 
 def sniff_media(content: Column) -> Column:
     """Media container by magic bytes, null if none. A UTF-16 or UTF-32 byte-order mark is never audio."""
-    head = F.hex(F.substring(content, 1, 64))
-    out = F.when(head.startswith("FFFE") | head.startswith("FEFF"), None)
+    head = F.hex(F.substring(content, 1, _HEAD))
+    at = lambda byte, n: F.substring(head, 2 * byte + 1, 2 * n)
+    out = F.when(F.lit(False), F.lit(""))
     for signature, kind in _MEDIA.items():
         out = out.when(head.startswith(signature), kind)
-    form = F.substring(head, 17, 8)
-    out = out.when(head.startswith("52494646"), F.when(form == "57454250", "webp").when(form == "57415645", "wav").when(form == "41564920", "avi"))
-    out = out.when(head.startswith("464F524D") & form.isin("41494646", "41494643"), "aiff")
-    brand = F.decode(F.unhex(form), "ISO-8859-1")
-    out = out.when(F.substring(head, 9, 8) == "66747970", F.when(brand.startswith("qt"), "mov").when(brand.rlike("^(heic|heix|mif1)"), "heic").otherwise("mp4"))
-    return out.when(head.rlike("^FF(?:FB|F3|F2|FA|E[0-9A-F])"), "mp3")
+    out = out.when(head.startswith("424D") & (at(6, 4) == "00000000") & (F.octet_length(content) >= 14), "bmp")
+    riff = head.startswith("52494646") | head.startswith("52494658") | head.startswith("52463634")
+    for form, kind in (("57454250", "webp"), ("57415645", "wav"), ("41564920", "avi")):
+        out = out.when(riff & (at(8, 4) == form), kind)
+    out = out.when(head.startswith("464F524D") & at(8, 4).isin("41494646", "41494643"), "aiff")
+    out = out.when(head.startswith("FFFE"), None).when(head.rlike("^FF[EF]"), F.when(head.rlike("^FFF[0189]"), "aac").otherwise("mp3"))
+    for signature, kind in _LATER.items():
+        out = out.when(head.startswith(signature), kind)
+    return out.otherwise(_box(content))
+
+
+def _box(content: Column) -> Column:
+    """Format by the first box that is no padding, of at most ``_BOXES``."""
+    part = lambda offset, n: F.substring(content, (offset + 1).cast("int"), F.lit(n))
+    size = lambda offset: F.conv(F.hex(part(offset, 4)), 16, 10).cast("long")
+    name = lambda offset: F.decode(part(offset + 4, 4), "ISO-8859-1")
+    padding = lambda offset: name(offset).isin("free", "wide", "skip") & (size(offset) >= 8) & (size(offset) <= F.octet_length(content) - offset)
+    # position after all boxes of padding
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(_BOXES)), F.lit(0).cast("long"), lambda offset, _: F.when(padding(offset), offset + size(offset)).otherwise(offset))
+    brand = lambda offset: F.decode(part(offset + 8, 4), "ISO-8859-1")
+    of_brand = lambda o: F.when(brand(o).rlike(f"^(?:{_HEIC})$"), "heic").when(brand(o).isin("avif", "avis"), "avif").when(brand(o) == "qt  ", "mov").when(brand(o) == "M4A ", "m4a").otherwise("mp4")
+    read = lambda o: F.when(name(o) == "ftyp", of_brand(o)).when(name(o).isin("moov", "mdat"), "mov")
+    return F.transform(F.array(last), read)[0]
 
 
 def decode_text(content: Column) -> Column:
