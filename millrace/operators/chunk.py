@@ -5,9 +5,11 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import shipped
 
+# Graphemes of a chunk, and those that it shares with the one before.
 SIZE, OVERLAP = 1200, 160
 #: Characters after which a chunk may end.
 ENDS = "\n\r。！？!?.;；"
@@ -35,18 +37,32 @@ def cut(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int,
     return out
 
 
-def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, page, start, end, text of each chunk of pages (doc_id, page, text)."""
+def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page, index (from 0 within the page), start, end, text of each chunk of pages (doc_id, page, text), with the columns ``keep``."""
+    names = ["doc_id", "page", *keep]
+    own = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), *keep, "text")
+    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(n, T.LongType()) for n in ("index", "start", "end")), T.StructField("text", T.StringType())])
+
+    def batch(b, rows):
+        at, *columns = zip(*rows)
+        taken = b.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*(taken.column(n) for n in names), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=[*names, "index", "start", "end", "text"])
 
     def run(batches):
         for b in batches:
-            rows = [(d, p, *c) for d, p, t in zip(b.column("doc_id").to_pylist(), b.column("page").to_pylist(), b.column("text").to_pylist()) for c in cut(t or "", size, overlap)]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "page", "start", "end", "text"])
+            rows, length = [], 0
+            for i, t in enumerate(b.column("text")):
+                text = t.as_py() or ""
+                rows += [(i, k, *c) for k, c in enumerate(cut(text, size, overlap))]
+                length += len(text)
+                if rows and length > 1 << 22:
+                    yield batch(b, rows)
+                    rows, length = [], 0
+            if rows:
+                yield batch(b, rows)
 
     shipped(pages.sparkSession)
-    own = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text")
-    return own.mapInArrow(run, "doc_id long, page int, start long, end long, text string")
+    return own.mapInArrow(run, schema)
 
 
 def with_ordinals(chunks: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ Each is a DataFrame here and a common table expression of the same formula in ``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunk
+
 
 class Tables:
     """The given tables of one folder and the logical tables over them."""
@@ -18,13 +20,14 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _vectors(self) -> tuple[DataFrame, int]:
-        vectors = self.read("embeddings").select("vec_id", "embedding")
-        return vectors, vectors.count()
+    def vectors(self) -> DataFrame:
+        return self.read("embeddings").select("vec_id", "embedding")
+
+    def n_vectors(self) -> Column:
+        return self.vectors().agg(F.count("*")).scalar()
 
-    def _embedded(self, df: DataFrame, key) -> DataFrame:
-        vectors, n = self._vectors()
-        return df.withColumn("_v", key % n).join(vectors, F.col("_v") == F.col("vec_id")).drop("_v", "vec_id")
+    def _embedded(self, df: DataFrame, key: Column) -> DataFrame:
+        return df.withColumn("_v", key % self.n_vectors()).join(self.vectors(), F.col("_v") == F.col("vec_id")).drop("_v", "vec_id")
 
     def docs(self) -> DataFrame:
         d, labels = self.read("documents"), self.read("labels").select("doc_id", "quality")
@@ -48,19 +51,19 @@ class Tables:
         )
 
     def chunks(self) -> DataFrame:
-        """One chunk for each document: its first 1,200 characters."""
-        d = self.read("documents")
-        rows = d.select(
-            F.format_string("%08d:%04d", "doc_id", F.lit(0)).alias("chunk_id"),
+        """The chunks of every whole document, which is one page here."""
+        d = self.read("documents").select("doc_id", F.lit(1).alias("page"), F.col("source").alias("kb_id"), "text")
+        rows = chunk.chunk_pages(d, keep=("kb_id",)).select(
+            F.format_string("%08d:%04d", "doc_id", "index").alias("chunk_id"),
             "doc_id",
-            F.col("source").alias("kb_id"),
-            F.lit(0).alias("ordinal"),
-            F.lit(1).alias("page"),
-            F.substring("text", 1, 1200).alias("text"),
+            "kb_id",
+            F.col("index").cast("int").alias("ordinal"),
+            "page",
+            "text",
             F.when(F.col("doc_id") % 49 == 0, "sig-b").otherwise("sig-a").alias("encoder_signature"),
             F.lit(64).alias("dims"),
         )
-        return self._embedded(rows, 31 * F.col("doc_id"))
+        return self._embedded(rows, 31 * F.col("doc_id") + F.col("ordinal"))
 
     def changed_chunks(self) -> DataFrame:
         return self.chunks().where("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
@@ -77,9 +80,9 @@ class Tables:
         return self.read("conversations").select("conv_id", F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
 
     def message_sources(self) -> DataFrame:
-        n = self.read("documents").count()
+        n = self.read("documents").agg(F.count("*")).scalar()
         m = self.messages().where("role = 'assistant'").select("conv_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("position"))
-        c = self.chunks().select("chunk_id", F.col("doc_id").alias("c_doc"), "text", "page")
+        c = self.chunks().where("ordinal = 0").select("chunk_id", F.col("doc_id").alias("c_doc"), "text", "page")
         return m.withColumn("_d", (F.col("conv_id") + F.col("position")) % n).join(c, F.col("_d") == F.col("c_doc")).select("conv_id", "seq", "position", "chunk_id", "text", "page")
 
     def answers(self) -> DataFrame:
@@ -104,18 +107,30 @@ _DOCS = """SELECT d.doc_id, d.source AS kb_id, d.source || '-' || d.doc_id AS ti
  CASE WHEN d.doc_id % 3 = 0 THEN []::VARCHAR[] WHEN l.quality = 1 THEN [d.lang, 'quality'] ELSE [d.lang] END AS tags,
  TIMESTAMP '2024-01-01' + to_minutes(d.doc_id) AS created_at, TIMESTAMP '2024-01-01' + to_minutes(d.doc_id) + to_hours(d.doc_id % 5) AS updated_at, d.text, d.lang
  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
-_CHUNKS = """SELECT printf('%08d:0000', d.doc_id) AS chunk_id, d.doc_id, d.source AS kb_id, 0 AS ordinal, 1 AS page, substring(d.text, 1, 1200) AS text,
- CASE WHEN d.doc_id % 49 = 0 THEN 'sig-b' ELSE 'sig-a' END AS encoder_signature, 64 AS dims, e.embedding
- FROM documents d JOIN embeddings e ON e.vec_id = (31 * d.doc_id) % (SELECT count(*) FROM embeddings)"""
+
+
+def _end_sql(start: str) -> str:
+    window = f"substring(text, ({start}) + 1, 1200)"
+    last = f"length(regexp_extract({window}, '(?s)^.*[\\n\\r。！？!?.;；]'))"
+    return f"CASE WHEN ({start}) + 1200 >= length(text) THEN length(text) WHEN {last} >= 900 THEN ({start}) + {last} ELSE ({start}) + 1200 END"
+
+
+_STEPS = f"SELECT doc_id, text, 0::BIGINT AS s, {_end_sql('0::BIGINT')} AS e FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, text, e - 160, {_end_sql('e - 160')} FROM steps WHERE e < length(text)"
+_CUTS = "SELECT doc_id, s AS start, e AS \"end\", substring(text, s + 1, e - s) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS ordinal FROM steps WHERE trim(substring(text, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(13)) <> ''"
+_CHUNKS = """SELECT printf('%08d:%04d', c.doc_id, c.ordinal) AS chunk_id, c.doc_id, d.source AS kb_id, c.ordinal::INTEGER AS ordinal, 1 AS page, c.text,
+ CASE WHEN c.doc_id % 49 = 0 THEN 'sig-b' ELSE 'sig-a' END AS encoder_signature, 64 AS dims, e.embedding
+ FROM cuts c JOIN documents d ON d.doc_id = c.doc_id JOIN embeddings e ON e.vec_id = (31 * c.doc_id + c.ordinal) % (SELECT count(*) FROM embeddings)"""
 #: Name of each logical table -> (tables it needs, SQL).
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "docs": ((), _DOCS),
-    "chunks": ((), _CHUNKS),
+    "steps": ((), _STEPS),
+    "cuts": (("steps",), _CUTS),
+    "chunks": (("cuts",), _CHUNKS),
     "changed_chunks": (("chunks",), "SELECT chunk_id, doc_id, kb_id, ordinal, page, CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS text, encoder_signature, dims, embedding FROM chunks WHERE doc_id % 13 <> 0"),
     "queries": ((), "SELECT item_id AS query_id, 'src' || (item_id % 20) AS kb_id, text, e.embedding FROM benchmark JOIN embeddings e ON e.vec_id = item_id % (SELECT count(*) FROM embeddings)"),
     "query_segments": ((), "SELECT item_id AS query_id, 'src' || (item_id % 20) AS kb_id, s AS segment, e.embedding FROM benchmark CROSS JOIN (SELECT unnest([0, 1, 2]) AS s) JOIN embeddings e ON e.vec_id = (item_id + 7 * s) % (SELECT count(*) FROM embeddings)"),
     "messages": ((), "SELECT conv_id, turn AS seq, role, text AS content FROM conversations"),
-    "message_sources": (("chunks", "messages"), "SELECT m.conv_id, m.seq, p AS position, c.chunk_id, c.text, c.page FROM messages m CROSS JOIN (SELECT unnest([0, 1, 2]) AS p) JOIN chunks c ON c.doc_id = (m.conv_id + p) % (SELECT count(*) FROM documents) WHERE m.role = 'assistant'"),
+    "message_sources": (("chunks", "messages"), "SELECT m.conv_id, m.seq, p AS position, c.chunk_id, c.text, c.page FROM messages m CROSS JOIN (SELECT unnest([0, 1, 2]) AS p) JOIN chunks c ON c.ordinal = 0 AND c.doc_id = (m.conv_id + p) % (SELECT count(*) FROM documents) WHERE m.role = 'assistant'"),
     "answers": (("messages",), "SELECT conv_id, seq, content || CASE (seq + conv_id) % 5 WHEN 0 THEN ' [1]' WHEN 1 THEN ' [2] and [3]' WHEN 2 THEN ' [9]' WHEN 3 THEN ' [01]' ELSE '' END AS content, 3 AS n_sources FROM messages WHERE role = 'assistant'"),
     "assets": ((), "SELECT doc_id AS asset_id, CASE WHEN doc_id % 2 = 0 THEN 'audio' ELSE 'video' END AS kind, n_chars / 100.0 AS duration FROM documents"),
     "tracks": ((), "SELECT user_id AS asset_id, value AS start_s, value + 1 + event_id % 5 AS end_s FROM events"),
@@ -123,7 +138,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_tables(body: str, *names: str, extra: str = "", recursive: bool = False) -> str:
+def with_tables(body: str, *names: str, extra: str = "") -> str:
     """``body`` after the expressions of the named logical tables and what they need."""
     order: list[str] = []
 
@@ -135,5 +150,5 @@ def with_tables(body: str, *names: str, extra: str = "", recursive: bool = False
 
     for n in names:
         add(n)
-    parts = [f"{n} AS ({CTE[n][1]})" for n in order] + ([extra] if extra else [])
-    return (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} " if parts else "") + body
+    parts = [f"{n} AS {'MATERIALIZED ' if n == 'chunks' else ''}({CTE[n][1]})" for n in order] + ([extra] if extra else [])
+    return (f"WITH {'RECURSIVE ' if 'steps' in order else ''}{', '.join(parts)} " if parts else "") + body
