@@ -1,15 +1,26 @@
-"""Exact hybrid search for a whole table of queries: cosine plus a share of lexical matches."""
+"""Exact hybrid search for a whole table of queries: cosine plus a share of lexical matches.
+
+Chunks stay where they are: the query table goes to them in blocks of ``QUERIES`` (counted, so that what is broadcast is bounded), and
+each batch of chunks is scored against the queries of its knowledge bases as one product of matrices. Searches keep the best
+distinct hits of each batch, so what is shuffled is a few rows a query and batch, and no task depends on the size of a knowledge base.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.gates import squared_norm
-from ..functions.text import lexical_score, lexical_terms
-from ..functions.vectors import cosine
+from ..functions.text import lexical_terms
+from ..shipping import shipped
 
+# Share of the lexical score, hits of a search, and most of them.
 LEXICAL_WEIGHT, TOP, MOST = 0.08, 6, 12
+#: Queries that are broadcast at once.
+QUERIES = 20_000
 
 
 def top_k(k: int) -> int:
@@ -22,21 +33,103 @@ def ready_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.join(d, "doc_id")
 
 
-def scored(queries: DataFrame, chunks: DataFrame, lexical: bool = True) -> DataFrame:
-    """query_id, kb_id, chunk_id, doc_id, text_hash, score of each query with each chunk of its knowledge base.
-
-    Only a hash of the text goes on to the ranking; texts come back by chunk id after it.
-    """
-    q = queries.select("query_id", "kb_id", F.col("embedding").alias("q_vec"), squared_norm(F.col("embedding")).alias("q_norm"), (lexical_terms(F.col("text")) if lexical else F.array().cast("array<string>")).alias("terms"), *(["segment"] if "segment" in queries.columns else []))
-    c = chunks.select("chunk_id", "doc_id", "kb_id", F.xxhash64("text").alias("text_hash"), F.col("embedding").alias("c_vec"), squared_norm(F.col("embedding")).alias("c_norm"), F.lower(F.concat_ws("\n", "title", "text")).alias("body"))
-    score = cosine(F.col("q_vec"), F.col("c_vec"), F.col("q_norm"), F.col("c_norm")) + LEXICAL_WEIGHT * lexical_score(F.col("terms"), F.col("body"))
-    return q.join(c, "kb_id").select(*(x for x in q.columns if x in ("query_id", "segment")), "kb_id", "chunk_id", "doc_id", "text_hash", F.round(score, 6).alias("score"))
+def unit_rows(vectors: list, dims: int) -> np.ndarray:
+    """Vectors as rows of unit length; those of another length, or of length zero, are zero rows and so have cosine 0."""
+    out = np.zeros((len(vectors), dims))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dims:
+            out[i] = v
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+class QueryBlock:
+    """Queries of one knowledge base: ids, unit vectors by dimension, and which terms each has with which share."""
+
+    def __init__(self, rows: list):
+        self.ids = [(r["query_id"], r["segment"]) for r in rows]
+        self.vectors = {d: unit_rows([r["embedding"] for r in rows], d).T for d in {len(r["embedding"] or ()) for r in rows}}
+        self.terms = sorted({t for r in rows for t in r["terms"]})
+        at = {t: i for i, t in enumerate(self.terms)}
+        self.share = np.zeros((len(self.terms), len(rows)))
+        for j, r in enumerate(rows):
+            for t in r["terms"]:
+                self.share[at[t], j] += 1 / len(r["terms"])
+
+    def scores(self, vectors: list, bodies: list[str]) -> np.ndarray:
+        """(chunk, query) scores, rounded to six places."""
+        out = np.zeros((len(bodies), len(self.ids)))
+        for d, q in self.vectors.items():
+            out += unit_rows(vectors, d) @ q
+        if self.terms:
+            held = np.array([[t in b for t in self.terms] for b in bodies], float)
+            out += LEXICAL_WEIGHT * (held @ self.share)
+        return np.round(out, 6)
+
+
+def scored(queries: DataFrame, chunks: DataFrame, lexical: bool = True, k: int | None = None) -> DataFrame:
+    """query_id, segment, kb_id, chunk_id, doc_id, text_hash, score of each query with each chunk of its knowledge base; given ``k``, only of
+    the best k hits of each batch of chunks, equal texts of a document counted once.
+
+    Only a hash of the text goes on to the ranking; texts come back by chunk id after it."""
+    shipped(chunks.sparkSession)
+    segment = F.col("segment").cast("int") if "segment" in queries.columns else F.lit(0)
+    terms = lexical_terms(F.col("text")) if lexical else F.array().cast("array<string>")
+    q = queries.select("query_id", segment.alias("segment"), "kb_id", F.col("embedding").cast("array<double>").alias("embedding"), terms.alias("terms"))
+    c = chunks.select("kb_id", "chunk_id", "doc_id", F.xxhash64("text").alias("text_hash"), F.col("embedding").alias("vector"), (F.lower(F.concat_ws("\n", "title", "text")) if lexical else F.lit("")).alias("body"))
+    schema = "query_id long, segment int, kb_id string, chunk_id string, doc_id long, text_hash long, score double"
+    count = max(1, -(-q.count() // QUERIES))
+
+    def block(number: int) -> DataFrame:
+        rows: dict[str, list] = {}
+        for r in q.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == number).collect():  # about QUERIES
+            rows.setdefault(r["kb_id"], []).append(r.asDict())
+        of_kb = {kb: QueryBlock(of) for kb, of in rows.items()}
+
+        def run(batches):
+            for b in batches:
+                kbs = np.array(b.column("kb_id").to_pylist(), object)
+                for kb in dict.fromkeys(kbs):
+                    if (block := of_kb.get(kb)) is None:
+                        continue
+                    at = np.flatnonzero(kbs == kb)
+                    own = b.take(pa.array(at))
+                    ids = own.column("chunk_id").to_pylist()
+                    score = block.scores(own.column("vector").to_pylist(), own.column("body").to_pylist())
+                    if k is None:
+                        rows, cols = (x.ravel() for x in np.indices(score.shape))
+                    else:
+                        rows, cols = best(score, ids, list(zip(own.column("doc_id").to_pylist(), own.column("text_hash").to_pylist())), k)
+                    pairs = [block.ids[j] for j in cols.tolist()]
+                    take = pa.array(rows)
+                    columns = [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int32()), *(own.column(n).take(take) for n in ("kb_id", "chunk_id", "doc_id", "text_hash")), pa.array(score[rows, cols])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "segment", "kb_id", "chunk_id", "doc_id", "text_hash", "score"])
+
+        return c.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, map(block, range(count)))
+
+
+def best(score: np.ndarray, ids: list[str], texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the k best chunks of each query, ties by id, of equal texts the first."""
+    by_id = np.argsort(np.array(ids))
+    rows, cols = [], []
+    for j in range(score.shape[1]):
+        seen = set()
+        for i in by_id[np.argsort(-score[by_id, j], kind="stable")].tolist():
+            if texts[i] not in seen:
+                seen.add(texts[i])
+                rows.append(i)
+                cols.append(j)
+                if len(seen) == k:
+                    break
+    return np.array(rows, np.int64), np.array(cols, np.int64)
 
 
 def deduplicated(hits: DataFrame, *keys: str) -> DataFrame:
-    """Of equal texts within a document, the best hit."""
-    w = Window.partitionBy(*keys, "doc_id", "text_hash").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """Of equal texts within a document, the best hit: keys, doc_id, chunk_id, score."""
+    first = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")
+    return hits.groupBy(*keys, "doc_id", "text_hash").agg(first).select(*keys, "doc_id", "b.chunk_id", (-F.col("b.s")).alias("score"))
 
 
 def ranked(hits: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -46,16 +139,16 @@ def ranked(hits: DataFrame, k: int, *keys: str) -> DataFrame:
 
 def search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, chunk_id, doc_id, score: the k best chunks of ready documents for each query."""
-    hits = deduplicated(scored(queries, ready_chunks(chunks, docs)), "query_id")
+    hits = deduplicated(scored(queries, ready_chunks(chunks, docs), k=top_k(k)), "query_id")
     return ranked(hits, k, "query_id").select("query_id", "rank", "chunk_id", "doc_id", "score")
 
 
 def search_segments(segments: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = TOP) -> DataFrame:
     """Queries of several vectors and no text: the best of each segment, each chunk's best score, then the best of those."""
-    hits = deduplicated(scored(segments.withColumn("text", F.lit("")), ready_chunks(chunks, docs), lexical=False), "query_id", "segment")
+    hits = deduplicated(scored(segments.withColumn("text", F.lit("")), ready_chunks(chunks, docs), lexical=False, k=top_k(k)), "query_id", "segment")
     per_segment = ranked(hits, k, "query_id", "segment")
-    best = per_segment.groupBy("query_id", "chunk_id", "doc_id").agg(F.max("score").alias("score"))
-    return ranked(best, k, "query_id").select("query_id", "rank", "chunk_id", "doc_id", "score")
+    top = per_segment.groupBy("query_id", "chunk_id", "doc_id").agg(F.max("score").alias("score"))
+    return ranked(top, k, "query_id").select("query_id", "rank", "chunk_id", "doc_id", "score")
 
 
 def with_text(results: DataFrame, chunks: DataFrame, docs: DataFrame, default: str = "Untitled") -> DataFrame:
@@ -71,4 +164,3 @@ def space_violations(chunks: DataFrame, dims: int, signature: str) -> DataFrame:
 
 def live_hits(results: DataFrame, docs: DataFrame) -> DataFrame:
     return results.join(docs.select("doc_id"), "doc_id", "left_semi")
-

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+from .search import unit_rows
+
+# Sizes, and below the weights and limits of ranking and selection.
 MAX_CANDIDATES, MAX_SAMPLES, MAX_TAGS, EVIDENCE = 128, 24, 5, 4000
 KEPT_TAGS, TAG_LENGTH = 12, 32
 
@@ -20,6 +26,54 @@ TOPICS = [
     ("Licensing", "terms of use and rights", ["licensed", "license", "rights"]),
     ("Statistics", "numbers and measurement", ["percent", "average"]),
     ("Cooking", "food and recipes", ["recipe", "oven"]),
+    ("Programming", "source code and how it is written", ["function", "compiler", "programming"]),
+    ("Databases", "tables, queries and storage of data", ["database", "sql", "index"]),
+    ("Networks", "computers that exchange messages", ["network", "router", "protocol"]),
+    ("Security", "protection of systems and secrets", ["password", "encryption", "token"]),
+    ("Machine learning", "models fitted to data", ["neural", "training data", "classifier"]),
+    ("Hardware", "devices and their parts", ["processor", "circuit", "sensor"]),
+    ("Mathematics", "proofs, numbers and structures", ["theorem", "equation", "algebra"]),
+    ("Physics", "matter, energy and motion", ["quantum", "energy", "particle"]),
+    ("Chemistry", "substances and their reactions", ["molecule", "acid", "reaction"]),
+    ("Biology", "living things and their cells", ["species", "protein", "cell"]),
+    ("Medicine", "illness, treatment and care", ["patient", "therapy", "diagnosis"]),
+    ("Nutrition", "what to eat and drink", ["vitamin", "diet", "calories"]),
+    ("Fitness", "training of the body", ["workout", "running", "muscle"]),
+    ("Psychology", "mind, feeling and behaviour", ["anxiety", "memory", "behavior"]),
+    ("Education", "schools, courses and learning", ["student", "teacher", "lesson"]),
+    ("Research", "studies and their methods", ["experiment", "hypothesis", "study"]),
+    ("Law", "courts, statutes and contracts", ["court", "contract", "statute"]),
+    ("Politics", "government and elections", ["election", "parliament", "minister"]),
+    ("History", "what happened in earlier times", ["century", "empire", "ancient"]),
+    ("Geography", "land, water and borders", ["river", "mountain", "coast"]),
+    ("Travel", "journeys and places to stay", ["flight", "hotel", "luggage"]),
+    ("Transport", "vehicles, roads and rails", ["train", "traffic", "vehicle"]),
+    ("Environment", "nature and its protection", ["climate", "forest", "pollution"]),
+    ("Weather", "rain, wind and temperature", ["rain", "storm", "temperature"]),
+    ("Agriculture", "fields, animals and harvests", ["harvest", "soil", "cattle"]),
+    ("Energy supply", "power plants and fuels", ["solar", "battery", "fuel"]),
+    ("Economy", "trade, prices and growth", ["inflation", "market", "trade"]),
+    ("Finance", "money, banks and investment", ["bank", "investment", "loan"]),
+    ("Accounting", "books, taxes and invoices", ["invoice", "tax", "balance sheet"]),
+    ("Management", "leading teams and plans", ["project", "deadline", "strategy"]),
+    ("Marketing", "brands and advertising", ["brand", "campaign", "advertising"]),
+    ("Sales", "customers and orders", ["customer", "order", "discount"]),
+    ("Careers", "work, pay and applications", ["salary", "interview", "employer"]),
+    ("Manufacturing", "factories and production", ["factory", "assembly", "production"]),
+    ("Construction", "building and its materials", ["concrete", "roof", "building"]),
+    ("Housing", "homes, rent and repair", ["apartment", "rent", "kitchen"]),
+    ("Gardening", "plants around the house", ["garden", "seeds", "flower"]),
+    ("Family", "parents, children and relatives", ["mother", "children", "family"]),
+    ("Religion", "faith and its customs", ["prayer", "church", "temple"]),
+    ("Philosophy", "questions of knowledge and good", ["ethics", "philosophy", "truth"]),
+    ("Literature", "novels, poems and authors", ["novel", "poem", "author"]),
+    ("Language", "words, grammar and translation", ["grammar", "translation", "vocabulary"]),
+    ("Music", "songs, instruments and concerts", ["song", "guitar", "orchestra"]),
+    ("Visual arts", "painting, sculpture and photography", ["painting", "gallery", "photograph"]),
+    ("Film", "movies and those who make them", ["movie", "actor", "director"]),
+    ("Games", "play on boards and screens", ["player", "game", "puzzle"]),
+    ("Sport", "matches, teams and results", ["team", "match", "league"]),
+    ("News", "reports of current events", ["reporter", "headline", "press"]),
 ]
 
 
@@ -61,15 +115,33 @@ def evidence(samples: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "title").join(body, "doc_id").select("doc_id", F.lower(F.concat_ws("\n", "title", "body")).alias("evidence"))
 
 
-def anchored(terms: Column, text: Column) -> Column:
-    """Any term occurs: ASCII ones as a whole word, others anywhere."""
+def anchored(terms: list[str], text: Column) -> Column:
+    """Any term occurs: ASCII ones as a whole word, others anywhere. One pattern for all of them."""
+    parts = [rf"(?<![a-z0-9])\Q{t}\E(?![a-z0-9])" if t.isascii() else rf"\Q{t}\E" for t in (t.lower() for t in terms)]
+    return text.rlike("|".join(parts))
+
+
+def anchors(evidence_rows: DataFrame, topics: list) -> DataFrame:
+    """doc_id, label, anchored for each document and topic (label, description, terms)."""
+    of = F.array(*(F.struct(F.lit(label).alias("label"), anchored(terms, F.col("evidence")).alias("anchored")) for label, _, terms in topics))
+    return evidence_rows.select("doc_id", F.explode(of).alias("a")).select("doc_id", "a.*")
+
+
+def similarities(samples: DataFrame, topics: DataFrame) -> DataFrame:
+    """doc_id, label, similarity (cosine moved into 0 to 1) of the vectors (doc_id, embedding) with those of at most ``MAX_CANDIDATES`` topics."""
+    rows = topics.select("label", F.col("embedding").cast("array<double>").alias("embedding")).limit(MAX_CANDIDATES).collect()
+    labels = pa.array([r["label"] for r in rows])
+    vectors = {d: unit_rows([r["embedding"] for r in rows], d).T for d in {len(r["embedding"]) for r in rows}}
+    shipped(samples.sparkSession)
 
-    def found(t: Column) -> Column:
-        low = F.lower(t)
-        quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), low, F.lit(r"\E(?![a-z0-9])"))
-        return F.when(low.rlike("^[\\x00-\\x7F]+$"), F.regexp(text, quoted)).otherwise(F.contains(text, low))
+    def run(batches):
+        for b in batches:
+            own = b.column("embedding").to_pylist()
+            values = np.round(0.5 + 0.5 * sum(unit_rows(own, d) @ v for d, v in vectors.items()), 6) if own and vectors else np.zeros((0, 0))
+            n, m = values.shape
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.repeat(np.arange(n), m))), labels.take(pa.array(np.tile(np.arange(m), n))), pa.array(values.ravel())], names=["doc_id", "label", "similarity"])
 
-    return F.exists(terms, found)
+    return samples.select("doc_id", "embedding").mapInArrow(run, "doc_id long, label string, similarity double")
 
 
 def semantic(similarities: DataFrame) -> DataFrame:
