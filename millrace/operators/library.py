@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.gates import has_visible_text
+
 CITATIONS_REVOKED = "\n\n[sources withdrawn: a cited document changed]"
 
 
@@ -59,18 +61,26 @@ def without(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
 
 
 def source_validity(sources: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """conv_id, seq, position, valid: a cited chunk is still there, unchanged, and its document ready."""
-    c = chunks.select("chunk_id", F.col("text").alias("c_text"), F.col("page").alias("c_page"), "doc_id").join(docs.select("doc_id", "status"), "doc_id", "left")
+    """conv_id, seq, position, chunk_id, unchanged, valid: a cited chunk is still there with the same text, page and (where both sides have it)
+    media; and then of the same knowledge base, with a finite score, readable, and its document ready."""
+    media = "media" in sources.columns and "media" in chunks.columns
+    c = chunks.select("chunk_id", F.col("text").alias("c_text"), F.col("page").alias("c_page"), F.col("kb_id").alias("c_kb"), "doc_id", *([F.col("media").alias("c_media")] if media else [])).join(docs.select("doc_id", "status"), "doc_id", "left")
     j = sources.join(c, "chunk_id", "left")
     same = F.col("text").eqNullSafe(F.col("c_text")) & F.col("page").eqNullSafe(F.col("c_page")) & F.col("doc_id").isNotNull()
-    return j.select("conv_id", "seq", "position", "chunk_id", same.alias("unchanged"), (same & F.coalesce(F.col("status") == "ready", F.lit(False))).alias("valid"))
+    if media:
+        same = same & F.col("media").eqNullSafe(F.col("c_media"))
+    finite = ~F.isnan("score") & (F.abs("score") < float("inf"))
+    valid = same & F.coalesce((F.col("status") == "ready") & (F.col("kb_id") == F.col("c_kb")) & finite & has_visible_text(F.col("c_text")), F.lit(False))
+    return j.select("conv_id", "seq", "position", "chunk_id", same.alias("unchanged"), valid.alias("valid"))
 
 
-def revoked(sources: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """conv_id, seq, n_sources, revoked: one changed source empties a message's whole list."""
+def revoked(sources: DataFrame, chunks: DataFrame, docs: DataFrame, messages: DataFrame) -> DataFrame:
+    """conv_id, seq, n_sources, revoked, content: one changed source empties a message's whole list and puts a notice at its end. What is
+    left keeps its numbers."""
     v = source_validity(sources, chunks, docs)
     g = v.groupBy("conv_id", "seq").agg(F.count("*").alias("n"), F.bool_and("unchanged").alias("fine"))
-    return g.select("conv_id", "seq", F.when(F.col("fine"), F.col("n")).otherwise(0).alias("n_sources"), (~F.col("fine")).alias("revoked"))
+    rows = g.join(messages.select("conv_id", "seq", "content"), ["conv_id", "seq"])
+    return rows.select("conv_id", "seq", F.when(F.col("fine"), F.col("n")).otherwise(0).alias("n_sources"), (~F.col("fine")).alias("revoked"), F.concat("content", F.when(F.col("fine"), "").otherwise(CITATIONS_REVOKED)).alias("content"))
 
 
 def recovered(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -87,14 +97,23 @@ def orphans(children: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataF
 
 
 def chunk_audit(chunks: DataFrame, vector_fine: Column) -> DataFrame:
-    """doc_id, problem: a row for each rule that a document's chunks break."""
-    g = chunks.groupBy("doc_id").agg(
-        (F.count("*") != F.count_distinct("chunk_id")).alias("repeated ids"),
-        ((F.min("ordinal") != 0) | (F.max("ordinal") != F.count("*") - 1) | (F.count_distinct("ordinal") != F.count("*"))).alias("ordinals"),
-        F.bool_or(F.col("page") <= 0).alias("page"),
-        F.bool_or(F.trim("text") == "").alias("blank text"),
-        F.bool_or(~vector_fine).alias("vector"),
-        (F.count_distinct("encoder_signature") != 1).alias("signatures"),
-    )
-    rules = [c for c in g.columns if c != "doc_id"]
+    """doc_id, problem: a row for each rule that a document's chunks break. The rules on media hold where chunks have the columns media_kind,
+    doc_kind, media_signature, media_recipe and frame_times."""
+    rules = {
+        "repeated ids": F.count("*") != F.count_distinct("chunk_id"),
+        "ordinals": (F.min("ordinal") != 0) | (F.max("ordinal") != F.count("*") - 1) | (F.count_distinct("ordinal") != F.count("*")),
+        "page": F.bool_or(F.col("page") <= 0),
+        "blank text": F.bool_or(F.trim("text") == ""),
+        "vector": F.bool_or(~vector_fine),
+        "dims": F.bool_or(F.col("dims") != F.size("embedding")),
+        "signatures": F.count_distinct("encoder_signature") != 1,
+    }
+    if {"media_kind", "doc_kind", "media_signature", "media_recipe", "frame_times"} <= set(chunks.columns):
+        rules |= {
+            "media kind": F.bool_or(~F.col("media_kind").eqNullSafe(F.col("doc_kind"))),
+            "media signature": F.count_distinct(F.coalesce("media_signature", F.lit(""))) > 1,
+            "media recipe": F.count_distinct(F.coalesce("media_recipe", F.lit(""))) > 1,
+            "frame times": F.bool_or((F.col("media_kind") == "video") & (F.coalesce(F.size("frame_times"), F.lit(0)) < 1)),
+        }
+    g = chunks.groupBy("doc_id").agg(*(c.alias(r) for r, c in rules.items()))
     return g.select("doc_id", F.explode(F.filter(F.array(*(F.when(F.col(f"`{r}`"), F.lit(r)) for r in rules)), lambda x: x.isNotNull())).alias("problem"))
