@@ -31,11 +31,19 @@ def sniff_format(t: Tables):
     return pages.unionByName(docs)
 
 
-@query("sniff_media")
+#: Leading bytes (hexadecimal) and the container they tell, one for each document in turn.
+_HEADS = [
+    ("FFD8FFE0", "jpeg"), ("89504E470D0A1A0A", "png"), ("474946383961", "gif"), ("524946460000000057454250", "webp"), ("524946460000000057415645", "wav"), ("0000001866747970717420200000", "mov"), ("00000018667479706865696300", "heic"),
+    ("4F676753", "ogg"), ("FFFE0000", None), ("494433", "mp3"), ("00", None), ("4D4D002B", "tiff"), ("69636E73", "icns"), ("38425053", "psd"), ("762F3101", "exr"), ("FF4FFF51", "jp2"), ("424D0000000000000000", "bmp"), ("63616666", "caf"),
+    ("2E736E64", "au"), ("2321414D52", "amr"), ("FFF1", "aac"), ("464C56", "flv"), ("000001BA", "mpg"), ("00000008667265650000001C6674797061766966", "avif"), ("00000018667479704D344120", "m4a"), ("000000106D6F6F76", "mov"), ("52494658000000004156492000", "avi"),
+]
+
+
+@query("sniff_media", f"SELECT doc_id, [{', '.join('NULL' if k is None else repr(k) for _, k in _HEADS)}][doc_id % {len(_HEADS)} + 1] AS media FROM documents")
 def sniff_media(t: Tables):
     """Each document behind the leading bytes of a container chosen by its id."""
-    heads = F.array(*(F.unhex(F.lit(h)) for h in ("FFD8FFE0", "89504E470D0A1A0A", "474946383961", "52494646000000005745425000", "524946460000000057415645", "0000001866747970717420200000", "0000001866747970697336F6D", "4F676753", "FFFE0000", "494433", "00")))
-    d = t.read("documents").select("doc_id", F.concat(F.get(heads, (F.col("doc_id") % 11).cast("int")), F.col("text").cast("binary")).alias("content"))
+    heads = F.array(*(F.unhex(F.lit(h)) for h, _ in _HEADS))
+    d = t.read("documents").select("doc_id", F.concat(F.get(heads, (F.col("doc_id") % len(_HEADS)).cast("int")), F.col("text").cast("binary")).alias("content"))
     return d.select("doc_id", ingest.sniff_media(F.col("content")).alias("media"))
 
 
@@ -104,8 +112,8 @@ _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line F
 
 @query("has_visible_text", f"WITH {_LINES} SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(line, '[^\\p{{Cc}}\\p{{Cf}}\\p{{Z}}\\p{{Mn}}\\p{{Me}}]')) AS visible FROM lines GROUP BY doc_id")
 def has_visible_text(t: Tables):
-    lines = t.read("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(gates.has_visible_text(F.col("line")), 1)).alias("visible"))
+    lines = F.split("text", "\n")
+    return t.read("documents").select("doc_id", F.size(lines).cast("long").alias("n"), F.size(F.filter(lines, gates.has_visible_text)).cast("long").alias("visible"))
 
 
 @query("plain_text_gate", "SELECT doc_id, NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F-\\x{9F}]') AND regexp_matches(text, '[^\\p{Cc}\\p{Cf}\\p{Z}\\p{Mn}\\p{Me}]') AS ok FROM documents")
@@ -115,8 +123,7 @@ def plain_text_gate(t: Tables):
 
 @query("nonempty_document", "SELECT doc_id, len(string_split(text, chr(10))) AS pages FROM documents WHERE regexp_matches(text, '[^\\p{Cc}\\p{Cf}\\p{Z}\\p{Mn}\\p{Me}]')")
 def nonempty_document(t: Tables):
-    pages = chunk.pages_of(t.read("documents"), F.col("text"))
-    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.bool_or(gates.has_visible_text(F.col("text"))).alias("seen")).where("seen").drop("seen")
+    return t.read("documents").where(gates.has_visible_text(F.col("text"))).select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("pages"))
 
 
 @query("title_from_filename", with_tables("SELECT doc_id, regexp_extract(file_name, '^(.+)\\.[^.]*$', 1) AS title FROM docs", "docs"))
@@ -149,11 +156,13 @@ def unit_norm_gate(t: Tables):
     return t.read("embeddings").select("vec_id", gates.unit_norm_ok(F.col("embedding")).alias("ok"))
 
 
-@query("batch_response_gate", "SELECT vec_id // 8 AS batch, count(*) = count(DISTINCT vec_id % 8) AND min(vec_id % 8) = 0 AND max(vec_id % 8) = count(*) - 1 AND count(DISTINCT len(embedding)) = 1 AS ok FROM embeddings WHERE vec_id % 37 <> 0 GROUP BY 1")
+@query("batch_response_gate", "SELECT vec_id // 8 AS batch, count(*) = count(DISTINCT vec_id % 8) AND min(vec_id % 8) = 0 AND max(vec_id % 8) = count(*) - 1 AND count(DISTINCT len(embedding)) = 1 AND bool_and(vec_id % 37 <> 0 AND vec_id % 41 <> 0) AS ok FROM embeddings GROUP BY 1")
 def batch_response_gate(t: Tables):
-    """Responses of eight, some of which lack a row."""
-    e = t.read("embeddings").where("vec_id % 37 <> 0").select(F.floor(F.col("vec_id") / 8).alias("batch"), (F.col("vec_id") % 8).alias("i"), F.size("embedding").alias("dims"))
-    ok = (F.count("*") == F.count_distinct("i")) & (F.min("i") == 0) & (F.max("i") == F.count("*") - 1) & (F.count_distinct("dims") == 1)
+    """Responses of eight; in some a row has the wrong index, in some another signature."""
+    i = (F.col("vec_id") % 8) + F.when(F.col("vec_id") % 37 == 0, 8).otherwise(0)
+    e = t.read("embeddings").select(F.floor(F.col("vec_id") / 8).alias("batch"), i.alias("i"), F.size("embedding").alias("dims"), F.when(F.col("vec_id") % 41 == 0, "other").otherwise("own").alias("signature"))
+    e = e.withColumn("own", F.col("signature") == "own")
+    ok = (F.count("*") == F.count_distinct("i")) & (F.min("i") == 0) & (F.max("i") == F.count("*") - 1) & (F.count_distinct("dims") == 1) & F.bool_and("own")
     return e.groupBy("batch").agg(ok.alias("ok"))
 
 
@@ -210,25 +219,37 @@ def position_label(t: Tables):
 # ---- text extraction and chunks
 
 
-def _html_sql(column: str) -> str:
+#: Each page as it is, every tenth behind a preformatted part, and every twenty-fifth cut off inside a tag.
+_PAGES_SQL = "(SELECT page_id, CASE WHEN page_id % 25 = 3 THEN html || '<p class=\"x' WHEN page_id % 10 = 1 THEN '<pre>a  b' || chr(10) || '  &amp;c</pre>' || html ELSE html END AS html FROM pages)"
+
+
+def _html_sql() -> str:
     inside = "([^>\"'']|\"[^\"]*\"|''[^'']*'')*"
-    out = f"regexp_replace({column}, '(?s)<!--.*?-->', '', 'g')"
-    for tag in text.HIDDEN:
-        out = f"regexp_replace({out}, '(?is)<{tag}(\\s{inside})?>.*?</{tag}\\s*>', '', 'g')"
-    out = f"regexp_replace({out}, '\\s+', ' ', 'g')"
-    out = f"regexp_replace({out}, '(?i)</?({text.BLOCKS})([\\s/]{inside})?>', chr(10), 'g')"
-    out = f"regexp_replace({out}, '(?i)</t[dh]\\s*>', chr(9), 'g')"
-    out = f"regexp_replace({out}, '</?[A-Za-z!]{inside}>', '', 'g')"
+    tag = f"</?[A-Za-z0-9:-]+{inside}>"
+    raw = "|".join(f"<{t}([\\s/]{inside})?>(?s:.*?)</{t}\\s*>" for t in ("script", "style"))
+    out = f"regexp_replace(html, '(?i)(?:{raw}|<!--(?s:.*?)-->|<[!?]{inside}>)|({tag})', '\\6', 'g')"
+    hidden = "markup"
+    for t in ("head", "template"):
+        hidden = f"regexp_replace({hidden}, '(?is)<{t}([\\s/]{inside})?>.*?</{t}\\s*>', '', 'g')"
+    pieces = f"string_split(regexp_replace({hidden}, '(?is)<pre([\\s/]{inside})?>(.*?)</pre\\s*>', chr(6) || chr(1) || '\\3' || chr(1) || chr(6), 'g'), chr(1))"
+    p = f"regexp_replace(p, '(?i)</?({text.BLOCKS})([\\s/]{inside})?>', chr(6), 'g')"
+    p = f"regexp_replace(regexp_replace({p}, '(?i)</t[dh]\\s*>', chr(7), 'g'), '{tag}', '', 'g')"
     for name, value in text.ENTITIES.items():
-        out = f"replace({out}, '&{name};', '{value.replace(chr(39), chr(39) * 2)}')"
-    out = f"regexp_replace(regexp_replace({out}, ' *([\\n\\t]) *', '\\1', 'g'), ' +', ' ', 'g')"
-    return f"regexp_replace(regexp_replace({out}, '\\n+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+        p = f"replace({p}, '&{name};', '{value.replace(chr(39), chr(39) * 2)}')"
+    p = f"CASE WHEN i % 2 = 0 THEN translate({p}, ' ' || chr(10) || chr(9), chr(2) || chr(3) || chr(4)) ELSE regexp_replace({p}, '[\\s\\x{{85}}\\pZ]+', ' ', 'g') END"
+    body = f"array_to_string(list_transform({pieces}, lambda p, i: {p}), '')"
+    body = f"regexp_replace(regexp_replace({body}, ' *([\\x06\\x07]) *', '\\1', 'g'), ' +', ' ', 'g')"
+    body = f"regexp_replace(regexp_replace({body}, '([\\x03\\x06])\\x06+', '\\1', 'g'), '([\\x04\\x07])\\x07+', '\\1', 'g')"
+    body = f"regexp_replace(translate({body}, chr(2) || chr(3) || chr(4) || chr(6) || chr(7), ' ' || chr(10) || chr(9) || chr(10) || chr(9)), '^[\\s\\x{{85}}\\pZ]+|[\\s\\x{{85}}\\pZ]+$', '', 'g')"
+    return f"SELECT page_id, CASE WHEN broken THEN NULL ELSE {body} END AS text, CASE WHEN broken THEN 'unterminated' END AS problem FROM (SELECT *, regexp_matches(regexp_replace(markup, '{tag}', chr(1), 'g'), '<([!?]|/?[A-Za-z0-9:-])') AS broken FROM (SELECT page_id, {out} AS markup FROM {_PAGES_SQL}))"
 
 
-@query("html_to_text", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+@query("html_to_text", _html_sql())
 def html_to_text(t: Tables):
-    pages = t.read("pages").withColumn("problem", text.html_problem(F.col("html"))).where("problem IS NULL")
-    return pages.select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    """All pages; those with markup that does not end come with their problem."""
+    k = F.col("page_id")
+    html = F.when(k % 25 == 3, F.concat("html", F.lit('<p class="x'))).when(k % 10 == 1, F.concat(F.lit("<pre>a  b\n  &amp;c</pre>"), "html")).otherwise(F.col("html"))
+    return t.read("pages").select("page_id", text.html_parsed(html).alias("p")).select("page_id", "p.text", "p.problem")
 
 
 _ENTITY_SQL = "html"
@@ -246,30 +267,16 @@ def pages_explode(t: Tables):
     return chunk.pages_of(t.read("documents"), F.col("text")).withColumn("page", F.col("page").cast("long"))
 
 
-_CUT = """steps AS (SELECT doc_id, text, 0::BIGINT AS s, {end0} AS e FROM documents WHERE length(text) > 0
- UNION ALL SELECT doc_id, text, e - 160, {end1} FROM steps WHERE e < length(text))"""
-
-
-def _end_sql(start: str) -> str:
-    window = f"substring(text, ({start}) + 1, 1200)"
-    last = f"length(regexp_extract({window}, '(?s)^.*[\\n\\r。！？!?.;；]'))"
-    return f"CASE WHEN ({start}) + 1200 >= length(text) THEN length(text) WHEN {last} >= 900 THEN ({start}) + {last} ELSE ({start}) + 1200 END"
-
-
-_STEPS = _CUT.format(end0=_end_sql("0::BIGINT"), end1=_end_sql("e - 160"))
-_CHUNKED = "cuts AS (SELECT doc_id, s AS start, e AS \"end\", substring(text, s + 1, e - s) AS text FROM steps WHERE trim(substring(text, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(13)) <> '')"
-
-
 def _chunks(t: Tables):
     return chunk.chunk_pages(t.read("documents").select("doc_id", F.lit(1).alias("page"), "text"))
 
 
-@query("chunk_text", with_tables('SELECT doc_id, start, "end", md5(text) AS h FROM cuts', extra=f"{_STEPS}, {_CHUNKED}", recursive=True))
+@query("chunk_text", with_tables('SELECT doc_id, start, "end", md5(text) AS h FROM cuts', "cuts"))
 def chunk_text(t: Tables):
     return _chunks(t).select("doc_id", "start", "end", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
-@query("chunk_ordinals", with_tables("SELECT doc_id, start, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS ordinal FROM cuts", extra=f"{_STEPS}, {_CHUNKED}", recursive=True))
+@query("chunk_ordinals", with_tables("SELECT doc_id, start, ordinal FROM cuts", "cuts"))
 def chunk_ordinals(t: Tables):
     return chunk.with_ordinals(_chunks(t)).select("doc_id", "start", F.col("ordinal").cast("long").alias("ordinal"))
 

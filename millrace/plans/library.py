@@ -27,15 +27,16 @@ def chunk_counts(t: Tables):
     return t.chunks().groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("document_chunks", with_tables("SELECT doc_id, chunk_id, ordinal FROM chunks WHERE doc_id % 5 = 0 ORDER BY doc_id, ordinal", "chunks"))
+@query("document_chunks", with_tables("SELECT doc_id, chunk_id, ordinal FROM chunks ORDER BY doc_id, ordinal", "chunks"))
 def document_chunks(t: Tables):
-    return t.chunks().where("doc_id % 5 = 0").select("doc_id", "chunk_id", "ordinal").orderBy("doc_id", "ordinal")
+    return t.chunks().select("doc_id", "chunk_id", "ordinal").orderBy("doc_id", "ordinal")
 
 
-@query("distinct_signatures", with_tables("SELECT kb_id, count(DISTINCT encoder_signature) AS n, count(DISTINCT encoder_signature) = 1 AS uniform FROM chunks GROUP BY kb_id", "chunks"))
+@query("distinct_signatures", with_tables("SELECT doc_id, count(DISTINCT s) AS n, count(DISTINCT s) = 1 AS uniform FROM (SELECT doc_id, CASE WHEN doc_id % 23 = 0 AND ordinal = 1 THEN 'sig-c' ELSE encoder_signature END AS s FROM chunks) GROUP BY doc_id", "chunks"))
 def distinct_signatures(t: Tables):
-    n = F.count_distinct("encoder_signature")
-    return t.chunks().groupBy("kb_id").agg(n.alias("n"), (n == 1).alias("uniform"))
+    """Of each document; every twenty-third has a second chunk from another encoder."""
+    n = F.count_distinct(F.when((F.col("doc_id") % 23 == 0) & (F.col("ordinal") == 1), "sig-c").otherwise(F.col("encoder_signature")))
+    return t.chunks().groupBy("doc_id").agg(n.alias("n"), (n == 1).alias("uniform"))
 
 
 @query("kb_counts", with_tables("SELECT d.kb_id, count(*) AS documents, coalesce(any_value(c.n), 0) AS chunks, coalesce(any_value(q.n), 0) AS queries FROM docs d LEFT JOIN (SELECT kb_id, count(*) AS n FROM chunks GROUP BY kb_id) c ON c.kb_id = d.kb_id LEFT JOIN (SELECT kb_id, count(*) AS n FROM queries GROUP BY kb_id) q ON q.kb_id = d.kb_id GROUP BY d.kb_id", "docs", "chunks", "queries"))
@@ -75,7 +76,7 @@ def upsert_documents(t: Tables):
 def replace_chunks(t: Tables):
     """New sets for every third document; those of every fourth start at the wrong ordinal and are refused."""
     old = t.chunks().select("chunk_id", "doc_id", "ordinal", "text", "encoder_signature")
-    new = old.where("doc_id % 3 = 0").withColumn("ordinal", F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).withColumn("encoder_signature", F.lit("sig-c"))
+    new = old.where("doc_id % 3 = 0").withColumn("ordinal", F.when(F.col("doc_id") % 4 == 0, F.col("ordinal") + 1).otherwise(F.col("ordinal"))).withColumn("encoder_signature", F.lit("sig-c"))
     return library.replaced_chunks(old, new, library.valid_sets(new)).select("chunk_id", "doc_id", "encoder_signature")
 
 
@@ -101,17 +102,26 @@ def cascade_delete(t: Tables):
 
 # ---- citations and integrity
 
-_VALID = "v AS (SELECT s.conv_id, s.seq, s.position, s.chunk_id, coalesce(c.text = s.text AND c.page = s.page, false) AS unchanged, coalesce(c.text = s.text AND c.page = s.page AND d.status = 'ready', false) AS valid FROM message_sources s LEFT JOIN changed_chunks c ON c.chunk_id = s.chunk_id LEFT JOIN docs d ON d.doc_id = c.doc_id)"
+_SAME = "coalesce(c.text = s.text AND c.page = s.page, false)"
+_VALID = f"v AS (SELECT s.conv_id, s.seq, s.position, s.chunk_id, {_SAME} AS unchanged, {_SAME} AND d.status = 'ready' AND c.kb_id = s.kb_id AND isfinite(s.score) AND trim(c.text) <> '' AS valid FROM (SELECT *, CASE WHEN conv_id % 8 = 0 THEN 'src0' ELSE 'src' || ((conv_id + position) % (SELECT count(*) FROM documents) % 20) END AS kb_id, CASE WHEN (conv_id + seq) % 9 = 0 AND position = 1 THEN 'NaN'::DOUBLE ELSE 0.5 END AS score FROM message_sources) s LEFT JOIN changed_chunks c ON c.chunk_id = s.chunk_id LEFT JOIN docs d ON d.doc_id = c.doc_id)"
 
 
-@query("revoke_citations", with_tables("SELECT conv_id, seq, CASE WHEN bool_and(unchanged) THEN count(*) ELSE 0 END AS n_sources, NOT bool_and(unchanged) AS revoked FROM v GROUP BY ALL", "message_sources", "changed_chunks", "docs", extra=_VALID))
+def _cited(t: Tables):
+    """Sources with the knowledge base of their conversation, which for every eighth is another, and scores, some of which are no numbers."""
+    n = t.read("documents").agg(F.count("*")).scalar()
+    kb = F.when(F.col("conv_id") % 8 == 0, "src0").otherwise(F.concat(F.lit("src"), ((F.col("conv_id") + F.col("position")) % n % 20).cast("string")))
+    return t.message_sources().withColumn("kb_id", kb).withColumn("score", F.when(((F.col("conv_id") + F.col("seq")) % 9 == 0) & (F.col("position") == 1), float("nan")).otherwise(0.5))
+
+
+@query("revoke_citations", with_tables(f"SELECT v.conv_id, v.seq, CASE WHEN bool_and(unchanged) THEN count(*) ELSE 0 END AS n_sources, NOT bool_and(unchanged) AS revoked, md5(any_value(m.content) || CASE WHEN bool_and(unchanged) THEN '' ELSE '{library.CITATIONS_REVOKED}' END) AS h FROM v JOIN messages m ON m.conv_id = v.conv_id AND m.seq = v.seq GROUP BY v.conv_id, v.seq", "message_sources", "changed_chunks", "docs", "messages", extra=_VALID))
 def revoke_citations(t: Tables):
-    return library.revoked(t.message_sources(), t.changed_chunks(), t.docs())
+    out = library.revoked(_cited(t), t.changed_chunks(), t.docs(), t.messages())
+    return out.select("conv_id", "seq", "n_sources", "revoked", F.md5(F.col("content").cast("binary")).alias("h"))
 
 
-@query("validate_citations", with_tables("SELECT conv_id, seq, bool_and(valid) AS valid FROM v GROUP BY ALL", "message_sources", "changed_chunks", "docs", extra=_VALID))
+@query("validate_citations", with_tables("SELECT conv_id, seq, bool_and(coalesce(valid, false)) AS valid FROM v GROUP BY ALL", "message_sources", "changed_chunks", "docs", extra=_VALID))
 def validate_citations(t: Tables):
-    return library.source_validity(t.message_sources(), t.changed_chunks(), t.docs()).groupBy("conv_id", "seq").agg(F.bool_and("valid").alias("valid"))
+    return library.source_validity(_cited(t), t.changed_chunks(), t.docs()).groupBy("conv_id", "seq").agg(F.bool_and("valid").alias("valid"))
 
 
 @query("recover_interrupted", with_tables("SELECT d.doc_id, CASE WHEN status = 'indexing' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'indexing' THEN 'import was interrupted' END AS error_message, coalesce(c.n, 0) AS chunk_count FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM changed_chunks GROUP BY doc_id) c ON c.doc_id = d.doc_id", "docs", "changed_chunks"))
@@ -131,19 +141,30 @@ def changed_original(t: Tables):
     return t.docs().select("doc_id", "content_hash").join(now, "doc_id").select("doc_id", (F.col("content_hash") != F.col("now")).alias("refused"))
 
 
-@query("orphan_check", with_tables("SELECT 'source -> chunk' AS relation, s.chunk_id AS key FROM message_sources s WHERE s.chunk_id NOT IN (SELECT chunk_id FROM changed_chunks) UNION ALL SELECT 'label -> document', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE doc_id % 19 <> 0)", "message_sources", "changed_chunks", "docs"))
+@query("orphan_check", with_tables("SELECT 'source -> chunk' AS relation, s.chunk_id AS key FROM message_sources s WHERE NOT EXISTS (SELECT 1 FROM changed_chunks c WHERE c.chunk_id = s.chunk_id) UNION ALL SELECT 'label -> document', doc_id::VARCHAR FROM labels l WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.doc_id = l.doc_id AND d.doc_id % 19 <> 0) UNION ALL SELECT 'chunk -> document', doc_id::VARCHAR FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.doc_id = c.doc_id AND d.doc_id % 29 <> 0) UNION ALL SELECT 'document -> kb', kb_id FROM docs WHERE kb_id = 'src3' UNION ALL SELECT 'source -> message', conv_id::VARCHAR FROM message_sources WHERE conv_id % 11 = 0", "message_sources", "changed_chunks", "chunks", "docs"))
 def orphan_check(t: Tables):
-    return library.orphans({"source -> chunk": (t.message_sources(), "chunk_id", t.changed_chunks(), "chunk_id"), "label -> document": (t.read("labels"), "doc_id", t.docs().where("doc_id % 19 <> 0"), "doc_id")})
+    """Chunks, documents, a knowledge base and messages that were deleted without what refers to them."""
+    docs, sources = t.docs(), t.message_sources()
+    kbs = docs.select("kb_id").distinct().where("kb_id <> 'src3'")
+    return library.orphans({
+        "source -> chunk": (sources, "chunk_id", t.changed_chunks(), "chunk_id"),
+        "label -> document": (t.read("labels"), "doc_id", docs.where("doc_id % 19 <> 0"), "doc_id"),
+        "chunk -> document": (t.chunks(), "doc_id", docs.where("doc_id % 29 <> 0"), "doc_id"),
+        "document -> kb": (docs, "kb_id", kbs, "kb_id"),
+        "source -> message": (sources, "conv_id", t.messages().where("conv_id % 11 <> 0"), "conv_id"),
+    })
 
 
-_BROKEN = "broken AS (SELECT chunk_id, doc_id, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 0 END AS ordinal, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS page, CASE WHEN doc_id % 15 = 0 THEN '  ' ELSE text END AS text FROM chunks)"
+_BROKEN = "broken AS (SELECT chunk_id, doc_id, ordinal + CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 0 END AS ordinal, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS page, CASE WHEN doc_id % 15 = 0 THEN '  ' ELSE text END AS text, CASE WHEN doc_id % 14 = 0 THEN 32 ELSE dims END AS dims, encoder_signature || CASE WHEN doc_id % 23 = 0 THEN ordinal ELSE 0 END AS signature, embedding FROM chunks)"
+_RULES = {"ordinals": "min(ordinal) <> 0 OR max(ordinal) <> count(*) - 1 OR count(DISTINCT ordinal) <> count(*)", "page": "min(page) <= 0", "blank text": "bool_or(trim(text) = '')", "dims": "bool_or(dims <> len(embedding))", "signatures": "count(DISTINCT signature) > 1"}
 
 
-@query("audit_chunks", with_tables("SELECT doc_id, 'ordinals' AS problem FROM broken WHERE ordinal <> 0 UNION ALL SELECT doc_id, 'page' FROM broken WHERE page <= 0 UNION ALL SELECT doc_id, 'blank text' FROM broken WHERE trim(text) = ''", "chunks", extra=_BROKEN))
+@query("audit_chunks", with_tables(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS problem FROM broken GROUP BY doc_id HAVING {v}" for k, v in _RULES.items()), "chunks", extra=_BROKEN))
 def audit_chunks(t: Tables):
-    """Chunk sets with wrong ordinals, pages or blank texts chosen by document id."""
+    """Chunk sets with wrong ordinals, pages, blank texts, dimensions or signatures chosen by document id."""
     d = F.col("doc_id")
-    broken = t.chunks().withColumn("ordinal", F.when(d % 6 == 0, 2).otherwise(0)).withColumn("page", F.when(d % 10 == 0, 0).otherwise(1)).withColumn("text", F.when(d % 15 == 0, "  ").otherwise(F.col("text")))
+    broken = t.chunks().withColumn("encoder_signature", F.concat("encoder_signature", F.when(d % 23 == 0, F.col("ordinal")).otherwise(0).cast("string"))).withColumn("ordinal", F.when(d % 6 == 0, F.col("ordinal") + 2).otherwise(F.col("ordinal")))
+    broken = broken.withColumn("page", F.when(d % 10 == 0, 0).otherwise(1)).withColumn("text", F.when(d % 15 == 0, "  ").otherwise(F.col("text"))).withColumn("dims", F.when(d % 14 == 0, 32).otherwise(F.col("dims")))
     return library.chunk_audit(broken, gates.vector_ok(F.col("embedding"), 64))
 
 

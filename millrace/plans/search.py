@@ -19,7 +19,7 @@ def role_prefix(t: Tables):
     return rows.select("id", vectors.role_prefix(F.col("role"), F.col("t")).alias("input"))
 
 
-@query("embed_batches")
+@query("embed_batches", with_tables("SELECT chunk_id, 'hashing-64' AS encoder_signature, 64 AS dims, true AS unit FROM chunks", "chunks"))
 def embed_batches(t: Tables):
     """Every document's opening encoded by the stand-in encoder; what comes back is checked, not shown."""
     from ..functions import gates
@@ -93,12 +93,9 @@ def hybrid_score(t: Tables):
     return search.scored(t.queries(), search.ready_chunks(t.chunks(), t.docs())).select("query_id", "chunk_id", "score")
 
 
-@query("search_dedupe", with_tables("SELECT query_id, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM best GROUP BY query_id", "queries", "chunks", "docs", extra=f"{_SCORED.replace('c.text,', 'left(c.text, 3) AS text,', 1)}, {_DEDUP}"))
+@query("search_dedupe", with_tables("SELECT query_id, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM best GROUP BY query_id", "queries", "chunks", "docs", extra=f"{_SCORED}, {_DEDUP}"))
 def search_dedupe(t: Tables):
-    """Texts that open alike count as equal here, so that there is something to drop."""
-    hits = search.scored(t.queries(), search.ready_chunks(t.chunks(), t.docs()))
-    opening = t.chunks().select("chunk_id", F.substring("text", 1, 3).alias("text_hash"))
-    best = search.deduplicated(hits.drop("text_hash").join(opening, "chunk_id"), "query_id")
+    best = search.deduplicated(search.scored(t.queries(), search.ready_chunks(t.chunks(), t.docs())), "query_id")
     return best.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("documents"))
 
 
@@ -171,7 +168,7 @@ def all_tags(t: Tables):
     return tags.tag_frequency(t.docs()).select("kb_id", "tag").distinct().orderBy("kb_id", "tag")
 
 
-@query("tag_candidates", with_tables("SELECT k.kb_id, label, description, 'catalog' AS source FROM catalog CROSS JOIN (SELECT DISTINCT kb_id FROM freq) k UNION ALL SELECT kb_id, trim(tag), '', 'library' FROM freq WHERE trim(tag) <> '' AND length(trim(tag)) <= 32 AND lower(trim(tag)) NOT IN (SELECT lower(label) FROM catalog) QUALIFY row_number() OVER (PARTITION BY kb_id ORDER BY n DESC, tag) <= 118", "docs", extra=f"{_CATALOG}, {_FREQ}"))
+@query("tag_candidates", with_tables("SELECT k.kb_id, label, description, 'catalog' AS source FROM catalog CROSS JOIN (SELECT DISTINCT kb_id FROM freq) k UNION ALL SELECT kb_id, trim(tag), '', 'library' FROM freq WHERE trim(tag) <> '' AND length(trim(tag)) <= 32 AND lower(trim(tag)) NOT IN (SELECT lower(label) FROM catalog) QUALIFY row_number() OVER (PARTITION BY kb_id ORDER BY n DESC, tag) <= " + str(tags.MAX_CANDIDATES - len(tags.TOPICS)), "docs", extra=f"{_CATALOG}, {_FREQ}"))
 def tag_candidates(t: Tables):
     return tags.candidates(tags.catalog(t.spark), tags.tag_frequency(t.docs()))
 
@@ -187,7 +184,8 @@ def sample_chunks(t: Tables):
     return tags.sample_evenly(t.read("documents").select(F.col("source").alias("kb_id"), "doc_id"), "kb_id", "doc_id")
 
 
-_EVIDENCE = "evidence AS (SELECT d.doc_id, lower(d.title || chr(10) || substring(c.text, 1, 4000)) AS evidence FROM docs d JOIN chunks c ON c.doc_id = d.doc_id)"
+_SAMPLED = "sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n_chunks FROM chunks) WHERE n_chunks <= 24 OR list_contains(list_transform(range(0, 24), lambda k: k * (n_chunks - 1) // 23), i))"
+_EVIDENCE = f"{_SAMPLED}, evidence AS (SELECT d.doc_id, lower(any_value(d.title) || chr(10) || string_agg(substring(c.text, 1, 4000), chr(10) ORDER BY c.ordinal)) AS evidence FROM docs d JOIN sampled c ON c.doc_id = d.doc_id GROUP BY d.doc_id)"
 
 
 def _evidence(t: Tables):
@@ -204,25 +202,23 @@ _ANCHOR = "list_bool_or(list_transform(terms, lambda w: CASE WHEN regexp_matches
 
 @query("tag_anchor", with_tables(f"SELECT doc_id, label, {_ANCHOR} AS anchored FROM evidence CROSS JOIN catalog", "docs", "chunks", extra=f"{_EVIDENCE}, {_CATALOG}"))
 def tag_anchor(t: Tables):
-    return _evidence(t).crossJoin(F.broadcast(tags.catalog(t.spark))).select("doc_id", "label", tags.anchored(F.col("terms"), F.col("evidence")).alias("anchored"))
+    return tags.anchors(_evidence(t), tags.TOPICS)
 
 
-_SIMS = f"""sims AS (SELECT c.doc_id, k.label, s AS sample, round(0.5 + 0.5 * {_COS.format(a='e.embedding', b='v.embedding')}, 6) AS similarity
- FROM chunks c CROSS JOIN (SELECT unnest(range(0, 5)) AS s) CROSS JOIN catalog k JOIN embeddings v ON v.vec_id = k.position JOIN embeddings e ON e.vec_id = (c.doc_id + 3 * s) % (SELECT count(*) FROM embeddings)),
+_SIMS = f"""sims AS (SELECT c.doc_id, k.label, c.ordinal AS sample, round(0.5 + 0.5 * {_COS.format(a='c.embedding', b='v.embedding')}, 6) AS similarity
+ FROM sampled c CROSS JOIN catalog k JOIN embeddings v ON v.vec_id = k.position),
  semantic AS (SELECT doc_id, label, round(0.65 * max(similarity) + 0.35 * avg(similarity) FILTER (r <= greatest(1, ceil(n / 4.0))), 6) AS semantic
  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY similarity DESC) AS r, count(*) OVER (PARTITION BY doc_id, label) AS n FROM sims) GROUP BY ALL)"""
 
 
 def _similarities(t: Tables):
-    """Five vectors for each document against the topics' vectors, moved into 0 to 1."""
-    e, n = t._vectors()
-    d = t.chunks().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s")).withColumn("_v", (F.col("doc_id") + 3 * F.col("s")) % n)
-    d = d.join(e, F.col("_v") == F.col("vec_id")).select("doc_id", "s", F.col("embedding").alias("a"))
-    k = tags.catalog(t.spark).join(e, F.col("position") == F.col("vec_id")).select("label", F.col("embedding").alias("b"))
-    return d.crossJoin(F.broadcast(k)).select("doc_id", "label", F.round(0.5 + 0.5 * vectors.cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """The vectors of each document's sampled chunks against the topics' vectors, moved into 0 to 1."""
+    sampled = tags.sample_evenly(t.chunks().select("doc_id", "ordinal", "embedding"), "doc_id", "ordinal")
+    topics = tags.catalog(t.spark).join(t.vectors(), F.col("position") == F.col("vec_id")).select("label", "embedding")
+    return tags.similarities(sampled, topics)
 
 
-@query("tag_semantic", with_tables("SELECT * FROM semantic", "chunks", extra=f"{_CATALOG}, {_SIMS}"))
+@query("tag_semantic", with_tables("SELECT * FROM semantic", "chunks", extra=f"{_SAMPLED}, {_CATALOG}, {_SIMS}"))
 def tag_semantic(t: Tables):
     return tags.semantic(_similarities(t))
 
@@ -236,8 +232,7 @@ _SELECT = f"""anchors AS (SELECT doc_id, label, {_ANCHOR} AS anchored FROM evide
 
 @query("tag_select", with_tables("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, label) AS position, label, rank FROM passed QUALIFY position <= 5", "docs", "chunks", extra=f"{_EVIDENCE}, {_CATALOG}, {_SIMS}, {_SELECT}"))
 def tag_select(t: Tables):
-    anchors = _evidence(t).crossJoin(F.broadcast(tags.catalog(t.spark))).select("doc_id", "label", tags.anchored(F.col("terms"), F.col("evidence")).alias("anchored"))
-    return tags.select(tags.semantic(_similarities(t)).join(anchors, ["doc_id", "label"])).withColumn("position", F.col("position").cast("long"))
+    return tags.select(tags.semantic(_similarities(t)).join(tags.anchors(_evidence(t), tags.TOPICS), ["doc_id", "label"])).withColumn("position", F.col("position").cast("long"))
 
 
 @query("tag_targets", with_tables("SELECT doc_id, row_number() OVER (PARTITION BY kb_id ORDER BY created_at, doc_id) AS position FROM docs WHERE status = 'ready' AND len(tags) = 0", "docs"))

@@ -44,15 +44,37 @@ def test_lexical_terms(spark):
 
 
 def test_html(spark):
-    pages = ["<p>One<br>two &amp;lt; &copy; &#65;&#x42; &nope; &#0;</p><!-- x --><script>var a = '<p>';</script><table><tr><td>a</td><td>b</td></tr></table>", '<a title="x > y">link</a>  and\n\n more', "<p>open <b", "<pre> x </pre>", "plain & simple", "<p>a</p><!-- never closed"]
-    assert column(spark, pages, "string", text.html_problem) == [None, None, "unterminated", "preformatted", None, "unterminated"]
-    assert column(spark, pages[:2], "string", text.html_to_text) == ["One\ntwo &lt; © AB &nope; &#0;\na\tb", "link and more"]
+    pages = {
+        "<p>One<br>two &amp;lt; &copy; &#65;&#x42; &nope; &#0;</p><!-- x --><script>var a = '<p>';</script><table><tr><td>a</td><td>b</td></tr></table>": "One\ntwo &lt; © AB &nope; &#0;\na\tb",
+        '<a title="x > y">link</a>  and\n\n more': "link and more",
+        "<pre> x\n  y &lt;b&gt; <i>z</i></pre><p>after  all": "x\n  y <b> z\nafter all",
+        "a<pre>b\n</pre>c": "a\nb\nc",
+        "plain & simple, a < b and <3> c": "plain & simple, a < b and c",
+        "<style>p > a { }</style>x<script>if (a<b) '</p>'</script\n>y<script>never closed <b": "xy",
+        "<head><template>a</template>b<style></head></style></head>c<template>d<template>e</template>f</template>g": "cg",
+        '<!DOCTYPE x [<!ENTITY a "b>"> [c] ]><?xml version="1"?>t<!-->u': "tu",
+        "&nbsp; a&#10;&nbsp;b&emsp;<br/> c": "a b\nc",
+        "<script/>seen<head/>too": "seentoo",
+        "": "",
+    }
+    got = column(spark, list(pages), "string", text.html_to_text)
+    assert got == list(pages.values())
+    broken = ["<p>open <b", "<p>a</p><!-- never closed", '<a title="x>y', "x</p", "<!DOCTYPE [", "<1 a"]
+    assert [tuple(r) for r in column(spark, [*broken, None], "string", text.html_parsed)] == [(None, "unterminated")] * 6 + [(None, None)]
+
+
+def test_html_of_any_length(spark):
+    n = 1 << 20
+    values = ["<p " + "a" * n + ">x", "<p " + "a" * n, "<p " + "a='b' " * (n // 6) + ">x", "<b>" * (n // 4) + "x", "<pre>" + "a\n" * n, "<template>" * 2_000 + "x", "<head>" + "<b>y</b>" * (n // 8) + "</head>x", "<" * 5_000, "<!" + "[" * 1_000, "<script>" + "<" * n]
+    got = column(spark, values, "string", text.html_parsed)
+    assert [r.problem for r in got] == [None, "unterminated", None, None, None, None, None, None, "unterminated", None]
+    assert [r.text for r in got][:4] == ["x", None, "x", "x"] and [r.text for r in got][5:8] == ["", "x", "<" * 5_000]
 
 
 def test_loopback(spark):
     good = ["http://localhost", "https://127.0.0.1:8080/", "http://[::1]:1"]
-    bad = ["http://localhost/x", "http://localhost?q", "http://localhost#f", "ftp://localhost", "http://u@localhost", "http://example.com", "http://127.0.0.2", "localhost", "", None, "http://localhost.example.com"]
-    assert column(spark, good + bad, "string", gates.loopback_url_ok) == [True] * 3 + [False] * 11
+    bad = ["http://localhost:65536", "http://localhost:99999/", "http://localhost/x", "http://localhost?q", "http://localhost#f", "ftp://localhost", "http://u@localhost", "http://example.com", "http://127.0.0.2", "localhost", "", None, "http://localhost.example.com"]
+    assert column(spark, good + bad, "string", gates.loopback_url_ok) == [True] * 3 + [False] * 13
 
 
 def test_decode_text(spark):
@@ -68,8 +90,14 @@ def test_sniffing(spark):
     heads = [b" \n%PDF-1.7", b"PK\x03\x04x", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"{\\rtf1", b"\x89PNG\r\n\x1a\n", b"  <!DOCTYPE HTML>", b"<html>", b"<x>", b"text", b""]
     assert column(spark, heads, "binary", lambda v: ingest.sniff_format(v, F.lit("a.txt"))) == ["pdf", "zip", "ole", "rtf", "binary", "html", "html", "text", "text", "text"]
     assert column(spark, [b"<x>"], "binary", lambda v: ingest.sniff_format(v, F.lit("a.HTM"))) == ["html"]
+    more = [b"SQLite format 3\x00", b"bplist00", b"\xce\xfa\xed\xfe", b"\xfe\xed\xfa\xcf", b"\xfe\xed\xfa\xce", b" \r\n {\\rtf1", b"GIF88a", b"MZ is how it starts", b"BZh is text"]
+    assert column(spark, more, "binary", lambda v: ingest.sniff_format(v, F.lit("a.txt"))) == ["binary"] * 5 + ["rtf"] + ["text"] * 3
     media = [b"\xff\xd8\xff\xe0", b"RIFF0000WAVE", b"RIFF0000WEBP", b"0000ftypqt  ", b"0000ftypisom", b"\xff\xfe\x00\x00", b"ID3", b"\xff\xfb\x90", b"abc"]
     assert column(spark, media, "binary", ingest.sniff_media) == ["jpeg", "wav", "webp", "mov", "mp4", None, "mp3", "mp3", None]
+    box = lambda name, body=b"": (8 + len(body)).to_bytes(4, "big") + name + body
+    more = {b"RIFX0000WAVE": "wav", b"RF64....WAVE": "wav", b"RIFF0000abcd": None, b"BM" + bytes(12): "bmp", b"BM" + bytes(6): None, b"BMxxxxxxxxxxxxxx": None, b"\xff\xf1\x00": "aac", b"\xff\xf9": "aac", b"\xff\xe3": "mp3", b"FLV\x01": "flv", b"\x00\x00\x01\xb3": "mpg", b"\xff\x4f\xff\x51": "jp2"}
+    more |= {box(b"free", b"abc") + box(b"wide") + box(b"ftyp", b"avis"): "avif", box(b"skip") + box(b"moov"): "mov", box(b"ftyp", b"M4A "): "m4a", box(b"ftyp", b"msf1"): "heic", box(b"free", b"x") + b"text": None, box(b"mdat"): "mov", b"\x00\x00\x00\x00free": None, b"": None}
+    assert column(spark, list(more), "binary", ingest.sniff_media) == list(more.values())
 
 
 def test_scan_files(spark, tmp_path):
@@ -120,7 +148,7 @@ def test_tags(spark):
     assert column(spark, [[" b ", "a", "a", "", "x" * 40]], "array<string>", tags.normalized) == [["a", "b", "x" * 32]]
     assert column(spark, ["b， a、c；a\n,"], "string", tags.parsed_input) == [["a", "b", "c"]]
     df = spark.createDataFrame([("the art of go, ünder 中文字",)], "v string")
-    hit = lambda *t: df.select(tags.anchored(F.array(*map(F.lit, t)), F.col("v")).alias("x")).first().x
+    hit = lambda *t: df.select(tags.anchored(list(t), F.col("v")).alias("x")).first().x
     assert hit("art") and hit("中文") and not hit("ar") and not hit("g") and hit("zz", "go") and not hit("a.t")
 
 
@@ -137,6 +165,8 @@ def test_search_prefers_text_and_breaks_ties(spark):
     d = spark.createDataFrame([(i, "k", "ready" if i != 4 else "failed", "t", datetime.datetime(2024, 1, 1)) for i in range(1, 5)], "doc_id long, kb_id string, status string, title string, created_at timestamp")
     out = [(r.rank, r.chunk_id, r.score) for r in search.search(q, c, d, 3).orderBy("rank").collect()]
     assert out == [(1, "c1", 1.08), (2, "c3", 1.04)]
+    twice = q.unionByName(q.withColumn("query_id", F.lit(2).cast("long")))
+    assert search.search(twice, c, d, 3).count() == 4 and search.search(q, c.limit(0), d, 3).count() == 0 and search.search(q.limit(0), c, d, 3).count() == 0
 
 
 def test_filter_ignores_case_and_accents(spark):
@@ -146,10 +176,26 @@ def test_filter_ignores_case_and_accents(spark):
 
 
 def test_revocation_empties_the_whole_list(spark):
-    s = spark.createDataFrame([(1, 1, 0, "a", "x", 1), (1, 1, 1, "b", "y", None), (2, 1, 0, "b", "y", None)], "conv_id long, seq long, position int, chunk_id string, text string, page int")
-    c = spark.createDataFrame([("a", 1, "changed", 1), ("b", 1, "y", None)], "chunk_id string, doc_id long, text string, page int")
+    s = spark.createDataFrame([(1, 1, 0, "a", "x", 1, "k", 0.5), (1, 1, 1, "b", "y", None, "k", 0.5), (2, 1, 0, "b", "y", None, "k", 0.5)], "conv_id long, seq long, position int, chunk_id string, text string, page int, kb_id string, score double")
+    c = spark.createDataFrame([("a", 1, "k", "changed", 1), ("b", 1, "k", "y", None)], "chunk_id string, doc_id long, kb_id string, text string, page int")
     d = spark.createDataFrame([(1, "ready")], "doc_id long, status string")
-    assert {(r.conv_id, r.n_sources, r.revoked) for r in library.revoked(s, c, d).collect()} == {(1, 0, True), (2, 1, False)}
+    m = spark.createDataFrame([(1, 1, "see [1]"), (2, 1, "see [1]")], "conv_id long, seq long, content string")
+    assert {(r.conv_id, r.n_sources, r.revoked, r.content) for r in library.revoked(s, c, d, m).collect()} == {(1, 0, True, "see [1]" + library.CITATIONS_REVOKED), (2, 1, False, "see [1]")}
+
+
+def test_citations_are_of_the_same_library_scored_and_readable(spark):
+    columns = "conv_id long, seq long, position int, chunk_id string, text string, page int, kb_id string, score double, media string"
+    s = spark.createDataFrame([(1, 1, 0, "a", "x", 1, "k", 0.5, None), (2, 1, 0, "a", "x", 1, "other", 0.5, None), (3, 1, 0, "a", "x", 1, "k", float("inf"), None), (4, 1, 0, "b", " ", 1, "k", 0.5, None), (5, 1, 0, "c", "z", 1, "k", 0.5, "m1"), (6, 1, 0, "d", "z", 1, "k", 0.5, None)], columns)
+    c = spark.createDataFrame([("a", 1, "k", "x", 1, None), ("b", 1, "k", " ", 1, None), ("c", 1, "k", "z", 1, "m2"), ("d", 2, "k", "z", 1, None)], "chunk_id string, doc_id long, kb_id string, text string, page int, media string")
+    d = spark.createDataFrame([(1, "ready"), (2, "failed")], "doc_id long, status string")
+    assert {r.conv_id: (r.unchanged, r.valid) for r in library.source_validity(s, c, d).collect()} == {1: (True, True), 2: (True, False), 3: (True, False), 4: (True, False), 5: (False, False), 6: (True, False)}
+
+
+def test_audit_of_media_chunks(spark):
+    rows = [("a", 1, 0, "video", "video", "s", "r", [1.0]), ("b", 1, 1, "video", "video", "s", "r", None), ("c", 2, 0, "audio", "video", "s", "r", None), ("d", 3, 0, "image", "image", "s", "r", None), ("e", 3, 1, "image", "image", "t", None, None)]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id long, ordinal int, media_kind string, doc_kind string, media_signature string, media_recipe string, frame_times array<double>")
+    df = df.withColumn("page", F.lit(1)).withColumn("text", F.lit("x")).withColumn("embedding", F.array(F.lit(1.0))).withColumn("dims", F.lit(1)).withColumn("encoder_signature", F.lit("e"))
+    assert {(r.doc_id, r.problem) for r in library.chunk_audit(df, F.lit(True)).collect()} == {(1, "frame times"), (2, "media kind"), (3, "media signature"), (3, "media recipe")}
 
 
 def test_clock(spark):
