@@ -12,15 +12,15 @@ from ..functions.gates import has_visible_text
 CITATIONS_REVOKED = "\n\n[sources withdrawn: a cited document changed]"
 
 
-def filtered(docs: DataFrame, text: str = "", tag: str | None = None, favorites: bool = False) -> DataFrame:
-    """Documents by favourite mark, tag, and text within title, file name or a tag (case and accents ignored)."""
+def filtered(docs: DataFrame, text: str = "", tag: str | None = None, favorites: bool = False, sort: str = "newest") -> DataFrame:
+    """Documents by favourite mark, tag, and text within title, file name or a tag (case and accents ignored), the newest first or by title."""
     has = lambda c: F.contains(F.collate(c, "UNICODE_CI_AI"), F.collate(F.lit(text), "UNICODE_CI_AI"))
     out = docs.where("is_favorite") if favorites else docs
     if tag is not None:
         out = out.where(F.array_contains("tags", tag))
     if text:
         out = out.where(has(F.col("title")) | has(F.col("file_name")) | F.exists("tags", has))
-    return out
+    return out.orderBy(F.desc("created_at"), "doc_id") if sort == "newest" else out.orderBy("title", "doc_id")
 
 
 def recent(rows: DataFrame, group: str, newest: Column, *ties: str) -> DataFrame:
@@ -44,6 +44,15 @@ def upserted(old: DataFrame, new: DataFrame, immutable: list[str], mutable: list
     return j.withColumn("action", action).select(key, "action", *(F.when(fresh, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in immutable + mutable))
 
 
+def ready_or_refused(upserts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Upserted documents with a fresh chunk_count; one that would become ready without chunks, or with chunks of several encoders, is refused."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("encoder_signature").alias("s"))
+    j = upserts.join(n, "doc_id", "left")
+    fine = F.coalesce((F.col("n") >= 1) & (F.col("s") == 1), F.lit(False))
+    bad = F.col("action").isin("inserted", "updated") & (F.col("status") == "ready") & ~fine
+    return j.withColumn("action", F.when(bad, "refused").otherwise(F.col("action"))).withColumn("status", F.when(bad, F.col("old_status")).otherwise(F.col("status"))).withColumn("chunk_count", F.coalesce("n", F.lit(0))).drop("n", "s", "old_status")
+
+
 def replaced_chunks(old: DataFrame, new: DataFrame, valid_docs: DataFrame) -> DataFrame:
     """All chunks of a document change together, and only if the new set is valid."""
     accepted = new.join(valid_docs.select("doc_id"), "doc_id", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import shipped
+from ..tables import ranked
 from .search import unit_rows
 
 # Sizes, and below the weights and limits of ranking and selection.
@@ -101,10 +102,13 @@ def prompt(label: Column, description: Column) -> Column:
     return F.concat(label, F.lit(": "), description)
 
 
-def sample_evenly(rows: DataFrame, group: str, order: str, most: int = MAX_SAMPLES) -> DataFrame:
-    """All rows of a group, or ``most`` of them at even distances, first and last included."""
-    w = Window.partitionBy(group)
-    numbered = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+def sample_evenly(rows: DataFrame, group: str, order: str, most: int = MAX_SAMPLES, large: bool = False) -> DataFrame:
+    """All rows of a group, or ``most`` of them at even distances, first and last included. ``large``: a group may hold any part of the rows."""
+    if large:
+        numbered = ranked(rows, [F.asc_nulls_first(group), F.asc(order)], "_i", "samples", group=group).withColumnRenamed("_i_of", "_n")
+    else:
+        w = Window.partitionBy(group)
+        numbered = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
     picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / (most - 1)))
     return numbered.where((F.col("_n") <= most) | F.array_contains(picks, F.col("_i").cast("long"))).drop("_i", "_n")
 

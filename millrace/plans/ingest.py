@@ -70,7 +70,7 @@ def ready_chunks(t: Tables):
 
 @query("messages_in_order", with_tables("SELECT conv_id, seq, role, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS position FROM messages", "messages"))
 def messages_in_order(t: Tables):
-    return ingest.in_order(t.messages().withColumn("kb_id", F.col("conv_id")), F.asc("seq")).select("conv_id", "seq", "role", "position")
+    return ingest.in_order(t.messages(), F.asc("seq"), group="conv_id").select("conv_id", "seq", "role", "position")
 
 
 def _outcomes(t: Tables):
@@ -89,7 +89,7 @@ def ingest_errors_split(t: Tables):
     return rows.groupBy("kb_id", "good").agg(F.count("*").alias("n"))
 
 
-@query("import_report", with_tables("SELECT kb_id, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed, coalesce(string_agg(DISTINCT message, '; ' ORDER BY message) FILTER (outcome = 'failed'), '') AS messages FROM outcomes GROUP BY kb_id", "docs", extra=_OUTCOMES))
+@query("import_report", with_tables("SELECT kb_id, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed, coalesce(string_agg(DISTINCT message, '; ' ORDER BY message) FILTER (outcome = 'failed'), '') AS messages, count(*) FILTER (outcome = 'imported') || ' imported, ' || count(*) FILTER (outcome = 'skipped') || ' skipped, ' || count(*) FILTER (outcome = 'failed') || ' failed' AS summary FROM outcomes GROUP BY kb_id", "docs", extra=_OUTCOMES))
 def import_report(t: Tables):
     return ingest.import_report(_outcomes(t))
 

@@ -39,11 +39,13 @@ def distinct_signatures(t: Tables):
     return t.chunks().groupBy("doc_id").agg(n.alias("n"), (n == 1).alias("uniform"))
 
 
-@query("kb_counts", with_tables("SELECT d.kb_id, count(*) AS documents, coalesce(any_value(c.n), 0) AS chunks, coalesce(any_value(q.n), 0) AS queries FROM docs d LEFT JOIN (SELECT kb_id, count(*) AS n FROM chunks GROUP BY kb_id) c ON c.kb_id = d.kb_id LEFT JOIN (SELECT kb_id, count(*) AS n FROM queries GROUP BY kb_id) q ON q.kb_id = d.kb_id GROUP BY d.kb_id", "docs", "chunks", "queries"))
+@query("kb_counts", with_tables("SELECT d.kb_id, count(*) AS documents, coalesce(any_value(c.n), 0) AS chunks, coalesce(any_value(v.n), 0) AS conversations, coalesce(any_value(n.n), 0) AS notes FROM docs d LEFT JOIN (SELECT kb_id, count(*) AS n FROM chunks GROUP BY kb_id) c ON c.kb_id = d.kb_id LEFT JOIN (SELECT kb_id, count(*) AS n FROM kb_conversations GROUP BY kb_id) v ON v.kb_id = d.kb_id LEFT JOIN (SELECT kb_id, count(*) AS n FROM notes GROUP BY kb_id) n ON n.kb_id = d.kb_id GROUP BY d.kb_id", "docs", "chunks", "kb_conversations", "notes"))
 def kb_counts(t: Tables):
     count = lambda df, name: df.groupBy("kb_id").agg(F.count("*").alias(name))
-    out = count(t.docs(), "documents").join(count(t.chunks(), "chunks"), "kb_id", "left").join(count(t.queries(), "queries"), "kb_id", "left")
-    return out.na.fill(0, ["chunks", "queries"])
+    out = count(t.docs(), "documents")
+    for name, rows in (("chunks", t.chunks()), ("conversations", t.kb_conversations()), ("notes", t.notes())):
+        out = out.join(count(rows, name), "kb_id", "left")
+    return out.na.fill(0, ["chunks", "conversations", "notes"])
 
 
 @query("checks_summary", with_tables("SELECT kb_id, count(*) FILTER (status = 'ready' AND byte_count > 500) AS passed, count(*) AS total FROM docs GROUP BY kb_id", "docs"))
@@ -67,9 +69,15 @@ def _incoming(t: Tables):
     return changed.unionByName(d.select((-1 - F.col("doc_id")).alias("doc_id"), "kb_id", "byte_count", F.lit("indexing").alias("status")))
 
 
-@query("upsert_documents", with_tables("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'kept' WHEN doc_id % 10 = 0 THEN 'refused' ELSE 'updated' END AS action, byte_count, CASE WHEN doc_id % 5 = 0 AND doc_id % 10 <> 0 THEN 'ready' ELSE status END AS status FROM docs UNION ALL SELECT -1 - doc_id, 'inserted', byte_count, 'indexing' FROM docs WHERE doc_id % 5 = 0", "docs"))
+_UPSERTS = """c AS (SELECT doc_id, count(*) AS n, count(DISTINCT encoder_signature) AS s FROM changed_chunks GROUP BY doc_id),
+ u AS (SELECT d.doc_id, status, byte_count, coalesce(n, 0) AS n, CASE WHEN d.doc_id % 5 <> 0 THEN 'kept' WHEN d.doc_id % 10 = 0 OR coalesce(s, 0) <> 1 THEN 'refused' ELSE 'updated' END AS action FROM docs d LEFT JOIN c ON c.doc_id = d.doc_id)"""
+
+
+@query("upsert_documents", with_tables("SELECT doc_id, action, byte_count, CASE action WHEN 'updated' THEN 'ready' ELSE status END AS status, n AS chunk_count FROM u UNION ALL SELECT -1 - doc_id, 'inserted', byte_count, 'indexing', 0 FROM docs WHERE doc_id % 5 = 0", "docs", "changed_chunks", extra=_UPSERTS))
 def upsert_documents(t: Tables):
-    return library.upserted(t.docs(), _incoming(t), ["kb_id", "byte_count"], ["status"]).select("doc_id", "action", "byte_count", "status")
+    """Documents without chunks, or with another size, are not made ready."""
+    out = library.upserted(t.docs(), _incoming(t), ["kb_id", "byte_count"], ["status"]).join(t.docs().select("doc_id", F.col("status").alias("old_status")), "doc_id", "left")
+    return library.ready_or_refused(out, t.changed_chunks()).select("doc_id", "action", "byte_count", "status", "chunk_count")
 
 
 @query("replace_chunks", with_tables("SELECT chunk_id, doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'sig-c' ELSE encoder_signature END AS encoder_signature FROM chunks", "chunks"))
@@ -87,12 +95,26 @@ def upsert_notes(t: Tables):
     return library.upserted(old, new, ["kb_id"], ["title"], "note_id").select("note_id", "action", "title")
 
 
-@query("cascade_delete", with_tables("SELECT 'chunks' AS kind, count(*) AS n FROM chunks WHERE kb_id NOT IN ('src1', 'src2') UNION ALL SELECT 'documents', count(*) FROM docs WHERE kb_id NOT IN ('src1', 'src2') UNION ALL SELECT 'sources', count(*) FROM message_sources s JOIN chunks c ON c.chunk_id = s.chunk_id WHERE c.kb_id NOT IN ('src1', 'src2')", "chunks", "docs", "message_sources"))
+_LEFT = {
+    "documents": "docs WHERE kb_id NOT IN ('src1', 'src2')",
+    "chunks": "chunks WHERE kb_id NOT IN ('src1', 'src2')",
+    "notes": "notes WHERE kb_id NOT IN ('src1', 'src2')",
+    "conversations": "kb_conversations WHERE kb_id NOT IN ('src1', 'src2')",
+    "messages": "messages WHERE conv_id % 20 NOT IN (1, 2)",
+    "sources": "message_sources WHERE conv_id % 20 NOT IN (1, 2)",
+}
+
+
+@query("cascade_delete", with_tables(" UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS n FROM {v}" for k, v in _LEFT.items()), "chunks", "docs", "notes", "kb_conversations", "messages", "message_sources"))
 def cascade_delete(t: Tables):
+    """What is left of each table when two knowledge bases are deleted."""
     gone = t.docs().select("kb_id").distinct().where("kb_id IN ('src1', 'src2')")
-    docs, chunks = library.without(t.docs(), gone, "kb_id"), t.chunks()
-    lost = chunks.join(docs.select("doc_id"), "doc_id", "left_anti")
-    left = {"documents": docs, "chunks": library.without(chunks, lost, "chunk_id"), "sources": library.without(t.message_sources(), lost, "chunk_id")}
+    conversations = t.kb_conversations()
+    lost = conversations.join(gone, "kb_id", "left_semi").select("conv_id")
+    left = {k: library.without(rows, gone, "kb_id") for k, rows in (("documents", t.docs()), ("notes", t.notes()), ("conversations", conversations))}
+    chunks = t.chunks()
+    left["chunks"] = library.without(chunks, chunks.select("doc_id").join(left["documents"].select("doc_id"), "doc_id", "left_anti"), "doc_id")
+    left |= {"messages": library.without(t.messages(), lost, "conv_id"), "sources": library.without(t.message_sources(), lost, "conv_id")}
     out = None
     for kind, rows in left.items():
         n = rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text, vectors
 from ..operators import search, tags
+from ..sources import ingest
 from .views import Tables, with_tables
 
 # ---- vectors
@@ -181,7 +181,7 @@ def candidate_prompt(t: Tables):
 
 @query("sample_chunks", "SELECT source AS kb_id, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE n <= 24 OR list_contains(list_transform(range(0, 24), lambda k: k * (n - 1) // 23), i)")
 def sample_chunks(t: Tables):
-    return tags.sample_evenly(t.read("documents").select(F.col("source").alias("kb_id"), "doc_id"), "kb_id", "doc_id")
+    return tags.sample_evenly(t.read("documents").select(F.col("source").alias("kb_id"), "doc_id"), "kb_id", "doc_id", large=True)
 
 
 _SAMPLED = "sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n_chunks FROM chunks) WHERE n_chunks <= 24 OR list_contains(list_transform(range(0, 24), lambda k: k * (n_chunks - 1) // 23), i))"
@@ -237,7 +237,7 @@ def tag_select(t: Tables):
 
 @query("tag_targets", with_tables("SELECT doc_id, row_number() OVER (PARTITION BY kb_id ORDER BY created_at, doc_id) AS position FROM docs WHERE status = 'ready' AND len(tags) = 0", "docs"))
 def tag_targets(t: Tables):
-    return tags.targets(t.docs()).select("doc_id", F.row_number().over(Window.partitionBy("kb_id").orderBy("created_at", "doc_id")).cast("long").alias("position"))
+    return ingest.in_order(tags.targets(t.docs()), F.asc("created_at"), F.asc("doc_id")).select("doc_id", "position")
 
 
 @query("tag_apply", with_tables("SELECT doc_id, CASE WHEN status = 'ready' AND len(tags) = 0 AND doc_id % 9 <> 0 THEN 'written' ELSE 'stale' END AS outcome, 'topic,' || lang AS new_tags FROM docs WHERE doc_id % 2 = 0", "docs"))

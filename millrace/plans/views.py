@@ -79,6 +79,14 @@ class Tables:
     def messages(self) -> DataFrame:
         return self.read("conversations").select("conv_id", F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
 
+    def kb_conversations(self) -> DataFrame:
+        return self.messages().select("conv_id").distinct().withColumn("kb_id", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")))
+
+    def notes(self) -> DataFrame:
+        """A note on every third document."""
+        d = self.read("documents").where("doc_id % 3 = 0")
+        return d.select(F.col("doc_id").alias("note_id"), F.col("source").alias("kb_id"), F.concat(F.lit("note "), F.col("doc_id").cast("string")).alias("title"))
+
     def message_sources(self) -> DataFrame:
         n = self.read("documents").agg(F.count("*")).scalar()
         m = self.messages().where("role = 'assistant'").select("conv_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("position"))
@@ -130,6 +138,8 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "queries": ((), "SELECT item_id AS query_id, 'src' || (item_id % 20) AS kb_id, text, e.embedding FROM benchmark JOIN embeddings e ON e.vec_id = item_id % (SELECT count(*) FROM embeddings)"),
     "query_segments": ((), "SELECT item_id AS query_id, 'src' || (item_id % 20) AS kb_id, s AS segment, e.embedding FROM benchmark CROSS JOIN (SELECT unnest([0, 1, 2]) AS s) JOIN embeddings e ON e.vec_id = (item_id + 7 * s) % (SELECT count(*) FROM embeddings)"),
     "messages": ((), "SELECT conv_id, turn AS seq, role, text AS content FROM conversations"),
+    "kb_conversations": (("messages",), "SELECT DISTINCT conv_id, 'src' || (conv_id % 20) AS kb_id FROM messages"),
+    "notes": ((), "SELECT doc_id AS note_id, source AS kb_id, 'note ' || doc_id AS title FROM documents WHERE doc_id % 3 = 0"),
     "message_sources": (("chunks", "messages"), "SELECT m.conv_id, m.seq, p AS position, c.chunk_id, c.text, c.page FROM messages m CROSS JOIN (SELECT unnest([0, 1, 2]) AS p) JOIN chunks c ON c.ordinal = 0 AND c.doc_id = (m.conv_id + p) % (SELECT count(*) FROM documents) WHERE m.role = 'assistant'"),
     "answers": (("messages",), "SELECT conv_id, seq, content || CASE (seq + conv_id) % 5 WHEN 0 THEN ' [1]' WHEN 1 THEN ' [2] and [3]' WHEN 2 THEN ' [9]' WHEN 3 THEN ' [01]' ELSE '' END AS content, 3 AS n_sources FROM messages WHERE role = 'assistant'"),
     "assets": ((), "SELECT doc_id AS asset_id, CASE WHEN doc_id % 2 = 0 THEN 'audio' ELSE 'video' END AS kind, n_chars / 100.0 AS duration FROM documents"),

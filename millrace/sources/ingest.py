@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import ranked
 
-def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files below a folder as path, modificationTime, length, content; hidden descendants are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return manifest(files)
+
+# Extensions of folders that count as one document or program.
+PACKAGES = "app|bundle|framework|plugin|kext|rtfd|pages|numbers|key|xcodeproj|photoslibrary"
+
+
+def scan_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """Files below folders as path, modificationTime, length, content, without hidden ones and those in packages; one row for each path,
+    ordered by path. Spark's readers pass over names that start with a dot or an underscore, so a hidden file cannot be chosen by name either."""
+    read = lambda paths: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    found = None
+    for folder in folders:
+        rows = read(folder)
+        root = F.regexp_replace(F.lit(folder), "^file:/*", "/")
+        below = F.expr("substring(path, instr(path, root) + length(root))")
+        rows = rows.withColumn("root", F.regexp_replace(root, "/+$", "")).withColumn("below", below).where(_listed(F.col("below"))).drop("root", "below")
+        found = rows if found is None else found.unionByName(rows)
+    return found.dropDuplicates(["path"]).orderBy("path")
+
+
+def _listed(path: Column) -> Column:
+    return ~path.rlike(rf"/\.[^/]|\.(?i:{PACKAGES})/")
 
 
 def manifest(files: DataFrame, path: str = "path", root: str = "") -> DataFrame:
-    """Rows whose path below ``root`` has no hidden part, one for each path, ordered by path."""
+    """Rows whose path below ``root`` has no hidden part and no package, one for each path, ordered by path."""
     rest = F.regexp_replace(path, "^" + root, "") if root else F.col(path)
-    return files.where(~rest.rlike(r"/\.[^/]")).dropDuplicates([path]).orderBy(path)
+    return files.where(_listed(rest)).dropDuplicates([path]).orderBy(path)
 
 
 def content_hash(rows: DataFrame, content: str, key: str) -> DataFrame:
@@ -93,8 +111,12 @@ def decode_text(content: Column) -> Column:
     size = F.octet_length(content)
     body = lambda n: F.substring(content, n + 1, 1 << 30)
     pairs = F.floor(size / 2)
-    lane = lambda at: F.size(F.filter(F.regexp_extract_all(h, F.lit("(..)(..)"), at), lambda b: b == "00"))
-    even, odd = lane(1), lane(2)
+
+    def zeros(lane: int) -> Column:
+        own = F.regexp_replace(h, "(..)(..)", f"${lane} ")
+        return (F.length(own) - F.length(F.replace(own, F.lit("00 ")))) / 3
+
+    even, odd = zeros(1), zeros(2)
     least = F.greatest(F.lit(1), F.floor(pairs / 20))
     # decode() fails the task on malformed input, so the units are checked first, possessively and thus without recursion
     units = {
@@ -129,10 +151,12 @@ def split_errors(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def import_report(outcomes: DataFrame) -> DataFrame:
-    """outcome, n and its first messages in order, from rows (kb_id, outcome, message)."""
-    return outcomes.groupBy("kb_id").agg(*(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in ("imported", "skipped", "failed")), F.array_join(F.array_sort(F.collect_set(F.when(F.col("outcome") == "failed", F.col("message")))), "; ").alias("messages"))
+    """Counts of each outcome, the messages of failures in order, and a summary, from rows (kb_id, outcome, message)."""
+    summary = F.format_string("%d imported, %d skipped, %d failed", "imported", "skipped", "failed")
+    return outcomes.groupBy("kb_id").agg(*(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in ("imported", "skipped", "failed")), F.array_join(F.array_sort(F.collect_set(F.when(F.col("outcome") == "failed", F.col("message")))), "; ").alias("messages")).withColumn("summary", summary)
 
 
-def in_order(rows: DataFrame, *keys: Column) -> DataFrame:
-    """Rows with their position in an order that has to be stated in full."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("kb_id").orderBy(*keys)).cast("long"))
+def in_order(rows: DataFrame, *keys: Column, group: str = "kb_id") -> DataFrame:
+    """Rows with their position from 1 within a group, in an order that has to be stated in full. A group may hold any part of the rows: ranges
+    of the order are dealt out and counted, no task sorts a whole group."""
+    return ranked(rows, [F.asc_nulls_first(group), *keys], "position", "in-order", group=group).withColumn("position", F.col("position") + 1)

@@ -101,11 +101,14 @@ def test_sniffing(spark):
 
 
 def test_scan_files(spark, tmp_path):
-    for name in ("a.txt", "b/c.txt", ".hidden/d.txt", "b/.e.txt"):
-        p = tmp_path / name
-        p.parent.mkdir(exist_ok=True)
+    root = tmp_path / ".library"  # only what lies below the folder counts
+    for name in ("a.txt", "b/c.txt", ".hidden/d.txt", "b/.e.txt", "Tool.app/x.txt"):
+        p = root / name
+        p.parent.mkdir(exist_ok=True, parents=True)
         p.write_text(name)
-    assert [r.path.rsplit("/", 1)[1] for r in ingest.scan_files(spark, str(tmp_path)).select("path").collect()] == ["a.txt", "c.txt"]
+    names = lambda df: [r.path.rsplit("/", 1)[1] for r in df.select("path").collect()]
+    assert names(ingest.scan_files(spark, [str(root)])) == ["a.txt", "c.txt"]
+    assert names(ingest.scan_files(spark, [str(root), str(root / "b")])) == ["a.txt", "c.txt"]
 
 
 @settings(max_examples=150, deadline=None)
@@ -171,8 +174,8 @@ def test_search_prefers_text_and_breaks_ties(spark):
 
 def test_filter_ignores_case_and_accents(spark):
     d = spark.createDataFrame([(1, "Café notes", "a.txt", ["x"], True), (2, "other", "b.txt", ["CAFE"], False)], "doc_id long, title string, file_name string, tags array<string>, is_favorite boolean")
-    assert {r.doc_id for r in library.filtered(d, text="cafe").collect()} == {1, 2}
-    assert {r.doc_id for r in library.filtered(d, text="cafe", favorites=True).collect()} == {1}
+    assert {r.doc_id for r in library.filtered(d, text="cafe", sort="title").collect()} == {1, 2}
+    assert {r.doc_id for r in library.filtered(d, text="cafe", favorites=True, sort="title").collect()} == {1}
 
 
 def test_revocation_empties_the_whole_list(spark):
