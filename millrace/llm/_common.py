@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import shipped as shipped
+from ..tables import drop_tables as drop_tables
+from ..tables import n_tables as n_tables
+from ..tables import new_path as new_path
+from ..tables import shared_dir as shared_dir
+from ..tables import written as written
 
 #: Columns of the documents table; the pipeline stages hand on exactly these.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,51 +27,6 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset a temporary one is set, on one machine only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not path:
-        path = sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-millrace-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
-
-
-#: Tables written so far and not yet dropped, oldest first.
-_tables: list[str] = []
-
-
-def drop_tables(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the tables written after the first ``since``, but for the last ``keep`` of them."""
-    gone = _tables[since : len(_tables) - keep]
-    for path in gone:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _tables[since : len(_tables) - keep]
-
-
-def n_tables() -> int:
-    return len(_tables)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table written in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    _tables.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns called c0, c1, ..., so that columns of an operator's own cannot clash with them, and the new names."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), {c: f"c{i}" for i, c in enumerate(df.columns)}

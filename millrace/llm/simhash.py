@@ -18,7 +18,7 @@ shared checkpoint folder.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and are linked like any other; repeated
 rows and equal texts share a fingerprint and a group; a group's id is its smallest doc_id (null only if all of them are);
-further columns are ignored; an empty table gives no rows. Radius: 7 at most.
+further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def placed(fps: DataFrame, node: int = NODE, radius: int = RADIUS) -> DataFrame:
     children = comb(*BLOCKS[radius])
     first = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks(1, radius))))
     keyed = fps.select("fp", "rep", F.explode(first).alias("node")).select((F.col("node.mask") + step).alias("mask"), "node.bits", "fp", "rep")
-    for level in (1, 2) if radius <= 2 else (1,):
+    for level in (1, 2):
         full = written(keyed.groupBy("mask", "bits").count().where(F.col("count") > node).select("mask", "bits"), f"full-{level}")
         if full.isEmpty():
             return reduce(DataFrame.unionByName, [*out, keyed])
@@ -190,8 +190,8 @@ def local_groups(reps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE) -> DataFrame:
     """(a, b), a > b: from a fingerprint's rep to the smallest rep of its group under an upper node. fps: fp, rep, one row each."""
-    if radius not in BLOCKS:
-        raise ValueError(f"radius must be one of {sorted(BLOCKS)}")
+    if radius not in (0, 1, 2):
+        raise ValueError("radius must be 0, 1 or 2; alike_links takes wider ones")
     shipped(fps.sparkSession)
 
     def run(batches):

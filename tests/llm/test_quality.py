@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import regex
+
 from millrace.llm import quality as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,3 +62,50 @@ def test_awkward_rows(spark):
     kept = Q.kept_documents(df)
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [1, 1]
     assert Q.quality(df.limit(0)).count() == 0 and Q.kept_documents(df.limit(0)).count() == 0
+
+
+def brute_verdicts(texts):
+    """Votes by plain rules and expectation-maximisation over documents, not patterns."""
+    votes, failed = [], []
+    for t in texts:
+        t = t or ""
+        n, chars, symbols, _, repeats, bad = brute(t)
+        w, m = WORD.findall(t), max(n, 1)
+        distinct, capitals = len(set(w)), len(regex.findall(r"\p{Lu}", t))
+        exclaims, ends, function = t.count("!"), len(re.findall(r"[.?!](?=[\x20\x09-\x0D]|\Z)", t)), len(set(w) & set(Q.FUNCTION_WORDS))
+        rules = [
+            (repeats > 0.4 * m, repeats <= 0.05 * m), (symbols > 0.1 * m, symbols <= 0.01 * m), (exclaims > 0.3 * m, exclaims <= 0.02 * m), (capitals > 0.3 * chars, capitals <= 0.1 * chars),
+            (function == 0, function >= 4), (chars < 3 * m or chars > 10 * m, 3.5 * m <= chars <= 7 * m), (distinct < 0.15 * m, distinct >= 0.4 * m), (ends == 0, 0.02 * m <= ends <= 0.3 * m),
+        ]
+        votes.append([-1 if b else 1 if g else 0 for b, g in rules])
+        failed.append(bad)
+    v, failed = np.array(votes), np.array(failed)
+    own = v[~failed]
+    good = np.where((own < 0).any(axis=1), 0.02, 0.98)
+    for _ in range(100):
+        mass = good.sum(), len(own) - good.sum()
+        prior = np.log((mass[0] + 1) / (mass[1] + 1))
+        rate = {x: (np.log(((own == x) * good[:, None]).sum(axis=0) + 1) - np.log(mass[0] + 3), np.log(((own == x) * (1 - good)[:, None]).sum(axis=0) + 1) - np.log(mass[1] + 3)) for x in (-1, 0, 1)}
+        odds = lambda z: prior + sum(((z == x) * (rate[x][0] - rate[x][1])).sum(axis=1) for x in rate)  # noqa: B023, E731
+        new = 1 / (1 + np.exp(-odds(own)))
+        moved, good = abs(new - good).max(), new
+        if moved < 1e-9:
+            break
+    return ~failed & (odds(v) >= 0)
+
+
+def test_verdicts_of_given_documents_match_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text IS NULL OR length(text) < 50000").orderBy("doc_id").collect()
+    want = brute_verdicts([r.text for r in rows])
+    out = run(spark, [r.text for r in rows])
+    got = np.array([out[i].kept for i in range(len(rows))])
+    assert 0 < want.sum() < len(rows) and (got == want).all()
+
+
+def test_kept_documents_keep_clashing_columns(spark):
+    rnd = random.Random(8)
+    rows = [(i, prose(rnd), "mine", [i]) for i in range(30)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, q_text string, q_words array<int>")
+    out = Q.kept_documents(df)
+    assert out.columns == df.columns and {(r.doc_id, r.text, r.q_text, tuple(r.q_words)) for r in out.collect()} <= {(a, b, c, tuple(d or ())) for a, b, c, d in rows} and out.count() >= 25
+    assert Q.kept_documents(df.limit(0)).count() == 0
