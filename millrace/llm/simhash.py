@@ -40,8 +40,8 @@ SHINGLE, RADIUS = 3, 2
 #: compared without a tree.
 NODE, FAN, LEAF = 4096, 16, 32
 #: Of ``similar_documents``: fingerprints of a text, bytes of a sketch, standard deviations by which an estimate
-#: must be off to rule something out, and the part of all shingles (one in ``PART``) of the first count.
-VIEWS, BINS, SURE, PART = 2, 128, 4, 8
+#: must be off to rule something out, the part of all shingles (one in ``PART``) of the first count, and standard deviations there.
+VIEWS, BINS, SURE, PART, LEFT_SURE = 2, 128, 4, 16, 3
 #: Shingles of a block of texts that are compared by a task.
 BLOCK = 1 << 18
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -556,7 +556,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     views differ in at most ``radius`` bits and the Jaccard similarity of their shingles is at least ``similarity``. Equal texts always are.
 
     Texts with more than the share 1 - ``similarity`` of shingles that no other text has cannot be similar to any and are not indexed; this is counted
-    for a part of all shingles first (texts over the share by ``SURE`` standard deviations go), then exactly among the texts left. So a group of
+    for a part of all shingles first (texts over the share by ``LEFT_SURE`` standard deviations go), then exactly among the texts left. So a group of
     many copies, each with changes of its own, does not meet. Each view has an index of its own. Texts that it joins, by near fingerprints
     and sketches that do not rule the similarity out, form clusters, in each of which all pairs within the radius are compared exactly, in
     blocks. Neither step passes on pairs, only the edges that join the same texts."""
@@ -565,15 +565,18 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     kinds = prints.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "some", *views)))
     # numbers once written stay; being small, they shuffle cheaper than hashes
     kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
-    some, most = F.size("some"), 1 - similarity
-    left = kinds.join(alone(kinds.select("id", F.explode("some").alias("h"))), "id", "left").where(F.coalesce("alone", F.lit(0)) <= most * some + SURE * F.sqrt(most * similarity * some))
-    left = written(left.select("id", "rep", F.col("text_hash").alias("h")), "left")
+    some, most = F.col("some_n"), 1 - similarity
+    # merged at every size: how large these tables are depends on how much of the corpus is copied
+    left = kinds.select("id", "rep", F.col("text_hash").alias("h"), "n", F.size("some").alias("some_n")).join(alone(kinds.select("id", F.explode("some").alias("h"))).hint("merge"), "id", "left")
+    left = left.where(F.coalesce("alone", F.lit(0)) <= most * some + LEFT_SURE * F.sqrt(most * similarity * some))
+    left = written(left.select("id", "rep", "h", "n"), "left")
     # only the first document with a text meets it, however many have it
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = texts.join(left, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("h"))).groupBy("id").agg(F.first("text").alias("text"))
+    texts = texts.join(left.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("h"))).groupBy("id").agg(F.first("text").alias("text"))
     texts = written(texts, "left-texts")
-    own = kinds.join(left.select("id"), "id").join(alone(shingles_of(texts, shingle)), "id", "left").withColumn("shared", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int"))
-    own = written(own.where(F.col("shared") >= similarity * F.col("n") - 1e-9).select("id", "n", "shared", "sketch", *views), "indexed")
+    shared = left.select("id", "n").join(alone(shingles_of(texts, shingle)).hint("merge"), "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int").alias("shared"), "n")
+    own = kinds.select("id", "sketch", *views).join(shared.where(F.col("shared") >= similarity * F.col("n") - 1e-9).hint("merge"), "id")
+    own = written(own.select("id", "n", "shared", "sketch", *views), "indexed")
     edges = reduce(DataFrame.unionByName, (alike_links(own.select(F.col(v).alias("fp"), "id", "n", "shared", "sketch"), radius, node, similarity) for v in views))
     clusters = components(edges)
     members = own.select("id", "n", *views).join(clusters.withColumnRenamed("component", "cluster"), "id").join(texts, "id")
