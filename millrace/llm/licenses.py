@@ -1,7 +1,8 @@
 """Operator 10: licence scans by sparse TF-IDF cosine and directory inheritance, in DataFrame operations only.
 
 The units of a file are its lines with a licence cue, each of them with the line after it (titles wrap), its paragraphs with a cue (of a
-licence file all of them), and, of those that are longer, windows of ``WINDOWS`` terms in place of the whole. Units and the templates below, which are
+licence file all of them), and, of those that are longer, windows of ``WINDOWS`` terms with a
+cue (of a licence file all) in place of the whole. Units and the templates below, which are
 identifiers, titles, short forms, header notices and paragraphs of the licences, become sparse TF-IDF vectors over the templates' words and
 further dimensions, of half the highest weight, for other words; document frequencies are counted over the words of all files. A unit has
 the licence of the template with the highest cosine, if that is at least ``COSINE`` and all version numbers of the template
@@ -89,6 +90,8 @@ TEXTS = {
 #: (licence, text) of every template, in order of precedence.
 TEMPLATES = [(k, t) for k, texts in TEXTS.items() for t in texts] + [(k.removesuffix("-only").removesuffix("-or-later"), f"spdx-license-identifier {k.lower()}") for k in IDENTIFIERS]
 CUE = r"(?i)licen[cs]e|copyright|rights reserved|public domain|spdx|redistribut|permission is hereby|hereby granted|may be used to endorse|distribute this software"
+#: How a term begins that is, or is part of, a cue.
+TERM_CUE = "^(licen[cs]e|copyright|reserved|domain|spdx|redistribut|hereby|endorse|distribute)"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)(?:[.-][^/]*)?$"
 
 
@@ -110,7 +113,9 @@ def units(text: Column, path: Column) -> Column:
     found = F.transform(F.concat(F.transform(cue, lambda u: u["x"]), pairs, paragraphs), _terms)
     none = F.array().cast("array<array<string>>")
     cut = lambda t, size: F.when(F.size(t) > size, F.transform(F.sequence(F.lit(0), F.size(t) - size // 2, F.lit(size // 2)), lambda i: F.slice(t, i + 1, size)))
-    windows = F.flatten(F.transform(found, lambda t: F.concat(F.coalesce(cut(t, WINDOWS[0]), F.array(t)), F.coalesce(cut(t, WINDOWS[1]), none))))
+    of_licence = F.coalesce(path.rlike(LICENCE_FILE), F.lit(False))
+    cued = lambda w: F.filter(w, lambda t: of_licence | F.exists(t, lambda x: x.rlike(TERM_CUE)))
+    windows = F.flatten(F.transform(found, lambda t: F.concat(F.coalesce(cued(cut(t, WINDOWS[0])), F.array(t)), F.coalesce(cued(cut(t, WINDOWS[1])), none))))
     return F.when(text.rlike(CUE) | F.coalesce(path.rlike(LICENCE_FILE), F.lit(False)), windows).otherwise(none)
 
 
@@ -137,13 +142,16 @@ def scan(files: DataFrame) -> DataFrame:
     templates = spark.createDataFrame([(i, k, v.split()) for i, (k, v) in enumerate(TEMPLATES)], "t int, template string, terms array<string>")
     tvec = templates.select("t", "template", F.explode("terms").alias("term")).groupBy("t", "template", "term").agg(F.count("*").alias("tf")).join(weight, "term").withColumn("w", F.col("tf") * F.col("idf")).withColumn("number", F.col("term").rlike("^[0-9]").cast("int"))
     tnorm = tvec.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tnorm"), F.sum("number").alias("numbers"))
-    tvec = F.broadcast(tvec.join(tnorm, "t").select("t", "template", "term", "w", "number", "tnorm", "numbers"))  # a fixed list
+    names = F.broadcast(tnorm.join(templates.select("t", "template"), "t"))  # a fixed list, as the vectors are
+    tvec = F.broadcast(tvec.select("t", "term", "w", "number"))
 
     of = written(rows.select("row", F.posexplode("units").alias("at", "terms")), "units")
-    svec = of.select("row", "at", F.explode("terms").alias("term")).groupBy("row", "at", "term").agg(F.count("*").alias("tf"))
+    tf = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
+    svec = of.select("row", "at", F.explode(tf).alias("s")).select("row", "at", "s.term", "s.tf")
     svec = svec.join(F.broadcast(weight), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     norm = svec.groupBy("row", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = svec.alias("s").join(tvec.alias("v"), "term").groupBy("row", "at", "t", "template", "tnorm", "numbers").agg(F.sum(F.col("s.w") * F.col("v.w")).alias("dot"), F.sum("number").alias("found")).where("found = numbers")
+    dots = svec.alias("s").join(tvec.alias("v"), "term").groupBy("row", "at", "t").agg(F.sum(F.col("s.w") * F.col("v.w")).alias("dot"), F.sum("number").alias("found"))
+    dots = dots.join(names, "t").where("found = numbers")
     cosine = dots.join(norm, ["row", "at"]).withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9))
     best = cosine.groupBy("row", "at").agg(F.max(F.struct("cosine", (-F.col("t")).alias("t"), "template")).alias("b")).where(F.col("b.cosine") >= COSINE)
     own = best.groupBy("row").agg(F.max(F.struct("b.cosine", "b.t", "b.template")).alias("o"), F.count("*").alias("n_statements"))
@@ -187,7 +195,7 @@ def oracle() -> str:
  raw AS (SELECT r, line AS u FROM cue_lines UNION ALL SELECT r, line || chr(10) || lines[i + 1] FROM cue_lines WHERE i < len(lines)
   UNION ALL SELECT r, p FROM (SELECT r, unnest(regexp_split_to_array(text, '\n[\x20\t\r]*\n')) AS p FROM cued) WHERE contains(p, chr(10)) AND regexp_matches(p, '{CUE}')),
  whole AS (SELECT row_number() OVER () AS k, r, {terms('u')} AS terms FROM raw),
- windows AS (SELECT k, r, 0 AS i, terms FROM whole WHERE len(terms) <= {WINDOWS[0]} {" ".join(f"UNION ALL SELECT k, r, i * 1000 + {size}, terms[i + 1:i + {size}] FROM (SELECT k, r, terms, unnest(range(0, len(terms) - {size // 2} + 1, {size // 2})) AS i FROM whole WHERE len(terms) > {size})" for size in WINDOWS)}),
+ windows AS (SELECT k, r, 0 AS i, terms FROM whole WHERE len(terms) <= {WINDOWS[0]} {" ".join(f"UNION ALL SELECT k, r, i * 1000 + {size}, terms[i + 1:i + {size}] FROM (SELECT k, r, terms, unnest(range(0, len(terms) - {size // 2} + 1, {size // 2})) AS i FROM whole WHERE len(terms) > {size}) WHERE len(list_filter(terms[i + 1:i + {size}], lambda x: regexp_matches(x, '{TERM_CUE}'))) > 0" for size in WINDOWS)}),
  svec AS (SELECT k, i, any_value(r) AS r, term, count(*) * coalesce(any_value(idf), (SELECT (ln(1 + n) + 1) / 2 FROM n)) AS w FROM (SELECT k, i, r, unnest(terms) AS term FROM windows) LEFT JOIN weight USING (term) GROUP BY k, i, term),
  snorm AS (SELECT k, i, sqrt(sum(w * w)) AS norm FROM svec GROUP BY ALL),
  best AS (SELECT r, k, i, template, t, cosine FROM (SELECT any_value(s.r) AS r, s.k, s.i, v.template, v.t, round(sum(s.w * v.w) / (any_value(norm) * any_value(tnorm)), 9) AS cosine FROM svec s JOIN tvec v USING (term) JOIN snorm ON snorm.k = s.k AND snorm.i = s.i JOIN tnorm ON tnorm.t = v.t GROUP BY s.k, s.i, v.template, v.t HAVING sum(v.number) = any_value(numbers))
