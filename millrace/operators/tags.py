@@ -14,6 +14,8 @@ from .search import unit_rows
 # Sizes, and below the weights and limits of ranking and selection.
 MAX_CANDIDATES, MAX_SAMPLES, MAX_TAGS, EVIDENCE = 128, 24, 5, 4000
 KEPT_TAGS, TAG_LENGTH = 12, 32
+#: Added before rounding, so that halves, which sums of rounded similarities often are, go up whatever the binary fraction is.
+TIE = 1e-9
 
 #: Topics of this library: label, description, terms that anchor it.
 TOPICS = [
@@ -153,7 +155,7 @@ def semantic(similarities: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "label")
     r = similarities.withColumn("_r", F.row_number().over(w.orderBy(F.desc("similarity")))).withColumn("_n", F.count("*").over(w))
     top = F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") / 4))
-    return r.groupBy("doc_id", "label").agg(F.round(0.65 * F.max("similarity") + 0.35 * F.avg(F.when(top, F.col("similarity"))), 6).alias("semantic"))
+    return r.groupBy("doc_id", "label").agg(F.round(0.65 * F.max("similarity") + 0.35 * F.avg(F.when(top, F.col("similarity"))) + TIE, 6).alias("semantic"))
 
 
 def select(ranked: DataFrame) -> DataFrame:

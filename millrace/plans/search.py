@@ -207,7 +207,7 @@ def tag_anchor(t: Tables):
 
 _SIMS = f"""sims AS (SELECT c.doc_id, k.label, c.ordinal AS sample, round(0.5 + 0.5 * {_COS.format(a='c.embedding', b='v.embedding')}, 6) AS similarity
  FROM sampled c CROSS JOIN catalog k JOIN embeddings v ON v.vec_id = k.position),
- semantic AS (SELECT doc_id, label, round(0.65 * max(similarity) + 0.35 * avg(similarity) FILTER (r <= greatest(1, ceil(n / 4.0))), 6) AS semantic
+ semantic AS (SELECT doc_id, label, round(0.65 * max(similarity) + 0.35 * avg(similarity) FILTER (r <= greatest(1, ceil(n / 4.0))) + 1e-9, 6) AS semantic
  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY similarity DESC) AS r, count(*) OVER (PARTITION BY doc_id, label) AS n FROM sims) GROUP BY ALL)"""
 
 
