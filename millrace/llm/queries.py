@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, decontaminate, licenses, line_templates, pii, quality, sharding, simhash, token_counts, transducer
+from . import arrow_output, decontaminate, licenses, line_templates, minhash, pii, quality, sharding, simhash, token_counts, transducer
 from ._common import benchmark, documents
 
 
@@ -48,5 +48,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(licenses.with_paths(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_templates, op3_quality_votes, op4_token_counts, op5_benchmark_leaks, op6_interleaved_shards, op7_simhash, op8_personal_data, op9_arrow_ids, op10_license_scan)}
-ORACLES: dict[str, str] = {"op10_license_scan": licenses.oracle()}
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.similar_sets(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_templates, op3_quality_votes, op4_token_counts, op5_benchmark_leaks, op6_interleaved_shards, op7_simhash, op8_personal_data, op9_arrow_ids, op10_license_scan, op11_minhash)}
+ORACLES: dict[str, str] = {"op10_license_scan": licenses.oracle(), "op11_minhash": minhash.ORACLE}

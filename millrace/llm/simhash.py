@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import positional, shipped, written
+from .clusters import LOWER, alone, components, edge_batches, in_blocks, local_groups, shingle_hashes, shingles_of, star, whole_groups
 
 SHINGLE, RADIUS = 3, 2
 #: Fingerprints under an upper node before its children take over, parts of an inner node of the tree, and fingerprints that are
@@ -45,14 +46,13 @@ VIEWS, BINS, SURE, PART, LEFT_SURE = 2, 128, 4, 16, 3
 #: Shingles of a block of texts that are compared by a task.
 BLOCK = 1 << 18
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The SimHash of a text; words are runs of anything but ASCII white space, A-Z are lowered."""
     import xxhash
 
-    words = (text or "").encode().translate(_LOWER).split()
+    words = (text or "").encode().translate(LOWER).split()
     n, digest = len(words), xxhash.xxh64_intdigest
     if not n:
         return 0
@@ -176,18 +176,6 @@ def near_pairs(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def local_groups(reps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each fingerprint of a node the smallest rep of those linked with it, directly or through others."""
-    label = reps.copy()
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        if (label[a] == low).all() and (label[b] == low).all():
-            break
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-    return label
-
-
 def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE) -> DataFrame:
     """(a, b), a > b: from a fingerprint's rep to the smallest rep of its group under an upper node. fps: fp, rep, one row each."""
     if radius not in (0, 1, 2):
@@ -235,31 +223,6 @@ def links(fps: DataFrame, radius: int = RADIUS, node: int = NODE) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every end of an edge (a, b): component is the smallest id reachable.
-
-    Alternating star steps: large-star links a node's larger neighbours to its smallest, small-star its smaller ones. Minima are
-    taken by partial aggregation, and a node with very many links only meets one row in the join. Each step is
-    written in the shared folder.
-    """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        large = written(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        edges = written(small, "small-star")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, node: int = NODE) -> DataFrame:
     """doc_id, text_hash, fingerprint (16 hexadecimal digits) and component_id of every row."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
@@ -278,27 +241,13 @@ def jaccard(a: str | None, b: str | None, shingle: int) -> float:
     """Share of common shingles of two texts' words (A-Z lowered); shorter texts are one shingle, empty ones are alike."""
 
     def grams(text):
-        w = (text or "").encode().translate(_LOWER).split()
+        w = (text or "").encode().translate(LOWER).split()
         return set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)}
 
     x, y = grams(a), grams(b)
     return len(x & y) / len(x | y)
 
 
-def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text's words, the ones that ``jaccard`` compares."""
-    import xxhash
-
-    if len(words) < shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 7)], np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n, out = len(words) - shingle + 1, np.zeros(len(words) - shingle + 1, np.uint64)
-    for i in range(shingle):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : i + n]
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(out ^ (out >> np.uint64(29)))
-
-
 def word_fingerprints(words: list[bytes]) -> list[int]:
     """``VIEWS`` fingerprints of a text's distinct words, each of bits of its own."""
     import xxhash
@@ -341,7 +290,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             ns, views, sketches, some = [], [], [], []
             for t in b.column("text"):
-                words = (t.as_py() or "").encode().translate(_LOWER).split()
+                words = (t.as_py() or "").encode().translate(LOWER).split()
                 h = shingle_hashes(words, shingle)
                 ns.append(len(h))
                 views.append(word_fingerprints(words))
@@ -355,56 +304,6 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
     return own.mapInArrow(run, f"doc_id long, text_hash long, n int, {', '.join(f'v{i} long' for i in range(VIEWS))}, sketch binary, some array<long>")
 
 
-def in_blocks(rows: DataFrame, keys: list[str], blocks: DataFrame) -> DataFrame:
-    """The rows with columns i, j, side: of groups (``keys``) with a number of ``blocks`` (others have one), each two blocks i <= j meet by
-    themselves, so that no task holds more than two of them; ``side`` tells the blocks."""
-    own = rows.join(blocks, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"), (k < F.col("own")).cast("int").alias("side")))
-    return own.withColumn("p", F.explode(others)).select(*rows.columns, "p.i", "p.j", "p.side")
-
-
-def whole_groups(batches, columns: list[str], keys: int):
-    """(columns, starts, ends) of whole groups from sorted batches: arrays of rows, and the bounds of each run of equal values of the
-    first ``keys`` of them. What is held back is one group."""
-    held: list[np.ndarray] = []
-    for piece in itertools.chain(batches, [None]):
-        own = held
-        if piece is not None:
-            own = [piece.column(k).to_numpy(zero_copy_only=False) for k in columns]
-            if held:
-                own = [np.concatenate(z) for z in zip(held, own)]
-        if not own or not len(own[0]):
-            continue
-        changes = np.flatnonzero(np.logical_or.reduce([z[1:] != z[:-1] for z in own[:keys]])) + 1
-        starts, ends = np.r_[0, changes], np.r_[changes, len(own[0])]
-        if piece is not None:  # the last group may go on in the next batch
-            held = [z[starts[-1] :] for z in own]
-            starts, ends = starts[:-1], ends[:-1]
-        if len(starts):
-            yield own, starts, ends
-
-
-def edge_batches(found):
-    """Record batches of the edges (a, b) that come in pieces."""
-    out, size = [], 0
-    for a, b in found:
-        out.append((a, b))
-        size += len(a)
-        if size >= 1 << 16:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b"])
-            out, size = [], 0
-    if size:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b"])
-
-
-def star(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each of the rows that the pairs (x, y) join to the smallest id among those joined with it."""
-    rows, at = np.unique(np.r_[x, y], return_inverse=True)
-    own = ids[rows]
-    low = local_groups(own, at[: len(x)], at[len(x) :])
-    return own[low != own], low[low != own]
-
-
 def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> DataFrame:
     """(a, b), a > b: edges that join the same ids as all pairs do whose fingerprints are near, whose n shingles, ``shared`` of which other texts
     have too, allow the similarity, and whose sketches do not rule it out. rows: fp, id, n, shared, sketch.
@@ -515,7 +414,7 @@ def similar_links(rows: DataFrame, shingle: int, similarity: float, radius: int,
             for s, e in zip(starts.tolist(), ends.tolist()):
                 if e - s < 2:
                     continue
-                hashes = [shingle_hashes((t or "").encode().translate(_LOWER).split(), shingle) for t in texts[s:e]]
+                hashes = [shingle_hashes((t or "").encode().translate(LOWER).split(), shingle) for t in texts[s:e]]
                 cross = i[s] != j[s]
                 q, t = (np.flatnonzero(side[s:e] == k) for k in (0, 1)) if cross else (np.arange(e - s),) * 2
                 found = list(compared([v[s:e].view(np.uint64) for v in views], hashes, ids[s:e], q, t, cross))
@@ -533,24 +432,6 @@ def similar_links(rows: DataFrame, shingle: int, similarity: float, radius: int,
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def alone(rows: DataFrame) -> DataFrame:
-    """id, alone: how many of the hashes (id, h), each once an id, no other id has."""
-    return rows.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-
-
-def shingles_of(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, h) for each distinct shingle of each text (id, text)."""
-    shipped(texts.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            for i, t in zip(b.column("id").to_pylist(), b.column("text")):
-                h = shingle_hashes((t.as_py() or "").encode().translate(_LOWER).split(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], names=["id", "h"])
-
-    return texts.select("id", "text").mapInArrow(run, "id long, h long")
-
-
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, node: int = NODE, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, fingerprint (of distinct words, the first view), component_id; texts are linked if their fingerprints of one of ``VIEWS``
     views differ in at most ``radius`` bits and the Jaccard similarity of their shingles is at least ``similarity``. Equal texts always are.
