@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, decontaminate, importance, licenses, line_templates, minhash, pii, quality, sharding, simhash, token_counts, transducer
+from . import arrow_output, decontaminate, importance, licenses, line_templates, minhash, pii, prefix_trie, quality, sharding, simhash, token_counts, transducer
 from ._common import benchmark, documents
 
 
@@ -56,5 +56,9 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_templates, op3_quality_votes, op4_token_counts, op5_benchmark_leaks, op6_interleaved_shards, op7_simhash, op8_personal_data, op9_arrow_ids, op10_license_scan, op11_minhash, op12_importance_resample)}
-ORACLES: dict[str, str] = {"op10_license_scan": licenses.oracle(), "op11_minhash": minhash.ORACLE, "op12_importance_resample": importance.ORACLE}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_templates, op3_quality_votes, op4_token_counts, op5_benchmark_leaks, op6_interleaved_shards, op7_simhash, op8_personal_data, op9_arrow_ids, op10_license_scan, op11_minhash, op12_importance_resample, op13_prefix_trie)}
+ORACLES: dict[str, str] = {"op10_license_scan": licenses.oracle(), "op11_minhash": minhash.ORACLE, "op12_importance_resample": importance.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
