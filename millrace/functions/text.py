@@ -22,12 +22,14 @@ _COMMENT = r"<!(?=--)(?s:.*?)-->"
 _DECLARATION = r"""<(?:\?|!(?!--))(?:[^>"'\[\]]++|"[^"]*+"|'[^']*+'|\[(?:[^\["'\]]++|"[^"]*+"|'[^']*+'|\[[^\]]*+\])*+\]|\])*+>"""
 _RAW = rf"<(script|style){_END}{_INSIDE}(?<!/)>(?s:.*?)(?:</\1(?=[\s/>]){_INSIDE}>|\z)"
 _HIDDEN = rf"(?i)<(head|template){_END}{_INSIDE}(?<!/)>(?:[^<]++|<(?!/?(?:head|template)[\s/>]))*+</\1{_END}{_INSIDE}>"
-_HIDDEN_TO_END = rf"(?is)<(?:head|template){_END}{_INSIDE}(?<!/)>.*\z"
+_HIDDEN_TAG = rf"(?i)<(/?)(head|template){_END}{_INSIDE}>"
 _PRE = rf"(?is)<pre{_END}{_INSIDE}>(.*?)(?:</pre{_END}{_INSIDE}>|\z)"
-#: Depth to which hidden elements may lie in one another; what lies deeper hides the rest of the page.
-_DEPTH = 3
+_PRE_IN_PRE = rf"(?i)<pre{_END}{_INSIDE}>(?:[^<]++|<(?!/?pre[\s/>]))*+<pre{_END}"
 # Stand-ins while a page is read: ends of a preformatted part; its space, line end and tab; the end of a line and of a cell.
 _CUT, _SPACE, _LINE, _TAB, _BLOCK, _CELL = "\x01", "\x02", "\x03", "\x04", "\x06", "\x07"
+# Stand-ins for tags that nest: where a head, a template or a preformatted part opens, and where it closes.
+_OPENS, _CLOSES = "\x0e\x0f", "\x10\x11"
+_RESERVED = _CUT + _SPACE + _LINE + _TAB + _BLOCK + _CELL + _OPENS + _CLOSES
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -59,10 +61,48 @@ def _html_piece(piece: Column, preformatted: Column) -> Column:
     return F.when(preformatted, F.translate(normalize_newlines(t), " \n\t", _SPACE + _LINE + _TAB)).otherwise(F.regexp_replace(t, r"[\s\x{85}\p{Z}]+", " "))
 
 
+def _nested(marked: Column) -> tuple[Column, Column]:
+    """The pieces of a text in which every opening and closing tag stands as one of ``_OPENS`` or ``_CLOSES`` (each piece starts with one, but for the
+    first), and for each piece the tags that are open there, as a string of openings. A closing tag ends the innermost open element if that is of
+    its kind, and nothing else.
+
+    One pass over the tags: the state is the stack, as long as the nesting is deep, and the index of stacks by piece in compact form."""
+    pieces = F.regexp_extract_all(F.concat(F.lit(_CUT), marked), F.lit(f"([{_CUT}{_OPENS}{_CLOSES}][^{_OPENS}{_CLOSES}]*)"), 1)
+    tags = F.transform(pieces, lambda p: F.substring(p, 1, 1))
+
+    def step(state: Column, tag: Column) -> Column:
+        stack = state["stack"]
+        closes = F.translate(tag, _CLOSES, _OPENS)
+        after = F.when(tag.isin(*_OPENS), F.concat(stack, tag)).when((closes != tag) & (F.right(stack, F.lit(1)) == closes), F.left(stack, F.length(stack) - 1)).otherwise(stack)
+        return F.struct(after.alias("stack"), F.concat(state["depths"], F.when(stack == "", "0").otherwise("1")).alias("depths"))
+
+    end = F.aggregate(tags, F.struct(F.lit("").alias("stack"), F.lit("").alias("depths")), step)
+    inside = F.transform(F.array(end), lambda e: F.substring(F.concat(e["depths"], F.when(e["stack"] == "", "0").otherwise("1")), 2, 1 << 30))[0]
+    return pieces, F.split(inside, "")
+
+
+def _outside_hidden(markup: Column) -> Column:
+    """Markup without heads and templates, however they nest; those that do not end hide the rest."""
+    marked = F.regexp_replace(markup, rf"(?i)<(?:head|template){_END}{_INSIDE}(?<=/)>", "")
+    for name, opens, closes in zip(("head", "template"), _OPENS, _CLOSES):
+        marked = F.regexp_replace(F.regexp_replace(marked, rf"(?i)<{name}{_END}{_INSIDE}>", opens), rf"(?i)</{name}{_END}{_INSIDE}>", closes)
+    pieces, inside = _nested(marked)
+    return F.array_join(F.zip_with(pieces, inside, lambda p, i: F.when(i == "0", F.translate(p, _CUT + _OPENS + _CLOSES, "")).otherwise("")), "")
+
+
+def _outermost_pre(markup: Column) -> Column:
+    """Markup in which only the outermost of preformatted parts within one another have tags."""
+    marked = F.regexp_replace(F.regexp_replace(markup, rf"(?i)<pre{_END}{_INSIDE}>", _OPENS[0]), rf"(?i)</pre{_END}{_INSIDE}>", _CLOSES[0])
+    pieces, inside = _nested(marked)
+    tagged = F.zip_with(pieces, F.zip_with(inside, F.concat(F.array(F.lit("0")), inside), lambda now, was: F.concat(was, now)), lambda p, i: F.concat(F.when(i == "01", "<pre>").when(i == "10", "</pre>").when(F.left(p, F.lit(1)) == _CUT, "").otherwise(_BLOCK), F.translate(p, _CUT + _OPENS + _CLOSES, "")))
+    return F.array_join(F.filter(tagged, lambda p: p.isNotNull()), "")
+
+
 def _visible(markup: Column) -> Column:
-    for _ in range(_DEPTH):
-        markup = F.regexp_replace(markup, _HIDDEN, "")
-    markup = F.regexp_replace(markup, _HIDDEN_TO_END, "")
+    # elements that hold no others go by one replacement, as nearly all do; only pages with more need the stack
+    flat = F.regexp_replace(markup, _HIDDEN, "")
+    markup = F.when(flat.rlike(_HIDDEN_TAG), _outside_hidden(flat)).otherwise(flat)
+    markup = F.when(markup.rlike(_PRE_IN_PRE), _outermost_pre(markup)).otherwise(markup)
     pieces = F.split(F.regexp_replace(markup, _PRE, f"{_BLOCK}{_CUT}$1{_CUT}{_BLOCK}"), _CUT)
     out = F.array_join(F.transform(pieces, lambda p, i: _html_piece(p, i % 2 == 1)), "")
     out = F.regexp_replace(F.regexp_replace(out, f" *([{_BLOCK}{_CELL}]) *", "$1"), " +", " ")
@@ -75,7 +115,7 @@ def html_parsed(html: Column) -> Column:
     collapses but in preformatted parts. Markup that does not end is a problem, and the text then null. A null page has neither.
 
     A ``<`` before anything but a name, ``!`` or ``?`` is text, and so is all of a script or style up to its own end tag."""
-    clean = F.translate(html, _CUT + _SPACE + _LINE + _TAB + _BLOCK + _CELL, " " * 6)
+    clean = F.translate(html, _RESERVED, " " * len(_RESERVED))
     markup = F.regexp_replace(clean, f"(?i)(?:{_RAW}|{_COMMENT}|{_DECLARATION})|({_TAG})", "$2")
 
     def read(m: Column) -> Column:

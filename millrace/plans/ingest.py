@@ -219,8 +219,11 @@ def position_label(t: Tables):
 # ---- text extraction and chunks
 
 
-#: Each page as it is, every tenth behind a preformatted part, and every twenty-fifth cut off inside a tag.
-_PAGES_SQL = "(SELECT page_id, CASE WHEN page_id % 25 = 3 THEN html || '<p class=\"x' WHEN page_id % 10 = 1 THEN '<pre>a  b' || chr(10) || '  &amp;c</pre>' || html ELSE html END AS html FROM pages)"
+#: Each page as it is, every tenth behind a preformatted part, others behind templates up to sixty deep and behind end tags of other elements, and
+#: every twenty-fifth cut off inside a tag.
+_PAGES_SQL = """(SELECT page_id, CASE WHEN page_id % 25 = 3 THEN html || '<p class="x' WHEN page_id % 10 = 1 THEN '<pre>a  b' || chr(10) || '  &amp;c</pre>' || html
+ WHEN page_id % 10 = 2 THEN repeat('<template>', (page_id % 60 + 1)::INTEGER) || 'hidden' || repeat('</template>', (page_id % 60 + 1)::INTEGER) || 'shown' || html
+ WHEN page_id % 10 = 4 THEN '<head><template>a</head>b</template>c</head>d</template>e' || html ELSE html END AS html FROM pages)"""
 
 
 def _html_sql() -> str:
@@ -228,9 +231,13 @@ def _html_sql() -> str:
     tag = f"</?[A-Za-z0-9:-]+{inside}>"
     raw = "|".join(f"<{t}([\\s/]{inside})?>(?s:.*?)</{t}\\s*>" for t in ("script", "style"))
     out = f"regexp_replace(html, '(?i)(?:{raw}|<!--(?s:.*?)-->|<[!?]{inside}>)|({tag})', '\\6', 'g')"
-    hidden = "markup"
-    for t in ("head", "template"):
-        hidden = f"regexp_replace({hidden}, '(?is)<{t}([\\s/]{inside})?>.*?</{t}\\s*>', '', 'g')"
+    # each head's and template's ends as one character; for each piece between them, the stack of open ones from all before it
+    marked = "markup"
+    for k, t in enumerate(("head", "template")):
+        marked = f"regexp_replace(regexp_replace({marked}, '(?i)<{t}([\\s/]{inside})?>', chr({14 + k}), 'g'), '(?i)</{t}\\s*>', chr({16 + k}), 'g')"
+    ends = "chr(14) || chr(15) || chr(16) || chr(17)"
+    stack = "list_reduce(list_concat([''], tags[1:i - 1]), lambda s, t: CASE WHEN t IN (chr(14), chr(15)) THEN s || t WHEN s <> '' AND right(s, 1) = translate(t, chr(16) || chr(17), chr(14) || chr(15)) THEN left(s, length(s) - 1) ELSE s END)"
+    hidden = f"array_to_string(list_transform(string_split_regex(marked, '[' || {ends} || ']'), lambda p, i: CASE WHEN {stack} = '' THEN p ELSE '' END), '')"
     pieces = f"string_split(regexp_replace({hidden}, '(?is)<pre([\\s/]{inside})?>(.*?)</pre\\s*>', chr(6) || chr(1) || '\\3' || chr(1) || chr(6), 'g'), chr(1))"
     p = f"regexp_replace(p, '(?i)</?({text.BLOCKS})([\\s/]{inside})?>', chr(6), 'g')"
     p = f"regexp_replace(regexp_replace({p}, '(?i)</t[dh]\\s*>', chr(7), 'g'), '{tag}', '', 'g')"
@@ -241,14 +248,17 @@ def _html_sql() -> str:
     body = f"regexp_replace(regexp_replace({body}, ' *([\\x06\\x07]) *', '\\1', 'g'), ' +', ' ', 'g')"
     body = f"regexp_replace(regexp_replace({body}, '([\\x03\\x06])\\x06+', '\\1', 'g'), '([\\x04\\x07])\\x07+', '\\1', 'g')"
     body = f"regexp_replace(translate({body}, chr(2) || chr(3) || chr(4) || chr(6) || chr(7), ' ' || chr(10) || chr(9) || chr(10) || chr(9)), '^[\\s\\x{{85}}\\pZ]+|[\\s\\x{{85}}\\pZ]+$', '', 'g')"
-    return f"SELECT page_id, CASE WHEN broken THEN NULL ELSE {body} END AS text, CASE WHEN broken THEN 'unterminated' END AS problem FROM (SELECT *, regexp_matches(regexp_replace(markup, '{tag}', chr(1), 'g'), '<([!?]|/?[A-Za-z0-9:-])') AS broken FROM (SELECT page_id, {out} AS markup FROM {_PAGES_SQL}))"
+    return f"SELECT page_id, CASE WHEN broken THEN NULL ELSE {body} END AS text, CASE WHEN broken THEN 'unterminated' END AS problem FROM (SELECT *, {marked} AS marked, regexp_extract_all({marked}, '[' || {ends} || ']') AS tags, regexp_matches(regexp_replace(markup, '{tag}', chr(1), 'g'), '<([!?]|/?[A-Za-z0-9:-])') AS broken FROM (SELECT page_id, {out} AS markup FROM {_PAGES_SQL}))"
 
 
 @query("html_to_text", _html_sql())
 def html_to_text(t: Tables):
     """All pages; those with markup that does not end come with their problem."""
     k = F.col("page_id")
-    html = F.when(k % 25 == 3, F.concat("html", F.lit('<p class="x'))).when(k % 10 == 1, F.concat(F.lit("<pre>a  b\n  &amp;c</pre>"), "html")).otherwise(F.col("html"))
+    deep = (k % 60 + 1).cast("int")
+    html = F.when(k % 25 == 3, F.concat("html", F.lit('<p class="x'))).when(k % 10 == 1, F.concat(F.lit("<pre>a  b\n  &amp;c</pre>"), "html"))
+    html = html.when(k % 10 == 2, F.concat(F.repeat(F.lit("<template>"), deep), F.lit("hidden"), F.repeat(F.lit("</template>"), deep), F.lit("shown"), F.col("html")))
+    html = html.when(k % 10 == 4, F.concat(F.lit("<head><template>a</head>b</template>c</head>d</template>e"), F.col("html"))).otherwise(F.col("html"))
     return t.read("pages").select("page_id", text.html_parsed(html).alias("p")).select("page_id", "p.text", "p.problem")
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 import re
 
 import pytest
@@ -63,6 +64,37 @@ def test_html(spark):
     assert [tuple(r) for r in column(spark, [*broken, None], "string", text.html_parsed)] == [(None, "unterminated")] * 6 + [(None, None)]
 
 
+def stack_reader(html):
+    """Visible text of markup of text, heads, templates and their ends only."""
+    stack, out = [], []
+    for piece in re.findall(r"<[^>]*>|[^<]+", html):
+        if not piece.startswith("<"):
+            out += [piece] if not stack else []
+        elif piece.startswith("</"):
+            if stack and stack[-1] == piece[2:-1]:
+                stack.pop()
+        elif not piece.endswith("/>"):
+            stack.append(piece[1:-1])
+    return "".join(out)
+
+
+def test_hidden_elements_of_any_depth(spark):
+    rng = random.Random(6)
+    pieces = ["<head>", "</head>", "<template>", "</template>", "<head/>", "<template/>", "a", "b", "c"]
+    pages = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(400)]
+    pages += ["<template>" * n + "x" + "</template>" * n + "after" for n in (1, 4, 50, 3_000)]
+    pages += ["<template>" * n + "x" + "</template>" * (n - 1) + "after" for n in (2, 50)]
+    pages += ["<template>x</template>y" * 5_000 + "<head>" * 9 + "z"]
+    assert column(spark, pages, "string", text.html_to_text) == [stack_reader(p) for p in pages]
+    mixed = "<head><template><script>'</template>'</script><style></head></style>a</template>b</head><p>c<TEMPLATE id='>'>d<Head >e</HEAD\n>f</template >g"
+    assert column(spark, [mixed], "string", text.html_to_text) == ["cg"]
+
+
+def test_preformatted_parts_within_one_another(spark):
+    pages = {"<pre>a  b<pre> c  d</pre>  e  f</pre>  g  h": "a  b\n c  d\n  e  f\ng h", "</pre>a  b<pre>c  d": "a b\nc  d", "<pre>" * 40 + "a  b" + "</pre>" * 40 + "c  d": "a  b\nc d"}
+    assert column(spark, list(pages), "string", text.html_to_text) == list(pages.values())
+
+
 def test_html_of_any_length(spark):
     n = 1 << 20
     values = ["<p " + "a" * n + ">x", "<p " + "a" * n, "<p " + "a='b' " * (n // 6) + ">x", "<b>" * (n // 4) + "x", "<pre>" + "a\n" * n, "<template>" * 2_000 + "x", "<head>" + "<b>y</b>" * (n // 8) + "</head>x", "<" * 5_000, "<!" + "[" * 1_000, "<script>" + "<" * n]
