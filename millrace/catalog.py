@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from .plans.views import Tables
+from .tables import only_rows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,7 @@ def query(name: str, sql: str | None = None):
     """Registers a function of the logical tables as a query (spark, sf_dir) -> DataFrame."""
 
     def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: only_rows(spark, lambda: f(Tables(spark, sf_dir)), name)
         if sql:
             ORACLES[name] = sql
         return f

@@ -1,26 +1,31 @@
 """Exact hybrid search for a whole table of queries: cosine plus a share of lexical matches.
 
-Chunks stay where they are: the query table goes to them in blocks of ``QUERIES`` (counted, so that what is broadcast is bounded), and
-each batch of chunks is scored against the queries of its knowledge bases as one product of matrices. Searches keep the best
-distinct hits of each batch, so what is shuffled is a few rows a query and batch, and no task depends on the size of a knowledge base.
+Chunks are cut into blocks within their knowledge base and queries stream past them (``blocks``): a task scores a block against a batch of queries as one
+product of matrices and an inverted index of terms, and keeps the best distinct hits of each query. What is shuffled after that is a few rows
+a query and block. No task depends on the size of a knowledge base or on the number of its queries.
+
+Terms are found by an Aho-Corasick automaton of the batch's distinct terms, run once over each chunk; hits are (chunk, term) pairs, which go on to the
+queries that have the term. Media chunks (``media`` not null) are each a hit of their own, whatever their text; it counts for terms only if it was
+read from the media (``text_source`` not null).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_terms
 from ..shipping import shipped
+from . import blocks
 
 # Share of the lexical score, hits of a search, and most of them.
 LEXICAL_WEIGHT, TOP, MOST = 0.08, 6, 12
-#: Queries that are broadcast at once.
-QUERIES = 20_000
+#: Chunks of a block, and queries that meet one at once.
+BLOCK, BATCH = 8192, 256
 
 
 def top_k(k: int) -> int:
@@ -33,103 +38,115 @@ def ready_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.join(d, "doc_id")
 
 
-def unit_rows(vectors: list, dims: int) -> np.ndarray:
-    """Vectors as rows of unit length; those of another length, or of length zero, are zero rows and so have cosine 0."""
-    out = np.zeros((len(vectors), dims))
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dims:
-            out[i] = v
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
-
-
-class QueryBlock:
-    """Queries of one knowledge base: ids, unit vectors by dimension, and which terms each has with which share."""
-
-    def __init__(self, rows: list):
-        self.ids = [(r["query_id"], r["segment"]) for r in rows]
-        self.vectors = {d: unit_rows([r["embedding"] for r in rows], d).T for d in {len(r["embedding"] or ()) for r in rows}}
-        self.terms = sorted({t for r in rows for t in r["terms"]})
-        at = {t: i for i, t in enumerate(self.terms)}
-        self.share = np.zeros((len(self.terms), len(rows)))
-        for j, r in enumerate(rows):
-            for t in r["terms"]:
-                self.share[at[t], j] += 1 / len(r["terms"])
-
-    def scores(self, vectors: list, bodies: list[str]) -> np.ndarray:
-        """(chunk, query) scores, rounded to six places."""
-        out = np.zeros((len(bodies), len(self.ids)))
-        for d, q in self.vectors.items():
-            out += unit_rows(vectors, d) @ q
-        if self.terms:
-            held = np.array([[t in b for t in self.terms] for b in bodies], float)
-            out += LEXICAL_WEIGHT * (held @ self.share)
-        return np.round(out, 6)
-
-
-def scored(queries: DataFrame, chunks: DataFrame, lexical: bool = True, k: int | None = None) -> DataFrame:
-    """query_id, segment, kb_id, chunk_id, doc_id, text_hash, score of each query with each chunk of its knowledge base; given ``k``, only of
-    the best k hits of each batch of chunks, equal texts of a document counted once.
-
-    Only a hash of the text goes on to the ranking; texts come back by chunk id after it."""
-    shipped(chunks.sparkSession)
-    segment = F.col("segment").cast("int") if "segment" in queries.columns else F.lit(0)
-    terms = lexical_terms(F.col("text")) if lexical else F.array().cast("array<string>")
-    q = queries.select("query_id", segment.alias("segment"), "kb_id", F.col("embedding").cast("array<double>").alias("embedding"), terms.alias("terms"))
-    c = chunks.select("kb_id", "chunk_id", "doc_id", F.xxhash64("text").alias("text_hash"), F.col("embedding").alias("vector"), (F.lower(F.concat_ws("\n", "title", "text")) if lexical else F.lit("")).alias("body"))
-    schema = "query_id long, segment int, kb_id string, chunk_id string, doc_id long, text_hash long, score double"
-    count = max(1, -(-q.count() // QUERIES))
-
-    def block(number: int) -> DataFrame:
-        rows: dict[str, list] = {}
-        for r in q.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == number).collect():  # about QUERIES
-            rows.setdefault(r["kb_id"], []).append(r.asDict())
-        of_kb = {kb: QueryBlock(of) for kb, of in rows.items()}
-
-        def run(batches):
-            for b in batches:
-                kbs = np.array(b.column("kb_id").to_pylist(), object)
-                for kb in dict.fromkeys(kbs):
-                    if (block := of_kb.get(kb)) is None:
-                        continue
-                    at = np.flatnonzero(kbs == kb)
-                    own = b.take(pa.array(at))
-                    ids = own.column("chunk_id").to_pylist()
-                    score = block.scores(own.column("vector").to_pylist(), own.column("body").to_pylist())
-                    if k is None:
-                        rows, cols = (x.ravel() for x in np.indices(score.shape))
-                    else:
-                        rows, cols = best(score, ids, list(zip(own.column("doc_id").to_pylist(), own.column("text_hash").to_pylist())), k)
-                    pairs = [block.ids[j] for j in cols.tolist()]
-                    take = pa.array(rows)
-                    columns = [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int32()), *(own.column(n).take(take) for n in ("kb_id", "chunk_id", "doc_id", "text_hash")), pa.array(score[rows, cols])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "segment", "kb_id", "chunk_id", "doc_id", "text_hash", "score"])
-
-        return c.mapInArrow(run, schema)
-
-    return reduce(DataFrame.unionByName, map(block, range(count)))
-
-
-def best(score: np.ndarray, ids: list[str], texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the k best chunks of each query, ties by id, of equal texts the first."""
-    by_id = np.argsort(np.array(ids))
-    rows, cols = [], []
+class TermIndex:
+    """Which of a batch of queries (lists of distinct terms) have which term, and an automaton that finds all terms in a text at once."""
+
+    def __init__(self, queries: list[list[str]]):
+        import ahocorasick
+
+        self.sizes = np.array([max(1, len(terms)) for terms in queries], float)
+        holders: dict[str, list[int]] = {}
+        for j, terms in enumerate(queries):
+            for t in terms:
+                holders.setdefault(t, []).append(j)
+        self.holders = [np.array(js) for js in holders.values()]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, t in enumerate(holders):
+            self.automaton.add_word(t, k)
+        self.automaton.make_automaton()
+
+    def shares(self, texts: list[str]) -> np.ndarray:
+        """(text, query) shares of a query's terms that a text contains."""
+        out = np.zeros((len(texts), len(self.sizes)))
+        if not self.holders:
+            return out
+        held: dict[int, list[int]] = {}
+        for i, t in enumerate(texts):
+            if t:
+                for k in set(map(itemgetter(1), self.automaton.iter(t))):
+                    held.setdefault(k, []).append(i)
+        for k, rows in held.items():
+            out[np.ix_(rows, self.holders[k])] += 1
+        return out / self.sizes
+
+
+def best(score: np.ndarray, by_id: np.ndarray, alike: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (row, column) of the k best rows of each column, ties in the order ``by_id`` (a rank for each row), of rows that are ``alike`` the first."""
+    n, rows, cols = len(score), [], []
     for j in range(score.shape[1]):
-        seen = set()
-        for i in by_id[np.argsort(-score[by_id, j], kind="stable")].tolist():
-            if texts[i] not in seen:
-                seen.add(texts[i])
-                rows.append(i)
-                cols.append(j)
-                if len(seen) == k:
-                    break
-    return np.array(rows, np.int64), np.array(cols, np.int64)
+        column, most = score[:, j], 4 * k
+        while True:
+            at = np.arange(n)
+            if most < n:
+                least = np.partition(column, n - most)[n - most]
+                at = np.flatnonzero(column >= least)
+            at = at[np.lexsort((by_id[at], -column[at]))]
+            _, first = np.unique(alike[at], return_index=True)
+            if len(first) >= k or len(at) == n:
+                break
+            most *= 8
+        at = at[np.sort(first)[:k]]
+        rows.append(at)
+        cols.append(np.full(len(at), j))
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(cols) if cols else np.zeros(0, np.int64)
+
+
+_HITS = "query_id long, segment int, chunk_id string, doc_id long, alike long, score double, compared long"
+
+
+def best_of_blocks(queries: DataFrame, rows: DataFrame, k: int, lexical: float = 0.0, semantic: float = 1.0, block: int = BLOCK) -> DataFrame:
+    """query_id, segment, chunk_id, doc_id, alike, score, compared: of each block of a group's rows the k best for each query of the group (of those that
+    are alike in one document the best). ``compared``, in one row a query and block, is the number of rows compared.
+
+    queries: kb_id, query_id, segment, vector, terms; rows: kb_id, chunk_id, doc_id, alike, vector, body (lowered text). The score is ``semantic`` times
+    the cosine plus ``lexical`` times the share of terms, rounded to six places."""
+    shipped(rows.sparkSession)
+    names = [c.split(" ")[0] for c in _HITS.split(", ")]
+
+    def hold(t: pa.Table):
+        ids = np.array(t.column("chunk_id").to_pylist(), object)
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        keys = np.stack([t.column(c).to_numpy() for c in ("doc_id", "alike")], axis=1)
+        _, alike = np.unique(keys, axis=0, return_inverse=True)
+        return t, blocks.vectors_of(t.column("vector")) if semantic else {}, t.column("body").to_pylist() if lexical else [], rank, alike.ravel()
+
+    def match(held, q: pa.Table):
+        t, vectors, bodies, rank, alike = held
+        score = np.zeros((len(t), len(q)))
+        if semantic:
+            score += semantic * blocks.cosines(vectors, blocks.vectors_of(q.column("vector")), score.shape)
+        if lexical:
+            score += lexical * TermIndex([terms or [] for terms in q.column("terms").to_pylist()]).shares(bodies)
+        score = np.round(score, 6)
+        at, cols = best(score, rank, alike, k)
+        first = np.r_[True, cols[1:] != cols[:-1]][: len(cols)]
+        columns = [*(q.column(c).take(pa.array(cols)) for c in ("query_id", "segment")), *(t.column(c).take(pa.array(at)) for c in ("chunk_id", "doc_id", "alike")), pa.array(score[at, cols]), pa.array(np.where(first, len(t), 0))]
+        yield from pa.table(columns, names=names).to_batches()
+
+    def run(batches):
+        yield from blocks.block_by_block(batches, "kb_id", hold, match, BATCH)
+
+    return blocks.dealt(rows, queries, "kb_id", "chunk_id", block).mapInArrow(run, _HITS)
+
+
+def scored(queries: DataFrame, chunks: DataFrame, k: int, lexical: float = LEXICAL_WEIGHT, semantic: float = 1.0, distinct: bool = True, block: int = BLOCK) -> DataFrame:
+    """``best_of_blocks`` of a table of queries (query_id, kb_id, text, embedding; perhaps segment) and ready chunks (with title). ``distinct``: equal
+    texts of a document are alike, but for media. Only a hash of the text goes on to the ranking; texts come back by chunk id after it."""
+    segment = F.col("segment").cast("int") if "segment" in queries.columns else F.lit(0)
+    q = queries.select("kb_id", F.col("query_id").cast("long").alias("query_id"), segment.alias("segment"), F.col("embedding").cast("array<float>").alias("vector"), (lexical_terms(F.col("text")) if lexical else F.array().cast("array<string>")).alias("terms"))
+    has = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
+    text = F.when(has("media").isNull() | has("text_source").isNotNull(), F.col("text"))
+    alike = F.when(has("media").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.lit("media"), "chunk_id")) if distinct else F.xxhash64("chunk_id")
+    body = F.lower(F.concat_ws("\n", "title", text)) if lexical else F.lit("")
+    rows = chunks.select("kb_id", "chunk_id", F.col("doc_id").cast("long").alias("doc_id"), alike.alias("alike"), F.col("embedding").cast("array<float>").alias("vector"), body.alias("body"))
+    return best_of_blocks(q, rows, k, lexical, semantic, block)
 
 
 def deduplicated(hits: DataFrame, *keys: str) -> DataFrame:
     """Of equal texts within a document, the best hit: keys, doc_id, chunk_id, score."""
     first = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")
-    return hits.groupBy(*keys, "doc_id", "text_hash").agg(first).select(*keys, "doc_id", "b.chunk_id", (-F.col("b.s")).alias("score"))
+    return hits.groupBy(*keys, "doc_id", "alike").agg(first).select(*keys, "doc_id", "b.chunk_id", (-F.col("b.s")).alias("score"))
 
 
 def ranked(hits: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -139,13 +156,13 @@ def ranked(hits: DataFrame, k: int, *keys: str) -> DataFrame:
 
 def search(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, chunk_id, doc_id, score: the k best chunks of ready documents for each query."""
-    hits = deduplicated(scored(queries, ready_chunks(chunks, docs), k=top_k(k)), "query_id")
+    hits = deduplicated(scored(queries, ready_chunks(chunks, docs), top_k(k)), "query_id")
     return ranked(hits, k, "query_id").select("query_id", "rank", "chunk_id", "doc_id", "score")
 
 
 def search_segments(segments: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = TOP) -> DataFrame:
     """Queries of several vectors and no text: the best of each segment, each chunk's best score, then the best of those."""
-    hits = deduplicated(scored(segments.withColumn("text", F.lit("")), ready_chunks(chunks, docs), lexical=False, k=top_k(k)), "query_id", "segment")
+    hits = deduplicated(scored(segments.withColumn("text", F.lit("")), ready_chunks(chunks, docs), top_k(k), lexical=0.0), "query_id", "segment")
     per_segment = ranked(hits, k, "query_id", "segment")
     top = per_segment.groupBy("query_id", "chunk_id", "doc_id").agg(F.max("score").alias("score"))
     return ranked(top, k, "query_id").select("query_id", "rank", "chunk_id", "doc_id", "score")
@@ -157,9 +174,28 @@ def with_text(results: DataFrame, chunks: DataFrame, docs: DataFrame, default: s
     return results.join(c, "chunk_id").join(d, "doc_id", "left").withColumn("title", F.coalesce("title", F.lit(default)))
 
 
-def space_violations(chunks: DataFrame, dims: int, signature: str) -> DataFrame:
-    """kb_id and number of chunks that a search with these vectors must refuse."""
-    return chunks.where((F.col("dims") != dims) | (F.col("encoder_signature") != signature)).groupBy("kb_id").agg(F.count("*").alias("violations"))
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, cosine, compared: of all vectors (vec_id, embedding) the k nearest to each query (query_id, embedding), ties by vec_id, and
+    how many it was compared with."""
+    q = queries.select(F.lit("").alias("kb_id"), F.col("query_id").cast("long").alias("query_id"), F.lit(0).alias("segment"), F.col("embedding").cast("array<float>").alias("vector"), F.array().cast("array<string>").alias("terms"))
+    v = vectors.select(F.lit("").alias("kb_id"), F.format_string("%020d", F.col("vec_id").cast("long")).alias("chunk_id"), F.col("vec_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("alike"), F.col("embedding").cast("array<float>").alias("vector"), F.lit("").alias("body"))
+    hits = best_of_blocks(q, v, k, block=block)
+    compared = hits.groupBy("query_id").agg(F.sum("compared").alias("compared"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    top = hits.select("query_id", "doc_id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.join(compared, "query_id").select("query_id", "rank", F.col("doc_id").alias("vec_id"), F.col("score").alias("cosine"), "compared")
+
+
+def space_violations(chunks: DataFrame, dims: int, signature: str, media_signature: Column | str | None = None, recipe: str | None = None) -> DataFrame:
+    """kb_id, violations, media_violations: chunks that a search with these vectors must refuse: those of other dimensions or another encoder, and media
+    whose own encoder or recipe is another (or any media, if no media encoder serves)."""
+    other = ~(F.col("dims").eqNullSafe(dims) & F.col("encoder_signature").eqNullSafe(signature))
+    media = F.lit(False)
+    if "media" in chunks.columns:
+        fits = F.col("media_signature").eqNullSafe(media_signature) & F.col("recipe").eqNullSafe(recipe) & F.lit(media_signature is not None)
+        media = F.col("media").isNotNull() & ~fits
+    rows = chunks.select("kb_id", other.alias("other"), media.alias("m")).where("other OR m")
+    return rows.groupBy("kb_id").agg(F.count_if("other").alias("violations"), F.count_if("m").alias("media_violations"))
 
 
 def live_hits(results: DataFrame, docs: DataFrame) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..shipping import shipped
 from ..tables import ranked
-from .search import unit_rows
+from . import blocks
 
 # Sizes, and below the weights and limits of ranking and selection.
 MAX_CANDIDATES, MAX_SAMPLES, MAX_TAGS, EVIDENCE = 128, 24, 5, 4000
+#: Documents of a block that meets the topics of their knowledge base.
+DOCUMENTS = 256
 KEPT_TAGS, TAG_LENGTH = 12, 32
 #: Added before rounding, so that halves, which sums of rounded similarities often are, go up whatever the binary fraction is.
 TIE = 1e-9
@@ -89,15 +94,27 @@ def tag_frequency(docs: DataFrame) -> DataFrame:
 
 
 def candidates(topics: DataFrame, frequency: DataFrame) -> DataFrame:
-    """kb_id, label, description, source: the topics and a knowledge base's own tags, most used first, up to the limit."""
+    """kb_id, label, description, terms, source, position: the topics and a knowledge base's own tags, most used first, up to the limit. Own tags have no
+    position."""
     own = frequency.withColumn("tag", F.trim("tag")).where((F.col("tag") != "") & (F.length("tag") <= TAG_LENGTH) & ~F.col("tag").contains("\n"))
     own = own.join(topics.select(F.lower("label").alias("known")), F.lower("tag") == F.col("known"), "left_anti")
     own = own.withColumn("_r", F.row_number().over(Window.partitionBy("kb_id", F.lower("tag")).orderBy(F.desc("n"), "tag"))).where("_r = 1")
     n = topics.count()
+    if n > MAX_CANDIDATES:
+        raise ValueError(f"at most {MAX_CANDIDATES} topics")
     own = own.withColumn("_r", F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("n"), "tag"))).where(F.col("_r") <= MAX_CANDIDATES - n)
     kbs = frequency.select("kb_id").distinct()
-    fixed = kbs.crossJoin(F.broadcast(topics)).select("kb_id", "label", "description", F.lit("catalog").alias("source"))  # a fixed list
-    return fixed.unionByName(own.select("kb_id", F.col("tag").alias("label"), F.lit("").alias("description"), F.lit("library").alias("source")))
+    fixed = kbs.crossJoin(F.broadcast(topics)).select("kb_id", "label", "description", "terms", F.lit("catalog").alias("source"), "position")  # a fixed list
+    tag = F.col("tag")
+    return fixed.unionByName(own.select("kb_id", tag.alias("label"), F.concat(F.lit("Documents about "), tag).alias("description"), F.array(F.lower(tag)).alias("terms"), F.lit("library").alias("source"), F.lit(None).cast("int").alias("position")))
+
+
+def encoded(candidates: DataFrame, encoder: Callable, signature: str) -> DataFrame:
+    """Candidates with the embedding of their prompt, each distinct prompt encoded once, whatever the number of knowledge bases."""
+    prompts = candidates.select(vectors.role_prefix(F.lit("query"), prompt(F.col("label"), F.col("description"))).alias("prompt")).distinct()
+    of = vectors.embed(prompts, "prompt", encoder, signature)
+    own = candidates.withColumn("_p", vectors.role_prefix(F.lit("query"), prompt(F.col("label"), F.col("description"))))
+    return own.join(of, F.col("_p") == F.col("prompt")).drop("_p", "prompt")
 
 
 def prompt(label: Column, description: Column) -> Column:
@@ -116,9 +133,9 @@ def sample_evenly(rows: DataFrame, group: str, order: str, most: int = MAX_SAMPL
 
 
 def evidence(samples: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, evidence: lowered title and the first characters of each sampled chunk."""
+    """doc_id, kb_id, evidence: lowered title and the first characters of each sampled chunk."""
     body = samples.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.substring("text", 1, EVIDENCE).alias("t")))), lambda x: x["t"]), "\n").alias("body"))
-    return docs.select("doc_id", "title").join(body, "doc_id").select("doc_id", F.lower(F.concat_ws("\n", "title", "body")).alias("evidence"))
+    return docs.select("doc_id", "kb_id", "title").join(body, "doc_id").select("doc_id", "kb_id", F.lower(F.concat_ws("\n", "title", "body")).alias("evidence"))
 
 
 def anchored(terms: list[str], text: Column) -> Column:
@@ -127,49 +144,67 @@ def anchored(terms: list[str], text: Column) -> Column:
     return text.rlike("|".join(parts))
 
 
-def anchors(evidence_rows: DataFrame, topics: list) -> DataFrame:
-    """doc_id, label, anchored for each document and topic (label, description, terms)."""
+def _anchored_by(terms: Column, text: Column) -> Column:
+    """As ``anchored`` with terms of a column; patterns are only built for terms that occur at all."""
+    quoted = lambda t: F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9])"))
+    return F.exists(terms, lambda t: F.contains(text, t) & F.when(t.rlike("[^\\x00-\\x7F]"), F.lit(True)).otherwise(F.rlike(text, quoted(t))))
+
+
+def anchors(evidence_rows: DataFrame, topics: list, own: DataFrame | None = None) -> DataFrame:
+    """doc_id, label, anchored for each document (doc_id, kb_id, evidence) and topic (label, description, terms), and for each of the own tags of its
+    knowledge base (kb_id, label, terms), which are at most ``MAX_CANDIDATES``."""
     of = F.array(*(F.struct(F.lit(label).alias("label"), anchored(terms, F.col("evidence")).alias("anchored")) for label, _, terms in topics))
-    return evidence_rows.select("doc_id", F.explode(of).alias("a")).select("doc_id", "a.*")
+    fixed = evidence_rows.select("doc_id", F.explode(of).alias("a")).select("doc_id", "a.*")
+    if own is None:
+        return fixed
+    lists = own.groupBy("kb_id").agg(F.collect_list(F.struct("label", "terms")).alias("own"))
+    found = F.transform("own", lambda o: F.struct(o["label"].alias("label"), _anchored_by(o["terms"], F.col("evidence")).alias("anchored")))
+    return fixed.unionByName(evidence_rows.join(lists, "kb_id").select("doc_id", F.explode(found).alias("a")).select("doc_id", "a.*"))
 
 
-def similarities(samples: DataFrame, topics: DataFrame) -> DataFrame:
-    """doc_id, label, similarity (cosine moved into 0 to 1) of the vectors (doc_id, embedding) with those of at most ``MAX_CANDIDATES`` topics."""
-    rows = topics.select("label", F.col("embedding").cast("array<double>").alias("embedding")).limit(MAX_CANDIDATES).collect()
-    labels = pa.array([r["label"] for r in rows])
-    vectors = {d: unit_rows([r["embedding"] for r in rows], d).T for d in {len(r["embedding"]) for r in rows}}
-    shipped(samples.sparkSession)
+def semantic(samples: DataFrame, candidates: DataFrame, block: int = DOCUMENTS) -> DataFrame:
+    """doc_id, label, semantic of each document's sampled chunks (doc_id, kb_id, embedding) with the topics of its knowledge base (kb_id, label,
+    embedding): most the best of the cosines (moved into 0 to 1), some the mean of their best quarter.
 
-    def run(batches):
-        for b in batches:
-            own = b.column("embedding").to_pylist()
-            values = np.round(0.5 + 0.5 * sum(unit_rows(own, d) @ v for d, v in vectors.items()), 6) if own and vectors else np.zeros((0, 0))
-            n, m = values.shape
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.repeat(np.arange(n), m))), labels.take(pa.array(np.tile(np.arange(m), n))), pa.array(values.ravel())], names=["doc_id", "label", "similarity"])
+    A document is one row of at most ``MAX_SAMPLES`` vectors; blocks of them meet the at most ``MAX_CANDIDATES`` topics as one product of matrices."""
+    shipped(samples.sparkSession)
 
-    return samples.select("doc_id", "embedding").mapInArrow(run, "doc_id long, label string, similarity double")
+    def hold(t: pa.Table):
+        lists = t.column("vectors").combine_chunks()
+        return t.column("doc_id"), lists.value_lengths().to_numpy(), blocks.vectors_of(pa.chunked_array([lists.flatten()]))
+
+    def match(held, topics: pa.Table):
+        ids, sizes, own = held
+        similar = np.round(0.5 + 0.5 * blocks.cosines(own, blocks.vectors_of(topics.column("topic")), (int(sizes.sum()), len(topics))), 6)
+        starts, out = np.cumsum(sizes) - sizes, np.zeros((len(ids), len(topics)))
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            best = -np.sort(-similar[starts[at][:, None] + np.arange(n)], axis=1)
+            out[at] = np.round(0.65 * best[:, 0] + 0.35 * best[:, : max(1, -(-n // 4))].mean(axis=1) + TIE, 6)
+        n, m = out.shape
+        yield from pa.table([ids.take(pa.array(np.repeat(np.arange(n), m))), topics.column("label").take(pa.array(np.tile(np.arange(m), n))), pa.array(out.ravel())], names=["doc_id", "label", "semantic"]).to_batches()
 
+    def run(batches):
+        yield from blocks.block_by_block(batches, "kb_id", hold, match, MAX_CANDIDATES)
 
-def semantic(similarities: DataFrame) -> DataFrame:
-    """doc_id, label, semantic from (doc_id, label, similarity): most the best, some the mean of the best quarter."""
-    w = Window.partitionBy("doc_id", "label")
-    r = similarities.withColumn("_r", F.row_number().over(w.orderBy(F.desc("similarity")))).withColumn("_n", F.count("*").over(w))
-    top = F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") / 4))
-    return r.groupBy("doc_id", "label").agg(F.round(0.65 * F.max("similarity") + 0.35 * F.avg(F.when(top, F.col("similarity"))) + TIE, 6).alias("semantic"))
+    docs = samples.groupBy("kb_id", "doc_id").agg(F.collect_list(F.col("embedding").cast("array<float>")).alias("vectors"))
+    topics = candidates.select("kb_id", "label", F.col("embedding").cast("array<float>").alias("topic"))
+    return blocks.dealt(docs, topics, "kb_id", "doc_id", block).mapInArrow(run, "doc_id long, label string, semantic double")
 
 
 def select(ranked: DataFrame) -> DataFrame:
-    """doc_id, position, label, rank from (doc_id, label, semantic, anchored); documents without contrast get no tags."""
-    w = Window.partitionBy("doc_id")
-    up = w.orderBy("semantic", "label")
-    r = ranked.withColumn("rank", F.round(F.col("semantic") + F.when(F.col("anchored"), 0.07).otherwise(0.0), 6))
-    r = r.withColumn("_at", F.row_number().over(up)).withColumn("_n", F.count("*").over(w))
-    r = r.withColumn("_median", F.max(F.when(F.col("_at") == F.floor(F.col("_n") / 2) + 1, F.col("semantic"))).over(w))
-    r = r.withColumn("_spread", F.round(F.max("semantic").over(w) - F.min("semantic").over(w), 6)).withColumn("_best", F.max("rank").over(w))
-    least = F.when(F.col("anchored"), 0.30).otherwise(0.48)
-    margin = F.when(F.col("anchored"), 0.05).otherwise(0.08)
-    r = r.where((F.col("_spread") >= 0.015) & (F.col("semantic") >= least) & (F.col("semantic") >= F.round(F.col("_median") + margin, 6)) & (F.col("rank") >= F.round(F.col("_best") - 0.10, 6)))
-    return r.withColumn("position", F.row_number().over(w.orderBy(F.desc("rank"), "label"))).where(F.col("position") <= MAX_TAGS).select("doc_id", "position", "label", "rank")
+    """doc_id, position, label, rank from (doc_id, label, semantic, anchored), at most ``MAX_CANDIDATES`` a document; documents without contrast get no tags."""
+    rows = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("semantic", "label", "anchored"))).alias("up"))
+    rows = rows.select("doc_id", F.get("up", F.expr("size(up) div 2").cast("int"))["semantic"].alias("median"), F.round(F.get("up", F.size("up") - 1)["semantic"] - F.get("up", F.lit(0))["semantic"], 6).alias("spread"), "up")
+    down = F.array_sort(F.transform("up", lambda x: F.struct((-F.round(x["semantic"] + F.when(x["anchored"], 0.07).otherwise(0.0), 6)).alias("r"), x["label"].alias("label"), x["semantic"].alias("semantic"), x["anchored"].alias("anchored"))))
+    rows = rows.where("spread >= 0.015").select("doc_id", "median", down.alias("down"))
+
+    def passes(x: Column) -> Column:
+        least, margin = F.when(x["anchored"], 0.30).otherwise(0.48), F.when(x["anchored"], 0.05).otherwise(0.08)
+        return (x["semantic"] >= least) & (x["semantic"] >= F.round(F.col("median") + margin, 6)) & (-x["r"] >= F.round(-F.get("down", F.lit(0))["r"] - 0.10, 6))
+
+    picked = rows.select("doc_id", F.posexplode(F.slice(F.filter("down", passes), 1, MAX_TAGS)).alias("i", "x"))
+    return picked.select("doc_id", (F.col("i") + 1).alias("position"), "x.label", (-F.col("x.r")).alias("rank"))
 
 
 def targets(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -38,11 +39,14 @@ def truncate_dims(t: Tables):
     return out
 
 
-@query("cosine", with_tables("SELECT q.query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM queries q JOIN embeddings e ON e.vec_id % 20 = q.query_id % 20", "queries"))
+_NEAREST = """WITH sims AS (SELECT q.query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM {q} q CROSS JOIN embeddings e)
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank, vec_id, cosine, count(*) OVER (PARTITION BY query_id) AS compared FROM sims QUALIFY rank <= 10"""
+
+
+@query("cosine", _NEAREST.format(q="(SELECT item_id AS query_id, e.embedding FROM benchmark JOIN embeddings e ON e.vec_id = item_id % (SELECT count(*) FROM embeddings))"))
 def cosine(t: Tables):
-    q = t.queries().select("query_id", F.col("embedding").alias("a"))
-    e = t.read("embeddings").select("vec_id", F.col("embedding").alias("b"))
-    return q.join(e, F.col("query_id") % 20 == F.col("vec_id") % 20).select("query_id", "vec_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+    """The ten nearest of all vectors for each query, and how many it was compared with."""
+    return search.nearest(t.queries(), t.vectors(), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("encoder_identity", "SELECT source, sha256('{\"model\":[\"hashing\"],\"prefix\":[\"document: \"],\"revision\":[\"' || source || '\"]}') AS signature FROM (SELECT DISTINCT source FROM documents)")
@@ -82,21 +86,41 @@ def lexical_terms(t: Tables):
     return t.queries().select("query_id", F.array_join(text.lexical_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("lexical_score", with_tables(f"SELECT q.query_id, c.chunk_id, round(len(list_filter({_TERMS}, lambda w: contains(lower(c.text), w))) / len({_TERMS})::DOUBLE, 6) AS score FROM queries q JOIN chunks c ON c.kb_id = q.kb_id", "queries", "chunks"))
+#: Scores of pairs are told for so many chunks of a query.
+_SHOWN = 20
+
+
+def _most(t: Tables, **options):
+    """The highest scores of each query, equal texts each counted."""
+    hits = search.scored(t.queries(), search.ready_chunks(t.chunks(), t.docs()), _SHOWN, distinct=False, **options)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= _SHOWN).select("query_id", "chunk_id", "score")
+
+
+_LEXICAL = f"SELECT q.query_id, c.chunk_id, round(len(list_filter({_TERMS}, lambda w: contains(lower(d.title || chr(10) || c.text), w))) / len({_TERMS})::DOUBLE, 6) AS score FROM queries q JOIN chunks c ON c.kb_id = q.kb_id JOIN docs d ON d.doc_id = c.doc_id AND d.status = 'ready'"
+
+
+@query("lexical_score", with_tables(f"SELECT * FROM ({_LEXICAL}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {_SHOWN}", "queries", "chunks", "docs"))
 def lexical_score(t: Tables):
-    q = t.queries().select("query_id", "kb_id", text.lexical_terms(F.col("text")).alias("terms"))
-    return q.join(t.chunks().select("kb_id", "chunk_id", F.lower("text").alias("body")), "kb_id").select("query_id", "chunk_id", F.round(text.lexical_score(F.col("terms"), F.col("body")), 6).alias("score"))
+    return _most(t, lexical=1.0, semantic=0.0)
 
 
-@query("hybrid_score", with_tables("SELECT query_id, chunk_id, score FROM scored", "queries", "chunks", "docs", extra=_SCORED))
+@query("hybrid_score", with_tables(f"SELECT query_id, chunk_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {_SHOWN}", "queries", "chunks", "docs", extra=_SCORED))
 def hybrid_score(t: Tables):
-    return search.scored(t.queries(), search.ready_chunks(t.chunks(), t.docs())).select("query_id", "chunk_id", "score")
+    return _most(t)
+
 
+_MEDIA = "CASE WHEN c.doc_id % 5 = 0 THEN 'image' END"
+_KINDS = _SCORED.replace("c.doc_id, c.text,", f"c.doc_id, {_MEDIA} AS media, c.text,").replace("contains(lower(d.title || chr(10) || c.text), w)", "contains(lower(d.title || CASE WHEN c.doc_id % 5 = 0 AND c.doc_id % 10 <> 0 THEN '' ELSE chr(10) || c.text END), w)")
+_KEPT = "best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, CASE WHEN media IS NULL THEN 'text ' || text ELSE chunk_id END ORDER BY score DESC, chunk_id) = 1)"
 
-@query("search_dedupe", with_tables("SELECT query_id, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM best GROUP BY query_id", "queries", "chunks", "docs", extra=f"{_SCORED}, {_DEDUP}"))
+
+@query("search_dedupe", with_tables("SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, media FROM best QUALIFY rank <= 12", "queries", "chunks", "docs", extra=f"{_KINDS}, {_KEPT}"))
 def search_dedupe(t: Tables):
-    best = search.deduplicated(search.scored(t.queries(), search.ready_chunks(t.chunks(), t.docs())), "query_id")
-    return best.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("documents"))
+    """Every fifth document is a picture, every tenth with text that was read from it; hits in media never collapse."""
+    c = t.chunks().withColumn("media", F.when(F.col("doc_id") % 5 == 0, "image")).withColumn("text_source", F.when(F.col("doc_id") % 10 == 0, "ocr"))
+    hits = search.search(t.queries(), c, t.docs(), search.MOST)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.when(F.col("doc_id") % 5 == 0, "image").alias("media"))
 
 
 _READABLE = _SEARCH.replace("AND d.status = 'ready')", "AND d.status = 'ready' WHERE c.doc_id % 4 <> 0)")
@@ -120,9 +144,16 @@ def search_multivector(t: Tables):
     return search.search_segments(t.query_segments(), t.chunks(), t.docs()).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("space_check", with_tables("SELECT kb_id, count(*) AS violations FROM chunks WHERE dims <> 64 OR encoder_signature <> 'sig-a' GROUP BY kb_id", "chunks"))
+_SPACES = """SELECT kb_id, count(*) FILTER (other) AS violations, count(*) FILTER (m) AS media_violations FROM (SELECT kb_id, dims <> 64 OR encoder_signature <> 'sig-a' AS other,
+ doc_id % 5 = 0 AND (doc_id % 3 = 0 OR doc_id % 35 = 0) AS m FROM chunks) WHERE other OR m GROUP BY kb_id"""
+
+
+@query("space_check", with_tables(_SPACES, "chunks"))
 def space_check(t: Tables):
-    return search.space_violations(t.chunks(), 64, "sig-a")
+    """Media are those of ``search_dedupe``; some come from another encoder for media, some were cut by another recipe."""
+    media = t.chunks().withColumn("media", F.when(F.col("doc_id") % 5 == 0, "image"))
+    media = media.withColumn("media_signature", F.when(F.col("media").isNotNull(), F.when(F.col("doc_id") % 3 == 0, "m-2").otherwise("m-1"))).withColumn("recipe", F.when(F.col("doc_id") % 7 == 0, "r-0").otherwise("r-1"))
+    return search.space_violations(media, 64, "sig-a", "m-1", "r-1")
 
 
 @query("kb_isolation", with_tables("SELECT t.query_id, bool_and(c.kb_id = q.kb_id) AS isolated FROM top t JOIN chunks c ON c.chunk_id = t.chunk_id JOIN queries q ON q.query_id = t.query_id GROUP BY t.query_id", "queries", "chunks", "docs", extra=_SEARCH))
@@ -168,11 +199,19 @@ def all_tags(t: Tables):
     return tags.tag_frequency(t.docs()).select("kb_id", "tag").distinct().orderBy("kb_id", "tag")
 
 
-@query("tag_candidates", with_tables("SELECT k.kb_id, label, description, 'catalog' AS source FROM catalog CROSS JOIN (SELECT DISTINCT kb_id FROM freq) k UNION ALL SELECT kb_id, trim(tag), '', 'library' FROM freq WHERE trim(tag) <> '' AND length(trim(tag)) <= 32 AND lower(trim(tag)) NOT IN (SELECT lower(label) FROM catalog) QUALIFY row_number() OVER (PARTITION BY kb_id ORDER BY n DESC, tag) <= " + str(tags.MAX_CANDIDATES - len(tags.TOPICS)), "docs", extra=f"{_CATALOG}, {_FREQ}"))
-def tag_candidates(t: Tables):
+_OWN = "SELECT kb_id, trim(tag) AS label, 'Documents about ' || trim(tag) AS description, [lower(trim(tag))] AS terms, 'library' AS source FROM freq WHERE trim(tag) <> '' AND length(trim(tag)) <= 32 AND lower(trim(tag)) NOT IN (SELECT lower(label) FROM catalog) QUALIFY row_number() OVER (PARTITION BY kb_id ORDER BY n DESC, tag) <= " + str(tags.MAX_CANDIDATES - len(tags.TOPICS))
+_CANDIDATES = f"candidates AS (SELECT k.kb_id, label, description, terms, 'catalog' AS source, position::BIGINT AS key FROM catalog CROSS JOIN (SELECT DISTINCT kb_id FROM freq) k UNION ALL SELECT *, ('0x' || md5(label)[1:8])::BIGINT FROM ({_OWN}))"
+
+
+def _candidates(t: Tables):
     return tags.candidates(tags.catalog(t.spark), tags.tag_frequency(t.docs()))
 
 
+@query("tag_candidates", with_tables("SELECT kb_id, label, description, source FROM candidates", "docs", extra=f"{_CATALOG}, {_FREQ}, {_CANDIDATES}"))
+def tag_candidates(t: Tables):
+    return _candidates(t).select("kb_id", "label", "description", "source")
+
+
 @query("candidate_prompt", with_tables("SELECT DISTINCT kb_id, 'query: ' || label || ': ' || description AS prompt FROM catalog CROSS JOIN (SELECT DISTINCT kb_id FROM docs)", "docs", extra=_CATALOG))
 def candidate_prompt(t: Tables):
     kbs = t.docs().select("kb_id").distinct()
@@ -200,39 +239,42 @@ def tag_evidence(t: Tables):
 _ANCHOR = "list_bool_or(list_transform(terms, lambda w: CASE WHEN regexp_matches(lower(w), '^[\\x00-\\x7F]+$') THEN regexp_matches(evidence, '(^|[^a-z0-9])' || lower(w) || '([^a-z0-9]|$)') ELSE contains(evidence, lower(w)) END))"
 
 
-@query("tag_anchor", with_tables(f"SELECT doc_id, label, {_ANCHOR} AS anchored FROM evidence CROSS JOIN catalog", "docs", "chunks", extra=f"{_EVIDENCE}, {_CATALOG}"))
+@query("tag_anchor", with_tables(f"SELECT e.doc_id, label, {_ANCHOR} AS anchored FROM evidence e JOIN docs d USING (doc_id) JOIN candidates k ON k.kb_id = d.kb_id", "docs", "chunks", extra=f"{_EVIDENCE}, {_CATALOG}, {_FREQ}, {_CANDIDATES}"))
 def tag_anchor(t: Tables):
-    return tags.anchors(_evidence(t), tags.TOPICS)
+    """The topics and, for each document, its knowledge base's own tags."""
+    return tags.anchors(_evidence(t), tags.TOPICS, _candidates(t).where("source = 'library'"))
 
 
 _SIMS = f"""sims AS (SELECT c.doc_id, k.label, c.ordinal AS sample, round(0.5 + 0.5 * {_COS.format(a='c.embedding', b='v.embedding')}, 6) AS similarity
- FROM sampled c CROSS JOIN catalog k JOIN embeddings v ON v.vec_id = k.position),
+ FROM sampled c JOIN candidates k ON k.kb_id = c.kb_id JOIN embeddings v ON v.vec_id = k.key % (SELECT count(*) FROM embeddings)),
  semantic AS (SELECT doc_id, label, round(0.65 * max(similarity) + 0.35 * avg(similarity) FILTER (r <= greatest(1, ceil(n / 4.0))) + 1e-9, 6) AS semantic
  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY similarity DESC) AS r, count(*) OVER (PARTITION BY doc_id, label) AS n FROM sims) GROUP BY ALL)"""
 
 
-def _similarities(t: Tables):
-    """The vectors of each document's sampled chunks against the topics' vectors, moved into 0 to 1."""
-    sampled = tags.sample_evenly(t.chunks().select("doc_id", "ordinal", "embedding"), "doc_id", "ordinal")
-    topics = tags.catalog(t.spark).join(t.vectors(), F.col("position") == F.col("vec_id")).select("label", "embedding")
-    return tags.similarities(sampled, topics)
+def _semantic(t: Tables):
+    """The vectors of each document's sampled chunks against those of the topics and own tags of its knowledge base."""
+    sampled = tags.sample_evenly(t.chunks().select("doc_id", "kb_id", "ordinal", "embedding"), "doc_id", "ordinal")
+    key = F.coalesce(F.col("position").cast("long"), F.conv(F.substring(F.md5(F.col("label").cast("binary")), 1, 8), 16, 10).cast("long"))
+    return tags.semantic(sampled, t._embedded(_candidates(t), key))
 
 
-@query("tag_semantic", with_tables("SELECT * FROM semantic", "chunks", extra=f"{_SAMPLED}, {_CATALOG}, {_SIMS}"))
+@query("tag_semantic", with_tables("SELECT * FROM semantic", "chunks", "docs", extra=f"{_SAMPLED}, {_CATALOG}, {_FREQ}, {_CANDIDATES}, {_SIMS}"))
 def tag_semantic(t: Tables):
-    return tags.semantic(_similarities(t))
+    return _semantic(t)
 
 
-_SELECT = f"""anchors AS (SELECT doc_id, label, {_ANCHOR} AS anchored FROM evidence CROSS JOIN catalog),
+_SELECT = f"""anchors AS (SELECT e.doc_id, label, {_ANCHOR} AS anchored FROM evidence e JOIN docs d USING (doc_id) JOIN candidates k ON k.kb_id = d.kb_id),
  ranked AS (SELECT s.doc_id, s.label, s.semantic, a.anchored, round(s.semantic + CASE WHEN anchored THEN 0.07 ELSE 0 END, 6) AS rank FROM semantic s JOIN anchors a ON a.doc_id = s.doc_id AND a.label = s.label),
  w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY semantic, label) AS pos, count(*) OVER (PARTITION BY doc_id) AS n, round(max(semantic) OVER (PARTITION BY doc_id) - min(semantic) OVER (PARTITION BY doc_id), 6) AS spread, max(rank) OVER (PARTITION BY doc_id) AS best FROM ranked),
  m AS (SELECT *, max(CASE WHEN pos = n // 2 + 1 THEN semantic END) OVER (PARTITION BY doc_id) AS median FROM w),
  passed AS (SELECT * FROM m WHERE spread >= 0.015 AND semantic >= CASE WHEN anchored THEN 0.30 ELSE 0.48 END AND semantic >= round(median + CASE WHEN anchored THEN 0.05 ELSE 0.08 END, 6) AND rank >= round(best - 0.10, 6))"""
 
 
-@query("tag_select", with_tables("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, label) AS position, label, rank FROM passed QUALIFY position <= 5", "docs", "chunks", extra=f"{_EVIDENCE}, {_CATALOG}, {_SIMS}, {_SELECT}"))
+@query("tag_select", with_tables("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, label) AS position, label, rank FROM passed QUALIFY position <= 5", "docs", "chunks", extra=f"{_EVIDENCE}, {_CATALOG}, {_FREQ}, {_CANDIDATES}, {_SIMS}, {_SELECT}"))
 def tag_select(t: Tables):
-    return tags.select(tags.semantic(_similarities(t)).join(tags.anchors(_evidence(t), tags.TOPICS), ["doc_id", "label"])).withColumn("position", F.col("position").cast("long"))
+    """Topics and own tags of the document's knowledge base, by meaning and by words."""
+    anchored = tags.anchors(_evidence(t), tags.TOPICS, _candidates(t).where("source = 'library'"))
+    return tags.select(_semantic(t).join(anchored, ["doc_id", "label"])).withColumn("position", F.col("position").cast("long"))
 
 
 @query("tag_targets", with_tables("SELECT doc_id, row_number() OVER (PARTITION BY kb_id ORDER BY created_at, doc_id) AS position FROM docs WHERE status = 'ready' AND len(tags) = 0", "docs"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunk
+from ..tables import written
 
 
 class Tables:
@@ -16,6 +17,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._chunks: DataFrame | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -51,7 +53,12 @@ class Tables:
         )
 
     def chunks(self) -> DataFrame:
-        """The chunks of every whole document, which is one page here."""
+        """The chunks of every whole document, which is one page here; cut once and written, however often a query reads them."""
+        if self._chunks is None:
+            self._chunks = written(self._cut_chunks(), "chunks")
+        return self._chunks
+
+    def _cut_chunks(self) -> DataFrame:
         d = self.read("documents").select("doc_id", F.lit(1).alias("page"), F.col("source").alias("kb_id"), "text")
         rows = chunk.chunk_pages(d, keep=("kb_id",)).select(
             F.format_string("%08d:%04d", "doc_id", "index").alias("chunk_id"),

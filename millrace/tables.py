@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,14 +35,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Tables written so far and not yet dropped, oldest first.
 _tables: list[str] = []
+#: Paths of the tables that are written for the rows which ``only_rows`` makes, in this thread or task.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_tables(spark: SparkSession, since: int, keep: int = 0) -> None:
     """Deletes the tables written after the first ``since``, but for the last ``keep`` of them."""
     gone = _tables[since : len(_tables) - keep]
-    for path in gone:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, gone)
     del _tables[since : len(_tables) - keep]
 
 
@@ -52,11 +60,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table written in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    _tables.append(path)
+    scope = _scope.get()
+    (_tables if scope is None else scope).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_rows(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of ``make()`` without the tables that were written for them: if there are any, the rows are written as well and the tables deleted.
+
+    Each call knows its own tables only, so several may run at once in one driver."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        rows = make()
+        if own:
+            # the rows' own table belongs to what is around this call
+            _scope.reset(token)
+            token = None
+            rows = written(rows, name)
+    finally:
+        if token is not None:
+            _scope.reset(token)
+        _delete(spark, own)
+    return rows
+
+
 def ranked(df: DataFrame, order: list[Column], rank: str, name: str, group: str | None = None) -> DataFrame:
     """``df`` with each row's rank from 0 in a total order, or within ``group``, which must then lead the order.
 
