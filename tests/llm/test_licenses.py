@@ -53,6 +53,30 @@ def test_headers_titles_identifiers_and_whole_texts(spark):
     assert {t: got[i][0] for i, t in enumerate(rows)} == rows
 
 
+def test_identifier_expressions(spark):
+    rows = {
+        "SPDX-License-Identifier: Zlib": "Zlib", "# SPDX-License-Identifier: BSL-1.0": "BSL-1.0", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT OR Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */": "GPL-2.0 WITH Linux-syscall-note",
+        "SPDX-License-Identifier: MPL-2.0 and LGPL-2.1-or-later": "MPL-2.0 AND LGPL-2.1", "SPDX-License-Identifier: LicenseRef-Own": "LicenseRef-Own", "SPDX-License-Identifier: GPL-3.0+": "GPL-3.0", "SPDX-License-Identifier:": None,
+        "Released under the MIT License.\nSPDX-License-Identifier: ISC": "ISC", "<!-- SPDX-License-Identifier: WTFPL -->": "WTFPL",
+    }
+    got = run(spark, [(i, f"d{i}/x.c", t) for i, t in enumerate([*rows, *[FILLER] * 200])])
+    assert {t: got[i][0] for i, t in enumerate(rows)} == rows
+
+
+def test_more_statements(spark):
+    zlib = "This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:"
+    boost = "Distributed under the Boost Software License, Version 1.0.\n   (See accompanying file LICENSE_1_0.txt or copy at\n   http://www.boost.org/LICENSE_1_0.txt)"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    clause = "Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer."
+    cueless = "some notes\ncopyright is mentioned far away\n\n" + FILLER + "\n" + "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the\nterms, or (at your option) any later version."
+    rows = {
+        zlib: "Zlib", boost: "BSL-1.0", isc: "ISC", clause: "BSD-2-Clause", "Licensed under the BSD license": "BSD", "This file is under the BSD license.": "BSD", "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "MIT OR Apache-2.0",
+        "Released under the Foo License.": None, "Licensed under the Bar License, Version 2.0": None, cueless: "GPL-3.0",
+    }
+    got = run(spark, [(i, f"d{i}/x.c", t) for i, t in enumerate([*rows, *[FILLER] * 200])])
+    assert {t: got[i][0] for i, t in enumerate(rows)} == rows
+
+
 def test_ties(spark):
     """Two licences stated equally often in a directory: the first name counts; equal cosines: the first template."""
     rows = [(1, "a/LICENSE", "Released under the MIT License.\n" + FILLER), (2, "a/COPYING", "Licensed under CC BY-NC 4.0.\n" + FILLER), (3, "a/x.c", FILLER), (4, "b/y.c", "Licensed under CC BY 4.0.\nLicensed under CC BY-SA 4.0.")]
