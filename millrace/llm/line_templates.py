@@ -23,6 +23,7 @@ alike; other columns stay, whatever their names, but ``n_chars``, where there is
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -136,15 +137,31 @@ def templates(lines: DataFrame) -> DataFrame:
     leaves = written(lines.select("leaf", "text_hash").distinct().groupBy("leaf").count().where(F.col("count") >= LONG_DOCUMENTS).select("leaf"), "leaves")
     own = having(lines.select("leaf", "line", "masked", "text_hash"), leaves, "leaf").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
     own = written(own.withColumn("tokens", F.split("masked", " ")).drop("masked"), "leaf-lines")
-    at = own.select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
+    # the leading tokens are those of the leaf: every line of it has them
+    sizes = own.groupBy("leaf").agg(F.count("*").alias("lines"))
+    at = own.select("leaf", "line", F.posexplode(F.slice("tokens", LEAD + 1, 1 << 30)).alias("at", "token"))
     support = at.groupBy("leaf", "at", "token").agg(F.count("*").alias("support"))
     # a token of one line only need not meet its line again
-    shared = at.join(support.where("support > 1"), ["leaf", "at", "token"]).groupBy("leaf", "line").agg(F.map_from_entries(F.collect_list(F.struct("at", "support"))).alias("shared"))  # as many as a line has tokens
-    rows = own.join(shared, ["leaf", "line"], "left").withColumn("supports", F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at("shared", i), F.lit(1).cast("long"))))
-    least = RARE * F.element_at(F.sort_array("supports", asc=False), F.ceil(FIXED * F.size("tokens")).cast("int"))
-    general = F.zip_with("tokens", "supports", lambda t, n: F.when(n < F.col("least"), FIELD).otherwise(t))
-    text = F.array_join(general, " ")
-    return rows.withColumn("least", least).select("line", F.xxhash64("leaf", text).alias("template"), text.alias("template_text"))
+    shared = at.join(support.where("support > 1"), ["leaf", "at", "token"]).groupBy("leaf", "line").agg(F.collect_list(F.struct("at", "support")).alias("shared"))  # as many as a line has tokens
+    dealt = sizes.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    rows = own.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64(line), {SALT}) AS INT)")).join(dealt, ["leaf", "_salt"]).join(shared, ["leaf", "line"], "left")
+    rows = rows.select("leaf", "line", "lines", "tokens", F.col("shared.at").alias("at"), F.col("shared.support").alias("support")).mapInArrow(_generalised, "leaf long, line long, template_text string")
+    return rows.select("line", F.xxhash64("leaf", "template_text").alias("template"), "template_text")
+
+
+def _generalised(batches):
+    """Template texts of lines (leaf, line, tokens, lines: those of the leaf) with the supports over one of the tokens beyond the leading ones, in any order."""
+    for b in batches:
+        texts = []
+        for tokens, lines, at, support in zip(b.column("tokens"), b.column("lines").to_pylist(), b.column("at"), b.column("support")):
+            own = tokens.as_py()
+            supports = np.ones(len(own), np.int64)
+            supports[:LEAD] = lines
+            if at.is_valid and len(at.values):
+                supports[LEAD + at.values.to_numpy()] = support.values.to_numpy()
+            least = RARE * np.sort(supports)[::-1][math.ceil(FIXED * len(own)) - 1]
+            texts.append(" ".join(t if n >= least else FIELD for t, n in zip(own, supports.tolist())))
+        yield pa.RecordBatch.from_arrays([b.column("leaf"), b.column("line"), pa.array(texts, pa.string())], names=["leaf", "line", "template_text"])
 
 
 def recurring(lines: DataFrame) -> DataFrame:
