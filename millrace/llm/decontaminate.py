@@ -11,8 +11,9 @@ re-parameterised questions count and chance template matches do not. Names that
 
 Windows with fewer than ``LITERALS`` literal words (short ones: half as many) are no evidence and are left out on the benchmark side. An
 item that has only such windows, of numbers and names mostly, is compared by windows of its words with their values, so it is found
-as it stands. Items of ``SHORT`` to ``WINDOW`` - 1 words have short windows only, all of which must be found; those of fewer words match nothing, since
-three words say nothing of where they come from. The benchmark side is broadcast only if its windows are counted and at
+as it stands. Items of ``SHORT`` to ``WINDOW`` - 1 words have short windows only, all of which must be found. Those of fewer words say nothing of where
+they come from when they stand in a text, and are found exactly in texts that consist of them. The first word of an item, capitalised as such, is a
+name where the item stands inside a sentence of a document: its first window counts in either form. The benchmark side is broadcast only if its windows are counted and at
 most ``BROADCAST_ROWS``; beyond that it is a shuffled join, in which a window that very many documents hold is dealt over ``SALT`` keys.
 
 Defined results: one row for each contaminated (doc_id, item_id), with its best diagonal. Null and empty texts match nothing;
@@ -66,15 +67,21 @@ def item_windows(items: DataFrame) -> DataFrame:
     """item_id, size, values, n_windows (usable ones of that size), needed (how many must be found), at, h: usable windows of each distinct item."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item_words")).distinct()
     out = None
-    for size in (WINDOW, SHORT):
+    n = F.size("item_words")
+    for size in (WINDOW, SHORT, *range(1, SHORT)):
         literal = lambda i: F.size(F.filter(F.slice("item_words", i + 1, size), lambda t: ~t.startswith(MARK))) >= LITERALS * size // WINDOW  # noqa: E731, B023
         indexed = lambda w: F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
-        n = F.size("item_words")
-        own = rows if size == WINDOW else rows.where((n >= SHORT) & (n < SHORT_ITEM))
-        own = own.withColumn("ws", F.filter(indexed(windows(F.col("item_words"), size)), lambda w: literal(w["at"]))).withColumn("values", F.size("ws") == 0)
-        own = own.withColumn("ws", F.when(F.col("values"), indexed(windows(F.col("item_words"), size, True))).otherwise(F.col("ws")))
-        needed = F.when(n < WINDOW, F.size("ws")).otherwise(COVERAGE * F.size("ws"))
-        own = own.select("item_id", F.lit(size).alias("size"), "values", F.size("ws").alias("n_windows"), needed.cast("double").alias("needed"), F.explode("ws").alias("w")).select("item_id", "size", "values", "n_windows", "needed", "w.at", "w.h")
+        own = rows if size == WINDOW else rows.where((n >= SHORT) & (n < SHORT_ITEM) if size == SHORT else n == size)
+        own = own.withColumn("ws", F.filter(indexed(windows(F.col("item_words"), size)), lambda w: literal(w["at"]) & F.lit(size >= SHORT))).withColumn("values", F.size("ws") == 0)
+        own = own.withColumn("ws", F.when(F.col("values"), indexed(windows(F.col("item_words"), size, True))).otherwise(F.col("ws"))).withColumn("n_windows", F.size("ws"))
+        # inside a sentence of a document, the item's first word looks like a name
+        first = F.get("item_words", F.lit(0))
+        inside = F.concat(F.array(F.concat(F.lit(f"{MARK}p"), F.when(F.col("values"), first).otherwise(""))), F.slice("item_words", 2, size - 1))
+        other = F.when(F.col("values"), windows(inside, size, True)).otherwise(windows(inside, size))
+        capital = (F.size("ws") > 0) & (F.get("ws", F.lit(0))["at"] == 0) & ~first.startswith(MARK) & first.rlike(r"^\p{L}") & F.lit(size >= SHORT)
+        own = own.withColumn("ws", F.when(capital, F.concat("ws", F.transform(other, lambda h: F.struct(h.alias("h"), F.lit(0).alias("at"))))).otherwise(F.col("ws")))
+        needed = F.when(n < WINDOW, F.col("n_windows")).otherwise(COVERAGE * F.col("n_windows"))
+        own = own.select("item_id", F.lit(size).alias("size"), "values", "n_windows", needed.cast("double").alias("needed"), F.explode("ws").alias("w")).select("item_id", "size", "values", "n_windows", "needed", "w.at", "w.h")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -83,13 +90,14 @@ def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Candidates (doc_id, text_hash, item_id, size, shift, first_word, hits, n_windows, coverage); hits are (at, shift) of the matches."""
     bench = written(item_windows(items), "item-windows")
     small = bench.count() <= BROADCAST_ROWS
-    kinds = {(WINDOW, False)} | {tuple(r) for r in bench.select("size", "values").distinct().collect()}  # at most four
+    kinds = {(WINDOW, False)} | {tuple(r) for r in bench.select("size", "values").distinct().collect()}  # at most seven
     # the words are used more than once in the windows, so they are a column of their own, computed once
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     hits = None
     for size, values in sorted(kinds):
         of = bench.where((F.col("size") == size) & (F.col("values") == values)).drop("values")
-        at = own.select("doc_id", "text_hash", F.posexplode(windows(F.col("w"), size, values)).alias("pos", "h"))
+        at = own if size >= SHORT else own.where(F.size("w") == size)
+        at = at.select("doc_id", "text_hash", F.posexplode(windows(F.col("w"), size, values)).alias("pos", "h"))
         if small:
             at = at.join(F.broadcast(of), "h")
         else:

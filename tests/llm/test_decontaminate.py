@@ -64,6 +64,12 @@ def test_short_items_and_items_of_numbers(spark):
     assert found(spark, docs, items) == {(1, 0): "verbatim", (3, 2): "verbatim", (7, 3): "verbatim"}
 
 
+def test_short_items_inside_sentences(spark):
+    items = [(0, "What is seven plus nine"), (1, "Name seven moons of Saturn"), (2, "Is it"), (3, "Yes"), (4, "Tom 12 Anna 30")]
+    docs = [(1, "he asked What is seven plus nine in class"), (2, "he asked what is seven plus nine in class"), (3, "so: name seven moons of Saturn"), (4, "Then Name seven moons of Saturn now"), (5, "yes"), (6, "yes it is"), (7, "Is it?"), (8, "He asked. What is seven plus nine"), (9, "he saw Tom 12 Anna 30 there"), (10, "he asked What is seven plus ten in class")]
+    assert found(spark, docs, items) == {(1, 0): "verbatim", (2, 0): "verbatim", (8, 0): "verbatim", (3, 1): "verbatim", (4, 1): "verbatim", (5, 3): "verbatim", (7, 2): "verbatim", (9, 4): "verbatim"}
+
+
 def brute(docs, items):
     """(doc, item) pairs by loops over all windows, given lists of words."""
     template = lambda w: tuple(t[:2] if t.startswith(D.MARK) else t for t in w)
@@ -77,6 +83,8 @@ def brute(docs, items):
             values = not usable
             usable = usable or [(i, tuple(w)) for i, w in enumerate(cut(item))]
             needed = len(usable) if len(item) < D.WINDOW else D.COVERAGE * len(usable)
+            if usable and usable[0][0] == 0 and not item[0].startswith(D.MARK) and item[0][0].isalpha():
+                usable = usable + [(0, (D.MARK + "p" + (item[0] if values else ""), *usable[0][1][1:]))]
             for d, doc in docs.items():
                 own = [tuple(w) if values else template(w) for w in cut(doc)]
                 hits = [(i, p - i) for i, w in usable for p, x in enumerate(own) if w == x]
