@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import positional, shipped, written
-from .clusters import LOWER, alone, components, edge_batches, in_blocks, local_groups, shingle_hashes, shingles_of, star, whole_groups
+from .clusters import BLOCK, LOWER, alone, components, edge_batches, in_blocks, local_groups, shingle_hashes, shingles_of, star, whole_groups, within_clusters
 
 SHINGLE, RADIUS = 3, 2
 #: Fingerprints under an upper node before its children take over, parts of an inner node of the tree, and fingerprints that are
@@ -43,8 +43,6 @@ NODE, FAN, LEAF = 4096, 16, 32
 #: Of ``similar_documents``: fingerprints of a text, bytes of a sketch, standard deviations by which an estimate
 #: must be off to rule something out, the part of all shingles (one in ``PART``) of the first count, and standard deviations there.
 VIEWS, BINS, SURE, PART, LEFT_SURE = 2, 128, 4, 16, 3
-#: Shingles of a block of texts that are compared by a task.
-BLOCK = 1 << 18
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -308,7 +306,7 @@ def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> D
     """(a, b), a > b: edges that join the same ids as all pairs do whose fingerprints are near, whose n shingles, ``shared`` of which other texts
     have too, allow the similarity, and whose sketches do not rule it out. rows: fp, id, n, shared, sketch.
 
-    Each pair is looked at in the first node that both are in. A node passes on one edge for each id (a large one, for each 512 of its ids), not its pairs."""
+    In small nodes each pair is looked at in the first node that both are in, in large ones each row once. A node passes on an edge for each id that it joins, not its pairs."""
     shipped(rows.sparkSession)
     blocks, keep = BLOCKS[radius]
     cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -316,18 +314,14 @@ def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> D
     last_kept = np.array([kept[-1] for kept in combinations(range(blocks), keep)])
     every = masks(1, radius)
 
-    def chosen(x, y, mask, fp, ids, n, shared, sketches):
-        """The pairs of rows among x and y that count."""
-        differ, last = fp[x] ^ fp[y], last_kept[mask[x]]
+    def chosen(x, y, n, shared, sketches):
+        """Which of the pairs of rows x and y count."""
         common = np.minimum(shared[x], shared[y])
-        # the first node in which the two meet keeps the first blocks that agree
-        take = sum(((differ & parts[k]) == 0) & (k <= last) for k in range(blocks)) == keep
-        take &= common >= similarity * (n[x] + n[y] - common) - 1e-9
-        x, y = x[take], y[take]
+        take = common >= similarity * (n[x] + n[y] - common) - 1e-9
         for at in range(0, len(x), 1 << 16):
-            p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-            near = alike(sketches[p], sketches[q], similarity)
-            yield p[near], q[near]
+            own = at + np.flatnonzero(take[at : at + (1 << 16)])
+            take[own] = alike(sketches[x[own]], sketches[y[own]], similarity)
+        return take
 
     def small(start, mask, fp, ids, *of):
         """All groups of at most ``LEAF`` rows at once; ``start``: the first row of each row's group."""
@@ -338,21 +332,38 @@ def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> D
                 break
             at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
             x, y = [*x, at], [*y, at + step]
-        for p, q in chosen(np.concatenate(x), np.concatenate(y), mask, fp, ids, *of):
-            yield star(ids, p, q)
-
-    def large(cross, side, mask, fp, ids, *of):
-        """One group, in pieces."""
-        q, t = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(fp)),) * 2
-        if len(q) and len(t):
-            tree = GrayTree(fp[t])
-            for at in range(0, len(q), 512):
-                x, y = tree.within(fp[q[at : at + 512]], radius)
-                x, y = q[at : at + 512][x], t[tree.order[y]]
-                if not cross:
-                    x, y = x[x < y], y[x < y]
-                for a, b in chosen(x, y, mask, fp, ids, *of):
-                    yield star(ids, a, b)
+        x, y = np.concatenate(x), np.concatenate(y)
+        # the first node in which the two meet keeps the first blocks that agree
+        differ, last = fp[x] ^ fp[y], last_kept[mask[x]]
+        first = sum(((differ & parts[k]) == 0) & (k <= last) for k in range(blocks)) == keep
+        x, y = x[first], y[first]
+        near = chosen(x, y, *of)
+        yield star(ids, x[near], y[near])
+
+    def large(fp, ids, *of):
+        """One group, breadth first: a row is searched for in the Gray-order tree of those that nothing has reached yet, so rows that are all alike are
+        found once each. The tree is made anew when half of it has been reached."""
+        open_, frontier, tree, step = np.ones(len(fp), bool), np.zeros(0, np.int64), None, 1
+        while open_.any():
+            inside = np.flatnonzero(open_)
+            if tree is None or 2 * len(inside) < len(rows):
+                tree, rows = GrayTree(fp[inside]), inside
+            seeds = not len(frontier)
+            q, frontier = (inside[:step], frontier) if seeds else (frontier[:step], frontier[step:])
+            x, y = tree.within(fp[q], radius)
+            x, y = q[x], rows[tree.order[y]]
+            keep = open_[y] & (x != y)
+            if seeds:
+                open_[q] = False
+            x, y = x[keep], y[keep]
+            step = min(512, 2 * step) if len(x) <= 8 * step else 1
+            near = chosen(x, y, *of)
+            x, y = x[near], y[near]
+            if len(x):
+                yield star(ids, x, y)
+                found = np.unique(y[open_[y]])
+                open_[found] = False
+                frontier = np.concatenate([frontier, found])
 
     def pairs(batches):
         for (mask, bits, i, j, side, fp, ids, n, shared, sketches), starts, ends in whole_groups(batches, ["mask", "bits", "i", "j", "side", "fp", "id", "n", "shared", "sketch"], 4):
@@ -364,7 +375,7 @@ def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> D
             if len(rows_of):
                 yield from small(np.repeat(starts, sizes)[rows_of], *(z[rows_of] for z in columns), table(rows_of))
             for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
-                yield from large(i[s] != j[s], side[s:e], *(z[s:e] for z in columns), table(np.arange(s, e)))
+                yield from large(*(z[s:e] for z in columns[1:]), table(np.arange(s, e)))
 
     def run(batches):
         yield from edge_batches(pairs(batches))
@@ -378,60 +389,6 @@ def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> D
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def similar_links(rows: DataFrame, shingle: int, similarity: float, radius: int, block: int = BLOCK) -> DataFrame:
-    """(a, b), a > b: edges that join the same ids as all similar pairs within a cluster do. rows: cluster, id, n, v0, v1, text. Clusters are cut into
-    blocks of about ``block`` shingles. Shingles in common are counted on bit maps of those that two texts of a task have."""
-    shipped(rows.sparkSession)
-
-    def compared(views, hashes, ids, q, t, cross):
-        sizes = np.array([len(h) for h in hashes])
-        every, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        twice = np.bincount(at) > 1
-        column = np.cumsum(twice) - 1
-        width = -(-int(twice.sum()) // 64) or 1
-        bits = np.zeros((len(ids), width * 64 // 8), np.uint8)
-        end = 0
-        for k, h in enumerate(hashes):
-            own = at[end : end + len(h)]
-            end += len(h)
-            own = column[own[twice[own]]]
-            np.bitwise_or.at(bits[k], own >> 3, (1 << (own & 7)).astype(np.uint8))
-        words = bits.view(np.uint64)
-        for row in q:
-            y = t if cross else t[t > row]
-            fits = np.minimum(sizes[y], sizes[row]) >= similarity * np.maximum(sizes[y], sizes[row]) - 1e-9
-            y = y[fits & np.logical_or.reduce([np.bitwise_count(v[y] ^ v[row]) <= radius for v in views])]
-            if not len(y):
-                continue
-            common = np.bitwise_count(words[y] & words[row]).sum(axis=1, dtype=np.int64)
-            y = y[common >= similarity * (sizes[y] + sizes[row] - common) - 1e-9]
-            if len(y):
-                yield ids[y], np.full(len(y), ids[row])
-
-    def links(batches):
-        names = ["cluster", "i", "j", "side", "id", *(f"v{k}" for k in range(VIEWS)), "text"]
-        for (_, i, j, side, ids, *views, texts), starts, ends in whole_groups(batches, names, 3):
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                if e - s < 2:
-                    continue
-                hashes = [shingle_hashes((t or "").encode().translate(LOWER).split(), shingle) for t in texts[s:e]]
-                cross = i[s] != j[s]
-                q, t = (np.flatnonzero(side[s:e] == k) for k in (0, 1)) if cross else (np.arange(e - s),) * 2
-                found = list(compared([v[s:e].view(np.uint64) for v in views], hashes, ids[s:e], q, t, cross))
-                if found:
-                    a, b = (np.concatenate(z) for z in zip(*found))
-                    of = np.unique(np.r_[a, b])
-                    yield star(of, np.searchsorted(of, a), np.searchsorted(of, b))
-
-    def run(batches):
-        yield from edge_batches(links(batches))
-
-    many = rows.groupBy("cluster").agg(F.sum("n").alias("all")).where(F.col("all") > block).select("cluster", F.ceil(F.col("all") / block).cast("int").alias("blocks"))
-    dealt = in_blocks(rows, ["cluster"], many)
-    keys = ["cluster", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
-
-
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, node: int = NODE, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, fingerprint (of distinct words, the first view), component_id; texts are linked if their fingerprints of one of ``VIEWS``
     views differ in at most ``radius`` bits and the Jaccard similarity of their shingles is at least ``similarity``. Equal texts always are.
@@ -439,8 +396,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Texts with more than the share 1 - ``similarity`` of shingles that no other text has cannot be similar to any and are not indexed; this is counted
     for a part of all shingles first (texts over the share by ``LEFT_SURE`` standard deviations go), then exactly among the texts left. So a group of
     many copies, each with changes of its own, does not meet. Each view has an index of its own. Texts that it joins, by near fingerprints
-    and sketches that do not rule the similarity out, form clusters, in each of which all pairs within the radius are compared exactly, in
-    blocks. Neither step passes on pairs, only the edges that join the same texts."""
+    and sketches that do not rule the similarity out, form clusters, within which links are confirmed exactly (``clusters.within_clusters``). Neither
+    step passes on pairs, only the edges that join the same texts, and what is joined is not compared again."""
     prints = written(described(docs, shingle), "fingerprints")
     views = [f"v{i}" for i in range(VIEWS)]
     kinds = prints.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "some", *views)))
@@ -460,8 +417,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     own = written(own.select("id", "n", "shared", "sketch", *views), "indexed")
     edges = reduce(DataFrame.unionByName, (alike_links(own.select(F.col(v).alias("fp"), "id", "n", "shared", "sketch"), radius, node, similarity) for v in views))
     clusters = components(edges)
-    members = own.select("id", "n", *views).join(clusters.withColumnRenamed("component", "cluster"), "id").join(texts, "id")
-    found = components(similar_links(members.select("cluster", "id", "n", *views, "text"), shingle, similarity, radius, block))
+    members = own.select("id", "n").join(clusters.withColumnRenamed("component", "cluster"), "id").join(texts, "id")
+    found = within_clusters(written(members.select("cluster", "id", "n", "text"), "cluster-members"), shingle, similarity, block)
     groups = kinds.join(found, "id", "left").select("text_hash", "rep", F.coalesce("component", "id").alias("c"))
     lowest = groups.groupBy("c").agg(F.min("rep").alias("component_id"))
     groups = groups.join(lowest, "c").select("text_hash", "component_id")
