@@ -25,12 +25,39 @@ def frame_times(start: Column, end: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.round(start + (end - start) * (i + 0.5) / n, 6))
 
 
+#: Levels of time bins, and how many bins of a level make one of the next.
+LEVELS, RADIX = 9, 32
+
+
+def _width(level: int) -> float:
+    return SEGMENT * RADIX**level
+
+
+def overlaps(spans: DataFrame, tracks: DataFrame, key: str) -> DataFrame:
+    """The rows of ``spans`` (with ``key``, start_s, end_s and a number ``ordinal`` within the key) and of ``tracks`` (key, start_s, end_s) that overlap by a
+    positive length, as key, ordinal, t_start, t_end, each pair once.
+
+    Time is cut into bins of ``LEVELS`` widths. A track is in the one or two bins of the narrowest level as wide as itself, however long it is; a span is
+    looked up in its bins of all levels. So the tracks of one key are spread over many join keys. A pair counts in the first bin that both are in."""
+    length, level = F.col("t_end") - F.col("t_start"), F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(length <= _width(k), k).otherwise(level)
+    width = lambda k: F.lit(SEGMENT) * F.pow(F.lit(float(RADIX)), k)
+    first = lambda start, k: F.floor(start / width(k))
+    t = tracks.select(F.col(key).alias("t_key"), F.col("start_s").cast("double").alias("t_start"), F.col("end_s").cast("double").alias("t_end")).where("t_end > t_start").withColumn("t_level", level)
+    t = t.withColumn("t_first", first(F.col("t_start"), F.col("t_level"))).withColumn("t_bin", F.explode(F.sequence(F.col("t_first"), first(F.col("t_end"), F.col("t_level")))))
+    s = spans.select(key, "ordinal", F.col("start_s").cast("double").alias("s_start"), F.col("end_s").cast("double").alias("s_end")).withColumn("s_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    s = s.withColumn("s_first", first(F.col("s_start"), F.col("s_level"))).withColumn("s_bin", F.explode(F.sequence(F.col("s_first"), first(F.col("s_end"), F.col("s_level")))))
+    meet = (F.col(key) == F.col("t_key")) & (F.col("s_level") == F.col("t_level")) & (F.col("s_bin") == F.col("t_bin"))
+    over = (F.col("t_start") < F.col("s_end")) & (F.col("t_end") > F.col("s_start")) & (F.col("s_bin") == F.greatest("s_first", "t_first"))
+    return s.join(t, meet & over).select(key, "ordinal", "t_start", "t_end")
+
+
 def with_audio(segs: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Segments with has_audio: some track of the asset overlaps them by a positive length."""
-    t = tracks.select(F.col("asset_id").alias("t_id"), F.col("start_s").alias("t_start"), F.col("end_s").alias("t_end"))
-    hit = (F.col("asset_id") == F.col("t_id")) & (F.col("t_start") < F.col("end_s")) & (F.col("t_end") > F.col("start_s")) & (F.col("t_end") > F.col("t_start"))
-    heard = segs.join(t, hit, "left_semi").select("asset_id", "ordinal", F.lit(True).alias("has_audio"))
-    return segs.join(heard, ["asset_id", "ordinal"], "left").withColumn("has_audio", F.coalesce("has_audio", F.lit(False)))
+    """Segments with n_tracks, how many tracks of the asset overlap them by a positive length, and has_audio."""
+    heard = overlaps(segs, tracks, "asset_id").groupBy("asset_id", "ordinal").agg(F.count("*").alias("n_tracks"))
+    n = F.coalesce("n_tracks", F.lit(0).cast("long"))
+    return segs.join(heard, ["asset_id", "ordinal"], "left").withColumn("n_tracks", n).withColumn("has_audio", F.col("n_tracks") > 0)
 
 
 def frame_gaps(frames: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import gates
-from ..operators import library, timeline
+from ..operators import library, timeline, versions
+from ..sources import ingest
+from ..tables import own_path
 from .views import Tables, with_tables
 
 # ---- filters and order
@@ -17,9 +22,17 @@ def filter_documents(t: Tables):
     return library.filtered(t.docs(), text="SRC1", tag="en", favorites=True).select("doc_id", "title")
 
 
-@query("recent_items", with_tables("SELECT kb_id, doc_id, row_number() OVER (PARTITION BY kb_id ORDER BY updated_at DESC, doc_id) AS position FROM docs QUALIFY position <= 20", "docs"))
+_RECENT = """SELECT kind, kb_id, id, row_number() OVER (PARTITION BY kind, kb_id ORDER BY updated_at DESC, id) AS position FROM (SELECT 'document' AS kind, kb_id, doc_id AS id, updated_at FROM docs
+ UNION ALL SELECT 'conversation', kb_id, conv_id, TIMESTAMP '2024-01-01' + to_minutes(conv_id % 97) FROM kb_conversations UNION ALL SELECT 'note', kb_id, note_id, TIMESTAMP '2024-01-01' + to_minutes(note_id % 89) FROM notes)"""
+
+
+@query("recent_items", with_tables(_RECENT, "docs", "kb_conversations", "notes"))
 def recent_items(t: Tables):
-    return library.recent(t.docs(), "kb_id", F.desc("updated_at"), "doc_id").where("position <= 20").select("kb_id", "doc_id", F.col("position").cast("long").alias("position"))
+    """All documents, conversations and notes of each library, the newest first."""
+    at = lambda k, n: F.timestamp_seconds(F.lit(1_704_067_200) + 60 * (F.col(k) % n))
+    kinds = {"document": t.docs().select("kb_id", F.col("doc_id").alias("id"), "updated_at"), "conversation": t.kb_conversations().select("kb_id", F.col("conv_id").alias("id"), at("conv_id", 97).alias("updated_at")), "note": t.notes().select("kb_id", F.col("note_id").alias("id"), at("note_id", 89).alias("updated_at"))}
+    rows = reduce(DataFrame.unionByName, (rows.select(F.lit(kind).alias("kind"), "*", F.struct(F.lit(kind).alias("kind"), "kb_id").alias("list")) for kind, rows in kinds.items()))
+    return ingest.in_order(rows, F.desc("updated_at"), F.asc("id"), group="list").select("kind", "kb_id", "id", "position")
 
 
 @query("chunk_counts", with_tables("SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id", "chunks"))
@@ -80,12 +93,21 @@ def upsert_documents(t: Tables):
     return library.ready_or_refused(out, t.changed_chunks()).select("doc_id", "action", "byte_count", "status", "chunk_count")
 
 
-@query("replace_chunks", with_tables("SELECT chunk_id, doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'sig-c' ELSE encoder_signature END AS encoder_signature FROM chunks", "chunks"))
+_REPLACED = "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 OR n IS NULL THEN 'kept' WHEN doc_id % 4 = 0 THEN 'refused' ELSE 'replaced' END AS outcome, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 AND n IS NOT NULL THEN 'ready' ELSE status END AS status, coalesce(n, 0) AS chunk_count, s AS signatures FROM docs LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(DISTINCT CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 THEN 'sig-c' ELSE encoder_signature END, ',') AS s FROM chunks GROUP BY doc_id) USING (doc_id) UNION ALL SELECT -1, 'missing', NULL, 0, NULL"
+
+
+@query("replace_chunks", with_tables(_REPLACED, "chunks", "docs"))
 def replace_chunks(t: Tables):
-    """New sets for every third document; those of every fourth start at the wrong ordinal and are refused."""
+    """New sets for every third document as one act; those of every fourth start at the wrong ordinal and are refused, and one is of a document that there
+    is not. What counts is read back from the version that is current then."""
+    store = versions.Versioned(t.spark, own_path(t.spark, "chunk-versions"))
     old = t.chunks().select("chunk_id", "doc_id", "ordinal", "text", "encoder_signature")
+    store.replace(old)
     new = old.where("doc_id % 3 = 0").withColumn("ordinal", F.when(F.col("doc_id") % 4 == 0, F.col("ordinal") + 1).otherwise(F.col("ordinal"))).withColumn("encoder_signature", F.lit("sig-c"))
-    return library.replaced_chunks(old, new, library.valid_sets(new)).select("chunk_id", "doc_id", "encoder_signature")
+    lost = t.spark.createDataFrame([("x", -1, 0, "text", "sig-c")], new.schema)
+    out = versions.replace_chunks(store, new.unionByName(lost), t.docs())
+    signatures = store.read().groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("encoder_signature")), ",").alias("signatures"))
+    return out.join(signatures, "doc_id", "left").select("doc_id", "outcome", "status", "chunk_count", "signatures")
 
 
 @query("upsert_notes", with_tables("SELECT doc_id AS note_id, CASE WHEN doc_id % 7 <> 0 THEN 'kept' WHEN doc_id % 14 = 0 THEN 'refused' ELSE 'updated' END AS action, CASE WHEN doc_id % 7 = 0 AND doc_id % 14 <> 0 THEN 'new ' || title ELSE title END AS title FROM docs", "docs"))
@@ -209,9 +231,9 @@ def frame_times(t: Tables):
     return s.select("asset_id", "ordinal", F.posexplode(timeline.frame_times(F.col("start_s"), F.col("end_s"))).alias("i", "at_s")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("segment_overlap", with_tables("SELECT s.asset_id, s.ordinal, EXISTS (SELECT 1 FROM tracks t WHERE t.asset_id = s.asset_id AND t.start_s < s.end_s AND t.end_s > s.start_s AND t.end_s > t.start_s) AS has_audio FROM segs s", "assets", "tracks", extra=_SEGS))
+@query("segment_overlap", with_tables("SELECT s.asset_id, s.ordinal, count(t.asset_id) AS n_tracks, count(t.asset_id) > 0 AS has_audio FROM segs s LEFT JOIN tracks t ON t.asset_id = s.asset_id AND t.start_s < s.end_s AND t.end_s > s.start_s AND t.end_s > t.start_s GROUP BY s.asset_id, s.ordinal", "assets", "tracks", extra=_SEGS))
 def segment_overlap(t: Tables):
-    return timeline.with_audio(timeline.segments(t.assets()), t.tracks()).select("asset_id", "ordinal", "has_audio")
+    return timeline.with_audio(timeline.segments(t.assets()), t.tracks()).select("asset_id", "ordinal", "n_tracks", "has_audio")
 
 
 @query("image_frames", with_tables("SELECT clip_id, count(*) AS n_frames, min(frame) = 0 AND max(frame) = count(*) - 1 AND count(DISTINCT frame) = count(*) AS contiguous FROM frames WHERE NOT (clip_id % 9 = 0 AND frame = 1) GROUP BY clip_id", "frames"))

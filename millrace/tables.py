@@ -56,25 +56,32 @@ def n_tables() -> int:
     return len(_tables)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table written in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path that is deleted with the tables of the rows it serves."""
     path = new_path(spark, name)
     scope = _scope.get()
     (_tables if scope is None else scope).append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read back from a table written in the shared folder: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = own_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only_rows(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The rows of ``make()`` without the tables that were written for them: if there are any, the rows are written as well and the tables deleted.
+def only_rows(spark: SparkSession, make: Callable[[], DataFrame], name: str, always: bool = False) -> DataFrame:
+    """The rows of ``make()`` without the tables that were written for them: if there are any (or ``always``), the rows are written as well and the tables
+    deleted.
 
     Each call knows its own tables only, so several may run at once in one driver."""
     own: list[str] = []
     token = _scope.set(own)
     try:
         rows = make()
-        if own:
+        if own or always:
             # the rows' own table belongs to what is around this call
             _scope.reset(token)
             token = None
