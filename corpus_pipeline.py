@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, line_templates, quality, simhash, transducer
-from millrace.llm._common import DOCUMENT_COLUMNS, benchmark, documents, drop_tables, n_tables, written
+from millrace.llm._common import DOCUMENT_COLUMNS, benchmark, documents, only_rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        before = n_tables()
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        drop_tables(spark, before, keep=1)
+        docs = only_rows(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}", always=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import shipped as shipped
-from ..tables import drop_tables as drop_tables
-from ..tables import n_tables as n_tables
 from ..tables import new_path as new_path
+from ..tables import only_rows as only_rows
 from ..tables import shared_dir as shared_dir
 from ..tables import written as written
 

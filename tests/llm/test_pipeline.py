@@ -68,3 +68,18 @@ def test_quality_stage_takes_nulls(spark):
     df = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.quality_rules(spark, df, "").count() == 0
     assert corpus_pipeline.line_dedup(spark, df, "").count() == 2
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    """Each run deletes its own tables only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    texts = corpus()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    for k in (0, 1):
+        spark.createDataFrame([(0, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/{k}/benchmark.parquet")
+        docs.where(f"doc_id % 2 = {k} OR doc_id > 40").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+    run = lambda k: {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()}
+    alone = [run(k) for k in (0, 1)]
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, (0, 1))) == alone
