@@ -33,8 +33,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
 
 
-#: Tables written so far and not yet dropped, oldest first.
-_tables: list[str] = []
 #: Paths of the tables that are written for the rows which ``only_rows`` makes, in this thread or task.
 _scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
@@ -45,22 +43,11 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_tables(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the tables written after the first ``since``, but for the last ``keep`` of them."""
-    gone = _tables[since : len(_tables) - keep]
-    _delete(spark, gone)
-    del _tables[since : len(_tables) - keep]
-
-
-def n_tables() -> int:
-    return len(_tables)
-
-
 def own_path(spark: SparkSession, name: str) -> str:
     """A new path that is deleted with the tables of the rows it serves."""
     path = new_path(spark, name)
-    scope = _scope.get()
-    (_tables if scope is None else scope).append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
