@@ -50,7 +50,7 @@ def ready_or_refused(upserts: DataFrame, chunks: DataFrame) -> DataFrame:
     j = upserts.join(n, "doc_id", "left")
     fine = F.coalesce((F.col("n") >= 1) & (F.col("s") == 1), F.lit(False))
     bad = F.col("action").isin("inserted", "updated") & (F.col("status") == "ready") & ~fine
-    return j.withColumn("action", F.when(bad, "refused").otherwise(F.col("action"))).withColumn("status", F.when(bad, F.col("old_status")).otherwise(F.col("status"))).withColumn("chunk_count", F.coalesce("n", F.lit(0))).drop("n", "s", "old_status")
+    return j.withColumn("bad", bad).withColumn("action", F.when(F.col("bad"), "refused").otherwise(F.col("action"))).withColumn("status", F.when(F.col("bad"), F.col("old_status")).otherwise(F.col("status"))).withColumn("chunk_count", F.coalesce("n", F.lit(0))).drop("n", "s", "old_status", "bad")
 
 
 def replaced_chunks(old: DataFrame, new: DataFrame, valid_docs: DataFrame) -> DataFrame:

@@ -57,14 +57,16 @@ def conversation_title(question: Column) -> Column:
     return F.trim(F.substring(F.trim(question), 1, TITLE))
 
 
-def conversation_markdown(messages: DataFrame, titles: DataFrame, sources: DataFrame, docs_title: Column) -> DataFrame:
-    """conv_id, markdown: title, then each message under its role with numbered, quoted sources."""
-    quoted = F.concat(F.lit("["), (F.col("position") + 1).cast("string"), F.lit("] "), docs_title, F.lit("\n\n> "), F.regexp_replace("text", "\n", "\n> "))
+def conversation_markdown(messages: DataFrame, titles: DataFrame, sources: DataFrame, label: Column) -> DataFrame:
+    """conv_id, markdown: title, the name of the knowledge base (``kb_name`` of the titles, where there is one), then each message under its role with numbered,
+    quoted sources under their ``label``."""
+    quoted = F.concat(F.lit("["), (F.col("position") + 1).cast("string"), F.lit("] "), label, F.lit("\n\n> "), F.regexp_replace("text", "\n", "\n> "))
     s = joined(sources, ["conv_id", "seq"], "position", quoted, "cited")
     m = messages.join(s, ["conv_id", "seq"], "left")
     block = F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.col("content"), F.coalesce(F.concat(F.lit("\n\n### Sources\n\n"), F.col("cited")), F.lit("")))
     body = joined(m, ["conv_id"], "seq", block, "body")
-    return titles.join(body, "conv_id").select("conv_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("body"), F.lit("\n")).alias("markdown"))
+    base = F.coalesce(F.concat(F.lit("Knowledge base: "), F.col("kb_name"), F.lit("\n\n")), F.lit("")) if "kb_name" in titles.columns else F.lit("")
+    return titles.join(body, "conv_id").select("conv_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), base, F.col("body"), F.lit("\n")).alias("markdown"))
 
 
 def safe_file_name(name: Column) -> Column:

@@ -53,11 +53,15 @@ def answer_context_check(t: Tables):
     return hits.join(still, "chunk_id", "left").groupBy("query_id").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("intact"))
 
 
-@query("export_conversation_md", with_tables("""SELECT m.conv_id, md5('# ' || any_value(t.title) || chr(10) || chr(10) || string_agg('## ' || m.role || chr(10) || chr(10) || m.content || coalesce(chr(10) || chr(10) || '### Sources' || chr(10) || chr(10) || s.cited, ''), chr(10) || chr(10) ORDER BY m.seq) || chr(10)) AS h
+@query("export_conversation_md", with_tables("""SELECT m.conv_id, md5('# ' || any_value(t.title) || chr(10) || chr(10) || 'Knowledge base: src' || (m.conv_id % 20) || chr(10) || chr(10) || string_agg('## ' || m.role || chr(10) || chr(10) || m.content || coalesce(chr(10) || chr(10) || '### Sources' || chr(10) || chr(10) || s.cited, ''), chr(10) || chr(10) ORDER BY m.seq) || chr(10)) AS h
  FROM messages m JOIN (SELECT conv_id, trim(trim(content)[1:80]) AS title FROM messages QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'user', seq) = 1) t ON t.conv_id = m.conv_id
- LEFT JOIN (SELECT conv_id, seq, string_agg('[' || (position + 1) || '] ' || chunk_id || chr(10) || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> '), chr(10) || chr(10) ORDER BY position) AS cited FROM message_sources GROUP BY ALL) s ON s.conv_id = m.conv_id AND s.seq = m.seq GROUP BY m.conv_id""", "messages", "message_sources"))
+ LEFT JOIN (SELECT conv_id, seq, string_agg('[' || (position + 1) || '] ' || coalesce(d.title, 'Untitled') || ' · page ' || s.page || chr(10) || chr(10) || '> ' || replace(s.text, chr(10), chr(10) || '> '), chr(10) || chr(10) ORDER BY position) AS cited FROM message_sources s LEFT JOIN docs d ON d.doc_id = substring(s.chunk_id, 1, 8)::BIGINT AND d.doc_id % 6 <> 0 GROUP BY ALL) s ON s.conv_id = m.conv_id AND s.seq = m.seq GROUP BY m.conv_id""", "messages", "message_sources", "docs"))
 def export_conversation_md(t: Tables):
-    out = rag.conversation_markdown(t.messages(), _titles(t), t.message_sources(), F.col("chunk_id"))
+    """With the name of the knowledge base and each source under its document's title and page; every sixth document is gone."""
+    titles = t.docs().where("doc_id % 6 <> 0").select(F.col("doc_id").alias("d"), "title")
+    sources = t.message_sources().join(titles, F.substring("chunk_id", 1, 8).cast("long") == F.col("d"), "left")
+    label = F.concat(F.coalesce("title", F.lit("Untitled")), F.lit(" · page "), F.col("page").cast("string"))
+    out = rag.conversation_markdown(t.messages(), _titles(t).join(t.kb_conversations().withColumnRenamed("kb_id", "kb_name"), "conv_id"), sources, label)
     return out.select("conv_id", F.md5(F.col("markdown").cast("binary")).alias("h"))
 
 

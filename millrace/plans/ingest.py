@@ -63,9 +63,19 @@ def decode_text(t: Tables):
     return t.read("documents").select("doc_id", F.sha2(ingest.decode_text(content), 256).alias("text_hash"))
 
 
-@query("read_library", with_tables("SELECT 'document' AS kind, kb_id, doc_id, row_number() OVER (PARTITION BY kb_id ORDER BY created_at DESC, doc_id) AS position FROM docs", "docs"))
+_LIBRARY = """SELECT kind, kb_id, id, row_number() OVER (PARTITION BY kind, kb_id ORDER BY since, id) AS position FROM (SELECT 'knowledge base' AS kind, '' AS kb_id, kb_id AS id, epoch_us(min(created_at)) AS since FROM docs GROUP BY kb_id
+ UNION ALL SELECT 'document', kb_id, printf('%020d', doc_id), -epoch_us(created_at) FROM docs UNION ALL SELECT 'note', kb_id, printf('%020d', note_id), -(note_id % 89) FROM notes UNION ALL SELECT 'conversation', kb_id, printf('%020d', conv_id), -(conv_id % 97) FROM kb_conversations)"""
+
+
+@query("read_library", with_tables(_LIBRARY, "docs", "notes", "kb_conversations"))
 def read_library(t: Tables):
-    return ingest.in_order(t.docs(), F.desc("created_at"), F.asc("doc_id")).select(F.lit("document").alias("kind"), "kb_id", "doc_id", "position")
+    """All four tables in their order: knowledge bases from the oldest on, the others of each from the newest on."""
+    number = lambda c: F.format_string("%020d", c)
+    bases = t.docs().groupBy("kb_id").agg(F.min("created_at").alias("c")).select(F.lit("knowledge base").alias("kind"), F.lit("").alias("kb_id"), F.col("kb_id").alias("id"), F.unix_micros("c").alias("at"))
+    rows = bases.unionByName(t.docs().select(F.lit("document").alias("kind"), "kb_id", number("doc_id").alias("id"), (-F.unix_micros("created_at")).alias("at")))
+    rows = rows.unionByName(t.notes().select(F.lit("note").alias("kind"), "kb_id", number("note_id").alias("id"), (-(F.col("note_id") % 89)).alias("at")))
+    rows = rows.unionByName(t.kb_conversations().select(F.lit("conversation").alias("kind"), "kb_id", number("conv_id").alias("id"), (-(F.col("conv_id") % 97)).alias("at")))
+    return ingest.in_order(rows.withColumn("list", F.struct("kind", "kb_id")), F.asc("at"), F.asc("id"), group="list").select("kind", "kb_id", "id", "position")
 
 
 @query("ready_chunks", with_tables("SELECT c.kb_id, c.chunk_id, row_number() OVER (PARTITION BY c.kb_id ORDER BY d.created_at, d.doc_id, c.ordinal) AS position FROM chunks c JOIN docs d ON d.doc_id = c.doc_id WHERE d.status = 'ready'", "chunks", "docs"))

@@ -76,20 +76,32 @@ def dedupe_content(t: Tables):
 
 
 def _incoming(t: Tables):
-    """An upsert: every fifth document again with a new status, every tenth with another size, and some new ones."""
-    d = t.docs().where("doc_id % 5 = 0")
-    changed = d.select("doc_id", "kb_id", F.when(F.col("doc_id") % 10 == 0, F.col("byte_count") + 1).otherwise(F.col("byte_count")).alias("byte_count"), F.lit("ready").alias("status"))
-    return changed.unionByName(d.select((-1 - F.col("doc_id")).alias("doc_id"), "kb_id", "byte_count", F.lit("indexing").alias("status")))
+    """An upsert: every fifth document again with a new status, some of them with another size, content, file name, path or kind of media, and some new
+    ones."""
+    d = _identified(t).where("doc_id % 5 = 0")
+    other = lambda k, c, value: F.when(F.col("doc_id") % 70 == k, value).otherwise(F.col(c)).alias(c)
+    fields = [other(10, "byte_count", F.col("byte_count") + 1), other(20, "content_hash", F.lit("other")), other(30, "file_name", F.lit("x.txt")), other(40, "relative_path", F.lit("x")), other(50, "media", F.lit("video"))]
+    changed = d.select("doc_id", "kb_id", *fields, F.lit("ready").alias("status"))
+    return changed.unionByName(d.select((-1 - F.col("doc_id")).alias("doc_id"), "kb_id", *_IDENTITY, F.lit("indexing").alias("status")))
+
+
+#: What tells a document's original file; it may not change.
+_IDENTITY = ["byte_count", "content_hash", "file_name", "relative_path", "media"]
+
+
+def _identified(t: Tables):
+    """The documents with the path of their original and, for every fourth, the kind of media."""
+    return t.docs().withColumn("relative_path", F.concat(F.substring("content_hash", 1, 2), F.lit("/"), F.col("file_name"))).withColumn("media", F.when(F.col("doc_id") % 4 == 0, "image"))
 
 
 _UPSERTS = """c AS (SELECT doc_id, count(*) AS n, count(DISTINCT encoder_signature) AS s FROM changed_chunks GROUP BY doc_id),
- u AS (SELECT d.doc_id, status, byte_count, coalesce(n, 0) AS n, CASE WHEN d.doc_id % 5 <> 0 THEN 'kept' WHEN d.doc_id % 10 = 0 OR coalesce(s, 0) <> 1 THEN 'refused' ELSE 'updated' END AS action FROM docs d LEFT JOIN c ON c.doc_id = d.doc_id)"""
+ u AS (SELECT d.doc_id, status, byte_count, coalesce(n, 0) AS n, CASE WHEN d.doc_id % 5 <> 0 THEN 'kept' WHEN d.doc_id % 70 IN (10, 20, 30, 40, 50) OR coalesce(s, 0) <> 1 THEN 'refused' ELSE 'updated' END AS action FROM docs d LEFT JOIN c ON c.doc_id = d.doc_id)"""
 
 
 @query("upsert_documents", with_tables("SELECT doc_id, action, byte_count, CASE action WHEN 'updated' THEN 'ready' ELSE status END AS status, n AS chunk_count FROM u UNION ALL SELECT -1 - doc_id, 'inserted', byte_count, 'indexing', 0 FROM docs WHERE doc_id % 5 = 0", "docs", "changed_chunks", extra=_UPSERTS))
 def upsert_documents(t: Tables):
-    """Documents without chunks, or with another size, are not made ready."""
-    out = library.upserted(t.docs(), _incoming(t), ["kb_id", "byte_count"], ["status"]).join(t.docs().select("doc_id", F.col("status").alias("old_status")), "doc_id", "left")
+    """Documents without chunks, or of another original file, are not made ready."""
+    out = library.upserted(_identified(t), _incoming(t), ["kb_id", *_IDENTITY], ["status"]).join(t.docs().select("doc_id", F.col("status").alias("old_status")), "doc_id", "left")
     return library.ready_or_refused(out, t.changed_chunks()).select("doc_id", "action", "byte_count", "status", "chunk_count")
 
 
@@ -185,7 +197,7 @@ def changed_original(t: Tables):
     return t.docs().select("doc_id", "content_hash").join(now, "doc_id").select("doc_id", (F.col("content_hash") != F.col("now")).alias("refused"))
 
 
-@query("orphan_check", with_tables("SELECT 'source -> chunk' AS relation, s.chunk_id AS key FROM message_sources s WHERE NOT EXISTS (SELECT 1 FROM changed_chunks c WHERE c.chunk_id = s.chunk_id) UNION ALL SELECT 'label -> document', doc_id::VARCHAR FROM labels l WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.doc_id = l.doc_id AND d.doc_id % 19 <> 0) UNION ALL SELECT 'chunk -> document', doc_id::VARCHAR FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.doc_id = c.doc_id AND d.doc_id % 29 <> 0) UNION ALL SELECT 'document -> kb', kb_id FROM docs WHERE kb_id = 'src3' UNION ALL SELECT 'source -> message', conv_id::VARCHAR FROM message_sources WHERE conv_id % 11 = 0", "message_sources", "changed_chunks", "chunks", "docs"))
+@query("orphan_check", with_tables("SELECT 'source -> chunk' AS relation, s.chunk_id AS key FROM message_sources s WHERE NOT EXISTS (SELECT 1 FROM changed_chunks c WHERE c.chunk_id = s.chunk_id) UNION ALL SELECT 'label -> document', doc_id::VARCHAR FROM labels l WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.doc_id = l.doc_id AND d.doc_id % 19 <> 0) UNION ALL SELECT 'chunk -> document', doc_id::VARCHAR FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.doc_id = c.doc_id AND d.doc_id % 29 <> 0) UNION ALL SELECT 'document -> kb', kb_id FROM docs WHERE kb_id = 'src3' UNION ALL SELECT 'source -> message', conv_id::VARCHAR FROM message_sources WHERE conv_id % 11 = 0 UNION ALL SELECT 'message -> conversation', conv_id::VARCHAR FROM messages WHERE conv_id % 13 = 0 UNION ALL SELECT 'conversation -> kb', kb_id FROM kb_conversations WHERE kb_id NOT IN (SELECT kb_id FROM docs WHERE kb_id <> 'src3') UNION ALL SELECT 'note -> kb', kb_id FROM notes WHERE kb_id = 'src3' UNION ALL SELECT 'source -> document', doc_id::VARCHAR FROM message_sources s JOIN chunks c USING (chunk_id) WHERE doc_id % 29 = 0 UNION ALL SELECT 'chunk -> kb', kb_id FROM chunks WHERE kb_id = 'src3'", "message_sources", "changed_chunks", "chunks", "docs", "messages", "kb_conversations", "notes"))
 def orphan_check(t: Tables):
     """Chunks, documents, a knowledge base and messages that were deleted without what refers to them."""
     docs, sources = t.docs(), t.message_sources()
@@ -195,7 +207,12 @@ def orphan_check(t: Tables):
         "label -> document": (t.read("labels"), "doc_id", docs.where("doc_id % 19 <> 0"), "doc_id"),
         "chunk -> document": (t.chunks(), "doc_id", docs.where("doc_id % 29 <> 0"), "doc_id"),
         "document -> kb": (docs, "kb_id", kbs, "kb_id"),
+        "chunk -> kb": (t.chunks(), "kb_id", kbs, "kb_id"),
+        "conversation -> kb": (t.kb_conversations(), "kb_id", kbs, "kb_id"),
+        "note -> kb": (t.notes(), "kb_id", kbs, "kb_id"),
+        "message -> conversation": (t.messages(), "conv_id", t.kb_conversations().where("conv_id % 13 <> 0"), "conv_id"),
         "source -> message": (sources, "conv_id", t.messages().where("conv_id % 11 <> 0"), "conv_id"),
+        "source -> document": (sources.join(t.chunks().select("chunk_id", "doc_id"), "chunk_id"), "doc_id", docs.where("doc_id % 29 <> 0"), "doc_id"),
     })
 
 
