@@ -333,16 +333,24 @@ def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> D
             at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
             x, y = [*x, at], [*y, at + step]
         x, y = np.concatenate(x), np.concatenate(y)
-        # the first node in which the two meet keeps the first blocks that agree
-        differ, last = fp[x] ^ fp[y], last_kept[mask[x]]
-        first = sum(((differ & parts[k]) == 0) & (k <= last) for k in range(blocks)) == keep
+        first = meet_here(fp[x] ^ fp[y], mask[x])
         x, y = x[first], y[first]
         near = chosen(x, y, *of)
         yield star(ids, x[near], y[near])
 
-    def large(fp, ids, *of):
+    def meet_here(differ, mask):
+        """Whether the first node in which two rows meet, that of the first blocks that agree, is the one of this mask."""
+        last = last_kept[mask]
+        return sum(((differ & parts[k]) == 0) & (k <= last) for k in range(blocks)) == keep
+
+    def large(mask, fp, ids, *of):
         """One group, breadth first: a row is searched for in the Gray-order tree of those that nothing has reached yet, so rows that are all alike are
-        found once each. The tree is made anew when half of it has been reached."""
+        found once each. The tree is made anew when half of it has been reached.
+
+        A row is told with the one that reached it, and only in the first node in which the two meet: there they are joined, by rows between them at least,
+        and by induction over the nodes so are all that are alike."""
+        in_order = np.argsort(ids, kind="stable")  # in all nodes the same rows come first
+        mask, fp, ids, *of = (z[in_order] for z in (mask, fp, ids, *of))
         open_, frontier, tree, step = np.ones(len(fp), bool), np.zeros(0, np.int64), None, 1
         while open_.any():
             inside = np.flatnonzero(open_)
@@ -356,14 +364,19 @@ def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> D
             if seeds:
                 open_[q] = False
             x, y = x[keep], y[keep]
-            step = min(512, 2 * step) if len(x) <= 8 * step else 1
             near = chosen(x, y, *of)
             x, y = x[near], y[near]
-            if len(x):
+            if seeds and len(q) > 1:
                 yield star(ids, x, y)
-                found = np.unique(y[open_[y]])
-                open_[found] = False
-                frontier = np.concatenate([frontier, found])
+            found, by = np.unique(y, return_index=True)
+            if not seeds or len(q) == 1:
+                p = x[by]
+                first = meet_here(fp[p] ^ fp[found], mask[p])
+                yield np.maximum(ids[p], ids[found])[first], np.minimum(ids[p], ids[found])[first]
+            found = found[open_[found]]
+            open_[found] = False
+            frontier = np.concatenate([frontier, found])
+            step = min(512, 2 * step) if len(x) <= 8 * step else 1
 
     def pairs(batches):
         for (mask, bits, i, j, side, fp, ids, n, shared, sketches), starts, ends in whole_groups(batches, ["mask", "bits", "i", "j", "side", "fp", "id", "n", "shared", "sketch"], 4):
@@ -375,7 +388,7 @@ def alike_links(rows: DataFrame, radius: int, node: int, similarity: float) -> D
             if len(rows_of):
                 yield from small(np.repeat(starts, sizes)[rows_of], *(z[rows_of] for z in columns), table(rows_of))
             for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
-                yield from large(*(z[s:e] for z in columns[1:]), table(np.arange(s, e)))
+                yield from large(*(z[s:e] for z in columns), table(np.arange(s, e)))
 
     def run(batches):
         yield from edge_batches(pairs(batches))
