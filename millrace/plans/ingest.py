@@ -106,7 +106,7 @@ def ingest_errors_split(t: Tables):
     return rows.groupBy("kb_id", "good").agg(F.count("*").alias("n"))
 
 
-@query("import_report", with_tables("SELECT kb_id, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed, coalesce(string_agg(DISTINCT message, '; ' ORDER BY message) FILTER (outcome = 'failed'), '') AS messages, count(*) FILTER (outcome = 'imported') || ' imported, ' || count(*) FILTER (outcome = 'skipped') || ' skipped, ' || count(*) FILTER (outcome = 'failed') || ' failed' AS summary FROM outcomes GROUP BY kb_id", "docs", extra=_OUTCOMES))
+@query("import_report", with_tables("SELECT kb_id, 0 AS position, count(*) FILTER (outcome = 'imported') || ' imported, ' || count(*) FILTER (outcome = 'skipped') || ' skipped, ' || count(*) FILTER (outcome = 'failed') || ' failed' AS text FROM outcomes GROUP BY kb_id UNION ALL SELECT kb_id, row_number() OVER (PARTITION BY kb_id ORDER BY message), message FROM (SELECT DISTINCT kb_id, message FROM outcomes WHERE outcome = 'failed')", "docs", extra=_OUTCOMES))
 def import_report(t: Tables):
     return ingest.import_report(_outcomes(t))
 

@@ -69,13 +69,13 @@ _MEDIA = {
 _LATER = {"1A45DFA3": "mkv", "464C56": "flv", "000001BA": "mpg", "000001B3": "mpg"}
 # Brands of still images in the base media format.
 _HEIC = "heic|heix|hevc|hevx|heim|heis|mif1|msf1"
-#: Bytes that are looked at, and boxes of padding that may come before the first that tells the format.
-_HEAD, _BOXES = 4096, 8
+# Fixed value: bytes of a file that are looked at.
+_HEAD = 65_536
 
 
 def sniff_media(content: Column) -> Column:
     """Media container by magic bytes, null if none. A UTF-16 or UTF-32 byte-order mark is never audio."""
-    head = F.hex(F.substring(content, 1, _HEAD))
+    head = F.hex(F.substring(content, 1, 64))
     at = lambda byte, n: F.substring(head, 2 * byte + 1, 2 * n)
     out = F.when(F.lit(False), F.lit(""))
     for signature, kind in _MEDIA.items():
@@ -88,17 +88,19 @@ def sniff_media(content: Column) -> Column:
     out = out.when(head.startswith("FFFE"), None).when(head.rlike("^FF[EF]"), F.when(head.rlike("^FFF[0189]"), "aac").otherwise("mp3"))
     for signature, kind in _LATER.items():
         out = out.when(head.startswith(signature), kind)
-    return out.otherwise(_box(content))
+    return out.otherwise(F.transform(F.array(F.substring(content, 1, _HEAD)), _box)[0])
 
 
 def _box(content: Column) -> Column:
-    """Format by the first box that is no padding, of at most ``_BOXES``."""
+    """Format by the first box that is no padding, however many come before it: none is of under eight bytes."""
     part = lambda offset, n: F.substring(content, (offset + 1).cast("int"), F.lit(n))
     size = lambda offset: F.conv(F.hex(part(offset, 4)), 16, 10).cast("long")
     name = lambda offset: F.decode(part(offset + 4, 4), "ISO-8859-1")
     padding = lambda offset: name(offset).isin("free", "wide", "skip") & (size(offset) >= 8) & (size(offset) <= F.octet_length(content) - offset)
     # position after all boxes of padding
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(_BOXES)), F.lit(0).cast("long"), lambda offset, _: F.when(padding(offset), offset + size(offset)).otherwise(offset))
+    none = F.lit(0).cast("long")
+    steps = F.when(padding(none), F.sequence(F.lit(1), F.greatest(F.octet_length(content) / 8, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    last = F.aggregate(steps, none, lambda offset, _: F.when(padding(offset), offset + size(offset)).otherwise(offset))
     brand = lambda offset: F.decode(part(offset + 8, 4), "ISO-8859-1")
     of_brand = lambda o: F.when(brand(o).rlike(f"^(?:{_HEIC})$"), "heic").when(brand(o).isin("avif", "avis"), "avif").when(brand(o) == "qt  ", "mov").when(brand(o) == "M4A ", "m4a").otherwise("mp4")
     read = lambda o: F.when(name(o) == "ftyp", of_brand(o)).when(name(o).isin("moov", "mdat"), "mov")
@@ -151,9 +153,12 @@ def split_errors(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def import_report(outcomes: DataFrame) -> DataFrame:
-    """Counts of each outcome, the messages of failures in order, and a summary, from rows (kb_id, outcome, message)."""
+    """kb_id, position, text: a summary of each knowledge base (position 0) and the distinct messages of its failures in order, from rows (kb_id,
+    outcome, message)."""
     summary = F.format_string("%d imported, %d skipped, %d failed", "imported", "skipped", "failed")
-    return outcomes.groupBy("kb_id").agg(*(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in ("imported", "skipped", "failed")), F.array_join(F.array_sort(F.collect_set(F.when(F.col("outcome") == "failed", F.col("message")))), "; ").alias("messages")).withColumn("summary", summary)
+    counts = outcomes.groupBy("kb_id").agg(*(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in ("imported", "skipped", "failed")))
+    failures = in_order(outcomes.where("outcome = 'failed'").select("kb_id", F.col("message").alias("text")).distinct(), F.asc("text"))
+    return counts.select("kb_id", F.lit(0).cast("long").alias("position"), summary.alias("text")).unionByName(failures.select("kb_id", "position", "text"))
 
 
 def in_order(rows: DataFrame, *keys: Column, group: str = "kb_id") -> DataFrame:

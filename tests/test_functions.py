@@ -128,7 +128,7 @@ def test_sniffing(spark):
     assert column(spark, media, "binary", ingest.sniff_media) == ["jpeg", "wav", "webp", "mov", "mp4", None, "mp3", "mp3", None]
     box = lambda name, body=b"": (8 + len(body)).to_bytes(4, "big") + name + body
     more = {b"RIFX0000WAVE": "wav", b"RF64....WAVE": "wav", b"RIFF0000abcd": None, b"BM" + bytes(12): "bmp", b"BM" + bytes(6): None, b"BMxxxxxxxxxxxxxx": None, b"\xff\xf1\x00": "aac", b"\xff\xf9": "aac", b"\xff\xe3": "mp3", b"FLV\x01": "flv", b"\x00\x00\x01\xb3": "mpg", b"\xff\x4f\xff\x51": "jp2"}
-    more |= {box(b"free", b"abc") + box(b"wide") + box(b"ftyp", b"avis"): "avif", box(b"skip") + box(b"moov"): "mov", box(b"ftyp", b"M4A "): "m4a", box(b"ftyp", b"msf1"): "heic", box(b"free", b"x") + b"text": None, box(b"mdat"): "mov", b"\x00\x00\x00\x00free": None, b"": None}
+    more |= {box(b"free", b"abc") + box(b"wide") + box(b"ftyp", b"avis"): "avif", box(b"skip") + box(b"moov"): "mov", box(b"ftyp", b"M4A "): "m4a", box(b"ftyp", b"msf1"): "heic", box(b"free", b"x") + b"text": None, box(b"mdat"): "mov", b"\x00\x00\x00\x00free": None, b"": None, box(b"free") * 3000 + box(b"ftyp", b"qt  "): "mov", box(b"skip") * 8191 + box(b"moov"): "mov", box(b"wide") * 8192 + box(b"moov"): None}
     assert column(spark, list(more), "binary", ingest.sniff_media) == list(more.values())
 
 
