@@ -3,14 +3,17 @@
 Base spans are found by strict patterns and validators. High-recall generators propose further, overlapping spans: spelled-out
 addresses, number groups, and long mixed tokens. A candidate has two views. Evidence labels it, or leaves it open: what stands before it (a key
 word such as "password =", a contact word, the plus of an international number), a known prefix or top-level domain, or that it is
-something else (a card, an internet address, a date, part of a longer word, words joined by hyphens). Its format gives yes/no features, none of which is that
-evidence. Boosted two-level trees learn from the labelled candidates which formats are personal, and are applied to all, so a
-national phone number or a key without any key word before it is found if its format is that of confirmed ones. Scores are calibrated to probabilities by
-isotonic regression over held-out candidates; those of ``PROBABLE`` or more are selected. They are added if they overlap no
+something else (a card, an internet address, a date, part of a longer word, words joined by hyphens). Its format and its context give
+yes/no features. Context is the shape of the line, digits around, the place in the text and base spans of other kinds near by; what
+stands before a candidate is read less any evidence, so no context feature is part of a label. Boosted two-level trees learn from the labelled candidates which
+formats and contexts are personal, and are applied to all, so a national phone number or a key without any key word before it is found if it looks
+like confirmed ones. The labelled candidates are held out in turn, a fold at a time, and scored by trees fitted to the others; isotonic
+regression over these scores calibrates them to probabilities. A candidate whose score reaches one of ``PROBABLE`` or more is selected,
+if its score is above zero as well, that of formats the trees know nothing about. They are added if they overlap no
 selected one of an earlier generator and no base span (a long token may: digits inside a key can look like a card).
 
-The trees are fitted to counts of (generator, feature pattern, label, held out) over the labelled candidates of all documents: at most
-``3 * 2**14 * 4`` rows, whatever the number of documents, and no sample. They are applied as SQL conditions.
+The trees are fitted to counts of (generator, feature pattern, label, fold) over the labelled candidates of all documents: at most
+``3 * 2**14 * 2 * FOLDS`` rows, whatever the number of documents, and no sample. They are applied as SQL conditions.
 
 Positions are code points from 0, ends exclusive. Matches are marked in the text and cut out by ``split``; starts are running
 sums of the lengths before them.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from ._common import positional, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-PROBABLE, ROUNDS, RATE = 0.9, 24, 0.3
+PROBABLE, ROUNDS, RATE, FOLDS = 0.9, 24, 0.3, 4
 
 _MARK, _LOCAL, _LABEL = "\x01", "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Pattern of each base kind. Possessive quantifiers and the guards in front only spare attempts that cannot succeed.
@@ -47,7 +50,7 @@ GENERATORS = {
 }
 #: What a text must hold for a pattern to be tried at all; each follows from the pattern.
 _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "spelled": r"(?i)[\[( ]at[\]) ]", "token": "[0-9]|[A-Z]{16}", "number": "[0-9]"}
-CONTEXT_BEFORE, CONTEXT_AFTER = 24, 4
+CONTEXT_BEFORE, CONTEXT_AFTER, NEAR = 24, 24, 160
 
 #: Yes/no features of a candidate's format, as patterns.
 FEATURES = {
@@ -66,11 +69,19 @@ FEATURES = {
     "bracketed_dot": r"(?i)[\[(]dot[\])]",
     "spoken_dot": r"(?i)\x20dot\x20",
 }
+#: Features of each generator's formats that can differ; with those of context at most 14.
+FORMATS = {
+    "spelled": ("separators", "long", "very_long", "mixed_case", "letter_run", "bracketed_at", "bracketed_dot", "spoken_dot"),
+    "token": ("digits_only", "separators", "long", "very_long", "hexadecimal", "capitals_digits", "mixed_case", "letter_run"),
+    "number": ("separators", "long", "very_long", "area_code", "ends_in_four", "short_groups"),
+}
+CONTEXT = ("line_start", "line_end", "digits_before", "digits_after", "opening", "near_base")
 # Words before personal data, prefixes of keys, and top-level domains.
 KEY_WORD = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20\"'=:]{1,4}$"
 CONTACT_WORD = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|reach|write|ring)(?:[\x20.:=]|\x20me|\x20us|\x20to|\x20at|\x20on){0,3}[\x20.:=]{0,3}$"
 KEY_PREFIX = "^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)"
 DOMAIN = "(?i)(?:com|org|net|edu|gov|io|de|fr|es|uk)$"
+PLUS = r"\+(?:[0-9]{1,3}[\x20(]*)?$"
 
 
 def _digits(x: Column) -> Column:
@@ -137,12 +148,12 @@ def labels() -> dict[str, tuple[Column, Column]]:
     """For each generator, what confirms a candidate and what rules it out; where neither holds it has no label."""
     match, before, after = F.col("match"), F.col("before"), F.col("after")
     n = F.length(_digits(match))
-    plus = before.rlike(r"\+$") | before.rlike(r"\+[0-9]{1,3}[\x20(]*$")
+    plus = before.rlike(PLUS)
     contact = before.rlike(CONTACT_WORD)
     address = match.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
     card = F.when(match.rlike(r"^[0-9]([\x20-]?[0-9])+$"), n.between(13, 19))
     date = match.rlike(r"^(?:[0-9]{4}[.-][0-9]{1,2}[.-][0-9]{1,2}|[0-9]{1,2}[.-][0-9]{1,2}[.-][0-9]{4})$")
-    joined = before.rlike("[A-Za-z0-9_=/]$") | after.rlike("^[A-Za-z0-9_]")
+    joined = before.rlike(r"[A-Za-z0-9_=/]\z") | after.rlike("^[A-Za-z0-9_]")
     return {
         "spelled": (match.rlike(DOMAIN) & (match.rlike(r"(?i)[\[(](?:at|dot)[\])]|\x20dot\x20") | contact), ~match.rlike(DOMAIN) & ~match.rlike(r"(?i)[\[(](?:at|dot)[\])]|\x20dot\x20")),
         "token": (before.rlike(KEY_WORD) | match.rlike(KEY_PREFIX), match.rlike("^[0-9+/_-]+$") | match.rlike("(?i)[a-z]{3,}[-_/][a-z]{2,}[-_/][a-z]{2,}") | before.rlike(r"(?i)(?:://|www\.)[^\x20]*$")),
@@ -150,54 +161,92 @@ def labels() -> dict[str, tuple[Column, Column]]:
     }
 
 
+def context() -> dict[str, Column]:
+    """The features of a candidate's context. ``before`` is read less its last words if these are evidence, and ``after`` from its second
+    character on, as the first can be evidence. ``base_end`` and ``base_start`` are those of base spans of other kinds on either side."""
+    start, end, after = F.col("start"), F.col("end"), F.col("after")
+    around = F.col("before")
+    for evidence in (PLUS, CONTACT_WORD, KEY_WORD):
+        around = F.regexp_replace(around, evidence, "")
+    return {
+        "line_start": around.rlike(r"(?:^|\n)[^A-Za-z0-9\n]*$"),
+        "line_end": after.rlike(r"(?s)^.{0,2}(?:\n|$)"),
+        "digits_before": around.rlike("[0-9]"),
+        "digits_after": after.rlike("(?s)^.+[0-9]"),
+        "opening": start < NEAR,
+        "near_base": (F.col("base_end").between(start - NEAR, start)) | (F.col("base_start").between(end, end + NEAR)),
+    }
+
+
 def featured(rows: DataFrame) -> DataFrame:
-    """Feature pattern (bits), label (null: none) and held-out mark of the generators' candidates."""
-    pattern = sum((F.col("match").rlike(x).cast("int") * (1 << j) for j, x in enumerate(FEATURES.values())), F.lit(0))
+    """Feature pattern (bits), label (null: none) and fold of the generators' candidates."""
+    by_start = Window.partitionBy("row").orderBy("start", "end", "found_by")
+    other = F.col("base") & (F.col("found_by") != "phone")  # a number's own international form tells no neighbour
+    rows = rows.withColumn("base_end", F.max(F.when(other, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("base_start", F.min(F.when(other, F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing)))
+    around, pattern = context(), F.lit(None).cast("int")
+    for g, formats in FORMATS.items():
+        bits = [F.col("match").rlike(FEATURES[x]) for x in formats] + [F.coalesce(around[x], F.lit(False)) for x in CONTEXT]
+        pattern = F.when(F.col("found_by") == g, sum((x.cast("int") * (1 << j) for j, x in enumerate(bits)), F.lit(0))).otherwise(pattern)
     label = F.lit(None).cast("boolean")
     for g, (yes, no) in labels().items():
         yes, no = F.coalesce(yes, F.lit(False)), F.coalesce(no, F.lit(False))
         label = F.when(F.col("found_by") == g, F.when(yes & ~no, True).when(no & ~yes, False)).otherwise(label)
-    candidate = F.col("found_by").isin(*GENERATORS)
-    return rows.withColumn("pattern", F.when(candidate, pattern)).withColumn("label", label).withColumn("held", F.when(candidate, F.xxhash64("match") % 4 == 0))
+    fold = F.when(F.col("found_by").isin(*GENERATORS), F.pmod(F.xxhash64("match"), F.lit(FOLDS)).cast("int"))
+    return rows.withColumn("pattern", pattern).withColumn("label", label).withColumn("fold", fold).drop("base_end", "base_start")
+
 
+def boost(counts: dict[tuple[int, bool], int], n_features: int) -> list[tuple[int, int, int, tuple[float, float, float, float]]]:
+    """Trees (root, feature if the root is no, feature if yes, four leaf values) for (pattern, label) counts, by Newton boosting.
 
-def boost(counts: dict[tuple[int, bool], int]) -> list[tuple[int, int, int, tuple[float, float, float, float]]]:
-    """Trees (root, feature if the root is no, feature if yes, four leaf values) for (pattern, label) counts, by Newton boosting."""
+    Gradients are summed by pairs of set features, from which the sums of every leaf of every tree follow; a round is one pass over the patterns."""
     patterns = sorted({p for p, _ in counts})
     score = dict.fromkeys(patterns, 0.0)
-    n_features, trees = len(FEATURES), []
+    features, trees = range(n_features), []
     if not patterns:
         return trees
+    bits = {p: [j for j in features if p >> j & 1] for p in patterns}
+    value = lambda s: s[0] / (s[1] + 1)
+    gain = lambda s: s[0] * s[0] / (s[1] + 1)
+    less = lambda s, *of: (s[0] - sum(x[0] for x in of), max(s[1] - sum(x[1] for x in of), 0.0))
     for _ in range(ROUNDS):
-        grad, hess = {}, {}
+        every = [0.0, 0.0]
+        both = [[[0.0, 0.0] for _ in features] for _ in features]
         for p in patterns:
             pos, neg = counts.get((p, True), 0), counts.get((p, False), 0)
             q = 1 / (1 + math.exp(-score[p]))
-            grad[p], hess[p] = pos - (pos + neg) * q, (pos + neg) * q * (1 - q)
-
-        def sums(of):
-            return sum(grad[p] for p in of), sum(hess[p] for p in of)
-
-        def leaf(of):
-            g, h = sums(of)
-            return g / (h + 1)
-
-        def gain(of):
-            g, h = sums(of)
-            return g * g / (h + 1)
-
-        def best(of):
-            return max(range(n_features), key=lambda j: (round(gain([p for p in of if p >> j & 1]) + gain([p for p in of if not p >> j & 1]), 9), -j))
-
-        root = max(range(n_features), key=lambda j: (round(sum(gain([p for p in side if p >> k & 1]) + gain([p for p in side if not p >> k & 1]) for side in ([p for p in patterns if not p >> j & 1], [p for p in patterns if p >> j & 1]) for k in [best(side)]), 9), -j))
-        no, yes = [p for p in patterns if not p >> root & 1], [p for p in patterns if p >> root & 1]
-        a, b = best(no), best(yes)
-        parts = [[p for p in no if not p >> a & 1], [p for p in no if p >> a & 1], [p for p in yes if not p >> b & 1], [p for p in yes if p >> b & 1]]
-        values = tuple(round(RATE * leaf(x), 6) for x in parts)
-        trees.append((root, a, b, values))
-        for x, v in zip(parts, values):
-            for p in x:
-                score[p] += v
+            g, h = pos - (pos + neg) * q, (pos + neg) * q * (1 - q)
+            every[0] += g
+            every[1] += h
+            for j in bits[p]:
+                row = both[j]
+                for k in bits[p]:
+                    row[k][0] += g
+                    row[k][1] += h
+
+        def sides(j):
+            """For each second feature the sums of (neither, it alone) and of (the root alone, both)."""
+            one = both[j][j]
+            no, yes = [], []
+            for k in features:
+                yes.append((less(one, both[j][k]), both[j][k]))
+                no.append((less(less(every, one), less(both[k][k], both[j][k])), less(both[k][k], both[j][k])))
+            return no, yes
+
+        def best(pairs):
+            return max(features, key=lambda k: (round(gain(pairs[k][0]) + gain(pairs[k][1]), 9), -k))
+
+        found = []
+        for j in features:
+            no, yes = sides(j)
+            a, b = best(no), best(yes)
+            parts = (*no[a], *yes[b])
+            found.append((round(sum(map(gain, parts)), 9), -j, a, b, parts))
+        _, root, a, b, parts = max(found, key=lambda x: x[:2])
+        values = tuple(round(RATE * value(x), 6) for x in parts)
+        trees.append((-root, a, b, values))
+        for p in patterns:
+            score[p] += raw_score(trees[-1:], p)
     return trees
 
 
@@ -205,12 +254,12 @@ def raw_score(trees, pattern: int) -> float:
     return round(sum(v[(2 + (pattern >> b & 1)) if pattern >> root & 1 else (pattern >> a & 1)] for root, a, b, v in trees), 6)
 
 
-def calibrated(trees, held: dict[tuple[int, bool], int]) -> list[tuple[float, float]]:
-    """(score, probability) of held-out candidates by isotonic regression, scores ascending: neighbouring scores whose shares of right ones
-    do not ascend are pooled. One wrong candidate is added to each pool, so that few of them do not make a certainty."""
+def calibrated(scored: dict[tuple[float, bool], int]) -> list[tuple[float, float]]:
+    """(score, probability) of held-out candidates, given as counts of (score, label), by isotonic regression, scores ascending: neighbouring
+    scores whose shares of right ones do not ascend are pooled."""
     by: dict[float, list[int]] = {}
-    for (p, label), n in held.items():
-        by.setdefault(raw_score(trees, p), [0, 0])[label] += n
+    for (s, label), n in scored.items():
+        by.setdefault(s, [0, 0])[label] += n
     pools: list[list] = []  # least score, wrong, right
     for s in sorted(by):
         pools.append([s, *by[s]])
@@ -218,12 +267,31 @@ def calibrated(trees, held: dict[tuple[int, bool], int]) -> list[tuple[float, fl
             _, wrong, right = pools.pop()
             pools[-1][1] += wrong
             pools[-1][2] += right
-    return [(s, right / (wrong + right + 1)) for s, wrong, right in pools]
+    return [(s, right / (wrong + right)) for s, wrong, right in pools]
 
 
-def threshold(trees, held: dict[tuple[int, bool], int]) -> float:
+def threshold(scored: dict[tuple[float, bool], int]) -> float:
     """Lowest score whose calibrated probability is ``PROBABLE``; inf: none."""
-    return min((s for s, p in calibrated(trees, held) if p >= PROBABLE), default=math.inf)
+    return min((s for s, p in calibrated(scored) if p >= PROBABLE), default=math.inf)
+
+
+def fitted(counts: dict[tuple[int, bool, int], int], n_features: int):
+    """Trees for counts of (pattern, label, fold), and the least score to select. Each fold is scored by trees fitted to the other ones."""
+
+    def of(folds):
+        some: dict[tuple[int, bool], int] = {}
+        for (p, label, fold), n in sorted(counts.items()):
+            if fold in folds:
+                some[p, label] = some.get((p, label), 0) + n
+        return some
+
+    scored: dict[tuple[float, bool], int] = {}
+    for k in range(FOLDS):
+        trees = boost(of(set(range(FOLDS)) - {k}), n_features)
+        for (p, label), n in of({k}).items():
+            at = raw_score(trees, p), label
+            scored[at] = scored.get(at, 0) + n
+    return boost(of(range(FOLDS)), n_features), threshold(scored)
 
 
 def score_column(trees) -> Column:
@@ -237,15 +305,12 @@ def score_column(trees) -> Column:
 def selected(docs: DataFrame) -> DataFrame:
     """Rows (row, doc_id, text_hash, kind, start, end, base, chosen): all candidates, chosen where base or added; nulls for none."""
     rows = written(featured(spans(docs)), "candidates")
-    counts = rows.where("label IS NOT NULL").groupBy("found_by", "pattern", "label", "held").count().collect()  # bounded by the features
+    counts = rows.where("label IS NOT NULL").groupBy("found_by", "pattern", "label", "fold").count().collect()  # bounded by the features
     chosen = F.col("base")
     for g in GENERATORS:
-        fit = {(r["pattern"], r["label"]): r["count"] for r in counts if r["found_by"] == g and not r["held"]}
-        held = {(r["pattern"], r["label"]): r["count"] for r in counts if r["found_by"] == g and r["held"]}
-        trees = boost(fit)
-        least = threshold(trees, held)
+        trees, least = fitted({(r["pattern"], r["label"], r["fold"]): r["count"] for r in counts if r["found_by"] == g}, len(FORMATS[g]) + len(CONTEXT))
         if math.isfinite(least):
-            chosen = chosen | ((F.col("found_by") == g) & (score_column(trees) >= least))
+            chosen = chosen | ((F.col("found_by") == g) & (score_column(trees) >= least) & (score_column(trees) > 0))
     kept = rows.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
     rank, kind = F.lit(0), F.col("found_by")
     for j, (g, (k, _)) in enumerate(GENERATORS.items(), 1):
