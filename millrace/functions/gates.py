@@ -43,10 +43,10 @@ def unit_norm_ok(v: Column, tolerance: float = 1e-4) -> Column:
     return F.coalesce(F.abs(F.sqrt(squared_norm(v)) - 1) <= tolerance, F.lit(False))
 
 
-def loopback_url_ok(url: Column) -> Column:
-    """http(s) on this machine only, with nothing but an empty path: no user, query or fragment."""
-    port = F.regexp_extract(url, ":([0-9]{1,5})/?$", 1)
-    return F.coalesce(url.rlike(r"^(?i:https?)://(?i:localhost|127\.0\.0\.1|\[::1\])(?::[0-9]{1,5})?/?$") & ((port == "") | (F.lpad(port, 5, "0") <= "65535")), F.lit(False))
+def loopback_url_ok(url: Column, highest_port: int = 65_535) -> Column:
+    """http(s) on this machine only, with nothing but an empty path: no user, query or fragment. The reference takes any port of five digits."""
+    port = F.regexp_extract(url, r":([0-9]{1,5})/?\z", 1)
+    return F.coalesce(url.rlike(r"^(?i:https?)://(?i:localhost|127\.0\.0\.1|\[::1\])(?::[0-9]{1,5})?/?\z") & ((port == "") | (port.try_cast("int") <= highest_port)), F.lit(False))
 
 
 def increasing(times: Column) -> Column:
