@@ -4,7 +4,10 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
 from millrace import catalog
+from millrace.operators import tags
 
 
 def plain(x):
@@ -37,3 +40,17 @@ def test_media_of_short_texts(spark, tmp_path):
     texts = ["", "ab", None, "a whole text"]
     got = same(spark, tmp_path, "sniff_media", documents=pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([texts[i // 27] for i in ids])}))
     assert [r[1] for r in got if r[0] % 27 == 16] == ["bmp"] * 4
+
+
+def test_anchors_read_each_text_once(spark):
+    texts = ["the c++ code, a.b", "then c+ 中文", "xa.by über", "", "a b  c++"]
+    topics = [("a", "", ["the"]), ("b", "", ["C++", "über"]), ("c", "", ["a.b", "文"]), ("d", "", ["a b"])]
+    rows = spark.createDataFrame([(i, f"k{i % 2}", t) for i, t in enumerate(texts)], "doc_id long, kb_id string, evidence string")
+    own = spark.createDataFrame([("k1", "x", ["then"]), ("k1", "y", ["b"])], "kb_id string, label string, terms array<string>")
+    out = tags.anchors(rows, topics, own)
+    got = {(r.doc_id, r.label) for r in out.where("anchored").collect()}
+    one = lambda *t: rows.select("doc_id", tags.anchored(list(t), F.col("evidence")).alias("x"), "kb_id").where("x").collect()
+    assert got == {(r.doc_id, label) for label, _, t in topics for r in one(*t)} | {(r.doc_id, r0) for r0, t in (("x", "then"), ("y", "b")) for r in one(t) if r.kb_id == "k1"}
+    assert out.count() == 5 * 4 + 2 * 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "Union" not in plan
