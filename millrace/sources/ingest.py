@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,41 +110,37 @@ def _box(content: Column) -> Column:
 
 def decode_text(content: Column) -> Column:
     """Text of a byte column by byte-order mark, zero-byte lanes or strict UTF-8; null where it is malformed."""
-    h = F.hex(content)
-    size = F.octet_length(content)
-    body = lambda n: F.substring(content, n + 1, 1 << 30)
-    pairs = F.floor(size / 2)
-
-    def zeros(lane: int) -> Column:
-        own = F.regexp_replace(h, "(..)(..)", f"${lane} ")
-        return (F.length(own) - F.length(F.replace(own, F.lit("00 ")))) / 3
-
-    even, odd = zeros(1), zeros(2)
-    least = F.greatest(F.lit(1), F.floor(pairs / 20))
-    # decode() fails the task on malformed input, so the units are checked first, possessively and thus without recursion
-    units = {
-        "UTF-16LE": "^(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])*+$",
-        "UTF-16BE": "^(?:(?:[0-9A-CEF].|D[0-7])..|D[89AB]..D[C-F]..)*+$",
-        "UTF-32LE": "^(?:....(?:0[1-9A-F]|10)00|..(?:[0-9A-CEF].|D[0-7])0000)*+$",
-        "UTF-32BE": "^(?:00(?:0[1-9A-F]|10)....|0000(?:[0-9A-CEF].|D[0-7])..)*+$",
-    }
-
-    def strict(c: Column, label: str) -> Column:
-        marked = F.concat(F.unhex(F.lit("FFFE0000")), c) if label == "UTF-32LE" else c
-        return F.when(F.hex(c).rlike(units[label]), F.decode(marked, "UTF-32" if label.startswith("UTF-32") else label))
-
-    return (
-        F.when(h.startswith("FFFE0000"), strict(body(4), "UTF-32LE"))
-        .when(h.startswith("0000FEFF"), strict(body(4), "UTF-32BE"))
-        .when(h.startswith("FFFE"), strict(body(2), "UTF-16LE"))
-        .when(h.startswith("FEFF"), strict(body(2), "UTF-16BE"))
-        .when(h.startswith("EFBBBF"), F.try_validate_utf8(body(3).cast("string")))
-        .when((size % 4 == 0) & (size > 0) & h.rlike("^(?:....0000)++$"), strict(content, "UTF-32LE"))
-        .when((size % 4 == 0) & (size > 0) & h.rlike("^(?:0000....)++$"), strict(content, "UTF-32BE"))
-        .when((size % 2 == 0) & (odd > 4 * even) & (odd >= least), strict(content, "UTF-16LE"))
-        .when((size % 2 == 0) & (even > 4 * odd) & (even >= least), strict(content, "UTF-16BE"))
-        .otherwise(F.try_validate_utf8(content.cast("string")))
-    )
+
+    # a local function, so that executors need no module of this package for a column
+    def read(b: bytes) -> str | None:
+        size = len(b)
+        start, label = 0, "utf-8"
+        for mark, named in ((b"\xff\xfe\0\0", "utf-32-le"), (b"\0\0\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8")):
+            if b.startswith(mark):
+                start, label = len(mark), named
+                break
+        else:
+            first, second = b[0::2].count(0), b[1::2].count(0)
+            quarters = size // 4
+            least = max(1, size // 2 // 20)
+            if size and size % 4 == 0 and b[2::4].count(0) == b[3::4].count(0) == quarters:
+                label = "utf-32-le"
+            elif size and size % 4 == 0 and b[0::4].count(0) == b[1::4].count(0) == quarters:
+                label = "utf-32-be"
+            elif size % 2 == 0 and second > 4 * first and second >= least:
+                label = "utf-16-le"
+            elif size % 2 == 0 and first > 4 * second and first >= least:
+                label = "utf-16-be"
+        try:
+            return b[start:].decode(label)
+        except UnicodeDecodeError:
+            return None
+
+    @F.arrow_udf("string")
+    def decoded(column: pa.Array) -> pa.Array:
+        return pa.array((read(b.as_py()) if b.is_valid else None for b in column), pa.string(), size=len(column))
+
+    return decoded(content)
 
 
 def split_errors(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:

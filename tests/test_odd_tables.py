@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace import catalog
 from millrace.operators import tags
+from millrace.sources import ingest
 
 
 def plain(x):
@@ -54,3 +55,9 @@ def test_anchors_read_each_text_once(spark):
     assert out.count() == 5 * 4 + 2 * 2
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan.upper() and "Union" not in plan
+
+
+def test_decoding_keeps_a_second_mark(spark):
+    values = [b"\0\0\xfe\xff" * 2 + "a".encode("utf-32-be"), b"\xff\xfe\0\0" * 2 + "a".encode("utf-32-le"), b"\xed\xa0\x80", b"\xff", b"\xff\xfe\x00\xd8", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v binary")
+    assert [r.t for r in df.select("i", ingest.decode_text(F.col("v")).alias("t")).orderBy("i").collect()] == ["\ufeffa", "\ufeffa", None, None, None, None]
