@@ -17,7 +17,7 @@ def history_window(t: Tables):
 
 @query("build_context", with_tables("SELECT t.query_id, md5(string_agg('<source index=\"' || t.rank || '\">' || chr(10) || d.title || ' · page ' || c.page || chr(10) || 'original text' || chr(10) || c.text || chr(10) || '</source>', chr(10) || chr(10) ORDER BY t.rank)) AS h FROM top t JOIN docs d ON d.doc_id = t.doc_id JOIN chunks c ON c.chunk_id = t.chunk_id GROUP BY t.query_id", "queries", "chunks", "docs", extra=_SEARCH))
 def build_context(t: Tables):
-    hits = search.with_text(search.search(t.queries(), t.chunks(), t.docs()), t.chunks(), t.docs())
+    hits = search.with_text(search.search(t.queries(), t.ready_chunks(), None, vectors=t.ready_vectors()), t.chunks(), t.docs())
     return rag.context(hits).select("query_id", F.md5(F.col("context").cast("binary")).alias("h"))
 
 
@@ -48,7 +48,7 @@ def _titles(t: Tables):
 
 @query("answer_context_check", with_tables("SELECT t.query_id, bool_and(c.doc_id IS NOT NULL) AS intact FROM top t LEFT JOIN changed_chunks c ON c.chunk_id = t.chunk_id GROUP BY t.query_id", "queries", "chunks", "docs", "changed_chunks", extra=_SEARCH))
 def answer_context_check(t: Tables):
-    hits = search.search(t.queries(), t.chunks(), t.docs())
+    hits = search.search(t.queries(), t.ready_chunks(), None, vectors=t.ready_vectors())
     still = t.changed_chunks().select("chunk_id", F.lit(True).alias("there"))
     return hits.join(still, "chunk_id", "left").groupBy("query_id").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("intact"))
 

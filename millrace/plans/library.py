@@ -224,7 +224,7 @@ _RULES = {"ordinals": "min(ordinal) <> 0 OR max(ordinal) <> count(*) - 1 OR coun
 def audit_chunks(t: Tables):
     """Chunk sets with wrong ordinals, pages, blank texts, dimensions or signatures chosen by document id."""
     d = F.col("doc_id")
-    broken = t.chunks().withColumn("encoder_signature", F.concat("encoder_signature", F.when(d % 23 == 0, F.col("ordinal")).otherwise(0).cast("string"))).withColumn("ordinal", F.when(d % 6 == 0, F.col("ordinal") + 2).otherwise(F.col("ordinal")))
+    broken = t.chunks(embedded=True).withColumn("encoder_signature", F.concat("encoder_signature", F.when(d % 23 == 0, F.col("ordinal")).otherwise(0).cast("string"))).withColumn("ordinal", F.when(d % 6 == 0, F.col("ordinal") + 2).otherwise(F.col("ordinal")))
     broken = broken.withColumn("page", F.when(d % 10 == 0, 0).otherwise(1)).withColumn("text", F.when(d % 15 == 0, "  ").otherwise(F.col("text"))).withColumn("dims", F.when(d % 14 == 0, 32).otherwise(F.col("dims")))
     return library.chunk_audit(broken, gates.vector_ok(F.col("embedding"), 64))
 

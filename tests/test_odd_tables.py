@@ -1,13 +1,18 @@
 """Queries against their SQL on small tables of odd rows that the given tables lack."""
 
+import random
+
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from pyspark.sql import functions as F
 
 from millrace import catalog
-from millrace.operators import tags
+from millrace.operators import chunk, tags
+from millrace.plans.views import Tables
 from millrace.sources import ingest
 
 
@@ -61,3 +66,47 @@ def test_decoding_keeps_a_second_mark(spark):
     values = [b"\0\0\xfe\xff" * 2 + "a".encode("utf-32-be"), b"\xff\xfe\0\0" * 2 + "a".encode("utf-32-le"), b"\xed\xa0\x80", b"\xff", b"\xff\xfe\x00\xd8", None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v binary")
     assert [r.t for r in df.select("i", ingest.decode_text(F.col("v")).alias("t")).orderBy("i").collect()] == ["\ufeffa", "\ufeffa", None, None, None, None]
+
+
+def library(gap=False):
+    """Forty documents of one knowledge base and a query; with ``gap`` not every chunk has a vector."""
+    rng = np.random.default_rng(5)
+    vectors = [i for i in range(70) if not gap or i % 3]
+    words = ["the", "quay", "café", "of", "stone."]
+    texts = [" ".join(rng.choice(words, size=400 if i % 4 == 0 else 5)) if i % 9 else "same " * 1040 for i in range(40)]
+    return {
+        "documents": pa.table({"doc_id": pa.array([20 * i for i in range(40)], pa.int64()), "text": texts, "lang": ["en"] * 40, "source": ["src0"] * 40, "n_chars": pa.array([len(t) for t in texts], pa.int64())}),
+        "labels": pa.table({"doc_id": pa.array([20], pa.int64()), "quality": pa.array([1], pa.int32()), "toxic": pa.array([0], pa.int32())}),
+        "embeddings": pa.table({"vec_id": pa.array(vectors, pa.int64()), "embedding": pa.array(rng.normal(size=(len(vectors), 64)).tolist(), pa.list_(pa.float32())), "label": pa.array([0] * len(vectors), pa.int32())}),
+        "benchmark": pa.table({"item_id": pa.array([20, 40], pa.int64()), "text": ["the quay", "stone café of"]}),
+    }
+
+
+@pytest.mark.parametrize("name, least", [("lexical_score", 100), ("hybrid_score", 80), ("search_dedupe", 60)])
+def test_all_pairs_are_told(spark, tmp_path, name, least):
+    assert len(same(spark, tmp_path, name, **library())) >= least
+
+
+def test_vectors_with_gaps(spark, tmp_path):
+    assert same(spark, tmp_path, "search_topk", **library(gap=True))
+
+
+def test_texts_stay_where_they_are_cut(spark, tmp_path):
+    for table, data in library().items():
+        pq.write_table(data, f"{tmp_path}/{table}.parquet")
+    t = Tables(spark, str(tmp_path))
+    for df in (t._cut_chunks(), t.ready_chunks(), t.titled_chunks()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange hashpartitioning" not in plan
+    assert "text#" not in t.ready_vectors()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_are_windows_of_graphemes(monkeypatch):
+    rng = random.Random(4)
+    pieces = ["a", "é", "ß", ".", "\n", " ", "\u00ad", "©", "…", "。", "中", "！", "\x00", "\x85"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(400))) for _ in range(200)] + ["", " " * 90, "a" * 500]
+    sizes = [(rng.randrange(1, 90), rng.randrange(100)) for _ in texts]
+    assert all(chunk.SINGLE.fullmatch(t) for t in texts) and not any(map(chunk.SINGLE.fullmatch, ["\r", "e\u0301", "か\u3099", "\U0001f468\u200d"]))
+    got = [chunk.cut(t, *s) for t, s in zip(texts, sizes)]
+    monkeypatch.setattr(chunk, "SINGLE", chunk.re.compile("(?!)"))
+    assert got == [chunk.cut(t, *s) for t, s in zip(texts, sizes)]
